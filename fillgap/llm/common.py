@@ -62,3 +62,16 @@ def held_out(doc_id: Column) -> Column:
 
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """v, id (the smallest of v's ids), ids (the smallest ``k`` + 1 of them): all that a top-k search can return of equal vectors."""
+    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    few = rows.select("id", "v").withColumn("__n", first).where(F.col("__n") <= k + 1)  # cut down before the shuffle as well
+    return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.element_at("ids", 1))
+
+
+def blocked(rows: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int, seed: int) -> DataFrame:
+    """Deal rows into blocks by a hash of their id and send each block to every block of the other side, as column ``other``."""
+    dealt = rows.withColumn(own, fold_row_id(F.col("id"), seed=seed, modulus=own_blocks).cast("int"))
+    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
