@@ -4,17 +4,42 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fillgap.llm import mixing
+from fillgap.llm import bpe, jaccard, language, mixing, toxicity
 from fillgap.llm.common import shared_dir, table
+from fillgap.llm.queries import WORD_BPE
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.in_known_language(docs, language.fit(docs))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded text of every document, as often as it is in the mix."""
+    return bpe.encode_decode(docs, public_tokenizers.path(WORD_BPE))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language ID", drop_unknown_language),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("mixing sources", mix_sources),
+    ("BPE encoding and decoding", encode),
+]
 
 #: The stages learn weights and draw copies, which SQL can't express; the tests hold them against plain versions.
 ORACLE_SQL = None
