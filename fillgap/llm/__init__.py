@@ -1,8 +1 @@
 """Operators for training-data preparation. Nothing outside this subpackage imports it."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions travel to the executors with their jobs, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
