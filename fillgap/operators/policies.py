@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fillgap.operators.tree import FORWARD, FROM_HERE, UP_TO_HERE, place_sections, topology
+from fillgap.operators.tree import forward, from_here, place_sections, topology, up_to_here
 from fillgap.schema import TREE
 
 PRUNE, RETAIN, PROMOTE = "prune", "retain-ancestors", "promote"
@@ -16,9 +16,9 @@ def keep_column(condition: Column, policy: str) -> Column:
     """Whether a record stays: with its matching ancestors only, as an ancestor of a match, or by itself."""
     met = F.coalesce(condition, F.lit(False))
     if policy == PRUNE:  # no record that fails is still open here
-        return F.coalesce(F.max(F.when(~met, F.col("subtree_end"))).over(UP_TO_HERE), F.lit(0)) <= F.col("pos")
+        return F.coalesce(F.max(F.when(~met, F.col("subtree_end"))).over(up_to_here()), F.lit(0)) <= F.col("pos")
     if policy == RETAIN:  # the next match lies inside the subtree
-        return F.coalesce(F.min(F.when(met, F.col("pos"))).over(FROM_HERE) < F.col("subtree_end"), F.lit(False))
+        return F.coalesce(F.min(F.when(met, F.col("pos"))).over(from_here()) < F.col("subtree_end"), F.lit(False))
     if policy == PROMOTE:
         return met
     raise ValueError(f"unknown policy {policy!r}")
@@ -40,9 +40,9 @@ def rebuild(kept: DataFrame, max_depth: int | None = None) -> DataFrame:
 
     A promoted record may become a root: ``root`` then has to tell the new roots apart, which (root, rank) does.
     """
-    starts = F.sum(F.when(F.col("depth") == 0, 1).otherwise(0)).over(UP_TO_HERE)
+    starts = F.sum(F.when(F.col("depth") == 0, 1).otherwise(0)).over(up_to_here())
     tree = kept.withColumn("__part", starts).withColumn("root", F.struct(F.col("root"), F.col("__part"))).drop("__part")
-    tree = tree.withColumn("rpos", F.row_number().over(FORWARD) - 1)
+    tree = tree.withColumn("rpos", F.row_number().over(forward()) - 1)
     return topology(place_sections(tree.drop("pos")), max_depth)
 
 

@@ -8,20 +8,35 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from fillgap.schema import TREE
 
-FORWARD = Window.partitionBy(*TREE).orderBy("pos")
-BACKWARD = Window.partitionBy(*TREE).orderBy(F.desc("pos"))
-EARLIER = FORWARD.rowsBetween(Window.unboundedPreceding, -1)
-UP_TO_HERE = FORWARD.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-LATER = BACKWARD.rowsBetween(Window.unboundedPreceding, -1)
-FROM_HERE = BACKWARD.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-SIBLINGS = Window.partitionBy(*TREE, "parent").orderBy("pos")
-
 WIDE = 32  # depths up to this one are columns of a single window
 
+def forward() -> WindowSpec:
+    return Window.partitionBy(*TREE).orderBy("pos")
+
+
+def backward() -> WindowSpec:
+    return Window.partitionBy(*TREE).orderBy(F.desc("pos"))
+
+
+def earlier() -> WindowSpec:
+    return forward().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def up_to_here() -> WindowSpec:
+    return forward().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def later() -> WindowSpec:
+    return backward().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def from_here() -> WindowSpec:
+    return backward().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
 
 def place_sections(records: DataFrame) -> DataFrame:
     """Adds ``pos`` from the order of roots and ``rpos``, the position in the root's subtree: one row a root is summed."""
@@ -47,8 +62,8 @@ def topology(records: DataFrame, max_depth: int | None = None) -> DataFrame:
     if max_depth > WIDE:
         return _topology_by_level(records)
     levels = range(max_depth + 1)
-    parents = F.array(*[F.last(F.when(F.col("depth") == d, F.col("pos")), True).over(EARLIER) for d in levels])
-    nexts = F.array(*[F.last(F.when(F.col("depth") <= d, F.col("pos")), True).over(LATER) for d in levels])
+    parents = F.array(*[F.last(F.when(F.col("depth") == d, F.col("pos")), True).over(earlier()) for d in levels])
+    nexts = F.array(*[F.last(F.when(F.col("depth") <= d, F.col("pos")), True).over(later()) for d in levels])
     out = records.withColumn("__parents", parents).withColumn("__nexts", nexts)
     out = last_in_tree(out)
     return (
@@ -65,11 +80,11 @@ def _topology_by_level(records: DataFrame) -> DataFrame:
     level = Window.partitionBy(*TREE, "k").orderBy("pos", "role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = own.union(child).withColumn("parent", F.last(F.when(F.col("role") == 0, F.col("pos")), True).over(level))
     parents = met.where("role = 1").select(*TREE, "pos", "parent")
-    before = F.lag("depth", 1, -1).over(FORWARD)
+    before = F.lag("depth", 1, -1).over(forward())
     closing = records.select(*TREE, "pos", "depth", before.alias("p")).where("p >= depth").select(*TREE, F.explode(F.sequence("depth", "p")).alias("k"), F.col("pos").alias("at"))
     events = own.select(*TREE, "k", F.col("pos").alias("at"), F.lit(1).alias("open")).union(closing.select(*TREE, "k", "at", F.lit(0).alias("open")))
-    later = Window.partitionBy(*TREE, "k").orderBy(F.desc("at"), F.desc("open")).rowsBetween(Window.unboundedPreceding, -1)
-    closed = events.withColumn("subtree_end", F.last(F.when(F.col("open") == 0, F.col("at")), True).over(later)).where("open = 1")
+    below = Window.partitionBy(*TREE, "k").orderBy(F.desc("at"), F.desc("open")).rowsBetween(Window.unboundedPreceding, -1)
+    closed = events.withColumn("subtree_end", F.last(F.when(F.col("open") == 0, F.col("at")), True).over(below)).where("open = 1")
     ends = closed.select(*TREE, F.col("at").alias("pos"), "subtree_end")
     out = last_in_tree(records).join(parents, [*TREE, "pos"], "left").join(ends, [*TREE, "pos"], "left")
     return out.withColumn("subtree_end", F.coalesce("subtree_end", "tree_end")).drop("tree_end")
@@ -81,10 +96,10 @@ def irregular_parents(records: DataFrame, keys: list[str]) -> DataFrame:
     One window expression for each width that occurs, which are few in a file.
     """
     widths = sorted(r[0] for r in records.select("indent").distinct().collect())
-    earlier = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     parent = F.lit(None).cast("long")
     for w in widths:
-        parent = F.when(F.col("indent") == w, F.max(F.when(F.col("indent") < w, F.col("pos"))).over(earlier)).otherwise(parent)
+        parent = F.when(F.col("indent") == w, F.max(F.when(F.col("indent") < w, F.col("pos"))).over(before)).otherwise(parent)
     return records.withColumn("parent", parent)
 
 
@@ -151,7 +166,7 @@ def nearest_enclosing(records: DataFrame, condition: Column, columns: dict[str,
     held = F.struct(F.col("pos").alias("__at"), F.col("subtree_end").alias("__to"), *[F.col(c).alias(n) for c, n in columns.items()])
     out, found = records, F.lit(None)
     for d in range(max_depth):
-        out = out.withColumn(f"__a{d}", F.last(F.when((F.col("depth") == d) & condition, held), True).over(EARLIER))
+        out = out.withColumn(f"__a{d}", F.last(F.when((F.col("depth") == d) & condition, held), True).over(earlier()))
         found = F.when((F.col("depth") > d) & (F.col(f"__a{d}.__to") > F.col("pos")), F.col(f"__a{d}")).otherwise(found)
     if max_depth == 0:
         return out.withColumns({n: F.lit(None).cast(records.schema[c].dataType) for c, n in columns.items()})

@@ -13,7 +13,6 @@ from fillgap.functions.ordering import safe_file_name
 from fillgap.schema import ATTRIBUTES
 
 
-@F.pandas_udf("string")
 def _shortest(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else format(Decimal(repr(float(v))), "f"))
 
@@ -21,7 +20,7 @@ def _shortest(x: pd.Series) -> pd.Series:
 def number_text(x: Column) -> Column:
     """The shortest decimal without exponent; whole numbers, nearly all scores, never leave the JVM."""
     whole = (x == F.rint(x)) & (F.abs(x) < 1e18)
-    return F.when(whole, x.cast("decimal(20,0)").cast("string")).otherwise(_shortest(x))
+    return F.when(whole, x.cast("decimal(20,0)").cast("string")).otherwise(F.pandas_udf(_shortest, "string")(x))
 
 
 def record_line(records: DataFrame, whole_scores: bool = False) -> Column:
