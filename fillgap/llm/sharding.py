@@ -71,18 +71,21 @@ def shard(docs: DataFrame, n_shards: int = 16, rounds: int = 4, seed: int = 4) -
 
     held = loads(state)
     for i in range(rounds):
-        room = [max(0, q - x) for q, x in zip(quota, held, strict=True)]
+        # Quotas are wide at first, so that groups can pass each other, and close round by round.
+        wide = 1 + 0.5 * (rounds - 1 - i) / max(1, rounds - 1)
+        room = [max(0, int(q * wide) - x) for q, x in zip(quota, held, strict=True)]
         if not any(room):
             break
         state = cut(_round(state, room, buckets, seed + i))
         held = loads(state)
-    # Where more linked documents started in a shard than it may hold, those beyond the quota join the unlinked ones.
-    for s in [s for s in range(n_shards) if held[s] > quota[s]]:
+    # Where a shard holds more linked documents than it may, the groups beyond its quota join the unlinked ones.
+    for full in [s for s in range(n_shards) if held[s] > quota[s]]:
         state = state.withColumn("bucket", fold_row_id(F.col("key"), seed=seed, modulus=buckets)).withColumn("one", F.lit(1))
-        state = running_total(state, ["one"], "bucket", [F.col("key")], F.element_at("counts", s + 1), "before")
-        kept = F.greatest(F.lit(0).cast("long"), F.least(F.element_at("counts", s + 1), F.lit(quota[s]) - F.col("before")))
-        state = cut(state.withColumn("kept", kept).select("key", F.transform("counts", lambda c, x, s=s: F.when(x == s, F.col("kept")).otherwise(c)).alias("counts")))
-        held[s] = quota[s]
+        state = running_total(state, ["one"], "bucket", [F.col("key")], F.element_at("counts", full + 1), "before")
+        kept = F.greatest(F.lit(0).cast("long"), F.least(F.element_at("counts", full + 1), F.lit(quota[full]) - F.col("before")))
+        state = state.withColumn("which", F.lit(full)).withColumn("kept", kept)
+        state = cut(state.select("key", F.transform("counts", lambda c, s: F.when(s == F.col("which"), F.col("kept")).otherwise(c)).alias("counts")))
+        held[full] = quota[full]
     room = [q - x for q, x in zip(quota, held, strict=True)]
 
     # Ranks of a group's members decide: the first of them go to shard 0 as far as it has counts, the next to shard 1, and so on.
@@ -93,10 +96,11 @@ def shard(docs: DataFrame, n_shards: int = 16, rounds: int = 4, seed: int = 4) -
     rank = F.col("start") + F.row_number().over(Window.partitionBy("key", "salt").orderBy("doc_id", "size")) - 1
     member = member.withColumn("rank", rank)
     linked = F.when(F.col("rank") < F.element_at("ends", -1), F.size(F.filter("ends", lambda e: e <= F.col("rank"))))
-    member = member.select("doc_id", "size", "text_crc32", linked.alias("linked"))
+    member = member.select("doc_id", "size", "text_crc32", "key", F.coalesce("rank", F.lit(0)).alias("rank"), linked.alias("linked"))
 
-    filling = member.withColumn("bucket", fold_row_id(F.col("doc_id"), F.col("size"), seed=seed + 50, modulus=buckets)).withColumn("one", F.lit(1))
-    filling = running_total(filling, ["one"], "bucket", [F.col("doc_id"), F.col("size"), F.col("text_crc32")], F.col("linked").isNull().cast("long"), "free_rank")
+    # What is left over is dealt in order of groups, so that most of them stay together; large ones are many buckets.
+    filling = member.withColumn("bucket", fold_row_id(F.col("key"), F.floor(F.col("rank") / 20_000), seed=seed + 50, modulus=buckets)).withColumn("one", F.lit(1))
+    filling = running_total(filling, ["one"], "bucket", [F.col("key"), F.col("rank"), F.col("doc_id")], F.col("linked").isNull().cast("long"), "free_rank")
     fill, reach = F.lit(n_shards - 1), sum(room)
     for s in range(n_shards - 1, -1, -1):
         fill = F.when(F.col("free_rank") < reach, F.lit(s)).otherwise(fill)
