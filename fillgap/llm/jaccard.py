@@ -24,13 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgap.llm.common import cut
 
 SKETCH_BITS = 20
 CHUNK = 4_096
+HASH_BYTES = 5
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 FOLD = np.arange(256, dtype=np.uint64)
@@ -125,8 +126,22 @@ def _least(numbers: np.ndarray, percent: int) -> np.ndarray:
     return -(-numbers * percent // 100)
 
 
+def least_shared(m: Column, n: Column, percent: int) -> Column:
+    """How many prefix elements two sets of sizes m and n share at least if they are similar.
+
+    All they share up to the end of one of the two prefixes lies in both. The rest of that set, at most
+    ceil(t m) - 1 or ceil(t n) - 1 elements, can't make up for more.
+    """
+    both = F.ceil((m + n) * percent / F.lit(100 + percent))
+    return F.greatest(F.lit(1), both - F.ceil(F.greatest(m, n) * percent / F.lit(100)) + 1)
+
+
 def _prefixes(n: int, percent: int, sketch, buckets: int, at_once: int = 2_000_000):
-    """For each bucket of hashes the prefix elements of a part's vertices, packed."""
+    """For each bucket of hashes the prefix elements of a part's vertices, packed.
+
+    Five bytes of a hash do here: two elements that agree in them by chance make a candidate more, which its comparison
+    tells apart.
+    """
 
     def packed(entries: list, vertices: list, sizes: list) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate(entries)
@@ -139,8 +154,9 @@ def _prefixes(n: int, percent: int, sketch, buckets: int, at_once: int = 2_000_0
         for b in range(buckets):
             at = order[ends[b] : ends[b + 1]]
             if len(at):
-                who, local = np.unique(owner[at], return_inverse=True)
-                yield _batch(bucket=pa.array([b], pa.int32()), hashes=pa.array([hashes[at].tobytes()]), place=pa.array([place[at].tobytes()]), owner=pa.array([local.astype(np.int32).tobytes()]), vertex=pa.array([names[who].tobytes()]), n=pa.array([counts[who].tobytes()]))
+                who, times = np.unique(owner[at], return_counts=True)
+                short = np.ascontiguousarray(hashes[at]).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+                yield _batch(bucket=pa.array([b], pa.int32()), hashes=pa.array([short.tobytes()]), place=pa.array([place[at].tobytes()]), times=pa.array([times.astype(np.uint16).tobytes()]), vertex=pa.array([names[who].tobytes()]), n=pa.array([counts[who].tobytes()]))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -168,11 +184,13 @@ def _shared(table: pa.Table) -> pa.Table:
     """The elements of a bucket that several vertices have, with the first vertex of each list as its centre."""
     hashes, place, vertex, size = [], [], [], []
     for row in table.to_pylist():
-        owner, names, counts = np.frombuffer(row["owner"], np.int32), np.frombuffer(row["vertex"], np.int64), np.frombuffer(row["n"], np.int32)
-        hashes.append(np.frombuffer(row["hashes"], np.uint64))
+        names, counts, times = np.frombuffer(row["vertex"], np.int64), np.frombuffer(row["n"], np.int32), np.frombuffer(row["times"], np.uint16)
+        short = np.zeros((int(times.sum()), 8), np.uint8)
+        short[:, :HASH_BYTES] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, HASH_BYTES)
+        hashes.append(short.view(np.uint64).ravel())
         place.append(np.frombuffer(row["place"], np.int32))
-        vertex.append(names[owner])
-        size.append(counts[owner])
+        vertex.append(np.repeat(names, times))
+        size.append(np.repeat(counts, times))
     hashes, place, vertex, size = map(np.concatenate, (hashes, place, vertex, size))
     order = np.lexsort((vertex, hashes))
     hashes, place, vertex, size = hashes[order], place[order], vertex[order], size[order]
@@ -190,7 +208,9 @@ def _sets(n: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             grams = [shingles(t.as_py(), n) for t in batch.column(1)]
-            yield _batch(vertex=batch.column(0), grams=pa.array([g.tobytes() for g in grams], pa.binary()))
+            # Of several rows with this doc_id only those with the vertex's own set count.
+            same = [len(g) > 0 and fingerprint(g) == v for g, v in zip(grams, batch.column(0).to_pylist(), strict=True)]
+            yield _batch(vertex=batch.column(0).filter(pa.array(same, pa.bool_())), grams=pa.array([g.tobytes() for g, s in zip(grams, same, strict=True) if s], pa.binary()))
 
     return run
 
@@ -222,7 +242,7 @@ def compare(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, perc
     needed = cut(needed)
     needed = F.broadcast(needed) if needed.count() <= small else needed
     texts = docs.join(needed, docs["doc_id"] == F.col("__doc")).select("vertex", "text")
-    sets = cut(texts.mapInArrow(_sets(n), "vertex long, grams binary").dropDuplicates(["vertex"]))
+    sets = cut(texts.mapInArrow(_sets(n), "vertex long, grams binary"))
     with_a = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("grams").alias("x")), "a")
     both = with_a.join(sets.select(F.col("vertex").alias("b"), F.col("grams").alias("y")), "b")
     return cut(both.where(_similar(percent)("x", "y")).select("a", "b"))
@@ -249,23 +269,21 @@ def _crossing(percent: int):
     def run(table: pa.Table) -> pa.Table:
         t = table.select(["hash", "vertex", "n", "place", "label"]).to_pandas().sort_values(["hash", "label", "vertex"], kind="stable")
         hashes, vertex, size, place, label = (t[c].to_numpy() for c in ("hash", "vertex", "n", "place", "label"))
-        found_a, found_b = [], []
+        found = [np.empty((0, 4), np.int64)]
         cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))), [len(hashes)]))
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             v, m, p, c = vertex[s:e], size[s:e], place[s:e], label[s:e]
             names, counts = np.unique(c, return_counts=True)
-            outside = np.flatnonzero(c != names[np.argmax(counts)])
+            largest = names[np.argmax(counts)]
+            outside = np.flatnonzero(c != largest)
             for i in outside:  # pairs within the largest component need no comparison
-                other = c != c[i]
-                both = m + m[i]
-                least = -(-percent * both // (100 + percent))
-                other &= (np.minimum(m, m[i]) * 100 >= percent * np.maximum(m, m[i])) & (1 + np.minimum(m - p, m[i] - p[i]) - 1 + np.minimum(p, p[i]) >= least)
-                found_a.append(np.minimum(v[other], v[i]))
-                found_b.append(np.maximum(v[other], v[i]))
-        a = np.concatenate(found_a) if found_a else np.empty(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.empty(0, np.int64)
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+                other = (c != c[i]) & ((c == largest) | (v > v[i]))  # two outsiders meet once
+                least = -(-percent * (m + m[i]) // (100 + percent))
+                other &= (np.minimum(m, m[i]) * 100 >= percent * np.maximum(m, m[i])) & (np.minimum(m - p, m[i] - p[i]) + np.minimum(p, p[i]) >= least)
+                swap = v[other] < v[i]
+                found.append(np.stack([np.where(swap, v[other], v[i]), np.where(swap, v[i], v[other]), np.where(swap, m[other], m[i]), np.where(swap, m[i], m[other])], 1))
+        pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "m": pairs[:, 2], "n": pairs[:, 3], "times": times.astype(np.int64)})
 
     return run
 
@@ -289,12 +307,14 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     shared_sketch = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
 
     total = profile.agg(F.sum("n")).first()[0] or 0
-    buckets = max(64, int(total * (100 - percent) / 100 / 300_000))
+    buckets = max(16, int(total * (100 - percent) / 100 / 1_000_000))
     vertices = cut(profile.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("doc_id")))
-    prefixes = rows.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_prefixes(n, percent, shared_sketch, buckets), "bucket int, hashes binary, place binary, owner binary, vertex binary, n binary")
+    prefixes = rows.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_prefixes(n, percent, shared_sketch, buckets), "bucket int, hashes binary, place binary, times binary, vertex binary, n binary")
     lists = cut(prefixes.groupBy("bucket").applyInArrow(_shared, "hash long, vertex long, n long, place long, centre long"))
 
-    meets = lists.where(F.col("vertex") != F.col("centre")).groupBy("vertex", "centre").agg(F.count(F.lit(1)).alias("times"))
+    # A list's centre is only one of its vertices, so half of the shared elements that similarity asks for are enough to try.
+    meets = lists.where(F.col("vertex") != F.col("centre")).groupBy("vertex", "centre").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n"))
+    meets = meets.where(2 * F.col("times") >= least_shared(F.col("n"), F.col("n"), percent))
     first = meets.groupBy("vertex").agg(F.max(F.struct("times", "centre")).alias("m")).select(F.least("vertex", "m.centre").alias("a"), F.greatest("vertex", "m.centre").alias("b")).distinct()
     first = cut(first)
     edges = compare(rows, vertices, first, n, percent)
@@ -304,7 +324,9 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     labelled = cut(labelled)
     mixed = labelled.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("hash")
     left = labelled.join(mixed, "hash", "left_semi").withColumn("bucket", F.pmod("hash", F.lit(max(64, buckets))))
-    pairs = left.groupBy("bucket").applyInArrow(_crossing(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    met = left.groupBy("bucket").applyInArrow(_crossing(percent), "a long, b long, m long, n long, times long")
+    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("m").alias("m"), F.max("n").alias("n"))
+    pairs = met.where(F.col("times") >= least_shared(F.col("m"), F.col("n"), percent)).select("a", "b").join(first, ["a", "b"], "left_anti")
     more = compare(rows, vertices, cut(pairs), n, percent)
     labels = components(edges.union(more))
 
