@@ -1,10 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Words repeat, so each distinct one is encoded once. Every part of the input is a block: its words are numbered by
-frequency, its documents become sequences of these numbers, packed into bytes, and its dictionary goes into the table of
-words. The distinct words of all blocks get their ids from the tokenizer and their decoded text from a join of these ids
-with the pieces. Joining the table with the dictionaries gives each block the ids of its own words, and the documents of
-the block put them together by position. Texts are never shuffled; what is shuffled is a byte or two a word.
+Words repeat, so each distinct one is encoded once. Every part of the input makes blocks: the words of a block are
+numbered by frequency, its documents become sequences of these numbers, packed into bytes, and its dictionary goes into
+the table of words. There equal words of all blocks meet, each is encoded once, and the ids go back to the blocks that
+have the word, by number. A block joins its documents with its words by position, and the ids with the pieces of the
+vocabulary for the decoded text. Texts are never shuffled; what is shuffled is a byte or two a word.
 
 Blocks are made twice, once for the dictionaries and once for the documents. Numbers follow from the set of rows of a
 block alone, and every row carries a fingerprint of its block's dictionary: should an input not repeat itself, the job
@@ -14,23 +14,46 @@ fails instead of mixing words up.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-BLOCK_CHARS = 64 << 20  # a block ends after so many characters; its last document is whole
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Below this code point all text is in normal form C, and letters and digits are the same to both libraries.
-PLAIN = regex.compile(r"[\x00-\x7F\xA0-ʯ]*")
+from fillgap.llm.jaccard import MULTIPLIER, _mixed, _power_tables
+
+BLOCK_CHARS = 32 << 20  # a block ends after so many characters; its last document is whole
+CHUNK_CHARS = 1 << 20
+
+#: Text of these characters is in normal form C, and one look at a character tells what it is.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-\xFF]*")
+#: Endings that are words of their own; text with one takes the tokenizer's own way.
+ENDINGS = re.compile(r"'(?:s|t|re|ve|m|ll|d)", re.IGNORECASE)
+
+LETTER, DIGIT, SPACE, OTHER = range(4)
+KINDS = np.array([SPACE if chr(c).isspace() else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else OTHER for c in range(256)], np.uint8)
+
+
+def word_ends(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words: runs of letters, single digits, runs of anything else but space."""
+    kinds = KINDS[codes]
+    new = np.concatenate(([True], (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT), [True])) if len(codes) else np.array([True])
+    edges = np.flatnonzero(new)
+    starts, ends = edges[:-1], edges[1:]
+    words = kinds[starts] != SPACE
+    return starts[words], ends[words]
+
+
+def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _power_tables(len(codes) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)))
+    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(MULTIPLIER))
 
 
 class Words:
@@ -39,28 +62,92 @@ class Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-
-    def _plain(self, text: str) -> list[str]:
-        if PLAIN.fullmatch(text):
-            return SPLIT.findall(text.lower())
-        text = self.tokenizer.normalizer.normalize_str(text)
-        return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-
-    def split(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if self.marks is None or not self.marks.search(text):
-            return self._plain(text)
+        self.marks = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not ("'" in text and ENDINGS.search(text)) and (self.marks is None or "<" not in text or not self.marks.search(text))
+
+    def split(self, text: str) -> list[str]:
+        """The tokenizer's own way, for any text."""
         out: list[str] = []
-        for part in self.marks.split(text):
-            out += [part] if part in self.special else self._plain(part)
+        for part in self.marks.split(text) if self.marks else [text]:
+            if part in self.special:
+                out.append(part)
+            else:
+                part = self.tokenizer.normalizer.normalize_str(part)
+                out += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
 
-def packed(numbers: list[int]) -> bytes:
+class Block:
+    """Documents as runs of word hashes, and where to find a word of each hash."""
+
+    def __init__(self):
+        self.ids, self.lengths, self.hashes, self.texts, self.spans, self.chars = [], [], [], [], [], 0
+        self.waiting: list[str] = []
+
+    def add(self, i, text: str | None, words: Words) -> None:
+        text = text or ""
+        self.ids.append(i)
+        self.chars += len(text)
+        if text and not words.plain(text):
+            self.flush()
+            self.slow(words.split(text))
+            return
+        self.waiting.append(text.lower())
+        if sum(map(len, self.waiting[-1:])) > CHUNK_CHARS or len(self.waiting) >= 256:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting:
+            return
+        joined = "\n".join(self.waiting)
+        codes = np.frombuffer(joined.encode("latin-1"), np.uint8)
+        starts, ends = word_ends(codes)
+        edges = np.cumsum([len(t) + 1 for t in self.waiting])
+        self.lengths += np.diff(np.searchsorted(starts, np.concatenate(([0], edges)))).tolist()
+        self._keep(joined, codes, starts, ends)
+        self.waiting = []
+
+    def slow(self, parts: list[str]) -> None:
+        joined = "\n".join(parts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)))[: len(parts)].astype(np.int64)
+        self.lengths.append(len(parts))
+        self._keep(joined, codes, starts, starts + sizes)
+
+    def _keep(self, joined, codes, starts, ends) -> None:
+        self.hashes.append(word_hashes(codes, starts, ends))
+        self.texts.append(joined)
+        self.spans.append((starts.astype(np.int32), ends.astype(np.int32)))
+
+    def numbered(self):
+        """(dictionary by falling frequency, its fingerprint, an iterator over the documents' word numbers)."""
+        self.flush()
+        hashes = np.concatenate(self.hashes) if self.hashes else np.empty(0, np.uint64)
+        _, first, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(h) for h in self.hashes]) if self.hashes else np.empty(0, np.int64)
+        names = []
+        for at, k in zip(first.tolist(), np.searchsorted(ends, first, side="right").tolist(), strict=True):
+            s, e = self.spans[k]
+            at -= int(ends[k]) - len(s)
+            names.append(self.texts[k][s[at] : e[at]])
+        order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
+        rank = np.empty(len(names), np.int32)
+        rank[order] = np.arange(len(names), dtype=np.int32)
+        names = [names[i] for i in order]
+        mark = 0
+        for name in names:
+            mark = zlib.crc32(name.encode("utf-8", "surrogatepass") + b"\n", mark)
+        numbers = rank[which] if len(names) else np.empty(0, np.int32)
+        edges = np.concatenate(([0], np.cumsum(self.lengths))).astype(np.int64)
+        return names, mark, (numbers[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
+def packed(numbers) -> bytes:
     """Little-endian groups of seven bits, the top bit set where more follow."""
-    v = np.array(numbers, np.uint32)
+    v = np.asarray(numbers, np.uint32)
     if not len(v):
         return b""
     groups = np.stack([(v >> s) & 0x7F for s in (0, 7, 14, 21, 28)], axis=1).astype(np.uint8)
@@ -79,31 +166,18 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _blocks(rows: Iterator[pa.RecordBatch], path: str):
-    """Block by block: (block, dictionary by falling frequency, fingerprint, ids, places, word numbers of each document)."""
-    words, part, k = Words(path), TaskContext.get().partitionId(), 0
-
-    def block(ids, docs, counts, first):
-        # `first` numbers words as they came; `rank` turns that into the order by frequency and text.
-        names = list(first)
-        order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        names = [names[i] for i in order]
-        return part << 32 | k, names, zlib.crc32("\n".join(names).encode("utf-8", "surrogatepass")), ids, [rank[d] if len(d) else d for d in docs]
-
-    ids, docs, first, counts, chars = [], [], {}, Counter(), 0
+    """Block by block: (block, dictionary, fingerprint, ids, word numbers of each document)."""
+    words, part, k, block = Words(path), TaskContext.get().partitionId(), 0, Block()
     for batch in rows:
-        for i, text in zip(batch.column(0), batch.column(1), strict=True):
-            text = text.as_py()
-            numbers = np.array([first.setdefault(w, len(first)) for w in words.split(text)], np.int64)
-            ids.append(i.as_py())
-            docs.append(numbers)
-            chars += len(text or "")
-            if chars >= BLOCK_CHARS:
-                yield block(ids, docs, np.bincount(np.concatenate(docs), minlength=len(first)), first)
-                k, ids, docs, first, chars = k + 1, [], [], {}, 0
-    if ids:
-        yield block(ids, docs, np.bincount(np.concatenate(docs), minlength=len(first)), first)
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            block.add(i, text.as_py(), words)
+            if block.chars >= BLOCK_CHARS:
+                names, mark, docs = block.numbered()
+                yield part << 32 | k, names, mark, block.ids, docs
+                k, block = k + 1, Block()
+    if block.ids:
+        names, mark, docs = block.numbered()
+        yield part << 32 | k, names, mark, block.ids, docs
 
 
 def _dictionaries(path: str):
@@ -119,58 +193,51 @@ def _dictionaries(path: str):
 def _documents(path: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, mark, ids, docs in _blocks(rows, path):
-            for s in range(0, len(ids), 2_000):
-                d = docs[s : s + 2_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(d), pa.int64()), pa.array([mark] * len(d), pa.int64()), pa.array(ids[s : s + 2_000], pa.int64()), pa.array([packed(x) for x in d], pa.binary())], names=["block", "mark", "doc_id", "numbers"])
+            for s in range(0, len(ids), 1_000):
+                some = ids[s : s + 1_000]
+                coded = [packed(x) for x in islice(docs, len(some))]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([mark] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(coded, pa.binary())], names=["block", "mark", "doc_id", "numbers"])
 
     return run
 
 
-def _encoder(path: str):
-    @F.pandas_udf("array<int>")
-    def encode(words: pd.Series) -> pd.Series:
-        found = Tokenizer.from_file(path).encode_batch(list(words), add_special_tokens=False)
-        return pd.Series([e.ids for e in found])
-
-    return encode
+def _encoded(path: str):
+    """Ids of words that come in order, so that equal words stand together and each is encoded once."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, last, ids = Tokenizer.from_file(path), None, b""
+        for batch in rows:
+            out = []
+            for word in batch.column(3).to_pylist():
+                if word != last:
+                    last, ids = word, packed(tokenizer.encode(word, add_special_tokens=False).ids)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["block", "mark", "number", "ids"])
 
-def pieces(spark, path: str) -> DataFrame:
-    """id, piece of every entry of the vocabulary, whose size bounds the table."""
-    rows = sorted((i, p) for p, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items())
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece string")
-
+    return run
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """For each distinct word: word, n ids, ids and their pieces, both joined by one space."""
-    ids = words.select("word").distinct().select("word", _encoder(path)("word").alias("ids"))
-    each = ids.select("word", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(words.sparkSession, path)), "id")
-    each = each.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("pos", "id", "piece"))).alias("t"))
-    return each.select("word", F.size("t").alias("n"), F.array_join(F.transform("t", lambda x: x["id"].cast("string")), " ").alias("ids"), F.array_join(F.transform("t", lambda x: x["piece"]), " ").alias("pieces"))
 
+def _put_together(path: str, texts: bool):
+    """Join a block's documents with its words by number, and the ids with the pieces of the vocabulary."""
 
-def _put_together(texts: bool):
-    def run(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> pa.Table:
-        docs, words = pa.Table.from_batches(list(left)) if not isinstance(left, pa.Table) else left, pa.Table.from_batches(list(right)) if not isinstance(right, pa.Table) else right
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         marks = set(docs["mark"].unique().to_pylist()) | set(words["mark"].unique().to_pylist())
         if len(marks) > 1:
             raise RuntimeError("a block's words differ between two reads of the input; write the input to a table first")
-        n = len(words)
-        number, some = words["number"].to_numpy(), words["ids"].to_pylist()
-        parts, counts, ids = words["pieces"].to_pylist(), np.zeros(n, np.int64), [""] * n
-        says = [""] * n
-        counts[number] = words["n"].to_numpy()
-        for k, a, b in zip(number.tolist(), some, parts, strict=True):
-            ids[k], says[k] = a, b
-        out = {"doc_id": docs["doc_id"], "n_tokens": [], "ids": [], "decoded": []}
+        vocabulary = {i: p for p, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()}
+        counts, ids, says = np.zeros(len(words), np.int64), [""] * len(words), [""] * len(words)
+        for k, data in zip(words["number"].to_pylist(), words["ids"].to_pylist(), strict=True):
+            own = unpacked(data).tolist()
+            counts[k], ids[k], says[k] = len(own), " ".join(map(str, own)), " ".join([vocabulary[i] for i in own])
+        n_tokens, all_ids, decoded = [], [], []
         for data in docs["numbers"].to_pylist():
             numbers = unpacked(data)
             at = numbers.tolist()
-            out["n_tokens"].append(int(counts[numbers].sum()))
+            n_tokens.append(int(counts[numbers].sum()))
             a, b = " ".join([ids[k] for k in at]), " ".join([says[k] for k in at])
-            out["ids"].append(a if texts else hashlib.sha256(a.encode()).hexdigest())
-            out["decoded"].append(b if texts else hashlib.sha256(b.encode("utf-8", "replace")).hexdigest())
-        return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids": pa.array(out["ids"], pa.string()), "decoded": pa.array(out["decoded"], pa.string())})
+            all_ids.append(a if texts else hashlib.sha256(a.encode()).hexdigest())
+            decoded.append(b if texts else hashlib.sha256(b.encode("utf-8", "replace")).hexdigest())
+        return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(all_ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
 
     return run
 
@@ -178,15 +245,25 @@ def _put_together(texts: bool):
 def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
-    Input: doc_id, text; other columns are ignored. ``path`` is a tokenizer file that every executor can read; its
-    words have to split as SPLIT says. Output, one row for every input row: doc_id, n_tokens, ids (decimal, joined by
-    one space), decoded (what decode() gives, special tokens kept); with ``digests`` ids and decoded are the lowercase
-    hex SHA-256 of these texts. Null text counts as empty, and an empty text has no ids and decodes to ''. Null ids and
-    repeated rows are documents of their own; no rows give no rows.
+    Input: doc_id, text; other columns are ignored. ``path`` is a tokenizer file that every executor can read; text of
+    PLAIN characters has to split into runs of letters, single digits and runs of other characters. Output, one row for
+    every input row: doc_id, n_tokens, ids (decimal, joined by one space), decoded (what decode() gives, special tokens
+    kept); with ``digests`` ids and decoded are the lowercase hex SHA-256 of these texts. Null text counts as empty, and
+    an empty text has no ids and decodes to ''. Null ids and repeated rows are documents of their own; no rows give no
+    rows. A block's words are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = rows.mapInArrow(_dictionaries(path), "block long, mark long, number int, word string")
-    known = dictionary.join(word_table(dictionary, path), "word").select("block", "mark", "number", "n", "ids", "pieces")
+    known = dictionary.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "block long, mark long, number int, ids binary")
     packed_docs = rows.mapInArrow(_documents(path), "block long, mark long, doc_id long, numbers binary")
     both = packed_docs.groupBy("block").cogroup(known.groupBy("block"))
-    return both.applyInArrow(_put_together(not digests), "doc_id long, n_tokens long, ids string, decoded string")
+    return both.applyInArrow(_put_together(path, not digests), "doc_id long, n_tokens long, ids string, decoded string")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id, decoded from rows of doc_id, pos, id: ids join with their pieces, which meet again in order of pos."""
+    vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    pieces = encoded.sparkSession.createDataFrame(sorted((i, p) for p, i in vocabulary.items()), "id int, piece string")
+    each = encoded.select("doc_id", "pos", "id").join(F.broadcast(pieces), "id")  # as large as the vocabulary
+    met = each.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "piece"))).alias("t"))
+    return met.select("doc_id", F.array_join(F.transform("t", lambda x: x["piece"]), " ").alias("decoded"))
