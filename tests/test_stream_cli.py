@@ -12,7 +12,7 @@ def test_stream_equals_batch(spark, tmp_path):
     folder.mkdir()
     for i in range(3):
         (folder / f"{i}.net").write_bytes(NET)
-    stream_nets(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=2).awaitTermination(60)
+    stream_nets(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=2).awaitTermination(600)
     found = spark.read.parquet(str(tmp_path / "out" / "records")).select("path", "reference_name", "pos", "kind", "depth", "parent", "subtree_end").collect()
     batch = net_text.read_bytes(spark, NET)[1].select("reference_name", "pos", "kind", "depth", "parent", "subtree_end").collect()
     assert len(found) == 3 * len(batch)
