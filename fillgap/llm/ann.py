@@ -7,7 +7,7 @@ table for each subspace, and a scan adds up table entries, two subspaces a byte.
 their exact cosine on the original vectors.
 
 Queries and candidates meet in blocks of a fixed size: each block of queries visits every block of candidates, and each
-visit keeps the best few hundred of each query. The work is queries times rows, as asked, but its
+visit keeps the best few dozen of each query. The work is queries times rows, as asked, but its
 inner loop is a table lookup a byte.
 """
 
@@ -132,7 +132,7 @@ def index(rows: DataFrame, book: Codebook, width: int) -> DataFrame:
     return rows.mapInPandas(run, "id long, code binary")
 
 
-def search(df: DataFrame, is_query, k: int = 5, keep: int = 200, fit_vectors: int = 10_000, block_rows: int = 8_192, query_rows: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 3) -> DataFrame:
+def search(df: DataFrame, is_query, k: int = 5, keep: int = 64, fit_vectors: int = 10_000, block_rows: int = 8_192, query_rows: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 3) -> DataFrame:
     """The ``k`` nearest rows by cosine of each row that ``is_query`` picks by its id, itself left out.
 
     Input: a long id and an array of numbers; other columns are ignored. Output: query_id, rank (from 1), vec_id, score

@@ -7,8 +7,8 @@ have the word, by number. A block joins its documents with its words by position
 vocabulary for the decoded text. Texts are never shuffled; what is shuffled is a byte or two a word.
 
 Blocks are made twice, once for the dictionaries and once for the documents. Numbers follow from the set of rows of a
-block alone, and every row carries a fingerprint of its block's dictionary: should an input not repeat itself, the job
-fails instead of mixing words up.
+block alone, and a fingerprint of its dictionary is part of a block's name: should an input not repeat itself, the
+documents find no words and the job fails instead of mixing words up.
 """
 
 from __future__ import annotations
@@ -166,53 +166,62 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _blocks(rows: Iterator[pa.RecordBatch], path: str):
-    """Block by block: (block, dictionary, fingerprint, ids, word numbers of each document)."""
+    """Block by block: (block, dictionary, ids, word numbers of each document)."""
+
+    def key(part: int, k: int, mark: int) -> int:
+        return (mark & 0x7FFFFFFF) << 32 | part << 10 | k
+
     words, part, k, block = Words(path), TaskContext.get().partitionId(), 0, Block()
     for batch in rows:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             block.add(i, text.as_py(), words)
             if block.chars >= BLOCK_CHARS:
                 names, mark, docs = block.numbered()
-                yield part << 32 | k, names, mark, block.ids, docs
+                yield key(part, k, mark), names, block.ids, docs
                 k, block = k + 1, Block()
     if block.ids:
         names, mark, docs = block.numbered()
-        yield part << 32 | k, names, mark, block.ids, docs
+        yield key(part, k, mark), names, block.ids, docs
 
 
 def _dictionaries(path: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, names, mark, _, _ in _blocks(rows, path):
+        for block, names, _, _ in _blocks(rows, path):
             for s in range(0, len(names), 50_000):
                 n = names[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(n), pa.int64()), pa.array([mark] * len(n), pa.int64()), pa.array(range(s, s + len(n)), pa.int32()), pa.array(n, pa.string())], names=["block", "mark", "number", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(n), pa.int64()), pa.array(range(s, s + len(n)), pa.int32()), pa.array(n, pa.string())], names=["block", "number", "word"])
 
     return run
 
 
 def _documents(path: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, mark, ids, docs in _blocks(rows, path):
+        for block, _, ids, docs in _blocks(rows, path):
             for s in range(0, len(ids), 1_000):
                 some = ids[s : s + 1_000]
                 coded = [packed(x) for x in islice(docs, len(some))]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([mark] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(coded, pa.binary())], names=["block", "mark", "doc_id", "numbers"])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array(coded, pa.binary())], names=["block", "doc_id", "numbers"])
 
     return run
 
 
+def id_type(tokenizer: Tokenizer) -> str:
+    return "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def _encoded(path: str):
     """Ids of words that come in order, so that equal words stand together and each is encoded once."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, last, ids = Tokenizer.from_file(path), None, b""
+        kind = id_type(tokenizer)
         for batch in rows:
             out = []
-            for word in batch.column(3).to_pylist():
+            for word in batch.column(2).to_pylist():
                 if word != last:
-                    last, ids = word, packed(tokenizer.encode(word, add_special_tokens=False).ids)
+                    last, ids = word, np.array(tokenizer.encode(word, add_special_tokens=False).ids, kind).tobytes()
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["block", "mark", "number", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "number", "ids"])
 
     return run
 
@@ -221,20 +230,26 @@ def _put_together(path: str, texts: bool):
     """Join a block's documents with its words by number, and the ids with the pieces of the vocabulary."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        marks = set(docs["mark"].unique().to_pylist()) | set(words["mark"].unique().to_pylist())
-        if len(marks) > 1:
+        coded, data = docs["numbers"].to_pylist(), words["ids"].to_pylist()
+        n = len(data)
+        if any(coded) != bool(n):
             raise RuntimeError("a block's words differ between two reads of the input; write the input to a table first")
-        vocabulary = {i: p for p, i in Tokenizer.from_file(path).get_vocab(with_added_tokens=True).items()}
-        counts, ids, says = np.zeros(len(words), np.int64), [""] * len(words), [""] * len(words)
-        for k, data in zip(words["number"].to_pylist(), words["ids"].to_pylist(), strict=True):
-            own = unpacked(data).tolist()
-            counts[k], ids[k], says[k] = len(own), " ".join(map(str, own)), " ".join([vocabulary[i] for i in own])
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary, kind = tokenizer.get_vocab(with_added_tokens=True), np.dtype(id_type(tokenizer))
+        pieces = np.full(max(vocabulary.values(), default=0) + 1, "", object)
+        for piece, i in vocabulary.items():
+            pieces[i] = piece
+        flat = np.frombuffer(b"".join(data), kind)
+        digits, parts = np.array([str(i) for i in range(len(pieces))], object)[flat].tolist(), pieces[flat].tolist()
+        counts, ids, says, end = np.zeros(n, np.int64), np.full(n, "", object), np.full(n, "", object), 0
+        for k, own in zip(words["number"].to_pylist(), data, strict=True):
+            start, end = end, end + len(own) // kind.itemsize
+            counts[k], ids[k], says[k] = end - start, " ".join(digits[start:end]), " ".join(parts[start:end])
         n_tokens, all_ids, decoded = [], [], []
-        for data in docs["numbers"].to_pylist():
-            numbers = unpacked(data)
-            at = numbers.tolist()
+        for some in coded:
+            numbers = unpacked(some)
             n_tokens.append(int(counts[numbers].sum()))
-            a, b = " ".join([ids[k] for k in at]), " ".join([says[k] for k in at])
+            a, b = " ".join(ids[numbers].tolist()), " ".join(says[numbers].tolist())
             all_ids.append(a if texts else hashlib.sha256(a.encode()).hexdigest())
             decoded.append(b if texts else hashlib.sha256(b.encode("utf-8", "replace")).hexdigest())
         return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(all_ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
@@ -253,9 +268,9 @@ def encode_decode(docs: DataFrame, path: str, digests: bool = False) -> DataFram
     rows. A block's words are told apart by 64-bit hashes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary = rows.mapInArrow(_dictionaries(path), "block long, mark long, number int, word string")
-    known = dictionary.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "block long, mark long, number int, ids binary")
-    packed_docs = rows.mapInArrow(_documents(path), "block long, mark long, doc_id long, numbers binary")
+    dictionary = rows.mapInArrow(_dictionaries(path), "block long, number int, word string")
+    known = dictionary.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "block long, number int, ids binary")
+    packed_docs = rows.mapInArrow(_documents(path), "block long, doc_id long, numbers binary")
     both = packed_docs.groupBy("block").cogroup(known.groupBy("block"))
     return both.applyInArrow(_put_together(path, not digests), "doc_id long, n_tokens long, ids string, decoded string")
 

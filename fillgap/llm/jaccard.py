@@ -8,10 +8,11 @@ passages that many documents share come last and stay out of the prefixes.
 1. One pass hashes every whole text: set size, a fingerprint of the set, and the sketch. Documents with the same
    fingerprint are one vertex from here on, so exact copies of any number cost one.
 2. A second pass sends each vertex's prefix to buckets of hashes; a bucket keeps the elements that two vertices share.
-3. Each vertex is compared with one other of its lists, the one it meets most often. This joins large groups of near
-   copies at the cost of one comparison each.
-4. Then every pair that shares a prefix element, passes the length and positional filters and isn't connected yet is
-   compared, once. Nothing is left out: a pair that no filter excludes is either compared or already connected.
+3. Each list has a centre, and each vertex is compared with the one centre it meets most often; ``stars`` times over,
+   with other centres. This joins large groups of near copies at the cost of a few comparisons for each vertex.
+4. Every pair that shares a prefix element, passes the length, positional and count filters and isn't connected yet is
+   a candidate. Of those between two components the likeliest is compared first, ``tries`` times over; all that are then
+   still apart are compared. Nothing is left out: a pair that no filter excludes is compared or already connected.
 
 Comparisons join the two sets and count what they share, after a suffix filter on the counts by range of hashes.
 """
@@ -181,7 +182,7 @@ def _prefixes(n: int, percent: int, sketch, buckets: int, at_once: int = 2_000_0
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """The elements of a bucket that several vertices have, with the first vertex of each list as its centre."""
+    """The elements of a bucket that several vertices have."""
     hashes, place, vertex, size = [], [], [], []
     for row in table.to_pylist():
         names, counts, times = np.frombuffer(row["vertex"], np.int64), np.frombuffer(row["n"], np.int32), np.frombuffer(row["times"], np.uint16)
@@ -200,8 +201,7 @@ def _shared(table: pa.Table) -> pa.Table:
     lists = np.cumsum(first) - 1
     length = np.bincount(lists)
     keep = length[lists] > 1
-    centre = vertex[np.flatnonzero(first)][lists]
-    return pa.table({"hash": hashes[keep].view(np.int64), "vertex": vertex[keep], "n": size[keep].astype(np.int64), "place": place[keep].astype(np.int64), "centre": centre[keep]})
+    return pa.table({"hash": hashes[keep].view(np.int64), "vertex": vertex[keep], "n": size[keep].astype(np.int64), "place": place[keep].astype(np.int64)})
 
 
 def _sets(n: int):
@@ -236,14 +236,18 @@ def _similar(percent: int):
     return similar
 
 
-def compare(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, percent: int, small: int = 1_000_000) -> DataFrame:
-    """Those of the pairs (a, b) that are similar. vertices: vertex, doc_id of one document each."""
+def sets_of(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, small: int = 1_000_000) -> DataFrame:
+    """vertex, grams of all vertices of the pairs. vertices: vertex, doc_id of one document each."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices, "vertex").select("vertex", F.col("doc_id").alias("__doc"))
     needed = cut(needed)
     needed = F.broadcast(needed) if needed.count() <= small else needed
     texts = docs.join(needed, docs["doc_id"] == F.col("__doc")).select("vertex", "text")
-    sets = cut(texts.mapInArrow(_sets(n), "vertex long, grams binary"))
-    with_a = pairs.join(sets.select(F.col("vertex").alias("a"), F.col("grams").alias("x")), "a")
+    return cut(texts.mapInArrow(_sets(n), "vertex long, grams binary"))
+
+
+def compare(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are similar."""
+    with_a = pairs.select("a", "b").join(sets.select(F.col("vertex").alias("a"), F.col("grams").alias("x")), "a")
     both = with_a.join(sets.select(F.col("vertex").alias("b"), F.col("grams").alias("y")), "b")
     return cut(both.where(_similar(percent)("x", "y")).select("a", "b"))
 
@@ -263,13 +267,36 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: labels still move")
 
 
+def star_pairs(lists: DataFrame, share: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For every vertex one of another component to compare with: the centre that it meets in most of its lists.
+
+    A list's centre is, in the first turn, the vertex most of whose elements others have too, and any vertex in later
+    turns. A vertex needs not meet its centre in all lists that they share, so half of what similarity asks for will do.
+    """
+    rows = lists.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    rows = rows.join(share, "vertex").withColumn("rank", F.col("share") if turn == 0 else F.xxhash64(F.lit(turn), "vertex").cast("double"))
+    centres = rows.groupBy("hash").agg(F.max(F.struct("rank", F.col("vertex").alias("centre"), F.col("label").alias("of"))).alias("c")).select("hash", "c.centre", "c.of")
+    meets = rows.join(centres, "hash").where("label <> of").groupBy("vertex", "centre").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n"))
+    meets = meets.where(2 * F.col("times") >= least_shared(F.col("n"), F.col("n"), percent))
+    best = meets.groupBy("vertex").agg(F.max(F.struct("times", "centre")).alias("m"))
+    return best.select(F.least("vertex", "m.centre").alias("a"), F.greatest("vertex", "m.centre").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, times) whose components differ, with the components la < lb."""
+    at = lambda v, name: labels.select(F.col("vertex").alias(v), F.col("label").alias(name))
+    rows = pairs.select("a", "b", "times").join(at("a", "x"), "a", "left").join(at("b", "y"), "b", "left")
+    rows = rows.withColumn("x", F.coalesce("x", "a")).withColumn("y", F.coalesce("y", "b")).where("x <> y")
+    return cut(rows.select("a", "b", "times", F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb")))
+
+
 def _crossing(percent: int):
     """Pairs of a bucket's lists that are not connected and that pass the length and positional filters."""
 
     def run(table: pa.Table) -> pa.Table:
         t = table.select(["hash", "vertex", "n", "place", "label"]).to_pandas().sort_values(["hash", "label", "vertex"], kind="stable")
         hashes, vertex, size, place, label = (t[c].to_numpy() for c in ("hash", "vertex", "n", "place", "label"))
-        found = [np.empty((0, 4), np.int64)]
+        found = [np.empty((0, 2), np.int64)]
         cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))), [len(hashes)]))
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             v, m, p, c = vertex[s:e], size[s:e], place[s:e], label[s:e]
@@ -280,15 +307,16 @@ def _crossing(percent: int):
                 other = (c != c[i]) & ((c == largest) | (v > v[i]))  # two outsiders meet once
                 least = -(-percent * (m + m[i]) // (100 + percent))
                 other &= (np.minimum(m, m[i]) * 100 >= percent * np.maximum(m, m[i])) & (np.minimum(m - p, m[i] - p[i]) + np.minimum(p, p[i]) >= least)
+                other &= (p <= m - least) & (p[i] <= m[i] - least)  # a similar pair shares an element this early in both
                 swap = v[other] < v[i]
-                found.append(np.stack([np.where(swap, v[other], v[i]), np.where(swap, v[i], v[other]), np.where(swap, m[other], m[i]), np.where(swap, m[i], m[other])], 1))
-        pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "m": pairs[:, 2], "n": pairs[:, 3], "times": times.astype(np.int64)})
+                found.append(np.stack([np.where(swap, v[other], v[i]), np.where(swap, v[i], v[other])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+def classes(docs: DataFrame, n: int = 5, percent: int = 75, stars: int = 3, tries: int = 2) -> DataFrame:
     """Classes of documents that chains of pairs with a Jaccard similarity of ``percent`` / 100 or more connect.
 
     Input: doc_id (long), text; other columns are ignored. Output, one row for every input row: doc_id, n_shingles,
@@ -310,25 +338,35 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     buckets = max(16, int(total * (100 - percent) / 100 / 1_000_000))
     vertices = cut(profile.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("doc_id")))
     prefixes = rows.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_prefixes(n, percent, shared_sketch, buckets), "bucket int, hashes binary, place binary, times binary, vertex binary, n binary")
-    lists = cut(prefixes.groupBy("bucket").applyInArrow(_shared, "hash long, vertex long, n long, place long, centre long"))
+    lists = cut(prefixes.groupBy("bucket").applyInArrow(_shared, "hash long, vertex long, n long, place long"))
 
-    # A list's centre is only one of its vertices, so half of the shared elements that similarity asks for are enough to try.
-    meets = lists.where(F.col("vertex") != F.col("centre")).groupBy("vertex", "centre").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("n"))
-    meets = meets.where(2 * F.col("times") >= least_shared(F.col("n"), F.col("n"), percent))
-    first = meets.groupBy("vertex").agg(F.max(F.struct("times", "centre")).alias("m")).select(F.least("vertex", "m.centre").alias("a"), F.greatest("vertex", "m.centre").alias("b")).distinct()
-    first = cut(first)
-    edges = compare(rows, vertices, first, n, percent)
-    labels = components(edges)
+    edges, labels = None, lists.select("vertex", F.col("vertex").alias("label")).limit(0)
+    share = lists.groupBy("vertex").agg((F.count(F.lit(1)) / F.min("n")).alias("share"))
+    for i in range(stars):
+        first = cut(star_pairs(lists, share, labels, i, percent))
+        edges_now = compare(sets_of(rows, vertices, first, n), first, percent)
+        edges = edges_now if edges is None else edges.union(edges_now)
+        labels = components(edges)
 
     labelled = lists.join(labels, "vertex", "left").select("hash", "vertex", "n", "place", F.coalesce("label", "vertex").alias("label"))
     labelled = cut(labelled)
     mixed = labelled.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("hash")
     left = labelled.join(mixed, "hash", "left_semi").withColumn("bucket", F.pmod("hash", F.lit(max(64, buckets))))
-    met = left.groupBy("bucket").applyInArrow(_crossing(percent), "a long, b long, m long, n long, times long")
-    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("m").alias("m"), F.max("n").alias("n"))
-    pairs = met.where(F.col("times") >= least_shared(F.col("m"), F.col("n"), percent)).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = compare(rows, vertices, cut(pairs), n, percent)
-    labels = components(edges.union(more))
+    met = left.groupBy("bucket").applyInArrow(_crossing(percent), "a long, b long").distinct()
+    early = lists.groupBy("vertex").agg(F.collect_set("hash").alias("early"), F.min("n").alias("n"))
+    met = met.join(early.toDF("a", "x", "m"), "a").join(early.toDF("b", "y", "n"), "b").withColumn("times", F.size(F.array_intersect("x", "y")))
+    pairs = cut(met.where(F.col("times") >= least_shared(F.col("m"), F.col("n"), percent)).select("a", "b", "times"))
+    sets = sets_of(rows, vertices, pairs, n)
+    for _ in range(tries):
+        # Of all pairs between two components the likeliest; if it is similar, the others need no comparison.
+        pairs = apart(pairs, labels)
+        likely = pairs.groupBy("la", "lb").agg(F.max(F.struct("times", "a", "b")).alias("p")).select("p.a", "p.b")
+        likely = cut(likely)
+        edges = edges.union(compare(sets, likely, percent))
+        labels = components(edges)
+        pairs = pairs.join(likely, ["a", "b"], "left_anti")
+    edges = edges.union(compare(sets, apart(pairs, labels), percent))
+    labels = components(edges)
 
     least = vertices.join(labels, "vertex", "left").select("vertex", "doc_id", F.coalesce("label", "vertex").alias("label"))
     smallest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
