@@ -45,6 +45,28 @@ def test_ann_recall(spark):
     assert hit / len(found) >= 0.9
 
 
+def test_ann_recall_on_the_largest_table(spark):
+    df = spark.read.parquet("/root/testdata/check_l/embeddings.parquet")
+    rows = df.toPandas().sort_values("vec_id")
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 50 == 0)
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -9
+    best = ids[np.argpartition(-near, 5, axis=1)[:, :5]]
+    found = ann.search(df, lambda i: i % 50 == 0, k=5).toPandas().groupby("query_id").vec_id.agg(set)
+    hit = sum(len(set(b) & found.get(i, set())) for i, b in zip(ids[asked], best, strict=True))
+    print("recall on check_l", hit / best.size)
+    assert hit / best.size >= 0.975
+
+
+def test_ann_keeps_the_same_in_any_number_of_rounds(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    one, many = (sorted(map(tuple, ann.search(df, lambda i: i % 50 == 0, k=5, keep=30, block_rows=n).collect())) for n in (5_000, 150))
+    assert one == many
+    assert ann.kept_of(10, 200) == ann.kept_of(50_000, 200) == 200 and ann.kept_of(5_000_000, 200) == 2_000
+
+
 def test_exact_search(spark):
     df = odd_vectors(spark)
     good = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], float)).astype(int) for r in df.collect() if r["vec_id"] is not None and (r["vec_id"] < 200 or r["vec_id"] == 201)}
