@@ -11,15 +11,16 @@ whose height is the logarithm of the rows. Only DataFrame functions run here.
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fillgap.llm.common import cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
-ITEM = "struct<id:bigint,size:bigint,mass:double>"
-DONE = "array<struct<id:bigint,size:bigint,full:boolean>>"
+KEY = "struct<mark:bigint,row:bigint>"
+ITEM = f"struct<id:bigint,size:bigint,key:{KEY},mass:double>"
+DONE = f"array<struct<id:bigint,size:bigint,key:{KEY},full:boolean>>"
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0) -> DataFrame:
@@ -48,8 +49,8 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, .
 def _settle(items, seed: int):
     """Fold a block: (unfinished document, finished documents)."""
 
-    def item(i, size, mass):
-        return F.struct(i.alias("id"), size.alias("size"), mass.alias("mass")).cast(ITEM)
+    def item(of, mass):
+        return F.struct(of["id"].alias("id"), of["size"].alias("size"), of["key"].alias("key"), mass.alias("mass")).cast(ITEM)
 
     def step(acc, x):
         c, done = acc["carry"], acc["done"]
@@ -59,15 +60,15 @@ def _settle(items, seed: int):
         c_left, x_left = c["mass"] <= x["size"] - x["mass"], x["mass"] <= c["size"] - c["mass"]
 
         def both(carry, finished, full):
-            one = F.struct(finished["id"].alias("id"), finished["size"].alias("size"), F.lit(full).alias("full"))
+            one = F.struct(finished["id"].alias("id"), finished["size"].alias("size"), finished["key"].alias("key"), F.lit(full).alias("full"))
             return F.struct(carry.alias("carry"), F.concat(done, F.array(one)).cast(DONE).alias("done"))
 
         return (
             F.when(c.isNull(), F.struct(x.cast(ITEM).alias("carry"), done.alias("done")))
-            .when(give & c_left, both(item(x["id"], x["size"], x["mass"] + c["mass"]), c, False))
-            .when(give, both(item(c["id"], c["size"], c["mass"] - to_x), x, True))
-            .when(x_left, both(item(c["id"], c["size"], c["mass"] + x["mass"]), x, False))
-            .otherwise(both(item(x["id"], x["size"], x["mass"] - to_c), c, True))
+            .when(give & c_left, both(item(x, x["mass"] + c["mass"]), c, False))
+            .when(give, both(item(c, c["mass"] - to_x), x, True))
+            .when(x_left, both(item(c, c["mass"] + x["mass"]), x, False))
+            .otherwise(both(item(x, x["mass"] - to_c), c, True))
         )
 
     start = F.struct(F.lit(None).cast(ITEM).alias("carry"), F.array().cast(DONE).alias("done"))
@@ -83,47 +84,57 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     Documents without words take 0. Repeated rows and null ids are rows of their own; no rows give no rows. The draw
     depends on ``seed`` and the rows alone, so runs agree.
     """
+    taken = _taken(docs, F.lit(None).cast(KEY), share, weights, cap, fan_in, seed)
+    return taken.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
+def _taken(docs: DataFrame, key: Column, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0, fan_in: int = 128, seed: int = 20) -> DataFrame:
+    """``mix`` with the ``key`` of each row: its row number, after a mark that orders rows of one id and size."""
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "source", words.alias("size")))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "source", words.alias("size"), key.alias("key")))
     per = cut(source_targets(sized, share, weights, cap).withColumn("no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
     most = per.agg(F.max("n_docs")).first()[0] or 0
     few = F.broadcast if per.count() <= 10_000 else (lambda df: df)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio)
     rows = sized.join(few(per), sized["source"].eqNullSafe(per["source"])).select(
-        "no", "n_docs", "id", "size", ((ratio - whole) * F.col("size")).alias("mass")
+        "no", "n_docs", "id", "size", "key", ((ratio - whole) * F.col("size")).alias("mass")
     )
     parted = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
-    finished = [rows.where(~parted).select("no", "id", "size", F.when(F.col("mass") > 0, F.col("size")).otherwise(0).cast("long").alias("extra"))]
+    finished = [rows.where(~parted).select("no", "id", "size", "key", F.when(F.col("mass") > 0, F.col("size")).otherwise(0).cast("long").alias("extra"))]
     left, level = rows.where(parted), 0
     while True:
         blocks = F.ceil(F.col("n_docs") / F.lit(float(fan_in ** (level + 1))))
         block = F.pmod(F.xxhash64(F.lit(seed + level), "id", "size", "mass"), blocks)
-        items = F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), "id", "size", "mass")))
-        items = F.transform(items, lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["mass"].alias("mass")))
+        items = F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), "id", "size", "mass", "key")))
+        items = F.transform(items, lambda x: F.struct(x["id"].alias("id"), x["size"].alias("size"), x["key"].alias("key"), x["mass"].alias("mass")))
         folded = cut(
             left.groupBy("no", "n_docs", block.alias("block")).agg(items.alias("items")).select("no", "n_docs", _settle(F.col("items"), seed + level).alias("s")).select("no", "n_docs", "s.*")
         )
         done = folded.select("no", F.explode("done").alias("d"))
-        finished.append(done.select("no", "d.id", "d.size", F.when(F.col("d.full"), F.col("d.size")).otherwise(0).cast("long").alias("extra")))
+        finished.append(done.select("no", "d.id", "d.size", "d.key", F.when(F.col("d.full"), F.col("d.size")).otherwise(0).cast("long").alias("extra")))
         left = folded.select("no", "n_docs", "carry.*")
         if most <= fan_in ** (level + 1):
             break
         level += 1
-    finished.append(left.select("no", "id", "size", F.round("mass").cast("long").alias("extra")))
+    finished.append(left.select("no", "id", "size", "key", F.round("mass").cast("long").alias("extra")))
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
     out = out.join(few(per), "no")
-    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (whole * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+    return out.select("id", "source", "size", "key", "source_size", "target", (whole * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: every document as many times as the mix takes it whole.
 
-    Documents that the mix takes in part or not at all are left out; a row taken twice appears twice. Ids have to be
-    unique in ``docs``. Documents without words stay as they are.
+    Documents that the mix takes in part or not at all are left out; a row taken twice appears twice. Rows with a null
+    id and repeated rows of an id are rows of their own here too. Documents without words stay as they are.
     """
-    taken = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("__copies"))
-    kept = docs.join(taken.where(F.col("__copies") > 0), docs["doc_id"] == F.col("__id"))
-    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[kept[c] for c in docs.columns])
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    key = F.struct(F.xxhash64("text").alias("mark"), F.col("__row").alias("row"))
+    taken = _taken(rows, key, **options)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    taken = taken.select(F.col("key.row").alias("__row"), copies.alias("__copies")).where(F.col("__copies") > 0)
+    kept = rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return kept.select(*docs.columns)

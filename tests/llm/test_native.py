@@ -57,6 +57,24 @@ def test_mixed_documents_are_whole(spark):
     assert {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in taken.items() if n}
 
 
+def test_mixed_documents_keep_null_ids_and_repeated_rows(spark):
+    rows = [(None if i % 4 == 0 else i // 3, " ".join(f"w{i % 7}" for _ in range(i % 5)), "en", f"s{i % 2}") for i in range(240)]
+    docs = documents(spark, rows)
+    size = {s: sum(len(t.split()) for _, t, _, x in rows if x == s) for s in ("s0", "s1")}
+    mixed = mixing.mixed_documents(docs, fan_in=8)
+    assert mixed.columns == docs.columns
+    found = [(r["doc_id"], r["text"], r["source"]) for r in mixed.collect()]
+    want = []
+    for r in mixing.mix(docs, fan_in=8).collect():
+        want += [(r["doc_id"], r["source"], r["size"])] * (r["taken"] // r["size"] if r["size"] else 1)
+    assert sorted(map(str, ((i, s, len(t.split())) for i, t, s in found))) == sorted(map(str, want))
+    assert any(i is None and t for i, t, _ in found)
+    for s, t in targets(size).items():
+        assert t - 4 <= sum(len(x.split()) for _, x, y in found if y == s) <= t + 1  # one document in part at most
+    again = [(r["doc_id"], r["text"], r["source"]) for r in mixing.mixed_documents(docs.repartition(3), fan_in=8).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, again))
+
+
 @pytest.mark.parametrize("table", ["driver", "edge", "copies"])
 def test_shards(spark, table):
     docs = {"edge": documents(spark), "driver": spark.read.parquet(f"{SF}/documents.parquet"), "copies": documents(spark, [(i, "same" if i % 3 == 0 else f"t{i % 150}", None, None) for i in range(400)])}[table]
