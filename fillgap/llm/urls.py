@@ -60,13 +60,39 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """Labelled rows (n) and blocks among them (b) by s1, s2 and fold, of rows with these and label. Each task shuffles one row a group."""
+    return cut(labelled.groupBy("s1", "s2", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")))
+
+
+def with_suffixes(df: DataFrame, counts: DataFrame, held: bool, small: int = 200_000) -> DataFrame:
+    """Adds suffix1 and suffix2, the smoothed shares of blocks; ``held``: without the rows of the row's own fold. No labelled row gives 0.5.
+
+    Leaving out just the row itself would tell the trees its label: a suffix with both would have two values, one for
+    each label. Counts of up to ``small`` suffixes are broadcast; more are joined by a shuffle.
+    """
+
+    def joined(df: DataFrame, keys: list[str], n: str, b: str) -> DataFrame:
+        table = cut(counts.groupBy(*keys).agg(F.sum("n").alias(n), F.sum("b").alias(b)))
+        table = F.broadcast(table) if table.count() <= small else table.hint("shuffle_merge")
+        return df.join(table, keys, "left").fillna(0, [n, b])
+
+    for i in (1, 2):
+        df, n, b = joined(df, [f"s{i}"], "__n", "__b"), F.col("__n"), F.col("__b")
+        if held:
+            df, n, b = joined(df, [f"s{i}", "fold"], "__own_n", "__own_b"), n - F.col("__own_n"), b - F.col("__own_b")
+        df = df.withColumn(f"suffix{i}", (b + 1) / (n + 2)).drop("__n", "__b", "__own_n", "__own_b")
+    return df
+
+
 def judge(pages: DataFrame, rules=RULES, fit_urls: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """Allow or block every URL.
 
     Input: page_id, url; other columns are ignored. Output, one row for every input row: page_id, host, path, rule (null
     where none fits), verdict, score (how likely the trees hold a block; 0 or 1 where a rule decides). The trees learn
     from at most about ``fit_urls`` URLs that rules label, drawn by a hash of the URL; suffix statistics are the share
-    of blocks among those with the same last one or two host labels. Null or malformed URLs have empty host and path
+    of blocks among all labelled rows with the same last one or two host labels; for a row that trains, of those in the other nine
+    tenths of the URLs. Null or malformed URLs have empty host and path
     and are judged by the trees. Without labelled URLs of both verdicts there are no trees, and the verdict is the one
     that occurs, or allow. Repeated rows are judged alike; no rows give no rows.
     """
@@ -84,18 +110,13 @@ def judge(pages: DataFrame, rules=RULES, fit_urls: int = 20_000, trees: int = 20
         only = "block" if set(counts) == {"block"} else "allow"
         out = rows.withColumn("score", F.lit(float(only == "block")))
     else:
-        share_of = (F.sum("label") + 1) / (F.count(F.lit(1)) + 2)
-        stats = [cut(fit.groupBy(s).agg(share_of.alias(name))) for s, name in (("s1", "suffix1"), ("s2", "suffix2"))]
-
-        def with_suffixes(df: DataFrame) -> DataFrame:
-            for s, name, table in (("s1", "suffix1", stats[0]), ("s2", "suffix2", stats[1])):  # as many rows as were drawn, at most
-                df = df.join(F.broadcast(table), s, "left").withColumn(name, F.coalesce(name, F.lit(0.5)))
-            return df
-
+        fold = F.pmod(F.xxhash64(F.lit(seed + 1), "url"), F.lit(10))
+        labelled = features.where(F.col("said").isNotNull()).select("s1", "s2", fold.alias("fold"), (F.col("said") == "block").cast("double").alias("label"))
+        counted = suffix_counts(labelled)
         vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = cut(with_suffixes(fit).select("label", *FEATURES))
+        train = cut(with_suffixes(fit.withColumn("fold", fold), counted, held=True).select("label", *FEATURES))
         model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(vector.transform(train).coalesce(8))
-        out = model.transform(vector.transform(with_suffixes(features))).withColumn("score", vector_to_array("probability")[1])
+        out = model.transform(vector.transform(with_suffixes(features, counted, held=False))).withColumn("score", vector_to_array("probability")[1])
     blocked = F.when(F.col("said").isNotNull(), F.col("said") == "block")
     return out.select(
         "page_id", "host", "path", "rule",

@@ -122,3 +122,21 @@ def test_url_trees_learn_the_rules(spark):
     rows = urls.judge(pages).toPandas()
     free = rows[rows.rule.isna()]
     assert len(rows) == pages.count() and len(free) and free.score.between(0, 1).all() and ((free.score > 0.5) == (free.verdict == "block")).all()
+
+
+def test_url_suffixes_count_all_labelled_urls(spark):
+    rules = (("allow", "x", "/a/"), ("block", "x", "/b/"))
+    rows = [(f"http://h{100 + h}.x/{'ab'[h % 2]}/{i}", h) for h in range(200) for i in range(10)] + [(f"http://h{100 + h}.x/c/0", h) for h in range(200)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    found = {r["page_id"]: r for r in urls.judge(pages, rules, fit_urls=100).collect()}
+    free = [(found[i], h) for i, (u, h) in enumerate(rows) if "/c/" in u]
+    assert len(found) == len(rows) and all(r["rule"] is None and r["verdict"] == ("allow", "block")[h % 2] for r, h in free)
+
+
+def test_url_suffix_shares(spark):
+    rows = spark.createDataFrame([("x", "a.x", 0, 1.0)] * 2 + [("x", "a.x", 1, 1.0), ("x", "b.x", 1, 0.0), ("", "", 0, 0.0)], "s1 string, s2 string, fold long, label double")
+    counts = urls.suffix_counts(rows)
+    for small in (10, 0):
+        shares = {held: {(r["s2"], r["fold"], round(r["suffix1"], 3), round(r["suffix2"], 3)) for r in urls.with_suffixes(rows, counts, held, small).collect()} for held in (False, True)}
+        assert shares[False] == {("a.x", 0, 0.667, 0.8), ("a.x", 1, 0.667, 0.8), ("b.x", 1, 0.667, 0.333), ("", 0, 0.333, 0.333)}
+        assert shares[True] == {("a.x", 0, 0.5, 0.667), ("a.x", 1, 0.75, 0.75), ("b.x", 1, 0.75, 0.5), ("", 0, 0.5, 0.5)}
