@@ -26,16 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fillgap.llm.jaccard import MULTIPLIER, _mixed, _power_tables
+from fillgap.llm.hashing import SpanHasher
 
 BLOCK_CHARS = 32 << 20  # a block ends after so many characters; its last document is whole
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 20  # so many are split at once
+BATCH_CHARS = 4 << 20  # of a block's results that leave a task together
 
 #: Text of these characters is in normal form C, and one look at a character tells what it is.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-\xFF]*")
 #: Endings that are words of their own; text with one takes the tokenizer's own way.
 ENDINGS = re.compile(r"'(?:s|t|re|ve|m|ll|d)", re.IGNORECASE)
 
+GAP = re.compile(r"\s")
+
 LETTER, DIGIT, SPACE, OTHER = range(4)
 KINDS = np.array([SPACE if chr(c).isspace() else LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else OTHER for c in range(256)], np.uint8)
 
@@ -50,12 +53,6 @@ def word_ends(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[words], ends[words]
 
 
-def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _power_tables(len(codes) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], dtype=np.uint64)))
-    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(MULTIPLIER))
-
-
 class Words:
     """Splits texts into words as the tokenizer does before its merges."""
 
@@ -80,69 +77,95 @@ class Words:
 
 
 class Block:
-    """Documents as runs of word hashes, and where to find a word of each hash."""
+    """Documents as runs of word numbers, and the words by number; a word gets its number where it first occurs.
 
-    def __init__(self):
-        self.ids, self.lengths, self.hashes, self.texts, self.spans, self.chars = [], [], [], [], [], 0
-        self.waiting: list[str] = []
+    Texts are split chunk by chunk and not kept: what a block holds is four bytes a word and its distinct words.
+    """
+
+    def __init__(self, hasher: SpanHasher):
+        self.hasher, self.chars = hasher, 0
+        self.ids, self.lengths, self.runs, self.names = [], [], [], []
+        self.known, self.number_of = np.empty(0, np.uint64), np.empty(0, np.int32)  # hashes in order, and their words' numbers
+        self.waiting, self.held = [], 0
 
     def add(self, i, text: str | None, words: Words) -> None:
         text = text or ""
         self.ids.append(i)
         self.chars += len(text)
-        if text and not words.plain(text):
-            self.flush()
-            self.slow(words.split(text))
-            return
-        self.waiting.append(text.lower())
-        if sum(map(len, self.waiting[-1:])) > CHUNK_CHARS or len(self.waiting) >= 256:
-            self.flush()
-
-    def flush(self) -> None:
-        if not self.waiting:
-            return
-        joined = "\n".join(self.waiting)
+        if not words.plain(text):
+            self._flush()
+            parts = words.split(text)
+            self.lengths.append(len(parts))
+            for k in range(0, len(parts), CHUNK_CHARS // 8):
+                self._number_parts(parts[k : k + CHUNK_CHARS // 8])
+        elif len(text) > CHUNK_CHARS:
+            self._flush()
+            self.lengths.append(sum(int(self._number_plain([part])[0]) for part in _chunks(text.lower())))
+        else:
+            self.waiting.append(text.lower())
+            self.held += len(text)
+            if self.held > CHUNK_CHARS:
+                self._flush()
+
+    def _flush(self) -> None:
+        if self.waiting:
+            self.lengths += self._number_plain(self.waiting).tolist()
+            self.waiting, self.held = [], 0
+
+    def _number_plain(self, texts: list[str]) -> np.ndarray:
+        """Numbers the words of texts of PLAIN characters; how many each text has."""
+        joined = "\n".join(texts)
         codes = np.frombuffer(joined.encode("latin-1"), np.uint8)
         starts, ends = word_ends(codes)
-        edges = np.cumsum([len(t) + 1 for t in self.waiting])
-        self.lengths += np.diff(np.searchsorted(starts, np.concatenate(([0], edges)))).tolist()
-        self._keep(joined, codes, starts, ends)
-        self.waiting = []
+        self._number(joined, codes, starts, ends)
+        return np.diff(np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))
 
-    def slow(self, parts: list[str]) -> None:
+    def _number_parts(self, parts: list[str]) -> None:
+        """Numbers words that are split already."""
         joined = "\n".join(parts)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(p) for p in parts], np.int64)
-        starts = np.concatenate(([0], np.cumsum(sizes + 1)))[: len(parts)].astype(np.int64)
-        self.lengths.append(len(parts))
-        self._keep(joined, codes, starts, starts + sizes)
-
-    def _keep(self, joined, codes, starts, ends) -> None:
-        self.hashes.append(word_hashes(codes, starts, ends))
-        self.texts.append(joined)
-        self.spans.append((starts.astype(np.int32), ends.astype(np.int32)))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        self._number(joined, codes, starts, starts + sizes)
+
+    def _number(self, joined: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        distinct, first, which = np.unique(self.hasher(codes, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        old = at < len(self.known)
+        old[old] = self.known[at[old]] == distinct[old]
+        new, numbers = np.flatnonzero(~old), np.empty(len(distinct), np.int32)
+        numbers[old] = self.number_of[at[old]]
+        numbers[new] = np.arange(len(self.names), len(self.names) + len(new))
+        self.names += [joined[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+        self.known = np.insert(self.known, at[new], distinct[new])
+        self.number_of = np.insert(self.number_of, at[new], numbers[new])
+        self.runs.append(numbers[which])
 
     def numbered(self):
         """(dictionary by falling frequency, its fingerprint, an iterator over the documents' word numbers)."""
-        self.flush()
-        hashes = np.concatenate(self.hashes) if self.hashes else np.empty(0, np.uint64)
-        _, first, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        ends = np.cumsum([len(h) for h in self.hashes]) if self.hashes else np.empty(0, np.int64)
-        names = []
-        for at, k in zip(first.tolist(), np.searchsorted(ends, first, side="right").tolist(), strict=True):
-            s, e = self.spans[k]
-            at -= int(ends[k]) - len(s)
-            names.append(self.texts[k][s[at] : e[at]])
-        order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
-        rank = np.empty(len(names), np.int32)
-        rank[order] = np.arange(len(names), dtype=np.int32)
-        names = [names[i] for i in order]
+        self._flush()
+        flat = np.concatenate(self.runs) if self.runs else np.empty(0, np.int32)
+        self.runs, n = [flat], len(self.names)
+        counts = np.bincount(flat, minlength=n).tolist()
+        order = sorted(range(n), key=lambda i: (-counts[i], self.names[i]))
+        rank = np.empty(n, np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
+        names = [self.names[i] for i in order]
         mark = 0
         for name in names:
             mark = zlib.crc32(name.encode("utf-8", "surrogatepass") + b"\n", mark)
-        numbers = rank[which] if len(names) else np.empty(0, np.int32)
-        edges = np.concatenate(([0], np.cumsum(self.lengths))).astype(np.int64)
-        return names, mark, (numbers[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
+        edges = np.cumsum([0, *self.lengths]).tolist()
+        return names, mark, (rank[flat[a:b]] for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
+def _chunks(text: str) -> Iterator[str]:
+    """A very long text in parts of about CHUNK_CHARS that end at a space, so that no word is parted."""
+    start = 0
+    while start < len(text):
+        gap = GAP.search(text, start + CHUNK_CHARS)
+        end = gap.end() if gap else len(text)
+        yield text[start:end]
+        start = end
 
 
 def packed(numbers) -> bytes:
@@ -171,14 +194,15 @@ def _blocks(rows: Iterator[pa.RecordBatch], path: str):
     def key(part: int, k: int, mark: int) -> int:
         return (mark & 0x7FFFFFFF) << 32 | part << 10 | k
 
-    words, part, k, block = Words(path), TaskContext.get().partitionId(), 0, Block()
+    words, hasher, part, k = Words(path), SpanHasher(), TaskContext.get().partitionId(), 0
+    block = Block(hasher)
     for batch in rows:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            block.add(i, text.as_py(), words)
+        for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            block.add(i.as_py(), text.as_py(), words)
             if block.chars >= BLOCK_CHARS:
                 names, mark, docs = block.numbered()
                 yield key(part, k, mark), names, block.ids, docs
-                k, block = k + 1, Block()
+                k, block = k + 1, Block(hasher)
     if block.ids:
         names, mark, docs = block.numbered()
         yield key(part, k, mark), names, block.ids, docs
@@ -226,33 +250,48 @@ def _encoded(path: str):
     return run
 
 
+def _pieces(path: str) -> tuple[np.ndarray, str]:
+    """The vocabulary's pieces by id, and how ids are stored."""
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    pieces = np.full(max(vocabulary.values(), default=0) + 1, "", object)
+    pieces[list(vocabulary.values())] = list(vocabulary)
+    return pieces, id_type(tokenizer)
+
+
 def _put_together(path: str, texts: bool):
     """Join a block's documents with its words by number, and the ids with the pieces of the vocabulary."""
+    kept: list = []  # a task's copy of the vocabulary
+
+    def out(ids, n_tokens, all_ids, decoded) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(all_ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        coded, data = docs["numbers"].to_pylist(), words["ids"].to_pylist()
-        n = len(data)
-        if any(coded) != bool(n):
-            raise RuntimeError("a block's words differ between two reads of the input; write the input to a table first")
-        tokenizer = Tokenizer.from_file(path)
-        vocabulary, kind = tokenizer.get_vocab(with_added_tokens=True), np.dtype(id_type(tokenizer))
-        pieces = np.full(max(vocabulary.values(), default=0) + 1, "", object)
-        for piece, i in vocabulary.items():
-            pieces[i] = piece
-        flat = np.frombuffer(b"".join(data), kind)
-        digits, parts = np.array([str(i) for i in range(len(pieces))], object)[flat].tolist(), pieces[flat].tolist()
-        counts, ids, says, end = np.zeros(n, np.int64), np.full(n, "", object), np.full(n, "", object), 0
-        for k, own in zip(words["number"].to_pylist(), data, strict=True):
-            start, end = end, end + len(own) // kind.itemsize
-            counts[k], ids[k], says[k] = end - start, " ".join(digits[start:end]), " ".join(parts[start:end])
-        n_tokens, all_ids, decoded = [], [], []
-        for some in coded:
-            numbers = unpacked(some)
-            n_tokens.append(int(counts[numbers].sum()))
+        if not kept:
+            kept.extend(_pieces(path))
+        pieces, kind = kept[0], np.dtype(kept[1])
+        n = words.num_rows
+        digits = [str(i) for i in range(len(pieces))]
+        counts, ids, says = np.zeros(n, np.int64), np.full(n, "", object), np.full(n, "", object)
+        for number, data in zip(words["number"], words["ids"], strict=True):
+            own = np.frombuffer(data.as_py(), kind).tolist()
+            k = number.as_py()
+            counts[k], ids[k], says[k] = len(own), " ".join([digits[i] for i in own]), " ".join([pieces[i] for i in own])
+        batches, rows, held = [], ([], [], [], []), 0
+        for i, some in zip(docs["doc_id"], docs["numbers"], strict=True):
+            numbers = unpacked(some.as_py())
+            if len(numbers) and not n:
+                raise RuntimeError("a block's words differ between two reads of the input; write the input to a table first")
             a, b = " ".join(ids[numbers].tolist()), " ".join(says[numbers].tolist())
-            all_ids.append(a if texts else hashlib.sha256(a.encode()).hexdigest())
-            decoded.append(b if texts else hashlib.sha256(b.encode("utf-8", "replace")).hexdigest())
-        return pa.table({"doc_id": docs["doc_id"].combine_chunks(), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(all_ids, pa.string()), "decoded": pa.array(decoded, pa.string())})
+            if not texts:
+                a, b = hashlib.sha256(a.encode()).hexdigest(), hashlib.sha256(b.encode("utf-8", "replace")).hexdigest()
+            for column, value in zip(rows, (i.as_py(), int(counts[numbers].sum()), a, b), strict=True):
+                column.append(value)
+            held += len(a) + len(b)
+            if held > BATCH_CHARS:
+                batches.append(out(*rows))
+                rows, held = ([], [], [], []), 0
+        return pa.Table.from_batches([*batches, out(*rows)])
 
     return run
 

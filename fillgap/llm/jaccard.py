@@ -29,51 +29,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgap.llm.common import cut
+from fillgap.llm.hashing import SpanHasher, mixed
 
 SKETCH_BITS = 20
 CHUNK = 4_096
 HASH_BYTES = 5
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-FOLD = np.arange(256, dtype=np.uint64)
+FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32  # A-Z
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_powers = np.ones((2, 1), np.uint64)
-
-
-def _power_tables(n: int) -> np.ndarray:
-    """Powers of the multiplier and of its inverse, modulo 2 ** 64."""
-    global _powers
-    if _powers.shape[1] < n:
-        steps = np.ones((2, 1 << max(12, (n - 1).bit_length())), np.uint64)
-        steps[0, 1:], steps[1, 1:] = MULTIPLIER, INVERSE
-        _powers = np.cumprod(steps, axis=1, dtype=np.uint64)
-    return _powers
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
+def shingles(text: str | None, n: int, hasher: SpanHasher) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's n-grams of words; of all its words as one if there are fewer."""
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     inside = np.concatenate(([False], ~SPACE[data], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _power_tables(len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((FOLD[data] + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
-    words = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    words = hasher(FOLD[data], edges[0::2], edges[1::2])
+    if not len(words):
+        return words
     size = min(n, len(words))
     total = np.full(len(words) - size + 1, size, np.uint64)
     for i in range(size):
-        total = _mixed(total * np.uint64(0xA24BAED4963EE407) + words[i : len(words) - size + 1 + i])
+        total = mixed(total * np.uint64(0xA24BAED4963EE407) + words[i : len(words) - size + 1 + i])
     return np.unique(total)
 
 
@@ -89,11 +66,11 @@ def _profiles(n: int):
     """Rows of documents (doc_id, n, vertex) and, at the end of a part, rows of its sketch (chunk, counts)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch, hasher = np.zeros(1 << SKETCH_BITS, np.int64), SpanHasher()
         for batch in rows:
             sizes, marks = [], []
             for text in batch.column(1):
-                grams = shingles(text.as_py(), n)
+                grams = shingles(text.as_py(), n, hasher)
                 sizes.append(len(grams))
                 marks.append(fingerprint(grams) if len(grams) else None)
                 np.add.at(sketch, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
@@ -161,10 +138,11 @@ def _prefixes(n: int, percent: int, sketch, buckets: int, at_once: int = 2_000_0
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hasher = SpanHasher()
         entries, vertices, sizes, held = [], [], [], 0
         for batch in rows:
             for text in batch.column(0):
-                grams = shingles(text.as_py(), n)
+                grams = shingles(text.as_py(), n, hasher)
                 if not len(grams) or (mark := fingerprint(grams)) in seen:
                     continue
                 seen.add(mark)
@@ -206,8 +184,9 @@ def _shared(table: pa.Table) -> pa.Table:
 
 def _sets(n: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHasher()
         for batch in rows:
-            grams = [shingles(t.as_py(), n) for t in batch.column(1)]
+            grams = [shingles(t.as_py(), n, hasher) for t in batch.column(1)]
             # Of several rows with this doc_id only those with the vertex's own set count.
             same = [len(g) > 0 and fingerprint(g) == v for g, v in zip(grams, batch.column(0).to_pylist(), strict=True)]
             yield _batch(vertex=batch.column(0).filter(pa.array(same, pa.bool_())), grams=pa.array([g.tobytes() for g, s in zip(grams, same, strict=True) if s], pa.binary()))
