@@ -22,6 +22,12 @@ def fold_row_id(*cols: Column, seed: int, modulus: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(modulus)).cast("long")
 
 
+def drawn(share: Column | float, *cols: Column | str, seed: int) -> Column:
+    """True for about ``share`` of the rows, by a hash of the columns; shares may be as small as 1 in 10 ** 18."""
+    steps = float(1 << 62)
+    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 62)) / F.lit(steps) < share
+
+
 def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     return max(1, math.ceil(rows / per_bucket))
 

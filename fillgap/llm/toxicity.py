@@ -3,16 +3,18 @@
 A clause becomes a string of token classes: insult, threat verb, target, negation, reported speech, other. Three small
 transducers read it in a row: one marks what stands shortly after a negation, one what stands after a word of reported
 speech, and one matches insults with or without a target and threat verbs followed by a target. Their composition is
-one machine, built once; it reads a clause in a single pass and yields the weights of its matches. The sum over a
-document's clauses gives the log-odds of its label.
+one machine, built once; it reads a clause in a single pass and yields its matches by kind. A document's matches of
+each kind, summed over its clauses, and how dense the plain ones stand give the log-odds of its label. No kind counts
+against a label: negated and reported matches weigh less than plain ones, but never cancel them.
 
-Labels teach two things, from a bounded sample of labelled rows: words and word beginnings that occur in toxic
-documents only, in many different contexts, join the insults; and a logistic regression sets the weights.
+Labels teach two things, from a bounded sample of labelled rows: words and word beginnings that are many times more
+frequent in toxic documents, in many different contexts, join the insults; and a logistic regression sets the weights.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgap.llm.common import cut, held_out
+from fillgap.llm.common import cut, drawn, held_out
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "itynro"
 
@@ -37,10 +39,11 @@ CLASS = {w: c for c, words in WORDS.items() for w in words.split()}
 CLAUSE = re.compile(r"[.!?;:\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
 
-FEATURES = ["insults", "threats", "negated", "reported", "aimed"]
+#: Kinds of matches; the last is the share of plain ones among the words of the text.
+MATCHES = ["insults", "threats", "negated", "reported", "aimed"]
+FEATURES = [*MATCHES, "density"]
 #: Log-odds before anything is learned: of the bias, and of each feature.
-PRIOR = np.array([-4.0, 5.0, 5.0, -3.0, -2.0, 1.0])
-MOST = 6  # matches of a kind beyond this number add nothing
+PRIOR = np.array([-3.0, 6.0, 6.0, 1.0, 1.5, 2.0, 0.0])
 
 
 class Transducer:
@@ -71,11 +74,11 @@ class Transducer:
         return found
 
 
-ZERO = (0,) * len(FEATURES)
+ZERO = (0,) * len(MATCHES)
 
 
 def _weights(**counts: int) -> tuple:
-    return tuple(counts.get(f, 0) for f in FEATURES)
+    return tuple(counts.get(f, 0) for f in MATCHES)
 
 
 def _negation(window: int = 3) -> Transducer:
@@ -100,7 +103,10 @@ def _reported() -> Transducer:
 
 
 def _matches(window: int = 4) -> Transducer:
-    """Counts insults, insults near a target, and threat verbs that a target follows."""
+    """Counts insults and threat verbs that a target follows, each as plain, reported or negated, and insults near a target."""
+
+    def kind(plain: str, marks: str) -> str:
+        return "negated" if "-" in marks else "reported" if "r" in marks else plain
 
     def step(state, x):
         target, insult, threat, marks = state
@@ -108,14 +114,14 @@ def _matches(window: int = 4) -> Transducer:
         w = ZERO
         if x[0] == INSULT:
             aimed = target > 0
-            w = _weights(insults=1, negated=int("-" in x), reported=int("r" in x), aimed=int(aimed))
-            insult = 0 if aimed else window
+            w = _weights(**{kind("insults", x): 1, "aimed": int(aimed and x == INSULT)})
+            insult = window if x == INSULT and not aimed else 0
         elif x[0] == THREAT:
             threat, marks = window, x[1:]
         elif x == TARGET:
             target = window
             if threat:
-                w = _weights(threats=1, negated=int("-" in marks), reported=int("r" in marks))
+                w = _weights(**{kind("threats", marks): 1})
             elif insult:
                 w = _weights(aimed=1)
             insult, threat, marks = 0, 0, ""
@@ -134,8 +140,8 @@ def hits_of(learned: tuple[str, ...] = ()) -> re.Pattern:
 
 
 def clause_matches(text: str | None, hits: re.Pattern) -> np.ndarray:
-    """The grammar's weights, summed over the clauses of a whole text."""
-    total = np.zeros(len(FEATURES))
+    """The grammar's matches by kind, summed over the clauses of a whole text."""
+    total = np.zeros(len(MATCHES))
     if not text or not hits.search(low := text.lower()):
         return total
     for clause in CLAUSE.split(low):
@@ -149,74 +155,98 @@ def clause_matches(text: str | None, hits: re.Pattern) -> np.ndarray:
     return total
 
 
+def features_of(text: str | None, hits: re.Pattern) -> np.ndarray:
+    """log(1 + n) of each kind, and a hundred times the plain matches' share of the words, on the same scale. A match more never adds less."""
+    n = clause_matches(text, hits)
+    words = 20 + (text.count(" ") + text.count("\n") if text else 0)
+    return np.log1p(np.append(n, 100 * (n[0] + n[1]) / words))
+
+
 def _features(learned: tuple[str, ...]):
     hits = hits_of(learned)
 
     @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
     def features(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(np.array([clause_matches(t, hits) for t in texts]).reshape(-1, len(FEATURES)), columns=FEATURES)
+        return pd.DataFrame(np.array([features_of(t, hits) for t in texts]).reshape(-1, len(FEATURES)), columns=FEATURES)
 
     return features
 
 
+BITS = 62
+PER_DOCUMENT = 16  # occurrences of one term in one document that count as evidence
+
+
 def _beginnings(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each part of the sample: words and word beginnings, in how many documents of either label, and contexts in toxic ones as bits."""
+    """Of each part of the sample: words and word beginnings, how often they occur under either label, and what stands before them in toxic documents as bits.
+
+    The key '' has all words of either label.
+    """
     clean, toxic, context = Counter(), Counter(), {}
     for df in rows:
         for text, label in zip(df["text"], df["label"], strict=True):
             tokens = TOKEN.findall(text.lower())
-            found = {}
+            counts, bits = Counter({"": len(tokens)}), {}
             for before, w in zip(["", *tokens], tokens, strict=False):
                 if len(w) >= 4:
-                    bit = 1 << (sum(before.encode()) * 31 + len(before)) % 62
-                    for key in {w, *(w[:n] + "*" for n in range(4, min(8, len(w))))}:
-                        found[key] = found.get(key, 0) | bit
-            (toxic if label else clean).update(found.keys())
+                    bit = 1 << zlib.crc32(before.encode()) % BITS
+                    for key in (w, *(w[:n] + "*" for n in range(4, min(9, len(w) + 1)))):
+                        counts[key] += 1
+                        bits[key] = bits.get(key, 0) | bit
+            known = toxic if label else clean
+            for key, n in counts.items():
+                known[key] += min(n, PER_DOCUMENT) if key else n
             if label:
-                for key, bits in found.items():
-                    context[key] = context.get(key, 0) | bits
+                for key, b in bits.items():
+                    context[key] = context.get(key, 0) | b
     keys = list(clean.keys() | toxic.keys())
     if keys:
         yield pd.DataFrame({"key": keys, "clean": [clean[k] for k in keys], "toxic": [toxic[k] for k in keys], "bits": [context.get(k, 0) for k in keys]})
 
 
-def learn_terms(sample: DataFrame, least_docs: int = 4, most_contexts: int = 24, odds: float = 40.0) -> tuple[str, ...]:
-    """Words and beginnings that mark the toxic rows of the sample; a beginning replaces the longer ones it covers.
+def learn_terms(sample: DataFrame, odds: float = 8.0, least: float = 24.0) -> tuple[str, ...]:
+    """Words and beginnings that mark the toxic rows of the sample; of those that cover each other the clearest one.
 
-    Copies of one toxic document share rare words; in them a word has the same few neighbours over and over. A term
-    therefore needs as many different words before it as it has documents, up to ``most_contexts``.
+    A term has to be ``odds`` times as frequent under the label as elsewhere, and so often that chance would do it with
+    exp(-``least``) at most. Copies of one document share rare words; in them a word has the same few neighbours over
+    and over, so that a term's occurrences count as no more than the different words before it.
     """
-    totals = sample.groupBy("label").count().collect()
-    n = {bool(r["label"]): r["count"] for r in totals}
-    if not n.get(True) or not n.get(False):
-        return ()
     counts = sample.select("text", "label").mapInPandas(_beginnings, "key string, clean long, toxic long, bits long")
-    counts = counts.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("bits")).alias("contexts"))
-    ratio = (F.col("toxic") / n[True]) / ((F.col("clean") + 0.5) / n[False])
-    # Where toxic rows are a share p of the sample, chance puts all of m occurrences there with probability p ** m.
-    chance = n[True] / (n[True] + n[False])
-    least = max(least_docs, int(np.ceil(np.log(1e-7) / np.log(chance)))) if n[True] >= 200 else least_docs
-    found = counts.where((F.col("toxic") >= least) & (F.col("contexts") >= F.least("toxic", F.lit(most_contexts))) & (ratio >= min(odds, 0.9 * n[False] * least / n[True]))).select("key").collect()
+    counts = cut(counts.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.bit_count(F.bit_or("bits")).alias("contexts")))
+    every = counts.where("key = ''").first()
+    if every is None or not every["toxic"] or not every["clean"]:
+        return ()
+    chance = (F.col("clean") + 1) * F.lit(every["toxic"] / every["clean"])
+    different = F.when(F.col("contexts") < BITS, -BITS * F.log(1 - F.col("contexts") / F.lit(float(BITS)))).otherwise(F.col("toxic"))
+    weight = F.least(F.lit(1.0), different / F.col("toxic"))
+    evidence = weight * (F.col("toxic") * F.log(F.col("toxic") / chance) - F.col("toxic") + chance)
+    rows = counts.where((F.col("key") != "") & (F.col("toxic") >= odds * chance)).select("key", evidence.alias("evidence"))
     chosen: list[str] = []
-    for key in sorted((r["key"] for r in found), key=lambda k: (len(k.rstrip("*")), not k.endswith("*"), k)):
-        if not any(c.endswith("*") and key.startswith(c[:-1]) for c in chosen):
-            chosen.append(key)
+    for row in rows.where(F.col("evidence") >= least).orderBy(F.desc("evidence"), F.length("key"), "key").toLocalIterator():
+        key = row["key"].rstrip("*")
+        if not any(key.startswith(c[:-1]) if c.endswith("*") else row["key"].endswith("*") and c.startswith(key) for c in chosen) and not any(row["key"].endswith("*") and c.startswith(key) for c in chosen):
+            chosen.append(row["key"])
     return tuple(chosen)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, spread: float = 2.0) -> np.ndarray:
-    """Logistic regression with a normal prior around PRIOR, by Newton's method."""
-    x = np.hstack([np.ones((len(x), 1)), np.minimum(x, MOST)])
-    w = PRIOR.copy()
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - (w - PRIOR) / spread**2
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / spread**2
-        step = np.linalg.solve(hess, grad)
-        w = w + np.clip(step, -2, 2)
-        if abs(step).max() < 1e-6:
-            break
-    return w
+def _fit(x: np.ndarray, y: np.ndarray, spread: float = 3.0) -> np.ndarray:
+    """Logistic regression with a normal prior around PRIOR, by Newton's method; features that would weigh less than nothing weigh nothing."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    free = np.ones(len(PRIOR), bool)
+    while True:
+        w = np.where(free, PRIOR, 0.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad = x.T @ (y - p) - (w - PRIOR) / spread**2
+            hess = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / spread**2
+            step = np.zeros(len(w))
+            step[free] = np.clip(np.linalg.solve(hess[np.ix_(free, free)], grad[free]), -2, 2)
+            w = w + step
+            if abs(step).max() < 1e-6:
+                break
+        less = free & (w < 0) & (np.arange(len(w)) > 0)
+        if not less.any():
+            return w
+        free &= ~less
 
 
 class Model:
@@ -229,7 +259,7 @@ class Model:
         found = _features(self.terms)(text)
         odds = F.lit(float(self.weights[0]))
         for f, w in zip(FEATURES, self.weights[1:], strict=True):
-            odds = odds + F.least(found[f], F.lit(float(MOST))) * F.lit(float(w))
+            odds = odds + found[f] * F.lit(float(w))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
@@ -242,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2_000, clean_docs:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = F.when(F.col("label") == 1, toxic_docs / max(1, n.get(1, 0))).otherwise(clean_docs / max(1, n.get(0, 0)))
-    known = known.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    known = known.where(drawn(share, "doc_id", seed=seed))
     # So many ids fit into a broadcast, and no text is shuffled.
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", (F.col("label") == 1).cast("int").alias("label"))
     sample = cut(sample).repartition(12)
@@ -265,6 +295,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that score below 0.5, with all their columns."""
+    """The documents that score below 0.5, with all their columns.
+
+    Null and empty texts have no matches and stay, as does every row of a repeated document; null ids are judged by
+    their text like others. No rows give no rows.
+    """
     scored = docs.withColumn("__toxicity", model.score(F.col("text")))
     return scored.where(F.col("__toxicity") < 0.5).select(*[scored[c] for c in docs.columns])
