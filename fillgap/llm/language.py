@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgap.llm.common import cut, held_out
+from fillgap.llm.common import cut, drawn, held_out
 
 DIMENSIONS = 512
 GRAM = 3
@@ -115,6 +115,11 @@ class Model:
         self.langs, self.prototypes = langs, prototypes
 
 
+def share_of(count: Column, wanted: int) -> Column:
+    """The share of ``count`` rows that makes about ``wanted``; above 0 for any count."""
+    return F.least(F.lit(1.0), F.lit(float(wanted)) / count)
+
+
 def fit(docs: DataFrame, docs_per_language: int = 1_500, seed: int = 2) -> Model:
     """Prototypes from about ``docs_per_language`` documents of each language at most, outside the held-out fifth.
 
@@ -123,11 +128,10 @@ def fit(docs: DataFrame, docs_per_language: int = 1_500, seed: int = 2) -> Model
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = known.groupBy("lang").count()
-    share = counts.select(F.col("lang").alias("l"), (F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.col("count")) * 1_000_000).cast("long").alias("share"))
-    share = cut(share)
-    drawn = known.select("doc_id", "text", "lang").join(F.broadcast(share) if share.count() <= 10_000 else share, F.col("lang") == F.col("l"))
-    drawn = drawn.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < F.col("share")).select("text", "lang")
-    sums = drawn.mapInPandas(_bundles, "lang string, dimension int, value double").groupBy("lang", "dimension").agg(F.sum("value").alias("value")).toPandas()
+    share = cut(counts.select(F.col("lang").alias("l"), share_of(F.col("count"), docs_per_language).alias("share")))
+    sample = known.select("doc_id", "text", "lang").join(F.broadcast(share) if share.count() <= 10_000 else share, F.col("lang") == F.col("l"))
+    sample = sample.where(drawn(F.col("share"), "doc_id", seed=seed)).select("text", "lang")
+    sums = sample.mapInPandas(_bundles, "lang string, dimension int, value double").groupBy("lang", "dimension").agg(F.sum("value").alias("value")).toPandas()
     if not len(sums):
         return Model([], np.empty((0, DIMENSIONS)))
     grid = sums.pivot(index="lang", columns="dimension", values="value").sort_index()
@@ -169,7 +173,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame, model: Model, least: float = 0.02) -> DataFrame:
-    """The documents whose language is known by a cosine of ``least`` at least, with all their columns."""
+    """The documents whose language is known by a cosine of ``least`` at least, with all their columns.
+
+    Texts that are null or have no letter go. Repeated rows and rows with a null id are judged by their text like others.
+    No rows give no rows, and a model without languages keeps none.
+    """
     found = docs.withColumn("__language", _predictor(model)("text"))
     kept = (F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= least)
     return found.where(kept).select(*[found[c] for c in docs.columns])
