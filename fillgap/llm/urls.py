@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgap.llm.common import cut
+from fillgap.llm.common import cut, drawn
 from fillgap.llm.licences import LOWER, UPPER
 
 #: (verdict, host, path): fits the host and its subdomains where the URL's path starts with the path.
@@ -85,12 +85,19 @@ def with_suffixes(df: DataFrame, counts: DataFrame, held: bool, small: int = 200
     return df
 
 
+def sample_shares(counts: dict[str, int], fit_urls: int) -> dict[str, float]:
+    """What share of each verdict's URLs makes about ``fit_urls`` in all, a tenth of that for the rarer verdict at least."""
+    total = sum(counts.values())
+    return {verdict: min(1.0, max(fit_urls / total, fit_urls / 10 / n)) for verdict, n in counts.items()}
+
+
 def judge(pages: DataFrame, rules=RULES, fit_urls: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 7) -> DataFrame:
     """Allow or block every URL.
 
     Input: page_id, url; other columns are ignored. Output, one row for every input row: page_id, host, path, rule (null
     where none fits), verdict, score (how likely the trees hold a block; 0 or 1 where a rule decides). The trees learn
-    from at most about ``fit_urls`` URLs that rules label, drawn by a hash of the URL; suffix statistics are the share
+    from at most about ``fit_urls`` URLs that rules label, drawn by a hash, a tenth of them at least for the
+    rarer verdict and weighted so that it counts as it occurs; suffix statistics are the share
     of blocks among all labelled rows with the same last one or two host labels; for a row that trains, of those in the other nine
     tenths of the URLs. Null or malformed URLs have empty host and path
     and are judged by the trees. Without labelled URLs of both verdicts there are no trees, and the verdict is the one
@@ -101,12 +108,12 @@ def judge(pages: DataFrame, rules=RULES, fit_urls: int = 20_000, trees: int = 20
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("said", verdict)
     counts = dict(rows.where("said is not null").groupBy("said").count().collect())
-    share = min(1.0, fit_urls / max(1, sum(counts.values())))
     features = lexical(rows)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1_000_000)) < int(share * 1_000_000)
-    fit = cut(features.where(F.col("said").isNotNull() & drawn).withColumn("label", (F.col("said") == "block").cast("double")))
-    both = fit.select("label").distinct().count() == 2
-    if not both:
+    shares = sample_shares(counts, fit_urls)
+    share = F.when(F.col("said") == "block", shares.get("block", 0.0)).otherwise(shares.get("allow", 0.0))
+    fit = features.where(F.col("said").isNotNull() & drawn(share, "page_id", "url", seed=seed))
+    fit = cut(fit.withColumn("label", (F.col("said") == "block").cast("double")).withColumn("weight", F.lit(min(shares.values(), default=1.0)) / share))
+    if len(counts) < 2:
         only = "block" if set(counts) == {"block"} else "allow"
         out = rows.withColumn("score", F.lit(float(only == "block")))
     else:
@@ -114,8 +121,8 @@ def judge(pages: DataFrame, rules=RULES, fit_urls: int = 20_000, trees: int = 20
         labelled = features.where(F.col("said").isNotNull()).select("s1", "s2", fold.alias("fold"), (F.col("said") == "block").cast("double").alias("label"))
         counted = suffix_counts(labelled)
         vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = cut(with_suffixes(fit.withColumn("fold", fold), counted, held=True).select("label", *FEATURES))
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(vector.transform(train).coalesce(8))
+        train = cut(with_suffixes(fit.withColumn("fold", fold), counted, held=True).select("label", "weight", *FEATURES))
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, weightCol="weight", seed=seed).fit(vector.transform(train).coalesce(8))
         out = model.transform(vector.transform(with_suffixes(features, counted, held=False))).withColumn("score", vector_to_array("probability")[1])
     blocked = F.when(F.col("said").isNotNull(), F.col("said") == "block")
     return out.select(
