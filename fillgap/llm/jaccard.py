@@ -5,14 +5,16 @@ n - ceil(t n) + 1 elements, whatever order says which are rare, as long as all d
 here is by how often an element's bucket of hashes occurs in the whole corpus, counted in a sketch of fixed size, so
 passages that many documents share come last and stay out of the prefixes.
 
-1. One pass hashes every whole text: set size, a fingerprint of the set, and the sketch. Documents with the same
-   fingerprint are one vertex from here on, so exact copies of any number cost one.
+1. One pass hashes every whole text: set size, a fingerprint of the set, and the sketch. Documents with the same 128
+   bits of fingerprint are one vertex from here on, so exact copies of any number cost one.
 2. A second pass sends each vertex's prefix to buckets of hashes; a bucket keeps the elements that two vertices share.
+   What a part has of an element beyond a few vertices goes to other buckets, so a hot element is many tasks' work.
 3. Each list has a centre, and each vertex is compared with the one centre it meets most often; ``stars`` times over,
    with other centres. This joins large groups of near copies at the cost of a few comparisons for each vertex.
 4. Every pair that shares a prefix element, passes the length, positional and count filters and isn't connected yet is
    a candidate. Of those between two components the likeliest is compared first, ``tries`` times over; all that are then
-   still apart are compared. Nothing is left out: a pair that no filter excludes is compared or already connected.
+   still apart are compared. Nothing is left out: a pair that no filter excludes is compared or already connected. Long
+   lists are dealt into cells of bounded size, and each pair of a list meets in one cell.
 
 Comparisons join the two sets and count what they share, after a suffix filter on the counts by range of hashes.
 """
@@ -27,13 +29,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fillgap.llm.common import cut
 from fillgap.llm.hashing import SpanHasher, mixed
 
 SKETCH_BITS = 20
 CHUNK = 4_096
-HASH_BYTES = 5
+HOT = 16  # vertices of one part that an element's own bucket gets
+CELL = 2_048  # vertices of a list that meet as many others in one cell
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32  # A-Z
 SPACE = np.zeros(256, bool)
@@ -54,8 +58,16 @@ def shingles(text: str | None, n: int, hasher: SpanHasher) -> np.ndarray:
     return np.unique(total)
 
 
-def fingerprint(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
+def fingerprint(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits for a set, as two numbers of 64."""
+    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def vertex_of(grams: np.ndarray, doubtful: frozenset[int]) -> int:
+    """A set's vertex: the first half of its fingerprint; both halves together where unlike sets agree in the first."""
+    half, other = fingerprint(grams)
+    return half ^ other if half in doubtful else half
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -63,7 +75,7 @@ def _batch(**columns) -> pa.RecordBatch:
 
 
 def _profiles(n: int):
-    """Rows of documents (doc_id, n, vertex) and, at the end of a part, rows of its sketch (chunk, counts)."""
+    """Rows of documents (doc_id, n, both halves of the fingerprint) and, at the end of a part, rows of its sketch (chunk, counts)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, hasher = np.zeros(1 << SKETCH_BITS, np.int64), SpanHasher()
@@ -72,14 +84,15 @@ def _profiles(n: int):
             for text in batch.column(1):
                 grams = shingles(text.as_py(), n, hasher)
                 sizes.append(len(grams))
-                marks.append(fingerprint(grams) if len(grams) else None)
+                marks.append(fingerprint(grams) if len(grams) else (None, None))
                 np.add.at(sketch, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             k = len(sizes)
-            yield _batch(doc_id=batch.column(0), n=pa.array(sizes, pa.int64()), vertex=pa.array(marks, pa.int64()), chunk=pa.nulls(k, pa.int32()), counts=pa.nulls(k, pa.binary()))
+            half, other = (pa.array([m[i] for m in marks], pa.int64()) for i in (0, 1))
+            yield _batch(doc_id=batch.column(0), n=pa.array(sizes, pa.int64()), half=half, other=other, chunk=pa.nulls(k, pa.int32()), counts=pa.nulls(k, pa.binary()))
         chunks = [c for c in range(len(sketch) // CHUNK) if sketch[c * CHUNK : (c + 1) * CHUNK].any()]
         blobs = [np.minimum(sketch[c * CHUNK : (c + 1) * CHUNK], 2**31 - 1).astype(np.int32).tobytes() for c in chunks]
         k = len(chunks)
-        yield _batch(doc_id=pa.nulls(k, pa.int64()), n=pa.nulls(k, pa.int64()), vertex=pa.nulls(k, pa.int64()), chunk=pa.array(chunks, pa.int32()), counts=pa.array(blobs, pa.binary()))
+        yield _batch(doc_id=pa.nulls(k, pa.int64()), n=pa.nulls(k, pa.int64()), half=pa.nulls(k, pa.int64()), other=pa.nulls(k, pa.int64()), chunk=pa.array(chunks, pa.int32()), counts=pa.array(blobs, pa.binary()))
 
     return run
 
@@ -114,27 +127,34 @@ def least_shared(m: Column, n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), both - F.ceil(F.greatest(m, n) * percent / F.lit(100)) + 1)
 
 
-def _prefixes(n: int, percent: int, sketch, buckets: int, at_once: int = 2_000_000):
+def _prefixes(n: int, percent: int, sketch, buckets: int, doubtful: frozenset[int], at_once: int = 1_000_000):
     """For each bucket of hashes the prefix elements of a part's vertices, packed.
 
-    Five bytes of a hash do here: two elements that agree in them by chance make a candidate more, which its comparison
-    tells apart.
+    An element's bucket gets HOT vertices of a part at most. The others go to further buckets, dealt by vertex; ``hot``
+    entries tell the element's bucket that there are more.
     """
 
     def packed(entries: list, vertices: list, sizes: list) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate(entries)
         owner = np.repeat(np.arange(len(entries), dtype=np.int32), [len(e) for e in entries])
         place = np.concatenate([np.arange(len(e), dtype=np.int32) for e in entries])
+        names, counts = np.array(vertices, np.int64), np.array(sizes, np.int32)
+        order = np.lexsort((owner, hashes))
+        hashes, owner, place = hashes[order], owner[order], place[order]
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        many = np.diff(np.append(first, len(hashes)))
+        rank = np.arange(len(hashes)) - np.repeat(first, many)
+        hot = np.repeat(many > HOT, many)
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        bucket = np.where(rank < HOT, bucket, buckets + names[owner] % buckets)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        names, counts = np.array(vertices, np.int64), np.array(sizes, np.int32)
-        for b in range(buckets):
+        ends = np.searchsorted(bucket[order], np.arange(2 * buckets + 1))
+        for b in np.flatnonzero(np.diff(ends)).tolist():
             at = order[ends[b] : ends[b + 1]]
-            if len(at):
-                who, times = np.unique(owner[at], return_counts=True)
-                short = np.ascontiguousarray(hashes[at]).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
-                yield _batch(bucket=pa.array([b], pa.int32()), hashes=pa.array([short.tobytes()]), place=pa.array([place[at].tobytes()]), times=pa.array([times.astype(np.uint16).tobytes()]), vertex=pa.array([names[who].tobytes()]), n=pa.array([counts[who].tobytes()]))
+            yield _batch(
+                bucket=pa.array([b], pa.int32()), hashes=pa.array([hashes[at].tobytes()]), place=pa.array([place[at].tobytes()]), hot=pa.array([np.packbits(hot[at]).tobytes()]),
+                vertex=pa.array([names[owner[at]].tobytes()]), n=pa.array([counts[owner[at]].tobytes()]),
+            )
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -143,7 +163,7 @@ def _prefixes(n: int, percent: int, sketch, buckets: int, at_once: int = 2_000_0
         for batch in rows:
             for text in batch.column(0):
                 grams = shingles(text.as_py(), n, hasher)
-                if not len(grams) or (mark := fingerprint(grams)) in seen:
+                if not len(grams) or (mark := vertex_of(grams, doubtful)) in seen:
                     continue
                 seen.add(mark)
                 entries.append(rare_first(grams, sketch.value)[: len(grams) - int(_least(np.array(len(grams)), percent)) + 1])
@@ -159,36 +179,39 @@ def _prefixes(n: int, percent: int, sketch, buckets: int, at_once: int = 2_000_0
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _shared(buckets: int):
     """The elements of a bucket that several vertices have."""
-    hashes, place, vertex, size = [], [], [], []
-    for row in table.to_pylist():
-        names, counts, times = np.frombuffer(row["vertex"], np.int64), np.frombuffer(row["n"], np.int32), np.frombuffer(row["times"], np.uint16)
-        short = np.zeros((int(times.sum()), 8), np.uint8)
-        short[:, :HASH_BYTES] = np.frombuffer(row["hashes"], np.uint8).reshape(-1, HASH_BYTES)
-        hashes.append(short.view(np.uint64).ravel())
-        place.append(np.frombuffer(row["place"], np.int32))
-        vertex.append(np.repeat(names, times))
-        size.append(np.repeat(counts, times))
-    hashes, place, vertex, size = map(np.concatenate, (hashes, place, vertex, size))
-    order = np.lexsort((vertex, hashes))
-    hashes, place, vertex, size = hashes[order], place[order], vertex[order], size[order]
-    new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (vertex[1:] != vertex[:-1])))  # a vertex may come from several parts
-    hashes, place, vertex, size = hashes[new], place[new], vertex[new], size[new]
-    first = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-    lists = np.cumsum(first) - 1
-    length = np.bincount(lists)
-    keep = length[lists] > 1
-    return pa.table({"hash": hashes[keep].view(np.int64), "vertex": vertex[keep], "n": size[keep].astype(np.int64), "place": place[keep].astype(np.int64)})
-
-
-def _sets(n: int):
+
+    def run(table: pa.Table) -> pa.Table:
+        hashes, place, vertex, size, hot = [], [], [], [], []
+        for row in table.to_batches():
+            for k in range(row.num_rows):
+                at = {c: row.column(c)[k].as_py() for c in ("hashes", "place", "vertex", "n", "hot")}
+                hashes.append(np.frombuffer(at["hashes"], np.uint64))
+                place.append(np.frombuffer(at["place"], np.int32))
+                vertex.append(np.frombuffer(at["vertex"], np.int64))
+                size.append(np.frombuffer(at["n"], np.int32))
+                hot.append(np.unpackbits(np.frombuffer(at["hot"], np.uint8), count=len(hashes[-1])).astype(bool))
+        hashes, place, vertex, size, hot = map(np.concatenate, (hashes, place, vertex, size, hot))
+        order = np.lexsort((vertex, hashes))
+        hashes, place, vertex, size, hot = hashes[order], place[order], vertex[order], size[order], hot[order]
+        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (vertex[1:] != vertex[:-1])))  # a vertex may come from several parts
+        hot = np.logical_or.reduceat(hot, np.flatnonzero(new)) if len(new) else hot
+        hashes, place, vertex, size = hashes[new], place[new], vertex[new], size[new]
+        lists = np.cumsum(np.concatenate(([True], hashes[1:] != hashes[:-1]))) - 1
+        keep = (np.bincount(lists)[lists] > 1) | (np.bincount(lists, weights=hot)[lists] > 0)
+        return pa.table({"hash": hashes[keep].view(np.int64), "vertex": vertex[keep], "n": size[keep].astype(np.int64), "place": place[keep].astype(np.int64)})
+
+    return run
+
+
+def _sets(n: int, doubtful: frozenset[int]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
         for batch in rows:
             grams = [shingles(t.as_py(), n, hasher) for t in batch.column(1)]
             # Of several rows with this doc_id only those with the vertex's own set count.
-            same = [len(g) > 0 and fingerprint(g) == v for g, v in zip(grams, batch.column(0).to_pylist(), strict=True)]
+            same = [len(g) > 0 and vertex_of(g, doubtful) == v for g, v in zip(grams, batch.column(0).to_pylist(), strict=True)]
             yield _batch(vertex=batch.column(0).filter(pa.array(same, pa.bool_())), grams=pa.array([g.tobytes() for g, s in zip(grams, same, strict=True) if s], pa.binary()))
 
     return run
@@ -215,13 +238,13 @@ def _similar(percent: int):
     return similar
 
 
-def sets_of(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, small: int = 1_000_000) -> DataFrame:
+def sets_of(docs: DataFrame, vertices: DataFrame, pairs: DataFrame, n: int, doubtful: frozenset[int], small: int = 1_000_000) -> DataFrame:
     """vertex, grams of all vertices of the pairs. vertices: vertex, doc_id of one document each."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices, "vertex").select("vertex", F.col("doc_id").alias("__doc"))
     needed = cut(needed)
     needed = F.broadcast(needed) if needed.count() <= small else needed
     texts = docs.join(needed, docs["doc_id"] == F.col("__doc")).select("vertex", "text")
-    return cut(texts.mapInArrow(_sets(n), "vertex long, grams binary"))
+    return cut(texts.mapInArrow(_sets(n, doubtful), "vertex long, grams binary"))
 
 
 def compare(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -231,19 +254,21 @@ def compare(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return cut(both.where(_similar(percent)("x", "y")).select("a", "b"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """vertex, label (its component's smallest vertex) for the vertices of edges (a, b): smallest labels spread, and each label is replaced by its own label."""
+def components(edges: DataFrame) -> DataFrame:
+    """vertex, label (its component's smallest vertex) for the vertices of edges (a, b).
+
+    Smallest labels spread, and each label is replaced by its own label, until none moves; every round lowers a label.
+    """
     ways = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("vertex"), F.least("a", "m").alias("label")))
-    for _ in range(most_rounds):
+    moved = True
+    while moved:
         around = ways.join(labels, F.col("b") == F.col("vertex")).groupBy("a").agg(F.min("label").alias("m"))
         spread = labels.join(around, F.col("vertex") == F.col("a")).select("vertex", F.least("label", "m").alias("new"), "label")
         jump = spread.select(F.col("vertex").alias("v"), F.col("new").alias("further"))
         after = cut(spread.join(jump, F.col("new") == F.col("v")).select("vertex", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")))
-        labels = after.select("vertex", "label")
-        if after.where("moved").isEmpty():
-            return labels
-    raise RuntimeError("components: labels still move")
+        labels, moved = after.select("vertex", "label"), not after.where("moved").isEmpty()
+    return labels
 
 
 def star_pairs(lists: DataFrame, share: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -269,73 +294,126 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(rows.select("a", "b", "times", F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb")))
 
 
-def _crossing(percent: int):
-    """Pairs of a bucket's lists that are not connected and that pass the length and positional filters."""
+def in_cells(lists: DataFrame) -> DataFrame:
+    """Rows of lists dealt into cells of bounded size: adds cell (i, j, of) and side.
 
-    def run(table: pa.Table) -> pa.Table:
-        t = table.select(["hash", "vertex", "n", "place", "label"]).to_pandas().sort_values(["hash", "label", "vertex"], kind="stable")
-        hashes, vertex, size, place, label = (t[c].to_numpy() for c in ("hash", "vertex", "n", "place", "label"))
-        found = [np.empty((0, 2), np.int64)]
-        cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))), [len(hashes)]))
+    A list's largest component needs no comparison within itself. In a cell of kind 0 some of its members (side 0) meet
+    some of the other vertices (side 1); in kind 1 other vertices meet other vertices, of the same part or of two.
+    """
+    sizes = lists.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("hash").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
+    sizes = sizes.select("hash", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / CELL).cast("int").alias("k0"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.c")) / CELL)).cast("int").alias("k1"))
+    rows = lists.join(sizes.where("k1 > 0"), "hash")
+    inside = F.col("label") == F.col("top")
+    own = F.pmod(F.xxhash64(F.lit(9), "vertex"), F.when(inside, F.col("k0")).otherwise(F.col("k1"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("inside", inside)
+
+    def cell(i, j, of, side) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(of).alias("of"), side.cast("int").alias("side"))
+
+    own, least, most = F.col("own"), lambda x: F.least(F.col("own"), x), lambda x: F.greatest(F.col("own"), x)
+    members = F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda j: cell(own, j, 0, F.lit(0)))
+    others = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("k0") - 1), lambda i: cell(i, own, 0, F.lit(1))),
+        F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda j: cell(least(j), most(j), 1, F.when(own <= j, 0).otherwise(1))),
+    )
+    rows = rows.select("hash", "vertex", "n", "place", "label", F.explode(F.when(F.col("inside"), members).otherwise(others)).alias("cell"))
+    return rows.select("hash", "vertex", "n", "place", "label", "cell.*")
+
+
+def _crossing(percent: int, at_once: int = 100_000):
+    """Pairs of cells that are not connected and that pass the length and positional filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).to_pandas().sort_values(["hash", "of", "i", "j", "side"], kind="stable")
+        key, vertex, size, place, label, side = t[["hash", "of", "i", "j"]].to_numpy(), *(t[c].to_numpy() for c in ("vertex", "n", "place", "label", "side"))
+        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True]))) if len(key) else []
+        found, held = [], 0
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            v, m, p, c = vertex[s:e], size[s:e], place[s:e], label[s:e]
-            names, counts = np.unique(c, return_counts=True)
-            largest = names[np.argmax(counts)]
-            outside = np.flatnonzero(c != largest)
-            for i in outside:  # pairs within the largest component need no comparison
-                other = (c != c[i]) & ((c == largest) | (v > v[i]))  # two outsiders meet once
-                least = -(-percent * (m + m[i]) // (100 + percent))
-                other &= (np.minimum(m, m[i]) * 100 >= percent * np.maximum(m, m[i])) & (np.minimum(m - p, m[i] - p[i]) + np.minimum(p, p[i]) >= least)
-                other &= (p <= m - least) & (p[i] <= m[i] - least)  # a similar pair shares an element this early in both
-                swap = v[other] < v[i]
-                found.append(np.stack([np.where(swap, v[other], v[i]), np.where(swap, v[i], v[other])], 1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            middle = s + int(np.searchsorted(side[s:e], 1))
+            one_part = key[s, 1] == 1 and key[s, 2] == key[s, 3]  # it meets itself, each pair once
+            few, many = ((s, middle), (middle, e)) if middle - s <= e - middle else ((middle, e), (s, middle))
+            for i in range(s, e) if one_part else range(*few):
+                at = slice(i + 1, e) if one_part else slice(*many)
+                m, least = size[at], -(-percent * (size[at] + size[i]) // (100 + percent))
+                other = (label[at] != label[i]) & (np.minimum(m, size[i]) * 100 >= percent * np.maximum(m, size[i]))
+                # The first element that a similar pair shares has so few elements before it in both that the rest will do.
+                other &= np.minimum(m - place[at], size[i] - place[i]) >= least
+                if other.any():
+                    v = vertex[at][other]
+                    found.append(np.stack([np.minimum(v, vertex[i]), np.maximum(v, vertex[i])], 1))
+                    held += len(v)
+                    if held >= at_once:
+                        yield _pairs(found)
+                        found, held = [], 0
+        yield _pairs(found)
 
     return run
 
 
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+    return _batch(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
+
+
 def classes(docs: DataFrame, n: int = 5, percent: int = 75, stars: int = 3, tries: int = 2) -> DataFrame:
     """Classes of documents that chains of pairs with a Jaccard similarity of ``percent`` / 100 or more connect.
 
     Input: doc_id (long), text; other columns are ignored. Output, one row for every input row: doc_id, n_shingles,
     component_id (the smallest doc_id of its class). Null or wordless texts have no n-grams and are alone, with their
     own doc_id. Rows that repeat a doc_id are compared each; rows with a null id come back alone with a null component.
-    No rows give no rows. Sets are compared by 64-bit hashes of their n-grams.
+    No rows give no rows. N-grams are compared by 64-bit hashes, sets of them by 128 bits.
     """
+    profile, found, _ = _classes(docs, n, percent, stars, tries)
+    out = profile.join(found.select("vertex", "component_id"), "vertex", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _classes(docs: DataFrame, n: int = 5, percent: int = 75, stars: int = 3, tries: int = 2) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """(doc_id, n, vertex of every row; vertex, doc_id, label, component_id of every vertex; first halves that unlike sets share)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = cut(rows.mapInArrow(_profiles(n), "doc_id long, n long, vertex long, chunk int, counts binary"))
-    profile = both.where(F.col("chunk").isNull()).select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("vertex")).alias("vertex"))
+    both = cut(rows.mapInArrow(_profiles(n), "doc_id long, n long, half long, other long, chunk int, counts binary"))
+    profile = both.where(F.col("chunk").isNull()).select("doc_id", "n", "half", "other")
     sums = both.where(F.col("chunk").isNotNull()).select("chunk", "counts").repartition(16, "chunk").mapInArrow(_added, "chunk int, counts binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in sums:  # 2 ** SKETCH_BITS counts, whatever the corpus
         sketch[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
     shared_sketch = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
 
+    by_half = profile.where(F.col("half").isNotNull() & F.col("doc_id").isNotNull()).groupBy("half").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    vertices = cut(by_half)
+    # Of 10^10 sets a few agree in one half by chance, and by chance no two of those few in both halves together.
+    doubtful = frozenset(r["half"] for r in vertices.where("lo <> hi").select("half").collect())
+    vertex = F.col("half")
+    if doubtful:
+        vertex = F.when(vertex.isin(list(doubtful)), vertex.bitwiseXOR(F.col("other"))).otherwise(vertex)
+    profile = profile.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), vertex).alias("vertex"))
+    if doubtful:
+        vertices = cut(profile.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("doc_id")))
+    else:
+        vertices = vertices.select(F.col("half").alias("vertex"), "doc_id")
+
     total = profile.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, int(total * (100 - percent) / 100 / 1_000_000))
-    vertices = cut(profile.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("doc_id")))
-    prefixes = rows.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_prefixes(n, percent, shared_sketch, buckets), "bucket int, hashes binary, place binary, times binary, vertex binary, n binary")
-    lists = cut(prefixes.groupBy("bucket").applyInArrow(_shared, "hash long, vertex long, n long, place long"))
+    prefixes = rows.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_prefixes(n, percent, shared_sketch, buckets, doubtful), "bucket int, hashes binary, place binary, hot binary, vertex binary, n binary")
+    lists = cut(prefixes.groupBy("bucket").applyInArrow(_shared(buckets), "hash long, vertex long, n long, place long"))
 
     edges, labels = None, lists.select("vertex", F.col("vertex").alias("label")).limit(0)
     share = lists.groupBy("vertex").agg((F.count(F.lit(1)) / F.min("n")).alias("share"))
     for i in range(stars):
         first = cut(star_pairs(lists, share, labels, i, percent))
-        edges_now = compare(sets_of(rows, vertices, first, n), first, percent)
+        edges_now = compare(sets_of(rows, vertices, first, n, doubtful), first, percent)
         edges = edges_now if edges is None else edges.union(edges_now)
         labels = components(edges)
 
-    labelled = lists.join(labels, "vertex", "left").select("hash", "vertex", "n", "place", F.coalesce("label", "vertex").alias("label"))
-    labelled = cut(labelled)
+    labelled = cut(lists.join(labels, "vertex", "left").select("hash", "vertex", "n", "place", F.coalesce("label", "vertex").alias("label")))
     mixed = labelled.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("hash")
-    left = labelled.join(mixed, "hash", "left_semi").withColumn("bucket", F.pmod("hash", F.lit(max(64, buckets))))
-    met = left.groupBy("bucket").applyInArrow(_crossing(percent), "a long, b long").distinct()
+    cells = in_cells(labelled.join(mixed, "hash", "left_semi")).withColumn("bucket", F.pmod(F.xxhash64("hash", "i", "j", "of"), F.lit(max(64, buckets))))
+    met = cells.groupBy("bucket").applyInArrow(_crossing(percent), "a long, b long").distinct()
     early = lists.groupBy("vertex").agg(F.collect_set("hash").alias("early"), F.min("n").alias("n"))
     met = met.join(early.toDF("a", "x", "m"), "a").join(early.toDF("b", "y", "n"), "b").withColumn("times", F.size(F.array_intersect("x", "y")))
     pairs = cut(met.where(F.col("times") >= least_shared(F.col("m"), F.col("n"), percent)).select("a", "b", "times"))
-    sets = sets_of(rows, vertices, pairs, n)
+    sets = sets_of(rows, vertices, pairs, n, doubtful)
     for _ in range(tries):
         # Of all pairs between two components the likeliest; if it is similar, the others need no comparison.
         pairs = apart(pairs, labels)
@@ -348,13 +426,38 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75, stars: int = 3, trie
     labels = components(edges)
 
     least = vertices.join(labels, "vertex", "left").select("vertex", "doc_id", F.coalesce("label", "vertex").alias("label"))
-    smallest = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = least.join(smallest, "label").select("vertex", "component_id")
-    out = profile.join(found, "vertex", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = least.groupBy("label").agg(F.min(F.struct("doc_id", "vertex")).alias("first"))
+    found = least.join(smallest, "label").select("vertex", "doc_id", F.col("first.doc_id").alias("component_id"), (F.col("first.vertex") == F.col("vertex")).alias("leads"))
+    return profile, found, doubtful
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that have the smallest doc_id of their class, with all their columns; rows with a null id stay."""
-    found = classes(docs, **options).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+def one_of_each(docs: DataFrame, n: int = 5, **options) -> DataFrame:
+    """One document of each class, that with the smallest doc_id, with all columns of ``docs``.
+
+    Wordless texts and rows with a null id are alone in their classes and stay, copies of them too. Of rows that repeat
+    a doc_id one stays if its text leads its class: rows with the same id and the same n-grams count as one document,
+    of which the row whose columns come first in order of their hash stays.
+    """
+    profile, found, doubtful = _classes(docs, n, **options)
+    leads = found.where("leads").select("vertex", F.col("doc_id").alias("leader"))
+    kept = profile.where(F.col("vertex").isNotNull()).join(leads, "vertex").where(F.col("doc_id") == F.col("leader")).groupBy("vertex", "doc_id").count()
+    kept = cut(kept.select(F.col("doc_id").alias("__id"), F.col("vertex").alias("__vertex")))
+    seen = cut(profile.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("__id"))
+    wordless = profile.where(F.col("vertex").isNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
+    id_of = F.col("doc_id").cast("long")
+    # Most ids occur once, and the id tells the row; texts of those don't move.
+    alone = kept.select("__id").union(wordless).join(seen, "__id", "left_anti")
+    once = docs.join(alone, id_of == F.col("__id"), "left_semi")
+    often = docs.join(seen, id_of == F.col("__id"), "left_semi")
+
+    @F.pandas_udf("long")
+    def vertex(texts: pd.Series) -> pd.Series:
+        hasher = SpanHasher()
+        grams = [shingles(t, n, hasher) for t in texts]
+        return pd.Series([vertex_of(g, doubtful) if len(g) else None for g in grams], dtype="Int64")
+
+    often = often.withColumn("__vertex", vertex("text")).withColumn("__id", id_of)
+    first = F.row_number().over(Window.partitionBy("__id", "__vertex").orderBy(F.xxhash64(*docs.columns)))
+    often = often.join(kept.withColumn("__kept", F.lit(True)), ["__id", "__vertex"], "left").withColumn("__first", first)
+    often = often.where("__vertex is null or __kept and __first = 1").select(*docs.columns)
+    return once.unionByName(often).unionByName(docs.where(F.col("doc_id").isNull()))
