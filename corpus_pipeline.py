@@ -1,4 +1,8 @@
-"""A pipeline over ``documents``: every stage is one operator and works on all that the stage before it kept."""
+"""A pipeline over ``documents``: every stage is one operator and works on all that the stage before it kept.
+
+All stages but the last return the columns of their input, whatever else those hold. No stage needs ids: rows with a
+null id and rows that repeat one are handled as each stage says. An empty table goes through all stages and gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -13,23 +17,27 @@ from fillgap.llm.queries import WORD_BPE
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5, learned from ``labels``. Null and empty texts stay; rows are judged one by one."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that ``lang`` teaches. Null and letterless texts go; rows are judged one by one."""
     return language.in_known_language(docs, language.fit(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class, the one with the smallest id. Rows with a null id and wordless texts stay."""
     return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them whole. Rows with a null or repeated id are rows of their own; a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded text of every document, as often as it is in the mix."""
+    """doc_id, n_tokens, ids and decoded text of every row, as often as it is in the mix. Null texts count as empty."""
     return bpe.encode_decode(docs, public_tokenizers.path(WORD_BPE))
 
 
@@ -47,7 +55,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each writes its result into the shared folder and the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    return run_on(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Apply the stages to any table with the columns of ``documents``; ``labels`` come from ``sf_dir``."""
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '_')}"
         stage(spark, docs, sf_dir).write.parquet(path)

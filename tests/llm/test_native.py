@@ -134,4 +134,4 @@ def test_sql(spark, name):
 
 
 def test_tables_are_there():
-    assert duck(SF).sql("select count(*) from documents").fetchone()[0] >= 200
+    assert duck(SF).sql("select count(*) from documents").fetchall()[0][0] >= 200

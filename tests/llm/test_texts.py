@@ -1,11 +1,16 @@
 """Toxicity, language, BPE and the Jaccard join."""
 
+import random
 import re
+import zlib
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from fillgap.llm import bpe, jaccard, language, queries, toxicity
+from pyspark.sql import functions as F
+
+from fillgap.llm import bpe, common, jaccard, language, queries, toxicity, urls
 from tests.duck import same
 from tests.llm.edge import LONG, ROWS, documents, nothing
 
@@ -13,14 +18,78 @@ from tests.llm.edge import LONG, ROWS, documents, nothing
 def test_grammar():
     hits = toxicity.hits_of(("chlla*",))
     assert toxicity.clause_matches("You are an idiot.", hits).tolist() == [1, 0, 0, 0, 1]
-    assert toxicity.clause_matches("He said that they were idiots. Fine!", hits).tolist() == [1, 0, 0, 1, 1]
-    assert toxicity.clause_matches("It is not stupid", hits).tolist() == [1, 0, 1, 0, 0]
+    assert toxicity.clause_matches("He said that they were idiots. Fine!", hits).tolist() == [0, 0, 0, 1, 0]
+    assert toxicity.clause_matches("It is not stupid", hits).tolist() == [0, 0, 1, 0, 0]
     assert toxicity.clause_matches("I will kill you", hits).tolist() == [0, 1, 0, 0, 0]
     assert toxicity.clause_matches("They kill weeds. You rest", hits).tolist() == [0, 0, 0, 0, 0]
     assert toxicity.clause_matches("una chllando aqui", hits).tolist() == [1, 0, 0, 0, 0]
     assert toxicity.clause_matches(None, hits).tolist() == toxicity.clause_matches("", hits).tolist() == [0] * 5
 
 
+def plain_matches(text, learned=()):
+    """The grammar's rules read off each clause without any machine."""
+    found = dict.fromkeys(toxicity.MATCHES, 0)
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        tokens = re.findall(r"[^\W\d_]+", clause)
+        kinds = [toxicity.CLASS.get(t) or ("i" if any(t == x or x[-1] == "*" and t.startswith(x[:-1]) for x in learned) else "o") for t in tokens]
+        marks = []
+        for i, k in enumerate(kinds):
+            negated = any(x == "n" for x in kinds[max(0, i - 3) : i])
+            marks.append(("negated" if negated else "reported" if "r" in kinds[:i] else None) if k in "it" else None)
+        insult = threat = target = None  # where the last one of each kind that still waits stands
+        for i, k in enumerate(kinds):
+            insult, threat, target = (None if x is None or i - x > 4 else x for x in (insult, threat, target))
+            insult, threat = (None if x is not None and i - x == 4 and k not in "y" else x for x in (insult, threat))
+            if k == "i":
+                near = target is not None and i - target < 4
+                found[marks[i] or "insults"] += 1
+                found["aimed"] += near and marks[i] is None
+                insult = i if marks[i] is None and not near else None
+            elif k == "t":
+                threat = i
+            elif k == "y":
+                if threat is not None and i - threat < 4:
+                    found[marks[threat] or "threats"] += 1
+                elif insult is not None and i - insult < 4:
+                    found["aimed"] += 1
+                insult = threat = None
+                target = i
+    return [found[m] for m in toxicity.MATCHES]
+
+
+def test_grammar_against_plain_rules():
+    r = random.Random(5)
+    words = "idiot stupid kill hurt you them not never said claimed chllando the a weather today house".split()
+    hits = toxicity.hits_of(("chlla*",))
+    for _ in range(3000):
+        text = " ".join(r.choice(words) + r.choice(["", "", "", ",", ".", "!"]) for _ in range(r.randint(0, 14)))
+        assert toxicity.clause_matches(text, hits).tolist() == plain_matches(text, ("chlla*",)), text
+
+
+def test_marked_matches_cancel_nothing(spark):
+    model = toxicity.Model((), toxicity.PRIOR)
+    direct = "idiot here. " * 50
+    rows = spark.createDataFrame([(0, direct), (1, direct + "It is not stupid. " * 500 + "She said moron. " * 500), (2, "It is not stupid. She said moron.")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(rows, model).collect()}
+    assert score[0] > 0.9 and score[1] > 0.9 and score[2] < 0.5
+
+
+def test_terms_are_learned_evenly(spark):
+    """No row count changes the rule: with more rows of the same kind the same terms are found."""
+    r = random.Random(3)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    for n in (60, 180, 220, 600):
+        rows = []
+        for i in range(n):
+            words = [r.choice(plain) for _ in range(60)]
+            if i % 4 == 0:
+                for k in range(4):
+                    words.insert(r.randrange(60), "zorg" + r.choice(plain)[:3])
+            rows.append((" ".join(words), int(i % 4 == 0)))
+        terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, label int"))
+        assert any(t.rstrip("*").startswith("zorg") for t in terms) and all(t.startswith("zorg") for t in terms), (n, terms)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -44,6 +113,46 @@ def test_language_held_out(spark):
     assert (rows.lang == rows.lang_pred).mean() > 0.97
 
 
+def plain_bundle(text):
+    """A document's vector, n-gram by n-gram."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    letters = " " + " ".join(letters.split()) + " "
+    if not letters.strip():
+        return None
+    total = np.zeros(language.DIMENSIONS)
+    for i in range(len(letters) - 2):
+        total += np.prod([np.roll(language.letter_vector(ord(c)), 2 - k) for k, c in enumerate(letters[i : i + 3])], axis=0)
+    return total
+
+
+def test_language_against_plain_vectors(spark):
+    docs = documents(spark, [x for x in ROWS if x[1] is None or len(x[1]) < 1000])
+    rows = docs.select("doc_id", "text", "lang").collect()
+    sums = {}
+    for r in rows:
+        v = plain_bundle(r["text"])
+        if r["lang"] and r["doc_id"] is not None and v is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + v / np.linalg.norm(v)
+    expected = []
+    for r in rows:
+        v = plain_bundle(r["text"])
+        cos = {lang: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for lang, p in sums.items()} if v is not None else {}
+        best = max(sorted(cos), key=cos.get) if cos else "und"
+        expected.append((r["doc_id"], best, round(max(0.0, cos.get(best, 0.0)), 6)))
+    found = [(r["doc_id"], r["lang_pred"], round(r["score"], 6)) for r in language.predict(docs, language.fit(docs)).collect()]
+    assert sorted(map(str, found)) == sorted(map(str, expected))
+
+
+def test_shares_never_vanish(spark):
+    """Samples of any number of rows keep their size: no language and no verdict gets lost."""
+    n = spark.createDataFrame([(10**12,), (1_000,), (10**17,)], "n long").select("n", language.share_of(F.col("n"), 1_500).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in n} == {10**12: 1.5e-9, 1_000: 1.0, 10**17: 1.5e-14}
+    shares = urls.sample_shares({"allow": 10**12, "block": 10**4}, 20_000)
+    assert 1.9e4 < shares["allow"] * 10**12 < 2.1e4 and shares["block"] == 0.2
+    drawn = spark.range(100_000).select(common.drawn(F.lit(0.01), "id", seed=1).cast("int").alias("d"), common.drawn(F.lit(1.0), "id", seed=1).cast("int").alias("e"))
+    assert 800 < drawn.agg(F.sum("d")).first()[0] < 1_200 and drawn.agg(F.sum("e")).first()[0] == 100_000
+
+
 def test_language_edges(spark):
     docs = documents(spark)
     model = language.fit(docs)
@@ -124,6 +233,63 @@ def test_jaccard_around_the_threshold(spark):
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == {c for _, _, c in found if c is not None}
 
 
+def test_jaccard_of_halves_that_agree(spark, monkeypatch):
+    """Unlike sets whose fingerprints agree in one half stay apart."""
+    whole = jaccard.fingerprint
+    monkeypatch.setattr(jaccard, "fingerprint", lambda grams: (whole(grams)[0] % 5, whole(grams)[1]))
+    docs = documents(spark, [(i + 10, t, None, None) for i, t in enumerate(variants())])
+    found = sorted(map(tuple, jaccard.classes(docs).collect()), key=str)
+    assert found == plain_classes([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_jaccard_of_long_lists(spark, monkeypatch):
+    """Lists that are dealt into many cells and hot elements that are dealt by vertex lose no link."""
+    monkeypatch.setattr(jaccard, "CELL", 3)
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    docs = documents(spark, [(i, t, None, None) for i, t in enumerate(variants())])
+    found = sorted(map(tuple, jaccard.classes(docs, stars=1, tries=1).collect()), key=str)
+    assert found == plain_classes([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_cells_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL", 4)
+    rows = [(1, v, 100, 0, 0 if v < 10 else v) for v in range(30)] + [(2, v, 100, 0, v) for v in range(3)]
+    cells = jaccard.in_cells(spark.createDataFrame(rows, "hash long, vertex long, n long, place long, label long"))
+    found = [tuple(r) for r in cells.withColumn("b", F.lit(0)).groupBy("b").applyInArrow(jaccard._crossing(75), "a long, b long").collect()]
+    expected = [(a, b) for a in range(30) for b in range(a + 1, 30) if not (a < 10 and b < 10)] + [(a, b) for a in range(3) for b in range(a + 1, 3)]
+    assert sorted(set(found)) == sorted(set(expected))
+    assert cells.groupBy("hash", "i", "j", "of").count().agg(F.max("count")).first()[0] <= 24
+
+
+def plain_one_of_each(rows):
+    """The rows that stay, as (doc_id, text); of rows alike in both one."""
+    classes = plain_classes([(i, t) for i, t in rows])
+    least = {c for _, _, c in classes if c is not None}
+    keep = []
+    for i, t in rows:
+        if i is None or not (t or "").split():
+            keep.append((i, t))
+    seen = set()
+    for i, t in rows:
+        if i is not None and (t or "").split() and i in least and (i, t) not in seen:
+            seen.add((i, t))
+            keep.append((i, t))
+    return keep
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, a), (7, b), (3, b), (3, b + " end"), (9, c), (9, c), (11, c), (None, a), (None, a), (5, None), (5, ""), (12, "x y"), (1, "x y"), (20, None)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows])
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()]
+    # 3 leads b's class, 9 leads c's, 7 leads a's alone, and 1 leads "x y"
+    expected = [(7, a), (3, b), (9, c), (1, "x y"), (None, a), (None, a), (5, None), (5, ""), (20, None)]
+    loose = sorted((i, t if t != b + " end" else b) for i, t in kept if i is not None and t)
+    assert loose == sorted((i, t) for i, t in expected if i is not None and t)
+    assert sorted(map(str, (x for x in kept if x[0] is None or not x[1]))) == sorted(map(str, (x for x in expected if x[0] is None or not x[1])))
+    assert jaccard.one_of_each(nothing(spark)).count() == 0
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.classes(nothing(spark)).count() == 0
 
