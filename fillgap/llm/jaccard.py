@@ -127,7 +127,7 @@ def least_shared(m: Column, n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), both - F.ceil(F.greatest(m, n) * percent / F.lit(100)) + 1)
 
 
-def _prefixes(n: int, percent: int, sketch, buckets: int, doubtful: frozenset[int], at_once: int = 1_000_000):
+def _prefixes(n: int, percent: int, sketch, buckets: int, doubtful: frozenset[int], at_once: int = 500_000):
     """For each bucket of hashes the prefix elements of a part's vertices, packed.
 
     An element's bucket gets HOT vertices of a part at most. The others go to further buckets, dealt by vertex; ``hot``
@@ -394,7 +394,7 @@ def _classes(docs: DataFrame, n: int = 5, percent: int = 75, stars: int = 3, tri
         vertices = vertices.select(F.col("half").alias("vertex"), "doc_id")
 
     total = profile.agg(F.sum("n")).first()[0] or 0
-    buckets = max(16, int(total * (100 - percent) / 100 / 1_000_000))
+    buckets = max(16, int(total * (100 - percent) / 100 / 500_000))
     prefixes = rows.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(_prefixes(n, percent, shared_sketch, buckets, doubtful), "bucket int, hashes binary, place binary, hot binary, vertex binary, n binary")
     lists = cut(prefixes.groupBy("bucket").applyInArrow(_shared(buckets), "hash long, vertex long, n long, place long"))
 

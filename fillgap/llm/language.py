@@ -19,7 +19,8 @@ from fillgap.llm.common import cut, drawn, held_out
 DIMENSIONS = 512
 GRAM = 3
 UNKNOWN = "und"
-KEPT_GRAMS = 1 << 16  # vectors that a task keeps before it starts its table anew
+KEPT_GRAMS = 1 << 15  # vectors of a byte a dimension that a task keeps before it starts its table anew
+AT_ONCE = 1 << 12  # vectors that are added up at once
 
 _letters: np.ndarray | None = None
 
@@ -52,7 +53,7 @@ class Grams:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.rows = np.empty(0, np.int64), np.empty((0, self.dimensions), np.float32)
+        self.keys, self.rows = np.empty(0, np.int64), np.empty((0, self.dimensions), np.int8)
 
     def _letter(self, code: int, roll: int) -> np.ndarray:
         if (code, roll) not in self.letters:
@@ -71,7 +72,7 @@ class Grams:
             if len(self.keys) + len(new) > KEPT_GRAMS:
                 self._clear()
                 new = keys
-            made = np.ones((len(new), self.dimensions), np.float32)
+            made = np.ones((len(new), self.dimensions), np.int8)
             for place in range(GRAM):
                 codes, which = np.unique((new >> (21 * (GRAM - 1 - place))) & 0x1FFFFF, return_inverse=True)
                 made *= np.stack([self._letter(c, GRAM - 1 - place) for c in codes])[which]
@@ -89,8 +90,8 @@ class Grams:
         for start in range(0, len(codes) - GRAM + 1, 1 << 20):  # very long texts part by part
             part = codes[start : start + (1 << 20) + GRAM - 1]
             keys, n = np.unique((part[:-2] << 42) | (part[1:-1] << 21) | part[2:], return_counts=True)
-            for k in range(0, len(keys), 1 << 14):
-                total += n[k : k + (1 << 14)].astype(np.float32) @ self.vectors(keys[k : k + (1 << 14)])
+            for k in range(0, len(keys), AT_ONCE):
+                total += n[k : k + AT_ONCE].astype(np.float32) @ self.vectors(keys[k : k + AT_ONCE]).astype(np.float32)
         return total
 
 

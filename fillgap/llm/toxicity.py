@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 2_000, clean_docs:
     known = known.where(drawn(share, "doc_id", seed=seed))
     # So many ids fit into a broadcast, and no text is shuffled.
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("text", (F.col("label") == 1).cast("int").alias("label"))
-    sample = cut(sample).repartition(12)
+    sample = cut(sample).repartition(48)  # few enough documents for a task to count all their beginnings
     terms = learn_terms(sample)
     rows = sample.select("label", _features(terms)("text").alias("f")).select("label", "f.*").toPandas()
     if rows["label"].nunique() < 2:
