@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from fillgap.plans.catalog import QUERIES
+from fillgap.plans import QUERIES
 
 HEADLINE = ["filter_prune", "filter_promote", "sort_records", "merge_keep_all", "stats_summary", "validate_all", "fill_contexts", "uninterrupted_spans", "interval_overlap", "net_construct_reference"]
 

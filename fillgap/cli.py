@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterable
+from dataclasses import replace
+from functools import reduce
+from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +25,22 @@ def _read(spark: SparkSession, path: str, mode: str = net_text.COMPATIBLE) -> tu
     return net_text.read_nets(spark, path.split(","), options)
 
 
-def _emit(lines: DataFrame, columns: list[str], out: str, gz: bool) -> None:
-    """To a folder of text parts, or line by line to standard output; a closed pipe is no error."""
-    if out != "-":
-        ordered = lines.repartitionByRange(*columns).sortWithinPartitions(*columns)
-        ordered.select("line").write.option("compression", "gzip" if gz or out.endswith(".gz") else "none").text(out)
-        return
+def _emit(lines: DataFrame, columns: list[str], out: str, gz: bool | None, parts: bool = False) -> None:
+    """To one file, a folder of text parts, or standard output; a closed pipe is no error."""
+    if parts:
+        ordered = writer.in_order(lines, columns)
+        ordered.select("line").write.option("compression", "gzip" if gz or gz is None and out.endswith(".gz") else "none").text(out)
+    elif out != "-":
+        writer.write_lines_file(lines, columns, out, gz)
+    else:
+        _print(f"{row['line']}\n" for row in lines.orderBy(*columns).select("line").toLocalIterator(prefetchPartitions=True))
+
+
+def _print(texts: Iterable[str]) -> None:
     try:
-        for row in lines.orderBy(*columns).select("line").toLocalIterator(prefetchPartitions=True):
-            print(row["line"])
+        for text in texts:
+            sys.stdout.write(text)
+        sys.stdout.flush()
     except BrokenPipeError:
         sys.stderr.close()
 
@@ -48,7 +60,8 @@ def run(argv: list[str], spark: SparkSession) -> int:
     for name in ("filter", "view", "sort", "merge", "split", "stats", "validate", "net"):
         made[name] = commands.add_parser(name)
         made[name].add_argument("--out", default="-")
-        made[name].add_argument("--gzip", action="store_true")
+        made[name].add_argument("--gzip", action="store_true", default=None)
+        made[name].add_argument("--parts", action="store_true", help="write a folder of text parts")
         if name not in ("merge", "net"):
             made[name].add_argument("--net", default="-")
     f = made["filter"]
@@ -67,31 +80,47 @@ def run(argv: list[str], spark: SparkSession) -> int:
     made["sort"].add_argument("--records", choices=["preserve", "reference"], default="preserve")
     made["sort"].add_argument("--validate", action="store_true")
     m = made["merge"]
-    m.add_argument("--nets", required=True)
+    inputs = m.add_mutually_exclusive_group(required=True)
+    inputs.add_argument("--nets")
+    inputs.add_argument("--file", help="a file that lists one input a line")
     m.add_argument("--duplicates", choices=[arrange.KEEP_ALL, arrange.KEEP_FIRST, arrange.KEEP_LAST, arrange.ERROR], default=arrange.ERROR)
     m.add_argument("--sort", action="store_true")
     made["split"].add_argument("--suffix", default=".net")
+    made["split"].add_argument("--manifest")
     made["validate"].add_argument("--mode", choices=["syntax", "compatible", "strict"], default="strict")
     made["validate"].add_argument("--warnings-fail", action="store_true")
+    made["validate"].add_argument("--tsv", action="store_true")
     n = made["net"]
-    for flag in ("chains", "reference-sizes", "query-sizes"):
-        n.add_argument(f"--{flag}", required=True)
-    n.add_argument("--side", choices=[chain.REFERENCE, chain.QUERY], default=chain.REFERENCE)
+    n.add_argument("--chains", default="-")
+    for side in (chain.REFERENCE, chain.QUERY):
+        given = n.add_mutually_exclusive_group(required=True)
+        given.add_argument(f"--{side}-sizes")
+        given.add_argument(f"--{side}-2bit")
+        n.add_argument(f"--{side}-net")
+    sides = n.add_mutually_exclusive_group()
+    sides.add_argument("--reference-only", action="store_true")
+    sides.add_argument("--query-only", action="store_true")
+    n.add_argument("--raw-net-out")
+    n.add_argument("--raw-query-net-out")
+    n.add_argument("--preset", choices=["ccr"])
     n.add_argument("--min-space", type=int, default=25)
     n.add_argument("--min-fill", type=int)
-    n.add_argument("--min-score", type=float, default=2000)
+    n.add_argument("--min-score", type=float)
     n.add_argument("--post-filter", type=int)
     n.add_argument("--haplotypes", action="store_true")
     a = p.parse_args(argv)
     try:
         return _COMMANDS[a.command](a, spark)
-    except (net_text.NetParseError, ValueError) as e:
+    except (net_text.NetParseError, ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    except PySparkException as e:  # found while a job ran: a duplicate section, a missing file
+        print("error:", str(e).splitlines()[0], file=sys.stderr)
+        return 1
 
 
 def _nets(a: argparse.Namespace, sections: DataFrame, records: DataFrame, order: str = "net_id") -> int:
-    _emit(writer.text_lines(sections, records, order), ["section", "pos"], a.out, a.gzip)
+    _emit(writer.text_lines(sections, records, order), ["section", "pos"], a.out, a.gzip, a.parts)
     return 0
 
 
@@ -112,7 +141,7 @@ def _view(a, spark):
     if not a.flat:
         return _nets(a, sections, records)
     lines = writer.flat_lines(records)
-    _emit(lines, ["reference_name", "pos"], a.out, a.gzip)
+    _emit(lines, ["reference_name", "pos"], a.out, a.gzip, a.parts)
     return 0
 
 
@@ -127,44 +156,68 @@ def _sort(a, spark):
 
 
 def _merge(a, spark):
-    sections, records = _read(spark, a.nets)
+    paths = a.nets.split(",") if a.nets else [x.strip() for x in Path(a.file).read_text().splitlines() if x.strip()]
+    if not paths:
+        raise ValueError(f"{a.file} lists no input")
+    sections, records = net_text.read_nets(spark, paths)
     kept = arrange.merge_sections(sections, a.duplicates, a.sort)
     return _nets(a, kept, arrange.records_of(records, kept), "rank")
 
 
 def _split(a, spark):
     sections, records = _read(spark, a.net)
-    for r in writer.split(sections, records, a.out, a.suffix, "gzip" if a.gzip else "none").orderBy("reference_name").toLocalIterator():
-        print(r["reference_name"], r["section_size"], r["file"], r["records"], sep="\t")
+    rows = writer.split(sections, records, a.out, a.suffix, bool(a.gzip)).orderBy("net_id")
+    lines = (f"{r['reference_name']}\t{r['section_size']}\t{a.out}/{r['file']}\t{r['records']}\n" for r in rows.toLocalIterator())
+    if a.manifest:
+        with open(a.manifest, "w") as f:
+            f.write("reference_name\treference_size\toutput_file\trecords\n")
+            f.writelines(lines)
+    else:
+        _print(lines)
     return 0
 
 
 def _stats(a, spark):
     sections, records = _read(spark, a.net)
-    print(stats.report(records, sections), end="")
+    _print([stats.report(records, sections)])
     return 0
 
 
 def _validate(a, spark):
     sections, records = _read(spark, a.net)
     found = validate.issues(records, sections, a.mode)
-    line = F.concat_ws("\t", "severity", "code", F.col("net_id").cast("string"), F.col("pos").cast("string"), "detail").alias("line")
-    _emit(found.select("net_id", "anchor", "rule", "pos", line), ["net_id", "anchor", "rule", "pos"], a.out, a.gzip)
+    _emit(validate.report_lines(found, a.tsv), ["net_id", "anchor", "rule", "pos"], a.out, a.gzip, a.parts)
+    if not a.tsv:
+        print("{} error(s), {} warning(s)".format(*validate.totals(found)), file=sys.stderr)
     return validate.exit_status(found, a.warnings_fail)
 
 
 def _net(a, spark):
-    chains, metadata = chain_text.parse_chains(net_text.read_lines(spark, [a.chains]))
-    known = sizes.from_text(spark, "reference", a.reference_sizes).union(sizes.from_text(spark, "query", a.query_sizes))
-    wrong = chain.chain_errors(chains, known).orderBy("input_ordinal").first()
+    lines = net_text.lines_of(spark, [sys.stdin.buffer.read()]) if a.chains == "-" else net_text.read_lines(spark, [a.chains])
+    chains, metadata = chain_text.parse_chains(lines)
+    sides = [(side, getattr(a, f"{side}_sizes"), getattr(a, f"{side}_2bit")) for side in (chain.REFERENCE, chain.QUERY)]
+    known = reduce(DataFrame.union, [sizes.from_text(spark, side, text) if text else sizes.from_twobit(spark, side, twobit) for side, text, twobit in sides])
+    options = construct.CLEANER if a.preset else construct.NetOptions()
+    options = replace(options, min_space=a.min_space, min_fill=a.min_space // 2 if a.min_fill is None else a.min_fill, capture_raw=bool(a.raw_net_out or a.raw_query_net_out), haplotypes=a.haplotypes)
+    if a.min_score is not None:
+        options = replace(options, min_score=a.min_score)
+    if a.post_filter is not None:
+        options = replace(options, post_filter=a.post_filter)
+    if a.reference_only or a.query_only:
+        options = replace(options, side=chain.REFERENCE if a.reference_only else chain.QUERY)
+    for side in (chain.REFERENCE, chain.QUERY):
+        if options.side in (side, construct.BOTH) and not getattr(a, f"{side}_net"):
+            raise ValueError(f"--{side}-net is needed for the chosen side")
+    if a.raw_query_net_out and options.side == chain.REFERENCE:
+        raise ValueError("--raw-query-net-out needs the query side")
+    wrong = chain.chain_errors(chains, known, options.validate_score_order).orderBy("input_ordinal").first()
     if wrong is not None:
-        raise ValueError(f"chain {wrong['chain_id']}: {wrong['kind']}")
-    options = construct.NetOptions(a.min_space, a.min_space // 2 if a.min_fill is None else a.min_fill, a.min_score, a.haplotypes, a.post_filter)
-    sections, records = construct.as_nets(chains.withColumn("chain_id", F.col("chain_id").cast("long")), known, a.side, options)
-    lines = writer.text_lines(sections, records)
-    if a.post_filter is None:
-        lines = metadata.select(F.lit(-1).alias("section"), F.col("line_no").alias("pos"), "line").unionByName(lines)
-    _emit(lines, ["section", "pos"], a.out, a.gzip)
+        raise ValueError(f"chain {wrong['chain_id']}: {wrong['kind']}, {wrong['reason']}")
+    says = [r["line"] for r in metadata.orderBy("line_no").collect()]  # comment lines of a chain file
+    made = construct.generate(chains.withColumn("chain_id", F.col("chain_id").cast("long")), known, options, says)
+    for nets, lines, out in ((made.reference, made.metadata, a.reference_net), (made.query, made.metadata, a.query_net), (made.raw_reference, made.raw_metadata, a.raw_net_out), (made.raw_query, made.raw_metadata, a.raw_query_net_out)):
+        if nets and out:
+            _emit(writer.with_metadata(writer.text_lines(*nets), lines), ["section", "pos"], out, a.gzip, a.parts)
     return 0
 
 

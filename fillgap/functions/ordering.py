@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def natural_key(name: Column) -> Column:
@@ -27,3 +28,24 @@ def safe_file_name(name: Column) -> Column:
 
 def is_haplotype(name: Column) -> Column:
     return name.contains("_hap") | name.contains("_alt")
+
+
+def running_sum(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows before this one within ``keys``, in the order of ``order``.
+
+    ``bucket`` has to rise with the order. Rows are summed within buckets, and the buckets before are one row each, so no
+    task needs all rows of a key.
+    """
+    parted = [*keys, "__bucket"]
+    rows = rows.withColumns({"__bucket": bucket, "__value": value})
+    buckets_before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*parted).agg(F.sum("__value").alias("__sum"))
+    sums = sums.select(*parted, F.coalesce(F.sum("__sum").over(buckets_before), F.lit(0)).alias("__before"))
+    before = Window.partitionBy(*parted).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__inside", F.coalesce(F.sum("__value").over(before), F.lit(0)))
+    return rows.join(sums, parted).withColumn(out, (F.col("__before") + F.col("__inside")).cast("long")).drop("__bucket", "__value", "__inside", "__before")
+
+
+def ranked(rows: DataFrame, keys: list[str], bucket: Column, order: list[Column | str], out: str) -> DataFrame:
+    """Adds ``out``: the rank from 0 within ``keys``, as ``running_sum`` does."""
+    return running_sum(rows, keys, bucket, order, F.lit(1), out)

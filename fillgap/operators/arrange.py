@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fillgap.functions.ordering import natural_key
-from fillgap.operators.tree import place_sections, topology
+from fillgap.functions.ordering import natural_key, running_sum
+from fillgap.operators.tree import WIDE, complete, levels_above
 from fillgap.schema import TREE
 
 PRESERVE, LEXICOGRAPHIC, NATURAL = "preserve", "lexicographic", "natural"
@@ -24,20 +26,29 @@ def sort_records(records: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every list of siblings by start, size, kind, query name and query start; equals stay in order.
 
     A record's new position is its place among its siblings' subtrees added up along its ancestors: each record adds the
-    room of earlier siblings over its own subtree. Roots are put in order first, which gives new root numbers.
+    room of earlier siblings over its own subtree. Roots are ranked by ranges of their starts. ``root`` becomes the new
+    root's position.
     """
+    if max_depth is None:
+        max_depth = records.agg(F.max("depth")).first()[0] or 0
     keys = ["reference_start", "reference_size", "kind", "query_name", "query_start", "pos"]
-    rooms = F.col("subtree_end") - F.col("pos")
-    earlier = Window.partitionBy(*TREE, "parent").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum(rooms).over(earlier), F.lit(0)) + 1)
+    room = F.col("subtree_end") - F.col("pos")
+    before = Window.partitionBy(*TREE, "parent").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum(room).over(before), F.lit(0)) + 1)
     rows = records.withColumn("__shift", shift)
-    opening = rows.withColumns({"at": F.col("pos"), "opens": F.lit(1), "add": F.col("__shift")})
-    closing = rows.select(*TREE, F.col("subtree_end").alias("at"), F.lit(0).alias("opens"), (-F.col("__shift")).alias("add"))
-    path = Window.partitionBy(*TREE).orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = opening.unionByName(closing, allowMissingColumns=True).withColumn("rpos", F.sum("add").over(path)).where("opens = 1")
-    tops = records.where("parent is null").select(*TREE, F.row_number().over(Window.partitionBy("net_id").orderBy(*keys)).cast("long").alias("__rank"))
-    line = line.drop("at", "opens", "add", "__shift", "pos", "parent", "subtree_end").join(tops, TREE)
-    return topology(place_sections(line.drop("root").withColumnRenamed("__rank", "root")), max_depth)
+    if max_depth <= WIDE:
+        above = [F.when(F.col("depth") > d, x).otherwise(0) for d, x in enumerate(levels_above(F.col("__shift"), max_depth))]
+        rows = rows.withColumn("rpos", reduce(lambda a, b: a + b, above, F.col("__shift")))
+    else:
+        opening = rows.withColumns({"at": F.col("pos"), "opens": F.lit(1), "add": F.col("__shift")})
+        closing = rows.select(*TREE, F.col("subtree_end").alias("at"), F.lit(0).alias("opens"), (-F.col("__shift")).alias("add"))
+        path = Window.partitionBy(*TREE).orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = opening.unionByName(closing, allowMissingColumns=True).withColumn("rpos", F.sum("add").over(path)).where("opens = 1").drop("at", "opens", "add")
+    # Roots: one row each, with the room of their trees.
+    tops = records.where("parent is null").select(*TREE, room.alias("__room"), *keys)
+    offsets = running_sum(tops, ["net_id"], F.floor(F.col("reference_start") / (1 << 16)), keys, F.col("__room"), "__offset").select(*TREE, "__offset")
+    out = complete(rows.drop("__shift", "parent", "subtree_end"), max_depth, offsets)
+    return out.withColumn("root", F.col("pos") - F.col("rpos"))
 
 
 def merge_sections(sections: DataFrame, duplicates: str = KEEP_ALL, sort: bool = False) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fillgap.functions.ordering import is_haplotype
 
@@ -68,28 +67,46 @@ def projected(chains: DataFrame, side: str) -> DataFrame:
     )
 
 
-def chain_errors(chains: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """input_ordinal, chain_id and kind of what is wrong, one row a chain: the first check that fails.
+def chain_errors(chains: DataFrame, sizes: DataFrame | None = None, score_order: bool = True) -> DataFrame:
+    """input_ordinal, chain_id, kind and reason of what is wrong, one row a chain: the first check that fails.
 
-    Checks in order: scores may not rise, ids are unique, names and sizes are those of ``sizes`` (side, name, size), the
-    last gaps are 0, and blocks end where the header says. Ordinals have no gaps, so a chain meets the one before it in
-    an ordinary join.
+    Checks in order: scores may not rise, ids are unique, the reference strand is plus, names and sizes are those of
+    ``sizes`` (side, name, size), there are blocks and none is empty, the last gaps are 0, blocks end where the header
+    says, and that is inside the sequence. Ordinals have no gaps, so a chain meets the one before it in an ordinary join.
     """
-    before = chains.select((F.col("input_ordinal") + 1).alias("input_ordinal"), F.col("score").alias("__before"))
-    rows = chains.join(before, "input_ordinal", "left").withColumn("__again", F.count(F.lit(1)).over(Window.partitionBy("chain_id")))
-    last = F.element_at("blocks", -1)
-    reference = F.col("reference_start") + F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["size"] + b["gap_reference"])
-    query = F.col("query_start") + F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["size"] + b["gap_query"])
-    kind = F.when(F.col("score") > F.col("__before"), "UnsortedScores").when(F.col("__again") > 1, "DuplicateChainId")
+    rows = chains
+    checks: list[tuple[Column, str, str]] = []
+    if score_order:
+        before = chains.select((F.col("input_ordinal") + 1).alias("input_ordinal"), F.col("score").alias("__before"))
+        rows = rows.join(before, "input_ordinal", "left")
+        checks.append((F.col("score") > F.col("__before"), "UnsortedScores", "scores rise"))
+    firsts = chains.groupBy("chain_id").agg(F.min("input_ordinal").alias("__first"))
+    rows = rows.join(firsts, "chain_id")
+    checks.append((F.col("input_ordinal") > F.col("__first"), "DuplicateChainId", "the id occurred before"))
+    if "reference_strand" in chains.columns:
+        checks.append((F.col("reference_strand") != "+", "InvalidReferenceStrand", "the reference strand is not plus"))
     if sizes is not None:
         for side, name, size in ((REFERENCE, "reference_name", "reference_size"), (QUERY, "query_name", "query_size")):
             known = sizes.where(F.col("side") == side).select(F.col("name").alias(name), F.col("size").alias(f"__{side}"))
             rows = rows.join(F.broadcast(known) if known.count() <= 1_000_000 else known, name, "left")
-            kind = kind.when(F.col(f"__{side}").isNull(), "MissingSequence").when(F.col(f"__{side}") != F.col(size), "SizeMismatch")
-    kind = kind.when(F.size("blocks") == 0, "MalformedBlocks").when((last["gap_reference"] != 0) | (last["gap_query"] != 0), "MalformedBlocks")
-    kind = kind.when((reference != F.col("reference_end")) | (query != F.col("query_end")), "MalformedBlocks")
-    kind = kind.when((F.col("reference_end") > F.col("reference_size")) | (F.col("query_end") > F.col("query_size")), "OutOfBounds")
-    return rows.select("input_ordinal", "chain_id", kind.alias("kind")).where("kind is not null")
+            checks += [(F.col(f"__{side}").isNull(), "MissingSequence", f"no size for the {side}"), (F.col(f"__{side}") != F.col(size), "SizeMismatch", f"another size for the {side}")]
+    last = F.element_at("blocks", -1)
+    reach = lambda gap: F.aggregate("blocks", F.lit(0).cast("long"), lambda a, b: a + b["size"] + b[gap])
+    ends = [F.col(f"{side}_start") + reach(f"gap_{side}") != F.col(f"{side}_end") for side in (REFERENCE, QUERY)]
+    outside = [(F.col(f"{side}_start") >= F.col(f"{side}_end")) | (F.col(f"{side}_end") > F.col(f"{side}_size")) for side in (REFERENCE, QUERY)]
+    malformed = (
+        (F.coalesce(F.size("blocks"), F.lit(0)) <= 0, "no blocks"), (F.exists("blocks", lambda b: b["size"] <= 0), "an empty block"), ((last["gap_reference"] != 0) | (last["gap_query"] != 0), "a gap after the last block"),
+        (ends[0] | ends[1], "blocks end elsewhere than the header says"), (outside[0] | outside[1], "the chain leaves its sequence"),
+    )
+    checks += [(test, "MalformedBlocks", reason) for test, reason in malformed]
+    found = F.coalesce(*[F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))) for test, kind, reason in checks])
+    return rows.select("input_ordinal", "chain_id", found.alias("f")).where("f is not null").select("input_ordinal", "chain_id", "f.kind", "f.reason")
+
+
+def by_sequence(chains: DataFrame, side: str = REFERENCE) -> DataFrame:
+    """How many chains each sequence has, and the first and last of them by input order."""
+    name = F.col("reference_name" if side == REFERENCE else "query_name").alias("name")
+    return chains.groupBy(name).agg(F.count(F.lit(1)).alias("chains"), F.min_by("chain_id", "input_ordinal").alias("first_chain"), F.max_by("chain_id", "input_ordinal").alias("last_chain"))
 
 
 def candidates(chains: DataFrame, min_score: float = 2000, haplotypes: bool = False) -> DataFrame:

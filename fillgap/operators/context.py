@@ -27,6 +27,14 @@ def fill_contexts(records: DataFrame, max_depth: int | None = None) -> DataFrame
     )
 
 
+def fill_context(records: DataFrame, net_id: int, pos: int, max_depth: int | None = None) -> DataFrame:
+    """The context of one fill; an error if there is no such record in the section or it is a gap."""
+    one = fill_contexts(records.where((F.col("net_id") == net_id)), max_depth).where(F.col("pos") == pos)
+    if one.isEmpty():
+        raise ValueError(f"section {net_id} has no fill at {pos}")
+    return one
+
+
 def nested_fill_contexts(records: DataFrame, max_depth: int | None = None) -> DataFrame:
     return fill_contexts(records, max_depth).where("depth > 0")
 

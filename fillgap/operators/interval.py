@@ -8,17 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgap.functions.intervals import contains, overlaps
+from fillgap.functions.ordering import ranked
 
 SMALL = 100_000
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str = "net_id", bin_size: int | None = None, how: str = "inner", condition: Column | None = None, small: int = SMALL) -> DataFrame:
-    """Pairs of rows of the same key whose intervals overlap.
+    """Pairs of rows of the same key whose intervals overlap; ``how`` is inner or left_semi.
 
     left has start and end, right has other_start and other_end; no other names may occur on both sides. A right side of
     at most ``small`` rows is broadcast. Otherwise both are dealt by key and bin of ``bin_size`` positions, every pair is
     found in one bin only, and long sections are split into as many tasks as they have bins.
     """
+    if how not in ("inner", "left_semi"):
+        raise ValueError(f"no {how} overlap join")
     met = overlaps(F.col("start"), F.col("end"), F.col("other_start"), F.col("other_end"))
     met = met if condition is None else met & condition
     if bin_size is None and right.limit(small + 1).count() <= small:
@@ -45,12 +48,18 @@ def overlapping(records: DataFrame, probes: DataFrame, **options) -> DataFrame:
     return overlap_join(rows, probes, **options).select("probe_id", "net_id", "pos", "start", "end")
 
 
-def containing(records: DataFrame, probes: DataFrame) -> DataFrame:
-    """Records whose interval holds all of a probe."""
+def containing(records: DataFrame, probes: DataFrame, bin_size: int | None = None) -> DataFrame:
+    """Records whose interval holds all of a probe; many probes meet them by section and bin, each pair in one."""
     rows = records.select("net_id", "pos", F.col("reference_start").alias("start"), F.col("reference_end").alias("end"))
     met = contains(F.col("start"), F.col("end"), F.col("other_start"), F.col("other_end"))
-    few = probes.limit(SMALL + 1).count() <= SMALL
-    return rows.join(F.broadcast(probes) if few else probes, "net_id").where(met).select("probe_id", "net_id", "pos", "start", "end")
+    if bin_size is None and probes.limit(SMALL + 1).count() <= SMALL:
+        found = rows.join(F.broadcast(probes), "net_id").where(met)
+    else:  # what holds a probe reaches into the bin where the probe starts; a record that ends there may lie before it
+        size = bin_size or 1 << 20
+        reach = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.greatest("start", "end") / size)))
+        at = probes.withColumn("__bin", F.floor(F.col("other_start") / size))
+        found = rows.withColumn("__bin", reach).join(at, ["net_id", "__bin"]).where(met)
+    return found.select("probe_id", "net_id", "pos", "start", "end")
 
 
 def starting_before(records: DataFrame, position: int) -> DataFrame:
@@ -75,3 +84,27 @@ def first_by_name(sections: DataFrame) -> DataFrame:
 def any_overlap_where(rows: DataFrame, spans: DataFrame, predicate: Callable[[], Column], **options) -> DataFrame:
     """Rows (net_id, start, end, ...) that overlap a span (net_id, other_start, other_end, ...) for which the predicate holds."""
     return overlap_join(rows, spans, how="left_semi", condition=predicate(), **options)
+
+
+def ordered_index(records: DataFrame) -> DataFrame:
+    """A section's intervals in the order of an index: start, then end, then position; ``rank`` counts from 0.
+
+    Ranks run within ranges of starts; the ranges before are one row each.
+    """
+    rows = records.select("net_id", "pos", F.col("reference_start").alias("start"), F.col("reference_end").alias("end"))
+    return ranked(rows, ["net_id"], F.floor(F.col("start") / (1 << 16)), ["start", "end", "pos"], "rank")
+
+
+def ordered_spans(spans: DataFrame) -> DataFrame:
+    """Uninterrupted spans by start and end, those alike in order of their fills; ``rank`` counts from 0 in each section."""
+    return ranked(spans, ["net_id"], F.floor(F.col("start") / (1 << 16)), ["start", "end", "pos"], "rank")
+
+
+def spans_overlapping(spans: DataFrame, probes: DataFrame, **options) -> DataFrame:
+    """probe_id with every span that overlaps the probe (net_id, probe_id, other_start, other_end)."""
+    return overlap_join(spans, probes, **options).select("probe_id", "net_id", "pos", "chain_id", "start", "end")
+
+
+def chain_ids_overlapping(spans: DataFrame, probes: DataFrame, **options) -> DataFrame:
+    """probe_id and chain_id of every overlapping span, as often as there are spans; 0 for fills without an id."""
+    return spans_overlapping(spans, probes, **options).select("probe_id", F.coalesce("chain_id", F.lit(0)).alias("chain_id"))

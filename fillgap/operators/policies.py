@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fillgap.operators.tree import forward, from_here, place_sections, topology, up_to_here
+from fillgap.operators.tree import WIDE, complete, forward, from_here, levels_above, offsets_of, up_to_here
 from fillgap.schema import TREE
 
 PRUNE, RETAIN, PROMOTE = "prune", "retain-ancestors", "promote"
@@ -35,27 +35,41 @@ def open_kept(records: DataFrame, keep: str = "keep") -> DataFrame:
     return line.where("opens = 1").drop("at", "opens", "step")
 
 
+def with_kept_above(records: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Kept records with ``kept_above``. Up to WIDE levels the kept ancestors are columns of one window; deeper trees meet as events."""
+    if max_depth is None:
+        max_depth = records.agg(F.max("depth")).first()[0] or 0
+    if max_depth > WIDE:
+        return open_kept(records)
+    above = F.lit(0)
+    for d, kept in enumerate(levels_above(F.col("keep"), max_depth)):
+        above = above + F.when((F.col("depth") > d) & kept, 1).otherwise(0)
+    return records.withColumn("kept_above", above).where("keep")
+
+
 def rebuild(kept: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Positions, parents and ends of what was kept, from its order and its depth; sections count from 0.
 
-    A promoted record may become a root: ``root`` then has to tell the new roots apart, which (root, rank) does.
+    New roots never leave the tree of the old one, so all windows run over (net_id, root) as before; at last ``root``
+    becomes the new root's position.
     """
-    starts = F.sum(F.when(F.col("depth") == 0, 1).otherwise(0)).over(up_to_here())
-    tree = kept.withColumn("__part", starts).withColumn("root", F.struct(F.col("root"), F.col("__part"))).drop("__part")
-    tree = tree.withColumn("rpos", F.row_number().over(forward()) - 1)
-    return topology(place_sections(tree.drop("pos")), max_depth)
+    rows = kept.withColumn("rpos", (F.row_number().over(forward()) - 1).cast("long"))
+    rows = rows.withColumn("__top", F.max(F.when(F.col("depth") == 0, F.col("rpos"))).over(up_to_here()))
+    # Only keys are needed to count, so the count reads few columns and shuffles one row a root from each task.
+    out = complete(rows, max_depth, offsets_of(kept))
+    return out.withColumn("root", F.col("pos") - F.col("rpos") + F.col("__top")).drop("__top")
 
 
 def filter_records(records: DataFrame, condition: Column, policy: str = PRUNE, max_depth: int | None = None) -> DataFrame:
     """The records that stay under a policy, as sections of their own.
 
     records: net_id, root, pos, depth, subtree_end and any other columns. Output: the same columns with new pos, depth,
-    parent and subtree_end; root becomes (root, part), which orders the new roots. Sections that lose all records have
-    no rows here; their headers are in the sections table. No rows give no rows; a null condition counts as false.
+    parent and subtree_end; root is the position of the new root. Sections that lose all records have no rows here; their
+    headers are in the sections table. No rows give no rows; a null condition counts as false.
     """
     marked = records.withColumn("keep", keep_column(condition, policy))
     if policy == PROMOTE:
-        kept = open_kept(marked).withColumn("depth", F.col("kept_above")).drop("kept_above")
+        kept = with_kept_above(marked, max_depth).withColumn("depth", F.col("kept_above")).drop("kept_above")
     else:
         kept = marked.where("keep")
     return rebuild(kept.drop("keep", "parent", "subtree_end", "rpos"), max_depth)

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fillgap.functions.intervals import overlaps
+from fillgap.schema import ATTRIBUTE_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,16 @@ class NetPredicate:
         return reduce(lambda a, b: a & b, found, F.lit(True))
 
 
+def presence_count() -> Column:
+    """How many documented attributes a record has."""
+    return reduce(lambda a, b: a + b, [F.col(a).isNotNull().cast("int") for a in ATTRIBUTE_COLUMNS])
+
+
+def presence_mask() -> Column:
+    """A bit for each documented attribute that a record has, in the order in which they are written."""
+    return reduce(lambda a, b: a.bitwiseOR(b), [F.col(a).isNotNull().cast("int") * (1 << i) for i, a in enumerate(ATTRIBUTE_COLUMNS)])
+
+
 def parse_region(text: str, ordered: bool = True) -> tuple[int, int]:
     """START-END; with ``ordered`` an end before the start is refused."""
     start, _, end = text.partition("-")

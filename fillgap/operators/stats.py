@@ -45,12 +45,18 @@ def used_chain_ids(records: DataFrame, by_section: bool = False) -> DataFrame:
     return records.where("kind = 'fill' and chain_id is not null").select(*keys).distinct()
 
 
+#: Fixed layout of the report: label (21 wide) and column of the summary, around the counts by depth.
+LABELS = (("reference nets", "nets"), ("records", "records"), ("  fills", "fills"), ("  gaps", "gaps"), ("max depth", "max_depth"))
+LABELS_BELOW = (("distinct chain ids", "distinct_chain_ids"), ("distinct query names", "distinct_query_names"), ("reference bases", "reference_bases"), ("query bases", "query_bases"))
+
+
 def report(records: DataFrame, sections: DataFrame) -> str:
-    """The text of the stats command."""
+    """The text of the stats command: one row for the whole input, and a line for each depth, type and undocumented key."""
     s = summary(records, sections).first().asDict()
-    names = ["nets", "records", "fills", "gaps", "reference_bases", "query_bases", "max_depth", "distinct_query_names", "distinct_chain_ids"]
-    lines = [f"{n}: {s[n]}" for n in names]
-    lines += [f"depth {r['depth']}: {r['records']}" for r in records_per_depth(records).orderBy("depth").collect()]
-    lines += [f"type {r['net_type']}: {r['records']}" for r in type_counts(records).orderBy("net_type").collect()]
-    lines += [f"extra {r['key']}: {r['occurrences']}" for r in unknown_attribute_names(records).orderBy("key").collect()]
+    depths = [(f"  depth {r['depth']}", r["records"]) for r in records_per_depth(records).orderBy("depth").collect()]
+    rows = [(label, s[c]) for label, c in LABELS] + depths + [(label, s[c]) for label, c in LABELS_BELOW]
+    lines = [f"{label:<20} {n}" for label, n in rows]
+    for title, table, key, n in (("types:", type_counts(records), "net_type", "records"), ("unknown attributes:", unknown_attribute_names(records), "key", "occurrences")):
+        found = [f"  {r[key]:<18} {r[n]}" for r in table.orderBy(key).collect()]
+        lines += [title, *found] if found else []
     return "\n".join(lines) + "\n"

@@ -6,13 +6,21 @@ their root, so a long section is many small windows instead of one large one.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window, WindowSpec
 
+from fillgap.functions.ordering import running_sum
 from fillgap.schema import TREE
 
 WIDE = 32  # depths up to this one are columns of a single window
+CHUNK = 1 << 16  # places of a section that one task handles where no root parts them
+
 
 def forward() -> WindowSpec:
     return Window.partitionBy(*TREE).orderBy("pos")
@@ -39,11 +47,30 @@ def from_here() -> WindowSpec:
 
 
 def place_sections(records: DataFrame) -> DataFrame:
-    """Adds ``pos`` from the order of roots and ``rpos``, the position in the root's subtree: one row a root is summed."""
+    """Adds ``pos`` from the order of roots, which are numbers, and ``rpos``, the position in the root's subtree."""
+    return records.join(offsets_of(records), TREE).withColumn("pos", F.col("__offset") + F.col("rpos")).drop("__offset")
+
+
+def offsets_of(records: DataFrame) -> DataFrame:
+    """How many records stand in the section before each root: one row a root, summed by ranges of roots."""
     sizes = records.groupBy(*TREE).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("net_id").orderBy("root").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*TREE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return records.join(offsets, TREE).withColumn("pos", F.col("__offset") + F.col("rpos")).drop("__offset")
+    return running_sum(sizes, ["net_id"], F.floor(F.col("root") / CHUNK), ["root"], F.col("__n"), "__offset").select(*TREE, "__offset")
+
+
+def complete(records: DataFrame, max_depth: int | None = None, offsets: DataFrame | None = None) -> DataFrame:
+    """Adds pos, parent and subtree_end from ``rpos`` and ``depth``.
+
+    All windows run over positions within the root's tree, so records are dealt once, by (net_id, root); what stands
+    before the root is added last.
+    """
+    inside = topology(records.withColumn("pos", F.col("rpos")), max_depth)
+    moved = {c: F.col(c) + F.col("__offset") for c in ("pos", "parent", "subtree_end")}
+    return inside.join(offsets_of(records) if offsets is None else offsets, TREE).withColumns(moved).drop("__offset")
+
+
+def levels_above(value: Column, max_depth: int) -> list[Column]:
+    """For each depth the value of the last record there before this one: of the ancestor, at depths below the record's own."""
+    return [F.last(F.when(F.col("depth") == d, value), True).over(earlier()) for d in range(max_depth)]
 
 
 def last_in_tree(records: DataFrame) -> DataFrame:
@@ -90,17 +117,79 @@ def _topology_by_level(records: DataFrame) -> DataFrame:
     return out.withColumn("subtree_end", F.coalesce("subtree_end", "tree_end")).drop("tree_end")
 
 
-def irregular_parents(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``parent`` for indentation of any widths: the nearest earlier record with a smaller ``indent``.
+MANY_WIDTHS = 64
 
-    One window expression for each width that occurs, which are few in a file.
+
+def with_roots(records: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Adds ``root``, the place of the record's root. A root is indented no more than any record before it in its section.
+
+    Least indents and last roots run within chunks of places; what earlier chunks of the section hold is one row a chunk.
+    """
+    by_chunk = [*keys, "__chunk"]
+    inside = Window.partitionBy(*by_chunk).orderBy(place)
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    rows = records.withColumn("__chunk", F.floor(F.col(place) / CHUNK))
+    least = rows.groupBy(*by_chunk).agg(F.min("indent").alias("__least"))
+    least = least.select(*by_chunk, F.min("__least").over(before).alias("__before"))
+    low = F.least(F.min("indent").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__before"))
+    rows = rows.join(least, by_chunk).withColumn("__top", F.when(low.isNull() | (F.col("indent") <= low), F.col(place)))
+    last = rows.groupBy(*by_chunk).agg(F.max("__top").alias("__last"))
+    last = last.select(*by_chunk, F.max("__last").over(before).alias("__last"))
+    here = F.max("__top").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(last, by_chunk).withColumn("root", F.coalesce(here, "__last")).drop("__chunk", "__before", "__top", "__last")
+
+
+def beside_roots(records: DataFrame, columns: dict[str, str], previous: bool = True) -> DataFrame:
+    """net_id and pos of every root with columns of the root before it in the section, or after; ``columns`` maps source to new name.
+
+    Roots are neighbours within chunks of positions; over the edge of a chunk reaches one row a chunk.
     """
-    widths = sorted(r[0] for r in records.select("indent").distinct().collect())
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.lit(None).cast("long")
-    for w in widths:
-        parent = F.when(F.col("indent") == w, F.max(F.when(F.col("indent") < w, F.col("pos"))).over(before)).otherwise(parent)
-    return records.withColumn("parent", parent)
+    keys = ["net_id", "__chunk"]
+    tops = roots(records).select("net_id", "pos", *dict.fromkeys(c for c in columns if c not in ("net_id", "pos"))).withColumn("__chunk", F.floor(F.col("pos") / CHUNK))
+    held = F.struct(*[F.col(c).alias(n) for c, n in columns.items()])
+    inside, along = Window.partitionBy(*keys).orderBy("pos"), Window.partitionBy("net_id").orderBy("__chunk")
+    step, edge = (F.lag, F.max_by) if previous else (F.lead, F.min_by)
+    edges = tops.groupBy(*keys).agg(edge(held, "pos").alias("__edge"))
+    edges = edges.select(*keys, step("__edge").over(along).alias("__edge"))
+    met = tops.withColumn("__held", held).withColumn("__near", step("__held").over(inside)).join(edges, keys)
+    return met.withColumn("__near", F.coalesce("__near", "__edge")).select("net_id", "pos", *[F.col(f"__near.{n}").alias(n) for n in columns.values()])
+
+
+def nested_by_indent(records: DataFrame) -> DataFrame:
+    """Adds ``parent`` and ``subtree_end`` from ``indent`` of any widths: the parent is the nearest earlier record with a smaller one.
+
+    Up to MANY_WIDTHS different widths are a window expression each; with more, a stack runs over each root's tree.
+    """
+    widths = sorted(r[0] for r in records.select("indent").distinct().limit(MANY_WIDTHS + 1).collect())
+    if len(widths) > MANY_WIDTHS:
+        return _stacked(records)
+    if not widths:
+        return records.withColumns({"parent": F.lit(None).cast("long"), "subtree_end": F.col("pos")})
+    ups = F.create_map(*[x for w in widths for x in (F.lit(w), F.last(F.when(F.col("indent") < w, F.col("pos")), True).over(earlier()))])
+    downs = F.create_map(*[x for w in widths for x in (F.lit(w), F.last(F.when(F.col("indent") <= w, F.col("pos")), True).over(later()))])
+    rows = last_in_tree(records.withColumns({"__up": ups, "__down": downs}))
+    return rows.withColumns({"parent": F.col("__up")[F.col("indent")], "subtree_end": F.coalesce(F.col("__down")[F.col("indent")], "tree_end")}).drop("__up", "__down", "tree_end")
+
+
+def _stacked(records: DataFrame) -> DataFrame:
+    """Parents and ends by a stack over the rows of each root's tree, which Spark deals and sorts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).sort_by("pos")
+        pos, indent = t["pos"].to_pylist(), t["indent"].to_pylist()
+        parent, end, stack = [None] * len(pos), [pos[-1] + 1] * len(pos), []
+        for i, width in enumerate(indent):
+            while stack and indent[stack[-1]] >= width:
+                end[stack.pop()] = pos[i]
+            parent[i] = pos[stack[-1]] if stack else None
+            stack.append(i)
+        out = t.select(TREE).append_column("pos", t["pos"]).append_column("parent", pa.array(parent, pa.int64())).append_column("subtree_end", pa.array(end, pa.int64()))
+        yield from out.to_batches()
+
+    kinds = {f.name: f.dataType for f in records.schema}
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in TREE] + [T.StructField(k, T.LongType()) for k in ("pos", "parent", "subtree_end")])
+    tree = records.select(*TREE, "pos", "indent").groupBy(*TREE).applyInArrow(run, schema)
+    return records.join(tree, [*TREE, "pos"])
 
 
 def roots(records: DataFrame) -> DataFrame:
@@ -108,6 +197,7 @@ def roots(records: DataFrame) -> DataFrame:
 
 
 def children(records: DataFrame, net_id: int, pos: int) -> DataFrame:
+    """The direct children of one record."""
     return records.where((F.col("net_id") == net_id) & (F.col("parent") == pos))
 
 
@@ -119,6 +209,11 @@ def gaps(records: DataFrame) -> DataFrame:
     return records.where(F.col("kind") == "gap")
 
 
+def child_gaps(records: DataFrame, net_id: int, pos: int) -> DataFrame:
+    """The gaps right under one record; with ``has_children()`` those that hold records of their own."""
+    return gaps(children(records, net_id, pos))
+
+
 def at_depth(records: DataFrame, depth: int) -> DataFrame:
     return records.where(F.col("depth") == depth)
 
@@ -135,9 +230,7 @@ def siblings(records: DataFrame) -> DataFrame:
     """Adds previous_sibling and next_sibling; roots are siblings over their whole section."""
     under = Window.partitionBy(*TREE, "parent").orderBy("pos")
     inner = records.withColumns({"previous_sibling": F.lag("pos").over(under), "next_sibling": F.lead("pos").over(under)})
-    across = Window.partitionBy("net_id").orderBy("pos")
-    of_roots = roots(records).select("net_id", "pos", F.lag("pos").over(across).alias("__p"), F.lead("pos").over(across).alias("__n"))
-    out = inner.join(of_roots, ["net_id", "pos"], "left")
+    out = inner.join(beside_roots(records, {"pos": "__p"}), ["net_id", "pos"], "left").join(beside_roots(records, {"pos": "__n"}, previous=False), ["net_id", "pos"], "left")
     return out.withColumn("previous_sibling", F.coalesce("previous_sibling", "__p")).withColumn("next_sibling", F.coalesce("next_sibling", "__n")).drop("__p", "__n")
 
 
@@ -174,6 +267,11 @@ def nearest_enclosing(records: DataFrame, condition: Column, columns: dict[str,
     return out.withColumns({n: F.col(f"__found.{n}") for n in columns.values()}).drop("__found", *[f"__a{d}" for d in range(max_depth)])
 
 
+def enclosing_fill_with_id(records: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Adds enclosing_fill and enclosing_chain_id of the nearest fill above that has a chain id."""
+    return nearest_enclosing(records, (F.col("kind") == "fill") & F.col("chain_id").isNotNull(), {"pos": "enclosing_fill", "chain_id": "enclosing_chain_id"}, max_depth)
+
+
 def clone_subtree(records: DataFrame, net_id: int, pos: int) -> DataFrame:
     """The subtree of one record as a section of its own: positions and depths start at 0."""
     top = records.where((F.col("net_id") == net_id) & (F.col("pos") == pos)).select("net_id", F.col("root").alias("root"), F.col("pos").alias("__from"), F.col("subtree_end").alias("__to"), F.col("depth").alias("__depth"))
@@ -196,3 +294,33 @@ def events(records: DataFrame) -> DataFrame:
     enter = records.select("net_id", "pos", "depth", "kind", F.lit("enter").alias("event"), (2 * F.col("pos") - F.col("depth")).alias("seq"))
     leave = records.select("net_id", "pos", "depth", "kind", F.lit("leave").alias("event"), (2 * F.col("subtree_end") - F.col("depth") - 1).alias("seq"))
     return enter.union(leave)
+
+
+def fold(records: DataFrame, start: Callable[[], object], enter: Callable[[object, dict], tuple[object, bool]], leave: Callable[[object, dict], object], finish: Callable[[object], dict], schema: str) -> DataFrame:
+    """A visitor's walk over each section: records are entered in preorder and left after their subtrees.
+
+    ``start()`` makes a section's state, ``enter(state, record)`` returns the state and whether to go on, ``leave`` the
+    state, and ``finish(state)`` one row of ``schema``, to which net_id is added. After a stop no record is entered or
+    left. The state of a section depends on the order of all its records, so a section is one task's work; its events
+    arrive sorted, batch by batch, and only the open records are held.
+    """
+    columns = list(dict.fromkeys(["net_id", "pos", "subtree_end", *records.columns]))
+    kinds = to_arrow_schema(T.StructType([records.schema["net_id"], *T.StructType.fromDDL(schema)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, going, net, open_ = start(), True, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                net = row["net_id"]
+                while going and open_ and open_[-1]["subtree_end"] <= row["pos"]:
+                    state = leave(state, open_.pop())
+                if going:
+                    state, going = enter(state, row)
+                    open_.append(row)
+        while going and open_:
+            state = leave(state, open_.pop())
+        yield pa.RecordBatch.from_pylist([{"net_id": net, **finish(state)}], schema=kinds)
+
+    kind = records.schema["net_id"].dataType.simpleString()
+    ordered = records.select(*columns).repartition("net_id").sortWithinPartitions("net_id", "pos")
+    return ordered.groupBy("net_id").applyInArrow(run, f"net_id {kind}, {schema}")

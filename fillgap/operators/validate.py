@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fillgap.functions.intervals import overlaps
-from fillgap.operators.tree import roots
+from fillgap.operators.tree import beside_roots
 from fillgap.schema import TREE
 
 #: Severity by rule group and mode; None: not checked.
@@ -47,8 +47,7 @@ def _with_previous_sibling(records: DataFrame) -> DataFrame:
     before = {"before_start": "reference_start", "before_end": "reference_end", "before_size": "reference_size"}
     under = Window.partitionBy(*TREE, "parent").orderBy("pos")
     inner = records.withColumns({n: F.when(F.col("parent").isNotNull(), F.lag(c).over(under)) for n, c in before.items()})
-    across = Window.partitionBy("net_id").orderBy("pos")
-    tops = roots(records).select("net_id", "pos", *[F.lag(c).over(across).alias(f"__{n}") for n, c in before.items()])
+    tops = beside_roots(records, {c: f"__{n}" for n, c in before.items()})
     out = inner.join(tops, ["net_id", "pos"], "left")
     return out.withColumns({n: F.coalesce(n, f"__{n}") for n in before}).drop(*[f"__{n}" for n in before])
 
@@ -89,6 +88,37 @@ def issues(records: DataFrame, sections: DataFrame, mode: str = "compatible") ->
     return out.select("i.severity", "i.code", "net_id", "pos", "i.detail", "i.anchor", "i.rule")
 
 
+#: What each code says.
+MESSAGES = {
+    "reference-out-of-bounds": "ends behind its section",
+    "zero-sized-record": "has no reference positions",
+    "child-outside-parent": "reaches out of its parent",
+    "fill-gap-alternation": "is of the kind that its depth does not have",
+    "missing-fill-id": "is a fill without a chain id",
+    "gap-has-id": "is a gap with a chain id",
+    "negative-count": "counts less than nothing",
+    "sibling-order": "starts before the sibling above it",
+    "sibling-overlap": "overlaps the sibling above it",
+}
+
+
+def report_lines(found: DataFrame, tsv: bool = True) -> DataFrame:
+    """A line of text for each issue, with its place in the order of discovery (net_id, anchor, rule, pos)."""
+    says = F.element_at(F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair]), F.col("code"))
+    says = F.when(F.col("detail") != "", F.concat("detail", F.lit(" "), says)).otherwise(says)
+    if tsv:
+        line = F.concat_ws("\t", "severity", "code", F.col("net_id").cast("string"), F.col("pos").cast("string"), says)
+    else:
+        line = F.concat(F.lit("["), F.initcap("severity"), F.lit("] "), "code", F.lit(" (net "), F.col("net_id").cast("string"), F.lit(", node "), F.col("pos").cast("string"), F.lit("): "), says)
+    return found.select("net_id", "anchor", "rule", "pos", line.alias("line"))
+
+
+def totals(found: DataFrame) -> tuple[int, int]:
+    """How many errors and how many warnings."""
+    n = {r["severity"]: r["n"] for r in found.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return n.get("error", 0), n.get("warning", 0)
+
+
 def counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("issues"))
 
@@ -103,5 +133,5 @@ def require_valid(records: DataFrame, sections: DataFrame, mode: str = "compatib
 
 
 def exit_status(found: DataFrame, warnings_fail: bool = False) -> int:
-    n = {r["severity"]: r["n"] for r in found.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return int(bool(n.get("error")) or warnings_fail and bool(n.get("warning")))
+    errors, warnings = totals(found)
+    return int(errors > 0 or warnings_fail and warnings > 0)

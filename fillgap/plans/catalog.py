@@ -1,4 +1,4 @@
-"""All queries on nets and chains by name, each with the SQL that gives the same rows."""
+"""Queries on trees, filters, intervals, statistics and merging, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,28 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillgap.operators import arrange, chain, construct, context, interval, policies, stats, tree, validate
-from fillgap.operators.predicates import NetPredicate
+from fillgap.functions import intervals
+from fillgap.operators import arrange, construct, context, interval, policies, stats, tree, validate, view
+from fillgap.operators.predicates import NetPredicate, presence_count, presence_mask
 from fillgap.plans import fixtures
-from fillgap.plans.oracle import BLOCKS, FILES, NATURAL, NET, PROBE, filtered, merged
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+from fillgap.plans.oracle import FILES, NATURAL, NET, PROBE, filtered, merged
+from fillgap.plans.registry import QUERIES, SQL, Query, query
+from fillgap.schema import COORD_MAX
 
 DEPTH = 2  # of net_orders
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _filter(name: str, predicate: NetPredicate, policy: str, condition: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = policies.filter_records(fixtures.net_orders(spark, sf_dir), predicate.matches(), policy, DEPTH)
@@ -62,7 +51,7 @@ WITH e AS (
 ) SELECT net_id, pos, indent, (SELECT max(b.pos) FROM e b WHERE b.net_id = a.net_id AND b.pos < a.pos AND b.indent < a.indent) AS parent FROM e a
 """)
 def tree_parent_irregular(spark, sf_dir):
-    return tree.irregular_parents(fixtures.net_events(spark, sf_dir), ["net_id"]).select("net_id", "pos", "indent", "parent")
+    return tree.nested_by_indent(tree.with_roots(fixtures.net_events(spark, sf_dir), ["net_id"], "pos")).select("net_id", "pos", "indent", "parent")
 
 
 @query(f"{NET} SELECT {ROW}, CAST(subtree_end - pos AS BIGINT) AS subtree_len, subtree_end > pos + 1 AS has_children FROM net WHERE parent IS NULL OR kind = 'gap'")
@@ -76,20 +65,20 @@ def tree_siblings(spark, sf_dir):
     return tree.siblings(fixtures.net_orders(spark, sf_dir)).select("net_id", "pos", "kind", "depth", "previous_sibling", "next_sibling")
 
 
-@query(f"""{NET} SELECT n.net_id, n.pos, min(c.pos) AS first_child, max(c.pos) AS last_child, count(c.pos) AS n_children FROM net n LEFT JOIN net c ON c.net_id = n.net_id AND c.parent = n.pos GROUP BY ALL""")
+@query(f"""{NET} SELECT n.net_id, n.pos, min(c.pos) AS first_child, max(c.pos) AS last_child, count(c.pos) AS n_children FROM net n LEFT JOIN net c ON c.net_id = n.net_id AND c.root = n.root AND c.parent = n.pos GROUP BY ALL""")
 def tree_children(spark, sf_dir):
     return tree.child_ends(fixtures.net_orders(spark, sf_dir)).select("net_id", "pos", "first_child", "last_child", "n_children")
 
 
 @query(f"""{NET} SELECT n.net_id, n.pos, a.pos AS ancestor, a.kind AS ancestor_kind, CAST(n.depth - a.depth AS INTEGER) AS steps
-FROM net n JOIN net a ON a.net_id = n.net_id AND a.pos < n.pos AND n.pos < a.subtree_end WHERE n.query_name = 'q5'""")
+FROM net n JOIN net a ON a.net_id = n.net_id AND a.root = n.root AND a.pos < n.pos AND n.pos < a.subtree_end WHERE n.query_name = 'q5'""")
 def tree_ancestors(spark, sf_dir):
     records = fixtures.net_orders(spark, sf_dir)
     return tree.ancestors(records, records.where("query_name = 'q5'")).select("net_id", "pos", "ancestor", "ancestor_kind", "steps")
 
 
 @query(f"""{NET} SELECT n.net_id, n.pos, CASE WHEN n.depth = 2 THEN g.parent WHEN n.depth = 1 THEN n.parent END AS enclosing_fill,
-CASE WHEN n.depth = 2 THEN n.parent END AS enclosing_gap FROM net n LEFT JOIN net g ON g.net_id = n.net_id AND g.pos = n.parent""")
+CASE WHEN n.depth = 2 THEN n.parent END AS enclosing_gap FROM net n LEFT JOIN net g ON g.net_id = n.net_id AND g.root = n.root AND g.pos = n.parent""")
 def tree_enclosing_fill(spark, sf_dir):
     rows = tree.nearest_enclosing(fixtures.net_orders(spark, sf_dir), F.col("kind") == "fill", {"pos": "enclosing_fill"}, DEPTH)
     return tree.nearest_enclosing(rows, F.col("kind") == "gap", {"pos": "enclosing_gap"}, DEPTH).select("net_id", "pos", "enclosing_fill", "enclosing_gap")
@@ -118,15 +107,7 @@ def clone_subtree(spark, sf_dir):
 
 @query(f"""{NET} SELECT reference_name, pos, depth, kind, reference_start, reference_end, query_name, query_start, query_start + query_size AS query_end, coalesce(chain_id, -1) AS chain_id, coalesce(parent, -1) AS parent FROM net WHERE depth <= 1""")
 def view_flat(spark, sf_dir):
-    return flat(fixtures.net_orders(spark, sf_dir).where("depth <= 1"))
-
-
-def flat(records: DataFrame) -> DataFrame:
-    """The columns of the flat view; -1 for an absent chain or parent."""
-    return records.select(
-        "reference_name", "pos", "depth", "kind", "reference_start", "reference_end", "query_name", "query_start", "query_end",
-        F.coalesce("chain_id", F.lit(-1)).alias("chain_id"), F.coalesce("parent", F.lit(-1)).alias("parent"),
-    )
+    return view.flat(fixtures.net_orders(spark, sf_dir).where("depth <= 1"))
 
 
 @query(f"""{NET} SELECT (SELECT count(*) FROM sec) AS nets, count(*) AS records, count(*) FILTER (kind = 'fill') AS fills, count(*) FILTER (kind = 'gap') AS gaps,
@@ -152,10 +133,10 @@ def stats_extras(spark, sf_dir):
     return stats.unknown_attribute_names(fixtures.net_orders(spark, sf_dir))
 
 
-ISSUES = f"""{NET}, row AS (
+ISSUES = f"""{NET}, row AS MATERIALIZED (
   SELECT n.*, p.reference_start AS ps, p.reference_end AS pe, lag(n.reference_start) OVER w AS bs, lag(n.reference_end) OVER w AS be, lag(n.reference_size) OVER w AS bz
-  FROM net n LEFT JOIN net p ON p.net_id = n.net_id AND p.pos = n.parent WINDOW w AS (PARTITION BY n.net_id, n.parent ORDER BY n.pos)
-), found AS (
+  FROM net n LEFT JOIN net p ON p.net_id = n.net_id AND p.root = n.root AND p.pos = n.parent WINDOW w AS (PARTITION BY n.net_id, n.parent ORDER BY n.pos)
+), found AS MATERIALIZED (
   SELECT 'error' AS severity, 'reference-out-of-bounds' AS code, net_id, pos, '' AS detail, pos AS anchor, 1 AS rule FROM row WHERE reference_size <> 0 AND reference_end > 10000000
   UNION ALL SELECT 'warning', 'zero-sized-record', net_id, pos, '', pos, 2 FROM row WHERE reference_size = 0
   UNION ALL SELECT 'warning', 'child-outside-parent', net_id, pos, '', pos, 3 FROM row WHERE reference_start < ps OR reference_end > pe
@@ -257,9 +238,9 @@ def section_index(spark, sf_dir):
     return interval.first_by_name(rows.withColumnRenamed("net_id", "of").withColumnRenamed("place", "net_id")).select("reference_name", "file_id", F.col("of").alias("net_id"), "record_count")
 
 
-CONTEXT = f"""{NET}, c AS (
+CONTEXT = f"""{NET}, c AS MATERIALIZED (
   SELECT n.net_id, n.pos, n.depth, coalesce(n.chain_id, 0) AS chain_id, n.parent AS parent_gap, g.reference_start AS gap_start, g.reference_end AS gap_end, t.pos AS enclosing_fill,
-    t.chain_id AS enclosing_chain_id, t.reference_start AS enclosing_start FROM net n LEFT JOIN net g ON g.net_id = n.net_id AND g.pos = n.parent LEFT JOIN net t ON t.net_id = n.net_id AND t.pos = g.parent WHERE n.kind = 'fill'
+    t.chain_id AS enclosing_chain_id, t.reference_start AS enclosing_start FROM net n LEFT JOIN net g ON g.net_id = n.net_id AND g.root = n.root AND g.pos = n.parent LEFT JOIN net t ON t.net_id = n.net_id AND t.root = n.root AND t.pos = g.parent WHERE n.kind = 'fill'
 )"""
 CONTEXT_COLUMNS = ["net_id", "pos", "depth", "chain_id", "parent_gap", "gap_start", "gap_end", "enclosing_fill", "enclosing_chain_id", "enclosing_start"]
 
@@ -290,8 +271,8 @@ def used_chain_ids(spark, sf_dir):
     return stats.used_chain_ids(fixtures.net_orders(spark, sf_dir), by_section=True)
 
 
-SPANS = f"""{NET}, cuts AS (
-  SELECT f.net_id, f.pos, f.chain_id, f.reference_start AS fs, g.reference_start AS cs, g.reference_end AS ce, 0 AS l FROM net f JOIN net g ON g.net_id = f.net_id AND g.parent = f.pos AND g.kind = 'gap' AND g.subtree_end > g.pos + 1 WHERE f.kind = 'fill'
+SPANS = f"""{NET}, cuts AS MATERIALIZED (
+  SELECT f.net_id, f.pos, f.chain_id, f.reference_start AS fs, g.reference_start AS cs, g.reference_end AS ce, 0 AS l FROM net f JOIN net g ON g.net_id = f.net_id AND g.root = f.root AND g.parent = f.pos AND g.kind = 'gap' AND g.subtree_end > g.pos + 1 WHERE f.kind = 'fill'
   UNION ALL SELECT net_id, pos, chain_id, reference_start, reference_end, reference_end, 1 FROM net WHERE kind = 'fill'
 ), spans AS (SELECT net_id, pos, chain_id, greatest(fs, coalesce(max(ce) OVER (PARTITION BY net_id, pos ORDER BY l, cs, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), fs)) AS start, cs AS "end" FROM cuts)"""
 
@@ -310,60 +291,200 @@ def any_overlap_where(spark, sf_dir):
     return interval.any_overlap_where(rows, spans, odd, bin_size=1 << 16).select("probe_id", "net_id")
 
 
-@query(f"""{BLOCKS} SELECT chain_id, CAST(number - 1 AS INTEGER) AS number, reference_start + CAST(coalesce(sum(size + gr) OVER w, 0) AS BIGINT) AS reference_start, reference_start + CAST(coalesce(sum(size + gr) OVER w, 0) AS BIGINT) + size AS reference_end,
-query_start + CAST(coalesce(sum(size + gq) OVER w, 0) AS BIGINT) AS query_start, query_start + CAST(coalesce(sum(size + gq) OVER w, 0) AS BIGINT) + size AS query_end
-FROM blocks JOIN chains USING (chain_id) WINDOW w AS (PARTITION BY chain_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
-def chain_blocks(spark, sf_dir):
-    return chain.exploded_blocks(fixtures.chains_orders(spark, sf_dir))
+def filter_non_nested(spark, sf_dir):
+    out = construct.non_nested(fixtures.net_orders(spark, sf_dir), 40_000, DEPTH)
+    return out.select("net_id", "pos", "kind", "depth", "parent", "chain_id", "reference_start")
+
+
+QUERIES["filter_non_nested"] = filter_non_nested
+SQL["filter_non_nested"] = filtered("promote", "CASE WHEN kind = 'fill' THEN coalesce(round_even(alignment_score, 0), 0) >= 40000 ELSE EXISTS (SELECT 1 FROM net p WHERE p.net_id = net.net_id AND p.root = net.root AND p.pos = net.parent AND p.kind = 'fill' AND round_even(p.alignment_score, 0) >= 40000) END")
 
 
-@query(f"""{BLOCKS} SELECT chain_id, input_ordinal, score, query_name AS primary_name, CASE WHEN query_strand = '-' THEN 100000 - query_end ELSE query_start END AS primary_start,
-CASE WHEN query_strand = '-' THEN 100000 - query_start ELSE query_end END AS primary_end, reference_start AS other_start, reference_end AS other_end, total_aligned FROM numbered""")
-def chain_projection(spark, sf_dir):
-    return chain.projected(fixtures.chains_orders(spark, sf_dir), chain.QUERY).select("chain_id", "input_ordinal", "score", "primary_name", "primary_start", "primary_end", "other_start", "other_end", "total_aligned")
+@query(f"{NET} SELECT pos, kind, reference_start, depth FROM net WHERE net_id = 3 AND parent = (SELECT min(pos) FROM net WHERE net_id = 3 AND depth = 0 AND subtree_end > pos + 2)")
+def tree_children_of_one(spark, sf_dir):
+    records = fixtures.net_orders(spark, sf_dir)
+    at = records.where("net_id = 3 and depth = 0 and subtree_end > pos + 2").agg(F.min("pos")).first()[0]
+    return tree.children(records, 3, -1 if at is None else at).select("pos", "kind", "reference_start", "depth")
+
+
+@query(f"{NET} SELECT pos, reference_start, subtree_end > pos + 1 AS has_children FROM net WHERE net_id = 5 AND kind = 'gap' AND parent = (SELECT max(pos) FROM net WHERE net_id = 5 AND depth = 0)")
+def child_gaps_of_one(spark, sf_dir):
+    records = fixtures.net_orders(spark, sf_dir)
+    at = records.where("net_id = 5 and depth = 0").agg(F.max("pos")).first()[0]
+    return tree.child_gaps(records, 5, -1 if at is None else at).select("pos", "reference_start", tree.has_children().alias("has_children"))
+
 
+@query(f"{NET} SELECT {ROW}, reference_start FROM net WHERE depth = 2")
+def tree_at_depth(spark, sf_dir):
+    return tree.at_depth(fixtures.net_orders(spark, sf_dir), 2).select("net_id", "pos", "kind", "depth", "reference_start")
 
-@query(f"{BLOCKS} SELECT chain_id, input_ordinal, score, reference_name, query_name FROM numbered WHERE score >= 2000 AND query_name NOT LIKE '%\\_alt%' ESCAPE '\\'")
-def chain_candidates(spark, sf_dir):
-    return chain.candidates(fixtures.chains_orders(spark, sf_dir)).select("chain_id", "input_ordinal", "score", "reference_name", "query_name")
 
+@query(f"{NET} SELECT {ROW}, parent IS NULL AS is_root, root FROM net WHERE net_id = 7 AND pos BETWEEN 10 AND 500")
+def record_lookup(spark, sf_dir):
+    rows = fixtures.net_orders(spark, sf_dir).where("net_id = 7 and pos between 10 and 500")
+    return rows.select("net_id", "pos", "kind", "depth", F.col("parent").isNull().alias("is_root"), "root")
 
-@query("SELECT o_orderkey AS chain_id, CAST(round_even(o_totalprice * 0.5, 0) AS BIGINT) AS displayed FROM orders")
-def display_score(spark, sf_dir):
-    return fixtures.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chain_id"), chain.display_score(F.col("o_totalprice") * 0.5).alias("displayed"))
 
+@query(f"""{NET} SELECT n.net_id, n.pos, CASE WHEN n.depth = 2 THEN g.parent WHEN n.depth = 1 THEN n.parent END AS enclosing_fill, CASE WHEN n.depth = 2 THEN t.chain_id WHEN n.depth = 1 THEN g.chain_id END AS enclosing_chain_id
+FROM net n LEFT JOIN net g ON g.net_id = n.net_id AND g.root = n.root AND g.pos = n.parent LEFT JOIN net t ON t.net_id = n.net_id AND t.root = n.root AND t.pos = g.parent""")
+def tree_enclosing_fill_with_id(spark, sf_dir):
+    return tree.enclosing_fill_with_id(fixtures.net_orders(spark, sf_dir), DEPTH).select("net_id", "pos", "enclosing_fill", "enclosing_chain_id")
 
-@query(f"""{BLOCKS} SELECT 'MissingSequence' AS kind, count(*) AS chains FROM numbered WHERE reference_name = 'chr3' HAVING count(*) > 0""")
-def chain_errors(spark, sf_dir):
-    chains = fixtures.chains_orders(spark, sf_dir)
-    known = chains.select(F.lit("reference").alias("side"), F.col("reference_name").alias("name")).where("name <> 'chr3'").union(chains.select(F.lit("query"), "query_name"))
-    return chain.chain_errors(chains, known.distinct().withColumn("size", F.lit(100_000))).groupBy("kind").agg(F.count(F.lit(1)).alias("chains"))
 
+@query(f"""{NET} SELECT net_id, pos, CAST((chain_id IS NOT NULL)::INT + (alignment_score IS NOT NULL)::INT + (aligned_bases IS NOT NULL)::INT + (net_type IS NOT NULL)::INT + (reference_unsequenced IS NOT NULL)::INT AS INTEGER) AS n,
+CAST((chain_id IS NOT NULL)::INT + 2 * (alignment_score IS NOT NULL)::INT + 4 * (aligned_bases IS NOT NULL)::INT + 64 * (net_type IS NOT NULL)::INT + 128 * (reference_unsequenced IS NOT NULL)::INT AS INTEGER) AS mask FROM net""")
+def attribute_presence(spark, sf_dir):
+    return fixtures.net_orders(spark, sf_dir).select("net_id", "pos", presence_count().alias("n"), presence_mask().alias("mask"))
 
-def _constructed(side: str, options: construct.NetOptions = construct.NetOptions()) -> Query:
+
+@query(f"""{NET} SELECT net_id, pos, greatest(reference_end - reference_start, 0) AS length, greatest(reference_start - reference_end, 0) AS turned, least(reference_start + 4294000000, 4294967295) AS saturated,
+reference_start <= 50000 AND 50010 <= reference_end AS holds FROM net""")
+def interval_arithmetic(spark, sf_dir):
+    start, end = F.col("reference_start"), F.col("reference_end")
+    rows = fixtures.net_orders(spark, sf_dir)
+    return rows.select("net_id", "pos", intervals.length(start, end).alias("length"), intervals.length(end, start).alias("turned"), intervals.end_of(start, F.lit(COORD_MAX - 967_295)).alias("saturated"), intervals.contains(start, end, F.lit(50_000), F.lit(50_010)).alias("holds"))
+
+
+_filter("filter_region", NetPredicate(reference_overlap=(200_000, 260_000), max_depth=1), policies.RETAIN, "reference_start < 260000 AND 200000 < reference_end AND depth <= 1")
+
+
+def of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe for every supplier: 30 positions that lie in a gap, in a fill, or across."""
+    key = F.col("s_suppkey").cast("long")
+    start = key * 32 * 1000 + key % 7 * 100 + key % 90
+    return fixtures.table(spark, sf_dir, "supplier").select(key.alias("probe_id"), (key % 25).cast("int").alias("net_id"), start.alias("other_start"), (start + 30).alias("other_end"))
+
+
+SUPPLIERS = f"""{NET}, probe AS (SELECT s_suppkey AS probe_id, CAST(s_suppkey % 25 AS INTEGER) AS net_id, s_suppkey * 32000 + s_suppkey % 7 * 100 + s_suppkey % 90 AS s, s_suppkey * 32000 + s_suppkey % 7 * 100 + s_suppkey % 90 + 30 AS e FROM supplier
+UNION ALL SELECT 1000000 + root, net_id, reference_start + 150, reference_start + 160 FROM net WHERE depth = 0 AND root % 17 = 0)"""
+
+
+def _probes(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
+    """Those of the suppliers, and one inside of every 17th root's first gap."""
+    inside = records.where("depth = 0 and root % 17 = 0").select((F.lit(1_000_000) + F.col("root")).alias("probe_id"), "net_id", (F.col("reference_start") + 150).alias("other_start"), (F.col("reference_start") + 160).alias("other_end"))
+    return of_suppliers(spark, sf_dir).union(inside)
+
+
+def _containing(bin_size: int | None) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = construct.build(fixtures.chains_orders(spark, sf_dir), side, options)
-        return out.select("net_id", "pos", "depth", "parent", "kind", "chain_id", "start", "end", "other_start", "other_end", "displayed", "aligned")
+        records = fixtures.net_orders(spark, sf_dir)
+        return interval.containing(records, _probes(spark, sf_dir, records), bin_size=bin_size)
 
     return run
 
 
-QUERIES["net_construct_reference"] = _constructed(chain.REFERENCE)
-QUERIES["net_construct_query"] = _constructed(chain.QUERY)
-QUERIES["net_construct_cleaner"] = _constructed(chain.REFERENCE, construct.CLEANER)
+for _name, _size in (("interval_containing_many", None), ("interval_containing_binned", 4_096)):
+    QUERIES[_name], SQL[_name] = _containing(_size), f"""{SUPPLIERS} SELECT probe_id, n.net_id, pos, reference_start AS start, reference_end AS "end" FROM net n JOIN probe p ON p.net_id = n.net_id AND reference_start <= s AND e <= reference_end"""
 
 
-def filter_non_nested(spark, sf_dir):
-    out = construct.non_nested(fixtures.net_orders(spark, sf_dir), 40_000, DEPTH)
-    return out.select("net_id", "pos", "kind", "depth", "parent", "chain_id", "reference_start")
+@query(f"""{SUPPLIERS} SELECT probe_id, n.net_id, pos, reference_start AS start, reference_end AS "end" FROM net n JOIN probe p ON p.net_id = n.net_id AND reference_start < e AND s < reference_end""")
+def interval_overlap_many(spark, sf_dir):
+    records = fixtures.net_orders(spark, sf_dir)
+    return interval.overlapping(records, _probes(spark, sf_dir, records), bin_size=1 << 13)
 
 
-QUERIES["filter_non_nested"] = filter_non_nested
-SQL["filter_non_nested"] = filtered("promote", "CASE WHEN kind = 'fill' THEN coalesce(round_even(alignment_score, 0), 0) >= 40000 ELSE EXISTS (SELECT 1 FROM net p WHERE p.net_id = net.net_id AND p.pos = net.parent AND p.kind = 'fill' AND round_even(p.alignment_score, 0) >= 40000) END")
+@query(f"""{NET} SELECT net_id, pos, reference_start AS start, reference_end AS "end", CAST(row_number() OVER (PARTITION BY net_id ORDER BY reference_start, reference_end, pos) - 1 AS BIGINT) AS rank FROM net""")
+def interval_index_order(spark, sf_dir):
+    return interval.ordered_index(fixtures.net_orders(spark, sf_dir))
+
+
+@query(f"""{SPANS} SELECT net_id, pos, chain_id, start, "end", CAST(row_number() OVER (PARTITION BY net_id ORDER BY start, "end", pos) - 1 AS BIGINT) AS rank FROM spans WHERE start < "end" """)
+def span_index_order(spark, sf_dir):
+    return interval.ordered_spans(context.uninterrupted_spans(fixtures.net_orders(spark, sf_dir)))
+
+
+SPAN_PROBES = f"""{SPANS}, probe AS (SELECT 1000000 + root AS probe_id, net_id, reference_start + 150 AS s, reference_start + 160 AS e FROM net WHERE depth = 0 AND root % 17 = 0)"""
+
+
+@query(f"""{SPAN_PROBES} SELECT probe_id, x.net_id, pos, chain_id, start, "end" FROM spans x JOIN probe p ON p.net_id = x.net_id AND start < e AND s < "end" WHERE start < "end" """)
+def spans_overlapping(spark, sf_dir):
+    records = fixtures.net_orders(spark, sf_dir)
+    return interval.spans_overlapping(context.uninterrupted_spans(records), _probes(spark, sf_dir, records).where("probe_id >= 1000000"), bin_size=1 << 14)
+
+
+@query(f"""{SPAN_PROBES} SELECT probe_id, coalesce(chain_id, 0) AS chain_id FROM spans x JOIN probe p ON p.net_id = x.net_id AND start < e AND s < "end" WHERE start < "end" """)
+def chain_ids_overlapping(spark, sf_dir):
+    records = fixtures.net_orders(spark, sf_dir)
+    return interval.chain_ids_overlapping(context.uninterrupted_spans(records), _probes(spark, sf_dir, records).where("probe_id >= 1000000"))
+
+
+@query(f"{CONTEXT} SELECT * FROM c WHERE net_id = 2 AND pos = (SELECT min(pos) FROM net WHERE net_id = 2 AND depth = 2)")
+def fill_context_of_one(spark, sf_dir):
+    records = fixtures.net_orders(spark, sf_dir)
+    at = records.where("net_id = 2 and depth = 2").agg(F.min("pos")).first()[0]
+    return context.fill_context(records, 2, at, DEPTH).select(*CONTEXT_COLUMNS)
+
+
+@query(f"{NET} SELECT DISTINCT chain_id FROM net WHERE kind = 'fill' AND chain_id IS NOT NULL")
+def used_chain_ids_file(spark, sf_dir):
+    return stats.used_chain_ids(fixtures.net_orders(spark, sf_dir))
+
+
+@query(f"{ISSUES} SELECT severity, code, count(*) AS issues FROM found GROUP BY ALL")
+def issue_counts(spark, sf_dir):
+    records = fixtures.net_orders(spark, sf_dir)
+    return validate.counts(validate.issues(records, fixtures.sections_of(records)))
+
+
+NEGATIVE = f"{NET} " + " UNION ALL ".join(f"SELECT net_id, pos, '{a}' AS detail FROM net WHERE pos % {i + 3} - 1 < 0" for i, a in enumerate(validate.COUNTS))
+
+
+@query(NEGATIVE)
+def validate_negative_counts(spark, sf_dir):
+    """All ten counts below 0 in turn."""
+    records = fixtures.net_orders(spark, sf_dir)
+    records = records.withColumns({a: (F.col("pos") % (i + 3) - 1).cast("int") for i, a in enumerate(validate.COUNTS)})
+    return validate.issues(records, fixtures.sections_of(records)).where("code = 'negative-count'").select("net_id", "pos", "detail")
+
+
+@query(f"{NET} SELECT key, count(*) AS occurrences FROM (SELECT CASE pos % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'status' END AS key FROM net WHERE depth = 2 UNION ALL SELECT 'b' FROM net WHERE depth = 2 AND pos % 3 = 1) GROUP BY key")
+def stats_extras_many(spark, sf_dir):
+    """Several undocumented keys, one of them twice in a record."""
+    pair = lambda k: F.struct(F.lit(k).alias("key"), F.lit("x").alias("value"))
+    extras = F.when(F.col("pos") % 3 == 0, F.array(pair("a"))).when(F.col("pos") % 3 == 1, F.array(pair("b"), pair("b"))).otherwise(F.array(pair("status")))
+    return stats.unknown_attribute_names(fixtures.net_orders(spark, sf_dir).where("depth = 2").withColumn("extras", extras))
+
+
+def three_nets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sections and records of three files: the sections below 20, those from 10 on moved by 7, and those below 5 of which one has another name."""
+    records = fixtures.net_orders(spark, sf_dir)
+    first = records.where("net_id < 20").withColumn("file_id", F.lit(0))
+    second = records.where("net_id >= 10").withColumns({"file_id": F.lit(1), "reference_start": F.col("reference_start") + 7})
+    third = records.where("net_id < 5").withColumns({"file_id": F.lit(2), "reference_name": F.when(F.col("net_id") == 0, "chrNew").otherwise(F.col("reference_name"))})
+    every = first.unionByName(second).unionByName(third)
+    sections = every.groupBy("file_id", "net_id", "reference_name").agg(F.count(F.lit(1)).alias("record_count"))
+    return sections, every
+
+
+THREE = f"""{NET}, rows AS MATERIALIZED (
+  SELECT 0 AS file_id, net_id, reference_name, pos, depth, kind, reference_start FROM net WHERE net_id < 20 UNION ALL SELECT 1, net_id, reference_name, pos, depth, kind, reference_start + 7 FROM net WHERE net_id >= 10
+  UNION ALL SELECT 2, net_id, CASE WHEN net_id = 0 THEN 'chrNew' ELSE reference_name END, pos, depth, kind, reference_start FROM net WHERE net_id < 5
+), files AS MATERIALIZED (SELECT DISTINCT file_id, net_id, reference_name FROM rows), kept AS MATERIALIZED (SELECT file_id, net_id, reference_name, {{pick}}),
+ranks AS (SELECT file_id, net_id, CAST(row_number() OVER (ORDER BY {{order}}) - 1 AS BIGINT) AS rank FROM kept)
+SELECT rank, pos, file_id, reference_name, depth, kind, reference_start FROM rows JOIN ranks USING (file_id, net_id)"""
+PICKS = {
+    "all": "file_id AS pf, net_id AS pn FROM files",
+    "first": "file_id AS pf, net_id AS pn FROM files QUALIFY row_number() OVER (PARTITION BY reference_name ORDER BY file_id, net_id) = 1",
+    "last": "first_value(file_id) OVER w AS pf, first_value(net_id) OVER w AS pn FROM files WINDOW w AS (PARTITION BY reference_name ORDER BY file_id, net_id) QUALIFY row_number() OVER (PARTITION BY reference_name ORDER BY file_id DESC, net_id DESC) = 1",
+}
+
+
+def merged_records(sections: DataFrame, records: DataFrame, duplicates: str, sort: bool = False) -> DataFrame:
+    kept = arrange.merge_sections(sections, duplicates, sort)
+    return arrange.records_of(records, kept).select("rank", "pos", "file_id", "reference_name", "depth", "kind", "reference_start")
+
+
+def _merge_records(duplicates: str, sort: bool) -> Query:
+    return lambda spark, sf_dir: merged_records(*three_nets(spark, sf_dir), duplicates, sort)
+
 
+for _name, _how, _sorted in (("all", arrange.KEEP_ALL, False), ("first", arrange.KEEP_FIRST, False), ("last", arrange.KEEP_LAST, False), ("sorted", arrange.KEEP_ALL, True)):
+    QUERIES[f"merge_records_{_name}"] = _merge_records(_how, _sorted)
+    SQL[f"merge_records_{_name}"] = THREE.format(pick=PICKS["all" if _sorted else _name], order=f"{NATURAL}, pf, pn" if _sorted else "pf, pn")
 
-@query(f"{NET} SELECT reference_name, record_count AS records, reference_name || '.net' AS file FROM sec")
-def split_manifest(spark, sf_dir):
-    from fillgap.sources.writer import split_names
 
-    return split_names(fixtures.sections_of(fixtures.net_orders(spark, sf_dir))).select("reference_name", F.col("record_count").alias("records"), "file")
+@query(f"{NET} SELECT CAST(row_number() OVER (ORDER BY net_id) - 1 AS BIGINT) AS rank, reference_name FROM sec")
+def merge_error_without_duplicates(spark, sf_dir):
+    """The policy that refuses duplicates lets all through where there are none."""
+    sections = fixtures.sections_of(fixtures.net_orders(spark, sf_dir)).withColumn("file_id", F.lit(0))
+    return arrange.merge_sections(sections, arrange.ERROR).select("rank", "reference_name")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fillgap.functions.intervals import end_of
-from fillgap.operators.tree import place_sections, topology
+from fillgap.functions.ordering import ranked
+from fillgap.operators.tree import complete
 from fillgap.schema import EXTRAS
+from fillgap.sources.writer import text_lines
 
 SECTION_SIZE = 10_000_000
 #: Line items with equal order and line number are told apart by all their columns.
@@ -64,7 +66,7 @@ def net_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             "reference_name": F.concat(F.lit("chr"), F.col("net_id").cast("string")),
         }
     )
-    return topology(place_sections(records).drop("line", "rn"), max_depth=2)
+    return complete(records.drop("line", "rn"), max_depth=2)
 
 
 def sections_of(records: DataFrame) -> DataFrame:
@@ -72,6 +74,18 @@ def sections_of(records: DataFrame) -> DataFrame:
     return out.withColumn("section_size", F.lit(SECTION_SIZE).cast("long"))
 
 
+def for_text(records: DataFrame) -> DataFrame:
+    """Records whose names have no spaces, which part fields."""
+    return records.withColumn("query_name", F.translate("query_name", " ", "_"))
+
+
+def net_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nets as raw lines of four files: a section is in file net_id % 4, and a split of its own there."""
+    records = for_text(net_orders(spark, sf_dir))
+    lines = text_lines(sections_of(records), records)
+    return lines.select((F.col("section") % 4).cast("int").alias("file_id"), F.col("section").cast("long").alias("part"), (F.col("pos") + 1).alias("place"), F.col("line").alias("value"))
+
+
 def net_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Irregular indentation: a section for each user, events in order of time, indents 1 to 5 from the value."""
     place = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -95,6 +109,18 @@ def chain_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chain_id", "number", "size", gap("gap_reference"), gap("gap_query"))
 
 
+def chain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chains as raw lines of one file: a comment, a header, block lines and a blank line each."""
+    s = lambda c: F.col(c).cast("string")
+    head = F.concat_ws(" ", F.lit("chain"), s("score"), "reference_name", s("reference_size"), F.lit("+"), s("reference_start"), s("reference_end"), "query_name", s("query_size"), "query_strand", s("query_start"), s("query_end"), s("chain_id"))
+    last = F.size("blocks") - 1
+    blocks = F.transform("blocks", lambda b, i: F.when(i == last, b["size"].cast("string")).otherwise(F.concat_ws("\t", b["size"].cast("string"), b["gap_reference"].cast("string"), b["gap_query"].cast("string"))))
+    lines = F.concat(F.array(F.concat(F.lit("# chain "), s("chain_id")), head), blocks, F.array(F.lit("")))
+    rows = chains_orders(spark, sf_dir).select("input_ordinal", F.posexplode(lines).alias("k", "value"))
+    # A place in the file that rises with (chain, line); chains of a hundred are read as one split.
+    return rows.select(F.lit(0).alias("file_id"), F.floor(F.col("input_ordinal") / 100).alias("part"), (F.col("input_ordinal") * 1_000 + F.col("k")).alias("place"), "value")
+
+
 def chains_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains with their blocks as an array, in the order of falling scores."""
     blocks = chain_blocks(spark, sf_dir).groupBy("chain_id").agg(
@@ -111,4 +137,6 @@ def chains_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).join(blocks, "chain_id")
     chains = chains.withColumn("reference_end", F.col("reference_start") + F.col("r")).withColumn("query_end", F.col("query_start") + F.col("q")).drop("r", "q")
     chains = chains.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["size"].alias("size"), b["gap_reference"].alias("gap_reference"), b["gap_query"].alias("gap_query"))))
-    return chains.withColumn("input_ordinal", (F.row_number().over(Window.orderBy(F.desc("score"), "chain_id")) - 1).cast("long"))
+    # Ranked without the blocks, by ranges of scores.
+    places = ranked(chains.select("chain_id", "score"), [], -F.floor(F.col("score") / 1_000), [F.desc("score"), "chain_id"], "input_ordinal")
+    return chains.join(places.select("chain_id", "input_ordinal"), "chain_id")

@@ -19,9 +19,13 @@ def in_memory(spark: SparkSession, side: str, pairs: Iterable[tuple[str, int]])
 
 
 def from_text(spark: SparkSession, side: str, path: str) -> DataFrame:
-    """Two columns, name and size; blank lines and those that start with # are skipped."""
-    rows = numbered(read_lines(spark, [path]), "^(?!)").where("role = 'record'")
-    t = F.split(F.trim("text"), "[ \t]+")
+    return parse_sizes(read_lines(spark, [path]), side)
+
+
+def parse_sizes(lines: DataFrame, side: str) -> DataFrame:
+    """Two columns, name and size; blank lines and those that start with # are skipped. The ordinal is the line's number."""
+    rows = numbered(lines, "^(?!)").where("role = 'record'")
+    t = F.filter(F.split("text", "[ \t]+"), lambda x: x != "")
     return unique(rows.select(F.lit(side).alias("side"), (F.col("line_no") - 1).cast("int").alias("ordinal"), F.get(t, F.lit(0)).alias("name"), F.get(t, F.lit(1)).cast("long").alias("size")))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fillgap.functions.ordering import safe_file_name
+from fillgap.operators.view import flat
 from fillgap.schema import ATTRIBUTES
+from fillgap.session import cut
 
 
 def _shortest(x: pd.Series) -> pd.Series:
@@ -44,15 +48,62 @@ def text_lines(sections: DataFrame, records: DataFrame, order: str = "net_id") -
     return heads.unionByName(body)
 
 
+def in_order(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """Lines dealt by ranges of their order and sorted within, so that part files in order of their names are the text."""
+    return lines.repartitionByRange(*columns).sortWithinPartitions(*columns)
+
+
+def with_metadata(lines: DataFrame, metadata: list[str]) -> DataFrame:
+    """Metadata lines before all sections."""
+    if not metadata:
+        return lines
+    first = lines.sparkSession.createDataFrame([(i - len(metadata), m) for i, m in enumerate(metadata)], "pos long, line string")
+    return first.select(F.lit(-1).cast(lines.schema["section"].dataType).alias("section"), "pos", "line").unionByName(lines)
+
+
 def write_nets(sections: DataFrame, records: DataFrame, path: str, order: str = "net_id", metadata: list[str] = (), compression: str = "none") -> None:
     """Write one data set of text parts in order: part files follow ranges of (section, pos), so reading them by name gives the file."""
-    lines = text_lines(sections, records, order)
-    if metadata:
-        spark = sections.sparkSession
-        first = spark.createDataFrame([(-1, i - len(metadata), m) for i, m in enumerate(metadata)], "section int, pos long, line string")
-        lines = first.withColumn("section", F.col("section").cast(lines.schema["section"].dataType)).unionByName(lines)
-    lines = lines.repartitionByRange("section", "pos").sortWithinPartitions("section", "pos")
-    lines.select("line").write.option("compression", compression).text(path)
+    lines = with_metadata(text_lines(sections, records, order), metadata)
+    in_order(lines, ["section", "pos"]).select("line").write.option("compression", compression).text(path)
+
+
+def write_net_file(sections: DataFrame, records: DataFrame, path: str, order: str = "net_id", metadata: list[str] = (), gzip: bool | None = None) -> None:
+    """Write one file, gzip if its name ends with .gz or if asked for."""
+    write_lines_file(with_metadata(text_lines(sections, records, order), metadata), ["section", "pos"], path, gzip)
+
+
+def write_lines_file(lines: DataFrame, columns: list[str], path: str, gzip: bool | None = None) -> None:
+    """Write the column ``line`` in order of ``columns`` as one file.
+
+    The parts are sorted and written by all tasks next to the file; their bytes are then put together under a temporary
+    name, part after part, and the file appears under its own name when it is whole. Gzip parts are members of one file.
+    """
+    packed = path.endswith(".gz") if gzip is None else gzip
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    in_order(lines, columns).select("line").write.option("compression", "gzip" if packed else "none").text(parts)
+    _join_parts(lines.sparkSession, parts, path)
+
+
+def _join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """The part files of ``folder`` as one file, as a file system's merge command does; the folder goes."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    paths = jvm.org.apache.hadoop.fs
+    where, whole, rising = paths.Path(folder), paths.Path(target), paths.Path(f"{folder}.tmp")
+    fs = whole.getFileSystem(conf)
+    out = fs.create(rising, True)
+    try:
+        for part in sorted((s.getPath() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")), key=lambda x: x.getName()):
+            stream = fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+    fs.delete(whole, False)
+    if not fs.rename(rising, whole):
+        raise OSError(f"{target} can't be written")
+    fs.delete(where, True)
 
 
 def section_text(sections: DataFrame, records: DataFrame) -> DataFrame:
@@ -64,37 +115,50 @@ def section_text(sections: DataFrame, records: DataFrame) -> DataFrame:
 
 def flat_lines(records: DataFrame) -> DataFrame:
     """Tab-separated lines of the flat view, -1 for an absent chain or parent."""
-    from fillgap.plans.catalog import flat
-
-    return flat(records).select("reference_name", "pos", F.concat_ws("\t", *[F.col(c).cast("string") for c in flat(records).columns]).alias("line"))
+    rows = flat(records)
+    return rows.select("reference_name", "pos", F.concat_ws("\t", *[F.col(c).cast("string") for c in rows.columns]).alias("line"))
 
 
 def split_names(sections: DataFrame, suffix: str = ".net") -> DataFrame:
     """Adds ``file``: the section's safe name, the second of a name with .1 before the suffix, the third with .2, and so on.
 
-    A numbered name may be the plain name of another section. Sections are one row each; only where such a clash exists
-    do the names go through the driver, in order of the sections.
+    A numbered name may be the plain name of another section. Names that can meet in this way have the same stem, the
+    safe name without numbers at its end; they go through one task a stem, in order of the sections.
     """
-    base = sections.withColumn("__base", safe_file_name(F.col("reference_name")))
-    again = F.row_number().over(Window.partitionBy("__base").orderBy("net_id")) - 1
-    named = base.withColumn("__again", again).withColumn("file", F.concat("__base", F.when(F.col("__again") > 0, F.concat(F.lit("."), F.col("__again").cast("string"))).otherwise(""), F.lit(suffix)))
-    if named.groupBy("file").count().where("count > 1").isEmpty():
-        return named.drop("__base", "__again")
-    used, rows = set(), []
-    for r in base.select("net_id", "__base").orderBy("net_id").collect():
-        name, n = r["__base"] + suffix, 1
-        while name in used:
-            name, n = f"{r['__base']}.{n}{suffix}", n + 1
-        used.add(name)
-        rows.append((r["net_id"], name))
-    names = sections.sparkSession.createDataFrame(rows, f"net_id {sections.schema['net_id'].dataType.simpleString()}, file string")
+    safe = safe_file_name(F.col("reference_name"))
+    base = sections.withColumn("__base", safe).withColumn("__stem", F.regexp_replace(safe, r"(\.[0-9]+)+$", ""))
+
+    def number(rows: pa.Table) -> pa.Table:
+        rows, used, next_free, names = rows.sort_by("net_id"), set(), {}, []
+        for stem in rows["__base"].to_pylist():
+            n = next_free.get(stem, 0)
+            while (name := f"{stem}.{n}" if n else stem) in used:
+                n += 1
+            next_free[stem] = n
+            used.add(name)
+            names.append(name + suffix)
+        return pa.table({"net_id": rows["net_id"], "file": pa.array(names, pa.string())})
+
+    schema = f"net_id {sections.schema['net_id'].dataType.simpleString()}, file string"
+    names = base.select("net_id", "__base", "__stem").groupBy("__stem").applyInArrow(number, schema)
     return sections.join(names, "net_id")
 
 
-def split(sections: DataFrame, records: DataFrame, path: str, suffix: str = ".net", compression: str = "none") -> DataFrame:
-    """Write every section into a folder of its own name under ``path``; returns the manifest."""
-    named = split_names(sections, suffix)
+def split(sections: DataFrame, records: DataFrame, path: str, suffix: str = ".net", gzip: bool = False) -> DataFrame:
+    """Write every section into a file of its own under ``path``; returns the manifest.
+
+    Lines are written by ranges of (section, pos), so that a long section is many tasks' work; the parts of a section
+    then become its file.
+    """
+    spark = sections.sparkSession
+    suffix = f"{suffix}.gz" if gzip and not suffix.endswith(".gz") else suffix
+    named = cut(split_names(sections, suffix))
     lines = text_lines(sections, records).join(named.select(F.col("net_id").alias("section"), "file"), "section")
-    lines = lines.repartitionByRange("section", "pos").sortWithinPartitions("section", "pos")
-    lines.select("file", "line").write.partitionBy("file").option("compression", compression).text(path)
-    return named.select("reference_name", "section_size", "file", F.col("record_count").alias("records"))
+    parts = f"{path}/.parts-{uuid.uuid4().hex}"
+    in_order(lines, ["section", "pos"]).select("file", "line").write.partitionBy("file").option("compression", "gzip" if gzip else "none").text(parts)
+    with ThreadPoolExecutor(16) as pool:
+        for _ in pool.map(lambda r: _join_parts(spark, f"{parts}/file={r['file']}", f"{path}/{r['file']}"), named.select("file").toLocalIterator()):
+            pass  # errors come up here
+    at = spark._jvm.org.apache.hadoop.fs.Path(parts)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return named.select("net_id", "reference_name", "section_size", "file", F.col("record_count").alias("records"))

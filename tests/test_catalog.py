@@ -2,15 +2,15 @@
 
 import pytest
 
-from fillgap.plans import catalog
+from fillgap import plans
 from tests.duck import same
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_sql(spark, name):
-    same(spark, SF, catalog.QUERIES[name], catalog.SQL[name])
+    same(spark, SF, plans.QUERIES[name], plans.SQL[name])
 
 
 def test_entry(spark):
