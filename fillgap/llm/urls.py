@@ -110,7 +110,7 @@ def judge(pages: DataFrame, rules=RULES, fit_urls: int = 20_000, trees: int = 20
     counts = dict(rows.where("said is not null").groupBy("said").count().collect())
     features = lexical(rows)
     shares = sample_shares(counts, fit_urls)
-    share = F.when(F.col("said") == "block", shares.get("block", 0.0)).otherwise(shares.get("allow", 0.0))
+    share = F.when(F.col("said") == "block", shares.get("block", 1.0)).otherwise(shares.get("allow", 1.0))
     fit = features.where(F.col("said").isNotNull() & drawn(share, "page_id", "url", seed=seed))
     fit = cut(fit.withColumn("label", (F.col("said") == "block").cast("double")).withColumn("weight", F.lit(min(shares.values(), default=1.0)) / share))
     if len(counts) < 2:
