@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fillgap.llm.common import blocked, cut, distinct_vectors, fold_row_id
+from fillgap.llm.common import best_of, cut, distinct_vectors, drawn, vector_rows
 
 WIDTH, WORDS = 2, 16
 
@@ -123,16 +123,17 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def index(rows: DataFrame, book: Codebook, width: int) -> DataFrame:
-    """Every row's code: id, code (binary)."""
+def index(rows: DataFrame, books: dict[int, Codebook]) -> DataFrame:
+    """Every row's code: id, mark, width, code (binary); the unit vector itself for lengths without a codebook."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in parts:
-            if len(df):
-                codes = bytes_of(book.encode(_matrix(df["v"], width)))
-                yield pd.DataFrame({"id": df["id"].to_numpy(), "code": [c.tobytes() for c in codes]})
+        for every in parts:
+            for width, df in every.groupby("width"):
+                x = _matrix(df["v"], width)
+                codes = bytes_of(books[width].encode(x)) if width in books else x
+                yield pd.DataFrame({"id": df["id"].to_numpy(), "mark": df["mark"].to_numpy(), "width": df["width"].to_numpy(), "code": [c.tobytes() for c in codes]})
 
-    return rows.mapInPandas(run, "id long, code binary")
+    return rows.select("id", "mark", "width", "v").mapInPandas(run, "id long, mark long, width int, code binary")
 
 
 def kept_of(rows: int, keep: int) -> int:
@@ -143,84 +144,97 @@ def kept_of(rows: int, keep: int) -> int:
     return max(keep, math.ceil(keep * math.sqrt(rows / 50_000)))
 
 
+CODED = 16  # lengths of vectors, the commonest, that get a codebook
+
+
 def search(df: DataFrame, is_query, k: int = 5, keep: int = 200, fit_vectors: int = 10_000, block_rows: int = 8_192, query_rows: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 3) -> DataFrame:
     """The ``k`` nearest rows by cosine of each row that ``is_query`` picks by its id, itself left out.
 
     Input: a long id and an array of numbers; other columns are ignored. Output: query_id, rank (from 1), vec_id, score
     (the exact cosine in double precision), nearest first, ties to the smaller id. Rows with a null id or a vector that
-    is null, zero or holds null or non-finite components take no part, as do vectors of another length than most have.
-    Fewer rows than ``k`` give all there are; no rows give no rows. Repeated rows of an id count once. The codebook
-    learns from about ``fit_vectors`` rows; every row is indexed, and the best ``keep`` of all scans, more if there are
-    many rows (``kept_of``), are reranked.
+    is null, zero or holds null or non-finite components take no part. Vectors of different lengths have no cosine:
+    each length is searched by itself. Fewer rows than ``k`` give all there are; no rows give no rows. A row that repeats
+    an id with another vector is a row of its own, as query and as candidate; a row that repeats both counts once. The
+    codebooks of the CODED commonest lengths learn from about ``fit_vectors`` rows each, rows of other lengths are scanned
+    without codes; every row is indexed, and the best ``keep`` of all scans, more if there are many rows (``kept_of``),
+    are reranked.
     """
     spark = df.sparkSession
-    rows = clean_vectors(df, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    rows = cut(rows.withColumn("width", F.size("v")))
-    widths = rows.groupBy("width").count().orderBy(F.desc("count"), "width").first()
-    if widths is None:
+    rows = vector_rows(clean_vectors(df, id_col, vector_col))
+    counts = cut(rows.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("id"))).alias("asked")))
+    common = counts.orderBy(F.desc("n"), "width").limit(CODED).collect()
+    if not common:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, total = widths["width"], widths["count"]
-    rows = rows.where(F.col("width") == width).select("id", "v")
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < min(1.0, fit_vectors / total) * 1_000_000)
-    sample = drawn.toPandas()
-    if not len(sample):
-        sample = rows.limit(16).toPandas()
-    book = train(_matrix(sample["v"].iloc[np.argsort(sample["id"].to_numpy())], width), seed=seed)
+    books = {}
+    for r in common:
+        own = rows.where(F.col("width") == r["width"]).select("id", "v")
+        sample = own.where(drawn(min(1.0, fit_vectors / r["n"]), "id", "v", seed=seed)).toPandas()
+        sample = sample if len(sample) else own.orderBy("id").limit(16).toPandas()
+        sample = sample.assign(bytes=[np.asarray(v).tobytes() for v in sample["v"]]).sort_values(["id", "bytes"])
+        books[r["width"]] = train(_matrix(sample["v"], r["width"]), seed=seed)
 
     # Equal vectors are one candidate, so that ties between any number of copies are settled exactly.
     once = cut(distinct_vectors(rows, k))
-    queries = rows.where(is_query(F.col("id"))).select("id", "v")
-    n_queries = queries.count()
-    candidate_blocks, query_blocks = max(1, -(-total // block_rows)), max(1, -(-n_queries // query_rows))
-    keep = kept_of(total, keep)
-    codes = cut(index(once, book, width))
-    asked = cut(queries.withColumn("qb", fold_row_id(F.col("id"), seed=seed + 1, modulus=query_blocks).cast("int")))
+    blocks = cut(counts.select("width", F.ceil(F.col("n") / block_rows).cast("int").alias("cbs"), F.greatest(F.lit(1), F.ceil(F.col("asked") / query_rows)).cast("int").alias("qbs"), "n"))
+    most = blocks.agg(F.max("cbs").alias("cbs"), F.sum("n").alias("n")).first()
+    few = F.broadcast(blocks.drop("n")) if blocks.count() <= 100_000 else blocks.drop("n")  # one row a length
+    keep = kept_of(most["n"], keep)
+    codes = cut(index(once, books).join(few, "width").withColumn("cb", F.pmod(F.xxhash64(F.lit(seed), "id", "mark"), F.col("cbs")).cast("int")))
+    queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("mark").alias("query_mark"), "width", "v")
+    asked = cut(queries.join(few, "width").withColumn("qb", F.pmod(F.xxhash64(F.lit(seed + 1), "query_id", "query_mark"), F.col("qbs")).cast("int")))
 
     def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            ids, coded = c["id"].to_numpy(), np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
-            by_byte = np.ascontiguousarray(coded.T).astype(np.intp)
+            width, ids, marks = int(q["width"].iloc[0]), c["id"].to_numpy(), c["mark"].to_numpy()
+            coded = b"".join(c["code"])
+            by_byte = np.ascontiguousarray(np.frombuffer(coded, np.uint8).reshape(len(c), -1).T).astype(np.intp) if width in books else None
             for s in range(0, len(q), 64):
                 some = q.iloc[s : s + 64]
                 floor = some["floor"].fillna(-np.inf).to_numpy(np.float32)
-                tables = book.tables(_matrix(some["v"], width))
                 score = np.zeros((len(some), len(ids)), np.float32)
-                for j, row in enumerate(by_byte):
-                    score += tables[:, j].take(row, axis=1)
+                if by_byte is None:
+                    score += _matrix(some["v"], width) @ np.frombuffer(coded, np.float64).reshape(len(c), -1).T
+                else:
+                    tables = books[width].tables(_matrix(some["v"], width))
+                    for j, row in enumerate(by_byte):
+                        score += tables[:, j].take(row, axis=1)
                 n = min(keep, len(ids))
                 best = np.argpartition(-score, n - 1, axis=1)[:, :n]
                 near = np.take_along_axis(score, best, 1)
                 at, place = np.nonzero(near >= floor[:, None])
-                out.append(pd.DataFrame({"query_id": some["id"].to_numpy()[at], "id": ids[best[at, place]], "near": near[at, place].astype(float)}))
-        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "near": []})
-        return found.astype({"query_id": "int64", "id": "int64", "near": "float64"})
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-    near, start = spark.createDataFrame([], "query_id long, id long, near double"), 0
-    while start < candidate_blocks:
-        stop = min(candidate_blocks, max(1, 2 * start))
-        floors = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= keep, F.min("near")).alias("floor"))
-        visits = asked.join(floors, "id", "left").withColumn("cb", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))))
-        visited = blocked(codes, "cb", candidate_blocks, "qb", query_blocks, seed).where(F.col("cb").between(start, stop - 1))
-        found = visits.groupBy("cb", "qb").cogroup(visited.groupBy("cb", "qb")).applyInPandas(scan, "query_id long, id long, near double")
+                found = best[at, place]
+                out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "query_mark": some["query_mark"].to_numpy()[at], "id": ids[found], "mark": marks[found], "near": near[at, place].astype(float)}))
+        found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "query_mark", "id", "mark", "near")})
+        return found.astype({"query_id": "int64", "query_mark": "int64", "id": "int64", "mark": "int64", "near": "float64"})
+
+    schema, query = "query_id long, query_mark long, id long, mark long, near double", ["query_id", "query_mark"]
+    best = Window.partitionBy(*query).orderBy(F.desc("near"), "id", "mark")
+    near, start = spark.createDataFrame([], schema), 0
+    while start < most["cbs"]:
+        stop = min(most["cbs"], max(1, 2 * start))
+        floors = near.groupBy(*query).agg(F.when(F.count(F.lit(1)) >= keep, F.min("near")).alias("floor"))
+        visits = asked.where(F.col("cbs") > start).join(floors, query, "left").withColumn("cb", F.explode(F.sequence(F.lit(start), F.least(F.col("cbs"), F.lit(stop)) - 1)))
+        visited = codes.where(F.col("cb").between(start, stop - 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
+        keys = ["width", "cb", "qb"]
+        found = visits.groupBy(*keys).cogroup(visited.groupBy(*keys)).applyInPandas(scan, schema)
         near = cut(near.unionByName(found).withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).drop("place"))
         start = stop
-    near = near.select("query_id", "id")
-    return rerank(near, queries, once, k)
+    return rerank(near.drop("near"), queries, once, k)
 
 
 def rerank(pairs: DataFrame, queries: DataFrame, once: DataFrame, k: int) -> DataFrame:
-    """Exact cosines of (query_id, id) pairs and the best ``k`` of each query; ids of equal vectors count each, the query's own doesn't."""
+    """Exact cosines of pairs of a query and a distinct vector, and the best ``k`` rows of each query."""
 
     @F.pandas_udf("double")
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=float)
-        x, y = np.stack(a.to_numpy()), np.stack(b.to_numpy())
-        return pd.Series((x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))))
-
-    exact = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id").join(once, "id").select("query_id", cosine("q", "v").alias("score"), F.explode("ids").alias("id"))
-    exact = exact.where(F.col("id") != F.col("query_id"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+        out = np.empty(len(a))
+        length = a.map(len).to_numpy()
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            x, y = np.stack(a.iloc[at].to_numpy()), np.stack(b.iloc[at].to_numpy())
+            out[at] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+        return pd.Series(out)
+
+    both = pairs.join(queries.select("query_id", "query_mark", F.col("v").alias("q")), ["query_id", "query_mark"]).join(once.select("id", "mark", "v"), ["id", "mark"])
+    return best_of(both.select("query_id", "query_mark", "id", "mark", cosine("q", "v").alias("score")), once, k)

@@ -55,14 +55,25 @@ def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def vector_rows(rows: DataFrame) -> DataFrame:
+    """id, v, width and mark, a hash of v, of the distinct rows (id, v): rows that repeat an id with another vector are rows of their own."""
+    return cut(rows.select("id", "v").distinct().withColumns({"width": F.size("v"), "mark": F.xxhash64("v")}))
+
+
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """v, id (the smallest of v's ids), ids (the smallest ``k`` + 1 of them): all that a top-k search can return of equal vectors."""
+    """v, width, mark, id (the smallest of v's ids), ids (the smallest ``k`` + 1 of them): all that a top-k search can return of equal vectors."""
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = rows.select("id", "v").withColumn("__n", first).where(F.col("__n") <= k + 1)  # cut down before the shuffle as well
-    return few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.element_at("ids", 1))
+    once = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return once.withColumns({"id": F.element_at("ids", 1), "width": F.size("v"), "mark": F.xxhash64("v")})
 
 
-def blocked(rows: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int, seed: int) -> DataFrame:
-    """Deal rows into blocks by a hash of their id and send each block to every block of the other side, as column ``other``."""
-    dealt = rows.withColumn(own, fold_row_id(F.col("id"), seed=seed, modulus=own_blocks).cast("int"))
-    return dealt.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+def best_of(scored: DataFrame, once: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the best ``k`` rows of each query from scores of distinct vectors; the query's own row is left out.
+
+    scored: query_id, query_mark, id, mark, score.
+    """
+    each = scored.join(once.select("id", "mark", "ids"), ["id", "mark"]).select("query_id", "query_mark", "score", "mark", F.explode("ids").alias("id"))
+    each = each.where((F.col("id") != F.col("query_id")) | (F.col("mark") != F.col("query_mark")))
+    order = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("score"), "id")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
