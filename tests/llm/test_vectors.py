@@ -1,5 +1,7 @@
 """Both vector searches and the URL filter."""
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -30,6 +32,68 @@ def test_ann_is_exact_on_few_rows(spark):
         assert [x[1] for x in rows] == best and all(abs(s - cos[i]) < 1e-12 for _, i, s in rows)
 
 
+def other_lengths(spark):
+    """Vectors of several lengths, ids that repeat with other vectors and with the same one, and very large components."""
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.normal(size=8)], 0) for i in range(80)]
+    rows += [(100 + i, [float(x) for x in r.normal(size=3)], 0) for i in range(50)]
+    rows += [(200, [1.0, 2.0], 0), (250, [1.0], 0), (0, [float(x) for x in r.normal(size=8)], 0), (0, [float(x) for x in r.normal(size=3)], 0), (50, rows[50][1], 0), (60, rows[7][1], 0)]
+    rows += [(300 + i, [float(x) * 3e6 for x in r.normal(size=5)], 0) for i in range(30)]
+    return spark.createDataFrame(rows, VECTORS)
+
+
+def plain_search(df, asked, k, score, keep):
+    """(query_id, rank, vec_id, score) of distinct rows, each length by itself."""
+    rows = sorted({(r["vec_id"], tuple(r["embedding"])) for r in df.collect()})
+    out = []
+    for q in rows:
+        if asked(q[0]):
+            near = sorted(((score(q[1], x[1]), x[0]) for x in rows if x != q and len(x[1]) == len(q[1])), key=lambda s: (-s[0], s[1]))[:k]
+            out += [(q[0], n + 1, i, keep(s)) for n, (s, i) in enumerate(near)]
+    return sorted(out)
+
+
+def test_ann_of_other_lengths(spark, monkeypatch):
+    df = other_lengths(spark)
+
+    def cosine(a, b):
+        a, b = np.array(a), np.array(b)
+        return round(float((a * b).sum() / np.linalg.norm(a) / np.linalg.norm(b)), 12)
+
+    expected = plain_search(df, lambda i: i % 50 == 0, 5, cosine, lambda s: round(s, 9))
+    for coded in (16, 1):  # with one codebook the other lengths are scanned without codes
+        monkeypatch.setattr(ann, "CODED", coded)
+        found = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(df, lambda i: i % 50 == 0, k=5, block_rows=20, query_rows=2).collect())
+        assert found == expected
+
+
+def test_exact_search_of_other_lengths(spark):
+    df = other_lengths(spark)
+    product = lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b, strict=True))
+    expected = plain_search(df, lambda i: i % 20 == 0, 20, product, lambda s: s)
+    assert max(abs(s) for *_, s in expected) > 1 << 53
+    for blocks, asked in ((10, 4), (8_192, 1_024)):
+        assert sorted(map(tuple, exact_topk.search(df, lambda i: i % 20 == 0, k=20, block_rows=blocks, query_rows=asked).collect())) == expected
+
+
+def test_boxes_bound_all_products():
+    r = np.random.default_rng(4)
+    q, x = r.normal(size=(40, 64)) + 1, r.normal(size=(90, 64)) - 0.5
+    p, s = exact_topk.profile(q, 16), exact_topk.profile(x, 16)
+    assert exact_topk.bound_of_boxes(p.min(0), p.max(0), s.min(0), s.max(0)) >= (q @ x.T).max()
+
+
+def test_exact_search_of_clusters(spark):
+    """Where the bounds of boxes spare most pairs of blocks, the result is that of brute force."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(6, 16)) * 20
+    rows = [(i, [float(x) for x in centres[i % 6] + r.normal(size=16) * 0.1], 0) for i in range(600)]
+    df = spark.createDataFrame(rows, VECTORS)
+    product = lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b, strict=True))
+    found = exact_topk.search(df, lambda i: i % 20 == 0, k=5, block_rows=30, query_rows=10)
+    assert sorted(map(tuple, found.collect())) == plain_search(df, lambda i: i % 20 == 0, 5, product, lambda s: s)
+
+
 def test_ann_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.collect()
