@@ -112,5 +112,5 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_max(places).cast("long").alias("last_word"),
         F.array_join(labels(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(labels(base | own)), ",").alias("labels"),
-        F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.greatest(*shares)).alias("score"),
+        F.round(F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.greatest(*shares)), 9).alias("score"),
     )

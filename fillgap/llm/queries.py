@@ -62,7 +62,37 @@ QUERIES = {
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+
+
+def _licences_sql() -> str:
+    """Places of every phrase by comparing slices of words, and the templates' shares of weight from counts over all documents."""
+    phrases = {label: phrase.split() for label, phrase in [*licences.BASE.items(), *((k, must) for k, (_, must) in licences.TEMPLATES.items())]}
+    names = {label: f"p{i}" for i, label in enumerate(sorted(phrases))}
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    places = ", ".join(f"CASE WHEN list_has_all(ws, {quoted(p)}) THEN list_filter(range(1, len(ws) - {len(p) - 2}), lambda i: ws[i:i + {len(p) - 1}] = {quoted(p)}) ELSE [] END AS {names[label]}" for label, p in phrases.items())
+    shares = []
+    for label, (template, must) in licences.TEMPLATES.items():
+        words, shift = template.split(), next(i for i in range(99) if template.split()[i:][: len(must.split())] == must.split())
+        weight = lambda w: f"(SELECT weight FROM weights WHERE word = '{w}')"
+        hit = " + ".join(f"CASE WHEN i + {k - shift} >= 1 AND ws[i + {k - shift}] = '{w}' THEN {weight(w)} ELSE 0 END" for k, w in enumerate(words))
+        shares.append(f"SELECT doc_id, part, least(({hit}) / ({' + '.join(weight(w) for w in words)}), 1) AS share FROM (SELECT doc_id, part, ws, unnest({names[label]}) AS i FROM found)")
+    base = " || ".join(names[x] for x in licences.BASE)
+    says = lambda labels: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN len({names[x]}) > 0 THEN '{x}' END" for x in sorted(labels)) + "], lambda x: x IS NOT NULL), ',')"
+    return f"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS part, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), weights AS MATERIALIZED (
+  SELECT word, ln(((SELECT count(*) FROM w) + 1) / (count(DISTINCT part) + 1)) + 1 AS weight FROM (SELECT unnest({quoted(licences.vocabulary())}) AS word) LEFT JOIN (SELECT part, unnest(ws) AS word FROM w) USING (word) GROUP BY word
+), found AS MATERIALIZED (SELECT *, {places} FROM w), shares AS ({" UNION ALL ".join(shares)}),
+best AS (SELECT part, max(share) AS share FROM shares GROUP BY part)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len({base}) AS BIGINT) AS n_base, list_min({base}) - 1 AS first_word, list_max({base}) - 1 AS last_word,
+  {says(licences.BASE)} AS base_labels, {says(phrases)} AS labels, round(CAST(CASE WHEN len({base}) > 0 THEN 1 ELSE coalesce(share, 0) END AS DOUBLE), 9) AS score
+FROM found LEFT JOIN best USING (part)
+"""
+
+
 SQL = {
+    "op6_licences": _licences_sql(),
     "op8_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS e FROM embeddings
