@@ -155,12 +155,18 @@ def beside_roots(records: DataFrame, columns: dict[str, str], previous: bool = T
     return met.withColumn("__near", F.coalesce("__near", "__edge")).select("net_id", "pos", *[F.col(f"__near.{n}").alias(n) for n in columns.values()])
 
 
-def nested_by_indent(records: DataFrame) -> DataFrame:
+def widths_of(records: DataFrame) -> list[int]:
+    """The different widths of indentation, one more than MANY_WIDTHS at most."""
+    return sorted(r[0] for r in records.select("indent").distinct().limit(MANY_WIDTHS + 1).collect())
+
+
+def nested_by_indent(records: DataFrame, widths: list[int] | None = None) -> DataFrame:
     """Adds ``parent`` and ``subtree_end`` from ``indent`` of any widths: the parent is the nearest earlier record with a smaller one.
 
-    Up to MANY_WIDTHS different widths are a window expression each; with more, a stack runs over each root's tree.
+    Up to MANY_WIDTHS different widths, those of ``widths_of``, are a window expression each; with more, a stack runs over
+    each root's tree.
     """
-    widths = sorted(r[0] for r in records.select("indent").distinct().limit(MANY_WIDTHS + 1).collect())
+    widths = widths_of(records) if widths is None else widths
     if len(widths) > MANY_WIDTHS:
         return _stacked(records)
     if not widths:
