@@ -294,15 +294,18 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(rows.select("a", "b", "times", F.least("x", "y").alias("la"), F.greatest("x", "y").alias("lb")))
 
 
-def in_cells(lists: DataFrame) -> DataFrame:
-    """Rows of lists dealt into cells of bounded size: adds cell (i, j, of) and side.
+def in_cells(lists: DataFrame, columns: list[str], per_bucket: int = 200_000) -> tuple[DataFrame, int]:
+    """Rows of the lists that hold several components, dealt into cells of bounded size, and into how many buckets they go.
 
-    A list's largest component needs no comparison within itself. In a cell of kind 0 some of its members (side 0) meet
-    some of the other vertices (side 1); in kind 1 other vertices meet other vertices, of the same part or of two.
+    lists: hash and ``columns``, with vertex and label. Adds cell (i, j, of) and side. A list's largest component needs no
+    comparison within itself. In a cell of kind 0 some of its members (side 0) meet some of the other vertices (side 1);
+    in kind 1 other vertices meet other vertices, of the same part or of two. Buckets follow the number of rows in cells.
     """
     sizes = lists.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("hash").agg(F.sum("c").alias("all"), F.max(F.struct("c", "label")).alias("top"))
-    sizes = sizes.select("hash", F.col("top.label").alias("top"), F.ceil(F.col("top.c") / CELL).cast("int").alias("k0"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.c")) / CELL)).cast("int").alias("k1"))
-    rows = lists.join(sizes.where("k1 > 0"), "hash")
+    sizes = sizes.where(F.col("all") > F.col("top.c")).withColumns({"k0": F.ceil(F.col("top.c") / CELL).cast("int"), "k1": F.ceil((F.col("all") - F.col("top.c")) / CELL).cast("int")})
+    sizes = cut(sizes.select("hash", F.col("top.label").alias("top"), F.col("top.c").alias("members"), (F.col("all") - F.col("top.c")).alias("others"), "k0", "k1"))
+    in_all = sizes.agg(F.sum(F.col("members") * F.col("k1") + F.col("others") * (F.col("k0") + F.col("k1")))).first()[0] or 0
+    rows = lists.join(sizes.select("hash", "top", "k0", "k1"), "hash")
     inside = F.col("label") == F.col("top")
     own = F.pmod(F.xxhash64(F.lit(9), "vertex"), F.when(inside, F.col("k0")).otherwise(F.col("k1"))).cast("int")
     rows = rows.withColumn("own", own).withColumn("inside", inside)
@@ -316,24 +319,30 @@ def in_cells(lists: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("k0") - 1), lambda i: cell(i, own, 0, F.lit(1))),
         F.transform(F.sequence(F.lit(0), F.col("k1") - 1), lambda j: cell(least(j), most(j), 1, F.when(own <= j, 0).otherwise(1))),
     )
-    rows = rows.select("hash", "vertex", "n", "place", "label", F.explode(F.when(F.col("inside"), members).otherwise(others)).alias("cell"))
-    return rows.select("hash", "vertex", "n", "place", "label", "cell.*")
+    rows = rows.select("hash", *columns, F.explode(F.when(F.col("inside"), members).otherwise(others)).alias("cell"))
+    return rows.select("hash", *columns, "cell.*"), max(64, -(-int(in_all) // per_bucket))
+
+
+def cells_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    """For each cell of a bucket its columns, the places of one side, those of the other, and whether it is one part that meets itself."""
+    t = pa.Table.from_batches(list(batches)).to_pandas().sort_values(["hash", "of", "i", "j", "side"], kind="stable")
+    key, side, held = t[["hash", "of", "i", "j"]].to_numpy(), t["side"].to_numpy(), [t[c].to_numpy() for c in columns]
+    cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True]))) if len(key) else []
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        middle = int(np.searchsorted(side[s:e], 1))
+        one_part = key[s, 1] == 1 and key[s, 2] == key[s, 3]
+        few, many = ((0, middle), (middle, e - s)) if 2 * middle <= e - s else ((middle, e - s), (0, middle))
+        yield *(x[s:e] for x in held), range(e - s) if one_part else range(*few), slice(*many), one_part
 
 
 def _crossing(percent: int, at_once: int = 100_000):
     """Pairs of cells that are not connected and that pass the length and positional filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).to_pandas().sort_values(["hash", "of", "i", "j", "side"], kind="stable")
-        key, vertex, size, place, label, side = t[["hash", "of", "i", "j"]].to_numpy(), *(t[c].to_numpy() for c in ("vertex", "n", "place", "label", "side"))
-        cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1), [True]))) if len(key) else []
         found, held = [], 0
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            middle = s + int(np.searchsorted(side[s:e], 1))
-            one_part = key[s, 1] == 1 and key[s, 2] == key[s, 3]  # it meets itself, each pair once
-            few, many = ((s, middle), (middle, e)) if middle - s <= e - middle else ((middle, e), (s, middle))
-            for i in range(s, e) if one_part else range(*few):
-                at = slice(i + 1, e) if one_part else slice(*many)
+        for vertex, size, place, label, few, many, one_part in cells_of(batches, ["vertex", "n", "place", "label"]):
+            for i in few:
+                at = slice(i + 1, len(vertex)) if one_part else many
                 m, least = size[at], -(-percent * (size[at] + size[i]) // (100 + percent))
                 other = (label[at] != label[i]) & (np.minimum(m, size[i]) * 100 >= percent * np.maximum(m, size[i]))
                 # The first element that a similar pair shares has so few elements before it in both that the rest will do.
@@ -355,6 +364,25 @@ def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
     return _batch(a=pa.array(pairs[:, 0]), b=pa.array(pairs[:, 1]))
 
 
+def named_vertices(profile: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """Names each set by its fingerprint: (rows of ``profile`` with vertex for half and other; vertex, doc_id, the smallest
+    of its documents; first halves that unlike sets share).
+
+    Wordless rows and rows with a null id have no vertex.
+    """
+    by_half = profile.where(F.col("half").isNotNull() & F.col("doc_id").isNotNull()).groupBy("half").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    vertices = cut(by_half)
+    # Of 10^10 sets a few agree in one half by chance, and by chance no two of those few in both halves together.
+    doubtful = frozenset(r["half"] for r in vertices.where("lo <> hi").select("half").collect())
+    vertex = F.col("half")
+    if doubtful:
+        vertex = F.when(vertex.isin(list(doubtful)), vertex.bitwiseXOR(F.col("other"))).otherwise(vertex)
+    profile = profile.withColumn("vertex", F.when(F.col("doc_id").isNotNull(), vertex)).drop("half", "other")
+    if doubtful:
+        return profile, cut(profile.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))), doubtful
+    return profile, vertices.select(F.col("half").alias("vertex"), "doc_id"), doubtful
+
+
 def classes(docs: DataFrame, n: int = 5, percent: int = 75, stars: int = 3, tries: int = 2) -> DataFrame:
     """Classes of documents that chains of pairs with a Jaccard similarity of ``percent`` / 100 or more connect.
 
@@ -380,18 +408,7 @@ def _classes(docs: DataFrame, n: int = 5, percent: int = 75, stars: int = 3, tri
         sketch[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.int64)
     shared_sketch = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
 
-    by_half = profile.where(F.col("half").isNotNull() & F.col("doc_id").isNotNull()).groupBy("half").agg(F.min("doc_id").alias("doc_id"), F.min("other").alias("lo"), F.max("other").alias("hi"))
-    vertices = cut(by_half)
-    # Of 10^10 sets a few agree in one half by chance, and by chance no two of those few in both halves together.
-    doubtful = frozenset(r["half"] for r in vertices.where("lo <> hi").select("half").collect())
-    vertex = F.col("half")
-    if doubtful:
-        vertex = F.when(vertex.isin(list(doubtful)), vertex.bitwiseXOR(F.col("other"))).otherwise(vertex)
-    profile = profile.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), vertex).alias("vertex"))
-    if doubtful:
-        vertices = cut(profile.where(F.col("vertex").isNotNull()).groupBy("vertex").agg(F.min("doc_id").alias("doc_id")))
-    else:
-        vertices = vertices.select(F.col("half").alias("vertex"), "doc_id")
+    profile, vertices, doubtful = named_vertices(profile)
 
     total = profile.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, int(total * (100 - percent) / 100 / 500_000))
@@ -407,8 +424,8 @@ def _classes(docs: DataFrame, n: int = 5, percent: int = 75, stars: int = 3, tri
         labels = components(edges)
 
     labelled = cut(lists.join(labels, "vertex", "left").select("hash", "vertex", "n", "place", F.coalesce("label", "vertex").alias("label")))
-    mixed = labelled.groupBy("hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("hash")
-    cells = in_cells(labelled.join(mixed, "hash", "left_semi")).withColumn("bucket", F.pmod(F.xxhash64("hash", "i", "j", "of"), F.lit(max(64, buckets))))
+    cells, buckets = in_cells(labelled, ["vertex", "n", "place", "label"])
+    cells = cells.withColumn("bucket", F.pmod(F.xxhash64("hash", "i", "j", "of"), F.lit(buckets)))
     met = cells.groupBy("bucket").applyInArrow(_crossing(percent), "a long, b long").distinct()
     early = lists.groupBy("vertex").agg(F.collect_set("hash").alias("early"), F.min("n").alias("n"))
     met = met.join(early.toDF("a", "x", "m"), "a").join(early.toDF("b", "y", "n"), "b").withColumn("times", F.size(F.array_intersect("x", "y")))

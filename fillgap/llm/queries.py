@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillgap.llm import ann, bpe, exact_topk, jaccard, language, licences, mixing, sharding, toxicity, urls
+from fillgap.llm import ann, bpe, clustering, exact_topk, hyperminhash, jaccard, language, licences, mixing, ranked, sharding, toxicity, urls
 from fillgap.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -56,8 +56,21 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_toxicity, op2_language, op3_nearest, op4_shards, op5_bpe, op6_licences, op7_urls, op8_exact_topk, op9_jaccard, op10_mix)
+    f.__name__: f
+    for f in (op1_toxicity, op2_language, op3_nearest, op4_shards, op5_bpe, op6_licences, op7_urls, op8_exact_topk, op9_jaccard, op10_mix, op11_ranked, op12_clusters, op13_hyperminhash)
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -91,6 +104,50 @@ FROM found LEFT JOIN best USING (part)
 """
 
 
+def _jaccard_sql(n: int, percent: int, more: str = "") -> str:
+    """Classes by all shared n-grams and a recursive walk over the links."""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END) AS grams FROM w
+), s AS (SELECT doc_id, unnest(grams) AS gram FROM g),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (
+  SELECT x, y FROM shared JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y WHERE 100 * n >= {percent} * (len(a.grams) + len(b.grams) - n)
+), ways AS (SELECT x, y FROM linked UNION SELECT y, x FROM linked),
+reach AS (SELECT doc_id, doc_id AS other FROM g UNION SELECT r.doc_id, w.y FROM reach r JOIN ways w ON w.x = r.other)
+SELECT g.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, min(other) AS component_id{more} FROM g JOIN reach USING (doc_id) GROUP BY g.doc_id, grams
+"""
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds written out; all numbers of these vectors stay below 2^53."""
+    squared = lambda a, b: f"(list_inner_product({a}, {a}) - 2 * list_inner_product({a}, {b}) + list_inner_product({b}, {b}))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT part, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT part, c, {squared('v.e', 't.e')} AS d FROM v, c{i} t) GROUP BY part)")
+        if i < rounds:
+            means = f"SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.c, unnest(e) AS x, unnest(range(1, 65)) AS i FROM a{i} a JOIN v USING (part)) GROUP BY c, i"
+            moved = f"SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS e FROM ({means}) GROUP BY c"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.e, o.e) AS e FROM c{i} o LEFT JOIN ({moved}) m ON m.c = o.c)")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS part, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('1:' || vec_id) AS h, e FROM v ORDER BY h NULLS LAST, e LIMIT {k})
+), {", ".join(steps)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(t.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (part) JOIN c{rounds} t ON t.c = a.c
+"""
+
+
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
 SQL = {
     "op6_licences": _licences_sql(),
     "op8_exact_topk": """
@@ -103,18 +160,18 @@ WITH v AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
-    "op9_jaccard": f"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
-), g AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS grams FROM w
-), s AS (SELECT doc_id, unnest(grams) AS gram FROM g),
-shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
-linked AS (
-  SELECT x, y FROM shared JOIN g a ON a.doc_id = x JOIN g b ON b.doc_id = y WHERE 100 * n >= 75 * (len(a.grams) + len(b.grams) - n)
-), ways AS (SELECT x, y FROM linked UNION SELECT y, x FROM linked),
-reach AS (SELECT doc_id, doc_id AS other FROM g UNION SELECT r.doc_id, w.y FROM reach r JOIN ways w ON w.x = r.other)
-SELECT g.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, min(other) AS component_id FROM g JOIN reach USING (doc_id) GROUP BY g.doc_id, grams
+    "op9_jaccard": _jaccard_sql(5, 75),
+    "op11_ranked": f"""
+WITH w AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS part, {TERMS} AS ws FROM documents),
+total AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS words FROM w WHERE len(ws) > 0),
+asked AS MATERIALIZED (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+times AS MATERIALIZED (SELECT part, term, count(*) AS tf FROM (SELECT part, unnest(ws) AS term FROM w) WHERE term IN (SELECT term FROM asked) GROUP BY part, term),
+weights AS MATERIALIZED (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM times, total GROUP BY term, docs),
+hits AS (SELECT part, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(ws) * docs) // words))) AS impact FROM times JOIN weights USING (term) JOIN w USING (part), total),
+scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN hits USING (term) JOIN w USING (part) GROUP BY item_id, doc_id, part),
+ranks AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranks WHERE rank <= 50
 """,
+    "op12_clusters": _clusters_sql(),
+    "op13_hyperminhash": _jaccard_sql(4, 80, ", min(other) = g.doc_id AS kept"),
 }
