@@ -118,8 +118,13 @@ def train(x: np.ndarray, h: float = 4.0, rounds: int = 8, seed: int = 3) -> Code
     return book
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Every row times a power of two that brings its largest component near 1, so that no square leaves the doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
+
+
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, width))
+    x = scaled(np.stack(vectors.to_numpy())) if len(vectors) else np.empty((0, width))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -156,7 +161,7 @@ def search(df: DataFrame, is_query, k: int = 5, keep: int = 200, fit_vectors: in
     each length is searched by itself. Fewer rows than ``k`` give all there are; no rows give no rows. A row that repeats
     an id with another vector is a row of its own, as query and as candidate; a row that repeats both counts once. The
     codebooks of the CODED commonest lengths learn from about ``fit_vectors`` rows each, rows of other lengths are scanned
-    without codes; every row is indexed, and the best ``keep`` of all scans, more if there are many rows (``kept_of``),
+    without codes; components may be as small or large as doubles are. Every row is indexed, and the best ``keep`` of all scans, more if there are many rows (``kept_of``),
     are reranked.
     """
     spark = df.sparkSession
@@ -232,7 +237,7 @@ def rerank(pairs: DataFrame, queries: DataFrame, once: DataFrame, k: int) -> Dat
         length = a.map(len).to_numpy()
         for n in np.unique(length):
             at = np.flatnonzero(length == n)
-            x, y = np.stack(a.iloc[at].to_numpy()), np.stack(b.iloc[at].to_numpy())
+            x, y = scaled(np.stack(a.iloc[at].to_numpy())), scaled(np.stack(b.iloc[at].to_numpy()))
             out[at] = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
         return pd.Series(out)
 

@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 from fillgap.session import cut, shared_dir  # noqa: F401  for the operators
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +50,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def columns_of(df: DataFrame) -> list[str]:
+    """All column names in a form that select() takes, whatever dots and backticks they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from fillgap.llm.common import best_of, cut, distinct_vectors, vector_rows
 
 LEVELS = (1, 4, 16)  # segments
+LARGEST = (1 << 63) - 1
 
 
 def quantised(df: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -35,6 +36,11 @@ def quantised(df: DataFrame, scale: float = 64.0, id_col: str = "vec_id", vector
     return rows.select("id", F.transform("x", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
 
 
+def largest(x: np.ndarray) -> int:
+    """The largest absolute value of whole numbers, the smallest long included."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def profile(x: np.ndarray, segments: int) -> np.ndarray:
     """Rows whose product with another row's profile is an upper bound of the inner product."""
     cuts = np.linspace(0, x.shape[1], min(segments, max(1, x.shape[1])) + 1).astype(int)
@@ -74,8 +80,8 @@ def best_in_block(q: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
 
 def bound_of_boxes(lo: np.ndarray, hi: np.ndarray, other_lo: np.ndarray, other_hi: np.ndarray) -> np.ndarray:
     """An upper bound of all products between the profiles of two boxes: the best corner in each dimension. Boxes are rows."""
-    corners = [a * b for a in (lo, hi) for b in (other_lo, other_hi)]
-    return np.maximum.reduce(corners).sum(-1)
+    best = np.maximum.reduce([a * b for a in (lo, hi) for b in (other_lo, other_hi)])
+    return best.sum(-1) + 1e-12 * np.abs(best).sum(-1)
 
 
 CELLS = 256
@@ -123,8 +129,8 @@ def search(df: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_rows
     non-finite components take no part; zero and empty vectors do. Vectors of different lengths have no product: each
     length is searched by itself. Fewer rows than ``k`` give all there are; no rows give no rows. A row that repeats an id
     with another vector is a row of its own, as query and as candidate; a row that repeats both counts once. Products
-    whose terms add up to 2^53 or more in absolute value are worked out in whole numbers of any size, and have to fit
-    into a long.
+    whose terms add up to 2^53 or more in absolute value are worked out in whole numbers of any size. A component that
+    no long can hold counts as the nearest long, and so does a product, whose lower end is -(2^63 - 1).
     """
     spark = df.sparkSession
     rows = vector_rows(quantised(df, scale, id_col, vector_col))
@@ -139,20 +145,24 @@ def search(df: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_rows
         if len(q) and len(c):
             ids, marks = c["id"].to_numpy(), c["mark"].to_numpy()
             x = np.stack(c["v"].to_numpy())
-            large = int(np.abs(x).max(initial=0)) * x.shape[1]
+            large = largest(x) * x.shape[1]
             for s in range(0, len(q), 128):
                 some = q.iloc[s : s + 128]
                 y = np.stack(some["v"].to_numpy())
-                if large * int(np.abs(y).max(initial=0)) < 1 << 53:
+                if large * largest(y) < 1 << 53:
                     close = best_in_block(y.astype(np.float64), x.astype(np.float64), k + 1)
                 else:
                     close = [np.arange(len(x))] * len(y)
                 for i, at in enumerate(close):
-                    score = x[at].astype(object) @ y[i].astype(object) if large * int(np.abs(y[i]).max(initial=0)) >= 1 << 53 else x[at] @ y[i]
+                    if not len(at):
+                        score = np.empty(0, np.int64)
+                    elif large * largest(y[i]) >= 1 << 53:
+                        score = np.array([max(-LARGEST, min(LARGEST, s)) for s in x[at].astype(object) @ y[i].astype(object)], np.int64)
+                    else:
+                        score = x[at] @ y[i]
                     row = some.iloc[i]
-                    score = np.asarray(score, np.int64) if len(at) else np.empty(0, np.int64)
                     floor = row["floor"]
-                    over = np.ones(len(at), bool) if floor is None or floor != floor else score >= int(floor) - (abs(int(floor)) >> 50)
+                    over = np.ones(len(at), bool) if floor is None or floor != floor else score >= max(-LARGEST, min(LARGEST, int(floor)) - (abs(int(floor)) >> 50))
                     out.append(pd.DataFrame({"query_id": row["query_id"], "query_mark": row["query_mark"], "id": ids[at][over], "mark": marks[at][over], "score": score[over]}))
         found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "query_mark", "id", "mark", "score")})
         return found.astype(dict.fromkeys(found.columns, "int64"))
@@ -179,7 +189,7 @@ def search(df: DataFrame, is_query, k: int = 20, scale: float = 64.0, block_rows
     pairs = cut(pairs.select("qb", "cb", ((F.col("side") == F.col("other_side")) & (F.col("part") == 0)).alias("first"), bound("a", "b", "lo", "hi").alias("bound")))
     # First one block of each like cell, which gives every query a k-th best score; then the blocks whose bound reaches it.
     near = visited(pairs.where("first").select("qb", "cb"), spark.createDataFrame([], schema))
-    least = near.groupBy("query_id", "query_mark").agg(F.when(F.count(F.lit(1)) >= k + 1, F.min("score")).alias("floor"))
+    least = near.groupBy("query_id", "query_mark").agg(F.when((F.count(F.lit(1)) >= k + 1) & (F.min("score") > -LARGEST), F.min("score")).alias("floor"))
     floors = asked.select("qb", "query_id", "query_mark").join(least, ["query_id", "query_mark"], "left").groupBy("qb").agg(F.when(F.count("floor") == F.count(F.lit(1)), F.min("floor")).alias("floor"))
     rest = pairs.where("not first").join(floors, "qb").where(F.col("floor").isNull() | (F.col("bound") + 1e-9 * (1 + F.abs("bound")) >= F.col("floor")))
     near = visited(cut(rest.select("qb", "cb")), near)

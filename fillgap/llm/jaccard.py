@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fillgap.llm.common import cut
+from fillgap.llm.common import columns_of, cut
 from fillgap.llm.hashing import SpanHasher, mixed
 
 SKETCH_BITS = 20
@@ -474,7 +474,7 @@ def one_of_each(docs: DataFrame, n: int = 5, **options) -> DataFrame:
         return pd.Series([vertex_of(g, doubtful) if len(g) else None for g in grams], dtype="Int64")
 
     often = often.withColumn("__vertex", vertex("text")).withColumn("__id", id_of)
-    first = F.row_number().over(Window.partitionBy("__id", "__vertex").orderBy(F.xxhash64(*docs.columns)))
+    first = F.row_number().over(Window.partitionBy("__id", "__vertex").orderBy(F.xxhash64(*columns_of(docs))))
     often = often.join(kept.withColumn("__kept", F.lit(True)), ["__id", "__vertex"], "left").withColumn("__first", first)
-    often = often.where("__vertex is null or __kept and __first = 1").select(*docs.columns)
+    often = often.where("__vertex is null or __kept and __first = 1").select(*columns_of(docs))
     return once.unionByName(often).unionByName(docs.where(F.col("doc_id").isNull()))

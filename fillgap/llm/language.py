@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgap.llm.common import cut, drawn, held_out
+from fillgap.llm.common import columns_of, cut, drawn, held_out
 
 DIMENSIONS = 512
 GRAM = 3
@@ -181,4 +181,4 @@ def in_known_language(docs: DataFrame, model: Model, least: float = 0.02) -> Dat
     """
     found = docs.withColumn("__language", _predictor(model)("text"))
     kept = (F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= least)
-    return found.where(kept).select(*[found[c] for c in docs.columns])
+    return found.where(kept).select(*columns_of(docs))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fillgap.llm.common import cut
+from fillgap.llm.common import columns_of, cut
 
 WORDS = r"[^\x20\x09-\x0D]+"
 KEY = "struct<mark:bigint,row:bigint>"
@@ -137,4 +137,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     taken = taken.select(F.col("key.row").alias("__row"), copies.alias("__copies")).where(F.col("__copies") > 0)
     kept = rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return kept.select(*docs.columns)
+    return kept.select(*columns_of(docs))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillgap.llm.common import cut, drawn, held_out
+from fillgap.llm.common import columns_of, cut, drawn, held_out
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "itynro"
 
@@ -301,4 +301,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     their text like others. No rows give no rows.
     """
     scored = docs.withColumn("__toxicity", model.score(F.col("text")))
-    return scored.where(F.col("__toxicity") < 0.5).select(*[scored[c] for c in docs.columns])
+    return scored.where(F.col("__toxicity") < 0.5).select(*columns_of(docs))

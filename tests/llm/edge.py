@@ -17,7 +17,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
 #: Names that operators might use themselves.
-CLASHES = ["key", "salt", "n", "id", "size", "bucket", "block", "shard", "score", "label", "vertex", "mass", "words", "present", "count", "value", "no", "mark", "number", "held_out"]
+CLASHES = ["key", "salt", "n", "id", "size", "bucket", "block", "shard", "score", "label", "vertex", "mass", "words", "present", "count", "value", "no", "mark", "number", "held_out", "a.b", "x`y.z"]
 
 
 def documents(spark, rows=ROWS):
