@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fillgap.functions.ordering import natural_key, running_sum
-from fillgap.operators.tree import WIDE, complete, levels_above
+from fillgap.operators.scan import PART, Parts, parts_of, running
+from fillgap.operators.tree import WIDE, deepest
 from fillgap.schema import TREE
+from fillgap.session import cut
 
 PRESERVE, LEXICOGRAPHIC, NATURAL = "preserve", "lexicographic", "natural"
 KEEP_ALL, KEEP_FIRST, KEEP_LAST, ERROR = "keep-all", "keep-first", "keep-last", "error"
@@ -22,33 +24,56 @@ def sort_sections(sections: DataFrame, order: str = NATURAL) -> DataFrame:
     return sections.withColumn("rank", (F.row_number().over(Window.orderBy(key, "net_id")) - 1).cast("long"))
 
 
-def sort_records(records: DataFrame, max_depth: int | None = None) -> DataFrame:
+SIBLING_KEYS = ["reference_start", "reference_size", "kind", "query_name", "query_start", "pos"]
+
+
+def _shifted(records: DataFrame, parts: Parts) -> DataFrame:
+    """Adds ``__shift``: how far behind its parent a record comes, 1 and the room of its earlier siblings; 0 for roots."""
+    room = F.col("subtree_end") - F.col("pos")
+    if parts:  # many siblings meet by ranges of starts
+        inner = running_sum(records.where("parent is not null"), [*TREE, "parent"], F.floor(F.col("reference_start") / (1 << 16)), SIBLING_KEYS, room, "__shift")
+        return cut(inner.withColumn("__shift", F.col("__shift") + 1).unionByName(records.where("parent is null").withColumn("__shift", F.lit(0).cast("long"))))
+    before = Window.partitionBy(*TREE, "parent").orderBy(*SIBLING_KEYS).rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("__shift", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum(room).over(before), F.lit(0)) + 1))
+
+
+def sort_records(records: DataFrame, max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
     """Every list of siblings by start, size, kind, query name and query start; equals stay in order.
 
     A record's new position is its place among its siblings' subtrees added up along its ancestors: each record adds the
-    room of earlier siblings over its own subtree. Roots are ranked by ranges of their starts. ``root`` becomes the new
-    root's position.
+    room of earlier siblings over its own subtree. Parents and ends move with their records. Roots are ranked by ranges of
+    their starts. ``root`` becomes the new root's position. Large trees are worked on in ``parts``, by their keys alone.
     """
+    parts = parts_of(records) if parts is None else parts
     if max_depth is None:
-        max_depth = records.agg(F.max("depth")).first()[0] or 0
-    keys = ["reference_start", "reference_size", "kind", "query_name", "query_start", "pos"]
-    room = F.col("subtree_end") - F.col("pos")
-    before = Window.partitionBy(*TREE, "parent").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum(room).over(before), F.lit(0)) + 1)
-    rows = records.withColumn("__shift", shift)
+        max_depth = deepest(records)
+    made = ["pos", "parent", "subtree_end", "rpos"]
+    rows = records
+    if parts:
+        rows = cut(parts.mark(records.select(*dict.fromkeys([*TREE, "depth", "parent", "subtree_end", *SIBLING_KEYS])).withColumn("__from", F.col("pos"))))
+    rows = _shifted(rows, parts)
     if max_depth <= WIDE:
-        above = [F.when(F.col("depth") > d, x).otherwise(0) for d, x in enumerate(levels_above(F.col("__shift"), max_depth))]
-        rows = rows.withColumn("rpos", reduce(lambda a, b: a + b, above, F.col("__shift")))
+        held = F.col("__shift")
+        rows = running(rows, {f"__s{d}": ("last", F.when(F.col("depth") == d, held)) for d in range(max_depth)}) if max_depth else rows
+        sums = [F.when(F.col("depth") > d, F.col(f"__s{d}")).otherwise(0) for d in range(max_depth)]
+        rows = rows.withColumn("rpos", reduce(lambda a, b: a + b, sums, held)).drop(*[f"__s{d}" for d in range(max_depth)])
     else:
         opening = rows.withColumns({"at": F.col("pos"), "opens": F.lit(1), "add": F.col("__shift")})
-        closing = rows.select(*TREE, F.col("subtree_end").alias("at"), F.lit(0).alias("opens"), (-F.col("__shift")).alias("add"))
-        path = Window.partitionBy(*TREE).orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = opening.unionByName(closing, allowMissingColumns=True).withColumn("rpos", F.sum("add").over(path)).where("opens = 1").drop("at", "opens", "add")
+        closing = rows.select(*TREE, *[c for c in [PART] if c in rows.columns], F.col("subtree_end").alias("at"), F.lit(0).alias("opens"), (-F.col("__shift")).alias("add"))
+        closing = parts.moved(closing, F.col("at"))
+        line = running(opening.unionByName(closing, allowMissingColumns=True), {"rpos": ("sum", F.col("add"))}, inclusive=True, order=["at", "opens"])
+        rows = line.where("opens = 1").drop("at", "opens", "add")
     # Roots: one row each, with the room of their trees.
-    tops = records.where("parent is null").select(*TREE, room.alias("__room"), *keys)
-    offsets = running_sum(tops, ["net_id"], F.floor(F.col("reference_start") / (1 << 16)), keys, F.col("__room"), "__offset").select(*TREE, "__offset")
-    out = complete(rows.drop("__shift", "parent", "subtree_end"), max_depth, offsets)
-    return out.withColumn("root", F.col("pos") - F.col("rpos"))
+    tops = records.where("parent is null").select(*TREE, (F.col("subtree_end") - F.col("pos")).alias("__room"), *SIBLING_KEYS)
+    offsets = running_sum(tops, ["net_id"], F.floor(F.col("reference_start") / (1 << 16)), SIBLING_KEYS, F.col("__room"), "__offset").select(*TREE, "__offset")
+    # A record's end follows from its room, and its parent stands before it by its shift.
+    new = F.col("rpos") + F.col("__offset")
+    rows = rows.join(offsets, TREE).withColumns({"parent": F.when(F.col("parent").isNotNull(), new - F.col("__shift")), "subtree_end": new + F.col("subtree_end") - F.col("pos"), "pos": new})
+    rows = rows.drop("__shift", "__offset").withColumn("__new", F.col("pos") - F.col("rpos"))
+    if not parts:
+        return rows.withColumn("root", F.col("__new")).drop("__new")
+    old = records.withColumnsRenamed({"pos": "__from"}).drop(*made)
+    return old.join(rows.select(*TREE, "__from", "__new", *made), [*TREE, "__from"]).withColumn("root", F.col("__new")).drop("__from", "__new")
 
 
 def merge_sections(sections: DataFrame, duplicates: str = KEEP_ALL, sort: bool = False) -> DataFrame:

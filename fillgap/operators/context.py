@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fillgap.operators.scan import Parts
 from fillgap.operators.tree import has_children, nearest_enclosing
 from fillgap.schema import TREE
 
 
-def fill_contexts(records: DataFrame, max_depth: int | None = None) -> DataFrame:
+def fill_contexts(records: DataFrame, max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
     """Every fill with its parent gap and its nearest enclosing fill.
 
     net_id, pos, depth, chain_id (0 without one), parent_gap (position of the direct parent if that is a gap),
@@ -18,7 +19,7 @@ def fill_contexts(records: DataFrame, max_depth: int | None = None) -> DataFrame
     """
     above = records.select(*TREE, F.col("pos").alias("parent"), F.col("kind").alias("__pk"), F.col("reference_start").alias("__ps"), F.col("reference_end").alias("__pe"))
     near = {"pos": "enclosing_fill", "chain_id": "enclosing_chain_id", "reference_start": "enclosing_start", "reference_end": "enclosing_end"}
-    rows = nearest_enclosing(records, F.col("kind") == "fill", near, max_depth).where("kind = 'fill'").join(above, [*TREE, "parent"], "left")
+    rows = nearest_enclosing(records, F.col("kind") == "fill", near, max_depth, parts).where("kind = 'fill'").join(above, [*TREE, "parent"], "left")
     gap = F.col("__pk") == "gap"
     return rows.select(
         *TREE, "pos", "depth", F.coalesce("chain_id", F.lit(0)).alias("chain_id"),

@@ -4,72 +4,73 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from fillgap.operators.tree import WIDE, complete, forward, from_here, levels_above, offsets_of, up_to_here
+from fillgap.operators.scan import WHOLE, Parts, parts_of, running
+from fillgap.operators.tree import WIDE, complete, deepest, offsets_of, open_marked
 from fillgap.schema import TREE
+from fillgap.session import cut
 
 PRUNE, RETAIN, PROMOTE = "prune", "retain-ancestors", "promote"
 
 
-def keep_column(condition: Column, policy: str) -> Column:
-    """Whether a record stays: with its matching ancestors only, as an ancestor of a match, or by itself."""
-    met = F.coalesce(condition, F.lit(False))
+def kept_by(records: DataFrame, policy: str) -> DataFrame:
+    """The records that stay, of those with ``__met``: with their matching ancestors only, as an ancestor of a match, or by themselves."""
+    met = F.col("__met")
     if policy == PRUNE:  # no record that fails is still open here
-        return F.coalesce(F.max(F.when(~met, F.col("subtree_end"))).over(up_to_here()), F.lit(0)) <= F.col("pos")
+        rows = running(records, {"__cut": ("max", F.when(~met, F.col("subtree_end")))}, inclusive=True)
+        return rows.where(F.coalesce("__cut", F.lit(0)) <= F.col("pos")).drop("__cut")
     if policy == RETAIN:  # the next match lies inside the subtree
-        return F.coalesce(F.min(F.when(met, F.col("pos"))).over(from_here()) < F.col("subtree_end"), F.lit(False))
+        rows = running(records, {"__next": ("min", F.when(met, F.col("pos")))}, backward=True, inclusive=True)
+        return rows.where(F.col("__next") < F.col("subtree_end")).drop("__next")
     if policy == PROMOTE:
-        return met
+        return records.where(met)
     raise ValueError(f"unknown policy {policy!r}")
 
 
-def open_kept(records: DataFrame, keep: str = "keep") -> DataFrame:
-    """Kept records with ``kept_above``, how many kept ancestors they have."""
-    kept = records.where(F.col(keep))
-    ends = kept.select(*TREE, F.col("subtree_end").alias("at"), F.lit(0).alias("opens"), F.lit(-1).alias("step"))
-    starts = kept.withColumn("at", F.col("pos")).withColumn("opens", F.lit(1)).withColumn("step", F.lit(1))
-    line = starts.unionByName(ends, allowMissingColumns=True)
-    before = Window.partitionBy(*TREE).orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, -1)
-    line = line.withColumn("kept_above", F.coalesce(F.sum("step").over(before), F.lit(0)).cast("int"))
-    return line.where("opens = 1").drop("at", "opens", "step")
-
-
-def with_kept_above(records: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Kept records with ``kept_above``. Up to WIDE levels the kept ancestors are columns of one window; deeper trees meet as events."""
-    if max_depth is None:
-        max_depth = records.agg(F.max("depth")).first()[0] or 0
-    if max_depth > WIDE:
-        return open_kept(records)
+def with_kept_above(records: DataFrame, max_depth: int, parts: Parts = WHOLE) -> DataFrame:
+    """Records with ``__met`` whose depth becomes the number of such records above. Up to WIDE levels of small trees
+    these are columns of one window; deeper trees and parts count what is open."""
+    if parts or max_depth > WIDE:
+        return open_marked(records, "__met", "depth", parts).where("__met")
+    rows = running(records, {f"__k{d}": ("last", F.when(F.col("depth") == d, F.col("__met"))) for d in range(max_depth)}) if max_depth else records
     above = F.lit(0)
-    for d, kept in enumerate(levels_above(F.col("keep"), max_depth)):
-        above = above + F.when((F.col("depth") > d) & kept, 1).otherwise(0)
-    return records.withColumn("kept_above", above).where("keep")
+    for d in range(max_depth):
+        above = above + F.when((F.col("depth") > d) & F.col(f"__k{d}"), 1).otherwise(0)
+    return rows.withColumn("depth", above).where("__met").drop(*[f"__k{d}" for d in range(max_depth)])
 
 
-def rebuild(kept: DataFrame, max_depth: int | None = None) -> DataFrame:
+def rebuild(kept: DataFrame, max_depth: int | None = None, parts: Parts = WHOLE) -> DataFrame:
     """Positions, parents and ends of what was kept, from its order and its depth; sections count from 0.
 
-    New roots never leave the tree of the old one, so all windows run over (net_id, root) as before; at last ``root``
-    becomes the new root's position.
+    New roots never leave the tree of the old one, so all windows run over (net_id, root) as before, in the order that
+    the records have already; at last ``root`` becomes the new root's position.
     """
-    rows = kept.withColumn("rpos", (F.row_number().over(forward()) - 1).cast("long"))
-    rows = rows.withColumn("__top", F.max(F.when(F.col("depth") == 0, F.col("rpos"))).over(up_to_here()))
+    rows = running(kept.withColumn("__was", F.col("pos")), {"rpos": ("sum", F.lit(1).cast("long"))}, order="__was")
+    rows = running(rows, {"__top": ("last", F.when(F.col("depth") == 0, F.col("rpos")))}, inclusive=True, order="__was")
     # Only keys are needed to count, so the count reads few columns and shuffles one row a root from each task.
-    out = complete(rows, max_depth, offsets_of(kept))
-    return out.withColumn("root", F.col("pos") - F.col("rpos") + F.col("__top")).drop("__top")
+    out = complete(rows, max_depth, offsets_of(kept), "__was", parts)
+    return out.withColumn("root", F.col("pos") - F.col("rpos") + F.col("__top")).drop("__top", "__was")
 
 
-def filter_records(records: DataFrame, condition: Column, policy: str = PRUNE, max_depth: int | None = None) -> DataFrame:
+def filter_records(records: DataFrame, condition: Column, policy: str = PRUNE, max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
     """The records that stay under a policy, as sections of their own.
 
-    records: net_id, root, pos, depth, subtree_end and any other columns. Output: the same columns with new pos, depth,
-    parent and subtree_end; root is the position of the new root. Sections that lose all records have no rows here; their
-    headers are in the sections table. No rows give no rows; a null condition counts as false.
+    records: net_id, root, pos, depth, parent, subtree_end and any other columns. Output: the same columns with new pos,
+    depth, parent and subtree_end; root is the position of the new root. Sections that lose all records have no rows here;
+    their headers are in the sections table. No rows give no rows; a null condition counts as false. Trees with more
+    records than a task should hold are worked on in ``parts``, by their positions alone, which join the records last.
     """
-    marked = records.withColumn("keep", keep_column(condition, policy))
-    if policy == PROMOTE:
-        kept = with_kept_above(marked, max_depth).withColumn("depth", F.col("kept_above")).drop("kept_above")
+    parts = parts_of(records) if parts is None else parts
+    max_depth = deepest(records) if max_depth is None else max_depth
+    met = F.coalesce(condition, F.lit(False)).alias("__met")
+    made = ["pos", "depth", "parent", "subtree_end", "rpos"]
+    if parts:
+        rows = cut(parts.mark(records.select(*TREE, "pos", "depth", "subtree_end", met, F.col("root").alias("__root"), F.col("pos").alias("__from"))))
     else:
-        kept = marked.where("keep")
-    return rebuild(kept.drop("keep", "parent", "subtree_end", "rpos"), max_depth)
+        rows = records.withColumn("__met", met)
+    kept = with_kept_above(rows, max_depth, parts) if policy == PROMOTE else kept_by(rows, policy)
+    out = rebuild(kept.drop("__met", "parent", "subtree_end", "rpos"), max_depth, parts)
+    if parts:
+        old = records.withColumnsRenamed({"pos": "__from", "root": "__root"}).drop(*made)
+        out = old.join(out.select("net_id", "__root", "__from", "root", *made), ["net_id", "__root", "__from"]).drop("__root", "__from")
+    return out

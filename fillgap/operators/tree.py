@@ -1,7 +1,8 @@
 """Trees as intervals of preorder positions: topology and navigation by window functions.
 
 A record's subtree is the run of positions [pos, subtree_end). Windows are dealt by (net_id, root): subtrees never leave
-their root, so a long section is many small windows instead of one large one.
+their root, so a long section is many small windows instead of one large one, and the tree of a root that holds more than
+a task should is cut into parts (``scan``).
 """
 
 from __future__ import annotations
@@ -13,39 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from fillgap.functions.ordering import running_sum
+from fillgap.operators.scan import PART, Parts, parts_of, running
 from fillgap.schema import TREE
+from fillgap.session import cut
 
 WIDE = 32  # depths up to this one are columns of a single window
 CHUNK = 1 << 16  # places of a section that one task handles where no root parts them
 
 
-def forward() -> WindowSpec:
-    return Window.partitionBy(*TREE).orderBy("pos")
-
-
-def backward() -> WindowSpec:
-    return Window.partitionBy(*TREE).orderBy(F.desc("pos"))
-
-
-def earlier() -> WindowSpec:
-    return forward().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def up_to_here() -> WindowSpec:
-    return forward().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def later() -> WindowSpec:
-    return backward().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def from_here() -> WindowSpec:
-    return backward().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def place_sections(records: DataFrame) -> DataFrame:
     """Adds ``pos`` from the order of roots, which are numbers, and ``rpos``, the position in the root's subtree."""
     return records.join(offsets_of(records), TREE).withColumn("pos", F.col("__offset") + F.col("rpos")).drop("__offset")
@@ -57,64 +36,59 @@ def offsets_of(records: DataFrame) -> DataFrame:
     return running_sum(sizes, ["net_id"], F.floor(F.col("root") / CHUNK), ["root"], F.col("__n"), "__offset").select(*TREE, "__offset")
 
 
-def complete(records: DataFrame, max_depth: int | None = None, offsets: DataFrame | None = None) -> DataFrame:
+def complete(records: DataFrame, max_depth: int | None = None, offsets: DataFrame | None = None, order: str = "pos", parts: Parts | None = None) -> DataFrame:
     """Adds pos, parent and subtree_end from ``rpos`` and ``depth``.
 
     All windows run over positions within the root's tree, so records are dealt once, by (net_id, root); what stands
-    before the root is added last.
+    before the root is added last. ``order`` may name another column in which the records are in order already.
     """
-    inside = topology(records.withColumn("pos", F.col("rpos")), max_depth)
+    inside = topology(records.withColumn("pos", F.col("rpos")), max_depth, order, parts)
     moved = {c: F.col(c) + F.col("__offset") for c in ("pos", "parent", "subtree_end")}
     return inside.join(offsets_of(records) if offsets is None else offsets, TREE).withColumns(moved).drop("__offset")
 
 
-def levels_above(value: Column, max_depth: int) -> list[Column]:
-    """For each depth the value of the last record there before this one: of the ancestor, at depths below the record's own."""
-    return [F.last(F.when(F.col("depth") == d, value), True).over(earlier()) for d in range(max_depth)]
-
+def deepest(records: DataFrame) -> int:
+    return records.agg(F.max("depth")).first()[0] or 0
 
-def last_in_tree(records: DataFrame) -> DataFrame:
-    """Adds ``tree_end``: one past the last position of the root's subtree."""
-    return records.withColumn("tree_end", F.max("pos").over(Window.partitionBy(*TREE)) + 1)
 
-
-def topology(records: DataFrame, max_depth: int | None = None) -> DataFrame:
+def topology(records: DataFrame, max_depth: int | None = None, order: str = "pos", parts: Parts | None = None) -> DataFrame:
     """Adds parent (null for roots) and subtree_end, both in ``pos``, from ``depth``.
 
-    ``max_depth`` is asked of the data if it isn't given. Up to WIDE levels take one pass forward and one backward; deeper
-    trees meet level by level, whatever their depth.
+    ``max_depth`` and the trees that are cut into ``parts`` are asked of the data if they aren't given. Up to WIDE levels
+    take one pass forward and one backward; deeper trees meet level by level, whatever their depth.
     """
+    parts = parts_of(records) if parts is None and PART not in records.columns else parts
+    if parts and PART not in records.columns:
+        keys = [*TREE, "pos"]
+        narrow = cut(parts.mark(records.select(*keys, "depth", *dict.fromkeys(c for c in [order] if c not in keys))))
+        return records.join(topology(narrow, max_depth, order, parts).select(*keys, "parent", "subtree_end"), keys)
     if max_depth is None:
-        max_depth = records.agg(F.max("depth")).first()[0] or 0
+        max_depth = deepest(records)
+    depth, pos = F.col("depth"), F.col("pos")
+    ends = {"__last": ("max", pos)}
     if max_depth > WIDE:
-        return _topology_by_level(records)
-    levels = range(max_depth + 1)
-    parents = F.array(*[F.last(F.when(F.col("depth") == d, F.col("pos")), True).over(earlier()) for d in levels])
-    nexts = F.array(*[F.last(F.when(F.col("depth") <= d, F.col("pos")), True).over(later()) for d in levels])
-    out = records.withColumn("__parents", parents).withColumn("__nexts", nexts)
-    out = last_in_tree(out)
-    return (
-        out.withColumn("parent", F.when(F.col("depth") > 0, F.get("__parents", F.col("depth") - 1)))
-        .withColumn("subtree_end", F.coalesce(F.get("__nexts", F.col("depth")), F.col("tree_end")))
-        .drop("__parents", "__nexts", "tree_end")
-    )
+        return _topology_by_level(running(records, ends, backward=True, order=order), order)
+    out = running(records, {f"__u{d}": ("last", F.when(depth == d, pos)) for d in range(max_depth)}, order=order) if max_depth else records
+    out = running(out, {f"__n{d}": ("last", F.when(depth <= d, pos)) for d in range(max_depth + 1)} | ends, backward=True, order=order)
+    parent = F.get(F.array(*[F.col(f"__u{d}") for d in range(max_depth)]), depth - 1) if max_depth else F.lit(None).cast("long")
+    found = {"parent": F.when(depth > 0, parent), "subtree_end": F.coalesce(F.get(F.array(*[F.col(f"__n{d}") for d in range(max_depth + 1)]), depth), F.coalesce("__last", pos) + 1)}
+    return out.withColumns(found).drop("__last", *[f"__u{d}" for d in range(max_depth)], *[f"__n{d}" for d in range(max_depth + 1)])
 
 
-def _topology_by_level(records: DataFrame) -> DataFrame:
+def _topology_by_level(records: DataFrame, order: str) -> DataFrame:
     """Every record meets the level above as a child, and closes its own level and those below as a successor."""
-    own = records.select(*TREE, "pos", F.col("depth").alias("k"), F.lit(0).alias("role"))
-    child = records.where("depth > 0").select(*TREE, "pos", (F.col("depth") - 1).alias("k"), F.lit(1).alias("role"))
-    level = Window.partitionBy(*TREE, "k").orderBy("pos", "role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = own.union(child).withColumn("parent", F.last(F.when(F.col("role") == 0, F.col("pos")), True).over(level))
+    keys = dict.fromkeys([*TREE, "pos", order, *(c for c in [PART] if c in records.columns)])
+    own = records.select(*keys, F.col("depth").alias("k"), F.lit(0).alias("role"))
+    child = records.where("depth > 0").select(*keys, (F.col("depth") - 1).alias("k"), F.lit(1).alias("role"))
+    met = running(own.union(child), {"parent": ("last", F.when(F.col("role") == 0, F.col("pos")))}, keys=[*TREE, "k"], order=[order, "role"])
     parents = met.where("role = 1").select(*TREE, "pos", "parent")
-    before = F.lag("depth", 1, -1).over(forward())
-    closing = records.select(*TREE, "pos", "depth", before.alias("p")).where("p >= depth").select(*TREE, F.explode(F.sequence("depth", "p")).alias("k"), F.col("pos").alias("at"))
-    events = own.select(*TREE, "k", F.col("pos").alias("at"), F.lit(1).alias("open")).union(closing.select(*TREE, "k", "at", F.lit(0).alias("open")))
-    below = Window.partitionBy(*TREE, "k").orderBy(F.desc("at"), F.desc("open")).rowsBetween(Window.unboundedPreceding, -1)
-    closed = events.withColumn("subtree_end", F.last(F.when(F.col("open") == 0, F.col("at")), True).over(below)).where("open = 1")
-    ends = closed.select(*TREE, F.col("at").alias("pos"), "subtree_end")
-    out = last_in_tree(records).join(parents, [*TREE, "pos"], "left").join(ends, [*TREE, "pos"], "left")
-    return out.withColumn("subtree_end", F.coalesce("subtree_end", "tree_end")).drop("tree_end")
+    before = running(records.select(*keys, "depth"), {"p": ("last", F.col("depth"))}, order=order)
+    closing = before.where("p >= depth").select(*keys, F.explode(F.sequence("depth", "p")).alias("k"), F.lit(0).alias("role"))
+    events = own.withColumn("role", F.lit(1)).union(closing.select(own.columns))  # from the end, a record comes before what it closes
+    closed = running(events, {"subtree_end": ("last", F.when(F.col("role") == 0, F.col("pos")))}, backward=True, keys=[*TREE, "k"], order=[order, "role"])
+    ends = closed.where("role = 1").select(*TREE, "pos", "subtree_end")
+    out = records.join(parents, [*TREE, "pos"], "left").join(ends, [*TREE, "pos"], "left")
+    return out.withColumn("subtree_end", F.coalesce("subtree_end", F.coalesce("__last", "pos") + 1)).drop("__last")
 
 
 MANY_WIDTHS = 64
@@ -160,21 +134,28 @@ def widths_of(records: DataFrame) -> list[int]:
     return sorted(r[0] for r in records.select("indent").distinct().limit(MANY_WIDTHS + 1).collect())
 
 
-def nested_by_indent(records: DataFrame, widths: list[int] | None = None) -> DataFrame:
+def nested_by_indent(records: DataFrame, widths: list[int] | None = None, parts: Parts | None = None) -> DataFrame:
     """Adds ``parent`` and ``subtree_end`` from ``indent`` of any widths: the parent is the nearest earlier record with a smaller one.
 
-    Up to MANY_WIDTHS different widths, those of ``widths_of``, are a window expression each; with more, a stack runs over
-    each root's tree.
+    Up to MANY_WIDTHS different widths, those of ``widths_of``, are a running value each, in parts where a tree is large;
+    with more, a stack runs over each root's tree.
     """
     widths = widths_of(records) if widths is None else widths
     if len(widths) > MANY_WIDTHS:
         return _stacked(records)
     if not widths:
         return records.withColumns({"parent": F.lit(None).cast("long"), "subtree_end": F.col("pos")})
-    ups = F.create_map(*[x for w in widths for x in (F.lit(w), F.last(F.when(F.col("indent") < w, F.col("pos")), True).over(earlier()))])
-    downs = F.create_map(*[x for w in widths for x in (F.lit(w), F.last(F.when(F.col("indent") <= w, F.col("pos")), True).over(later()))])
-    rows = last_in_tree(records.withColumns({"__up": ups, "__down": downs}))
-    return rows.withColumns({"parent": F.col("__up")[F.col("indent")], "subtree_end": F.coalesce(F.col("__down")[F.col("indent")], "tree_end")}).drop("__up", "__down", "tree_end")
+    parts = parts_of(records) if parts is None else parts
+    if parts and PART not in records.columns:
+        keys = [*TREE, "pos"]
+        narrow = cut(parts.mark(records.select(*keys, "indent")))
+        return records.join(nested_by_indent(narrow, widths, parts).select(*keys, "parent", "subtree_end"), keys)
+    indent, pos = F.col("indent"), F.col("pos")
+    rows = running(records, {f"__u{w}": ("last", F.when(indent < w, pos)) for w in widths})
+    rows = running(rows, {f"__d{w}": ("last", F.when(indent <= w, pos)) for w in widths} | {"__last": ("max", pos)}, backward=True)
+    at = lambda side: F.create_map(*[x for w in widths for x in (F.lit(w), F.col(f"__{side}{w}"))])[indent]
+    rows = rows.withColumns({"parent": at("u"), "subtree_end": F.coalesce(at("d"), F.coalesce("__last", pos) + 1)})
+    return rows.drop("__last", *[f"__{side}{w}" for side in "ud" for w in widths])
 
 
 def _stacked(records: DataFrame) -> DataFrame:
@@ -232,12 +213,30 @@ def subtree_len() -> Column:
     return F.col("subtree_end") - F.col("pos")
 
 
-def siblings(records: DataFrame) -> DataFrame:
+def with_sibling(records: DataFrame, columns: dict[str, str], previous: bool = True, parts: Parts | None = None) -> DataFrame:
+    """Adds columns of the sibling before a record, or after it; ``columns`` maps source to new name.
+
+    Children of one record are met in order of positions, in parts where the tree is large; roots are siblings over
+    their whole section.
+    """
+    parts = parts_of(records) if parts is None else parts
+    held = F.struct(*[F.col(c).alias(n) for c, n in columns.items()])
+    rows = records
+    if parts:
+        rows = parts.mark(records.select(*TREE, "pos", "parent", *[c for c in columns if c != "pos"]))
+    met = running(rows, {"__near": ("last", F.when(F.col("parent").isNotNull(), held))}, backward=not previous, keys=[*TREE, "parent"])
+    if parts:
+        inner = met.where("parent is not null and __near is not null").select(*TREE, "pos", "__near")
+        met = records.join(inner, [*TREE, "pos"], "left")
+    tops = beside_roots(records, columns, previous).select("net_id", "pos", F.struct(*columns.values()).alias("__beside"))
+    out = met.join(tops, ["net_id", "pos"], "left").withColumn("__near", F.coalesce("__near", "__beside"))
+    return out.withColumns({n: F.col(f"__near.{n}") for n in columns.values()}).drop("__near", "__beside")
+
+
+def siblings(records: DataFrame, parts: Parts | None = None) -> DataFrame:
     """Adds previous_sibling and next_sibling; roots are siblings over their whole section."""
-    under = Window.partitionBy(*TREE, "parent").orderBy("pos")
-    inner = records.withColumns({"previous_sibling": F.lag("pos").over(under), "next_sibling": F.lead("pos").over(under)})
-    out = inner.join(beside_roots(records, {"pos": "__p"}), ["net_id", "pos"], "left").join(beside_roots(records, {"pos": "__n"}, previous=False), ["net_id", "pos"], "left")
-    return out.withColumn("previous_sibling", F.coalesce("previous_sibling", "__p")).withColumn("next_sibling", F.coalesce("next_sibling", "__n")).drop("__p", "__n")
+    parts = parts_of(records) if parts is None else parts
+    return with_sibling(with_sibling(records, {"pos": "previous_sibling"}, True, parts), {"pos": "next_sibling"}, False, parts)
 
 
 def child_ends(records: DataFrame) -> DataFrame:
@@ -247,35 +246,66 @@ def child_ends(records: DataFrame) -> DataFrame:
     return out.withColumn("n_children", F.coalesce("n_children", F.lit(0)))
 
 
-def ancestors(records: DataFrame, rows: DataFrame) -> DataFrame:
-    """(net_id, root, pos, ancestor, ancestor_kind, ancestor_depth, steps) for the given rows, nearest first by ``steps``."""
-    above = records.select(*TREE, F.col("pos").alias("ancestor"), F.col("subtree_end").alias("__end"), F.col("kind").alias("ancestor_kind"), F.col("depth").alias("ancestor_depth"))
-    met = rows.select(*TREE, "pos", F.col("depth").alias("__depth")).join(above, TREE).where((F.col("ancestor") < F.col("pos")) & (F.col("pos") < F.col("__end")))
-    return met.select(*TREE, "pos", "ancestor", "ancestor_kind", "ancestor_depth", (F.col("__depth") - F.col("ancestor_depth")).alias("steps"))
+def ancestors(records: DataFrame, rows: DataFrame, parts: Parts | None = None) -> DataFrame:
+    """(net_id, root, pos, ancestor, ancestor_kind, ancestor_depth, steps) for the given rows, nearest first by ``steps``.
 
+    A row has one ancestor at each depth above its own, the last record there before it, and asks for just those: the work
+    is that of the pairs found and of the records in the rows' trees, whatever the shape of the trees.
+    """
+    parts = parts_of(records) if parts is None else parts
+    trees = rows.select(*TREE).distinct()
+    above = records.join(trees, TREE, "left_semi").select(*TREE, "pos", F.col("depth").alias("k"), F.struct(F.col("pos").alias("ancestor"), F.col("kind").alias("ancestor_kind"), F.col("depth").alias("ancestor_depth")).alias("held"), F.lit(None).cast("int").alias("below"))
+    asking = rows.where("depth > 0").select(*TREE, "pos", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("k"), F.lit(None).alias("held"), F.col("depth").alias("below"))
+    line = parts.mark(above.union(asking))
+    met = running(line, {"found": ("last", F.col("held"))}, keys=[*TREE, "k"]).where("below is not null")
+    return met.select(*TREE, "pos", "found.*", (F.col("below") - F.col("found.ancestor_depth")).alias("steps"))
+
+
+def open_marked(records: DataFrame, mark: str, out: str, parts: Parts) -> DataFrame:
+    """Adds ``out``: how many records above have the column ``mark`` set. Needs pos and subtree_end, and parts where trees are cut."""
+    ends = records.where(F.col(mark)).select(*TREE, *[c for c in [PART] if c in records.columns], F.col("subtree_end").alias("at"), F.lit(0).alias("opens"), F.lit(-1).alias("step"))
+    ends = parts.moved(ends, F.col("at")) if PART in records.columns else ends
+    starts = records.withColumns({"at": F.col("pos"), "opens": F.lit(1), "step": F.when(F.col(mark), 1).otherwise(0)})
+    line = running(starts.unionByName(ends, allowMissingColumns=True), {out: ("sum", F.col("step"))}, order=["at", "opens"])
+    return line.where("opens = 1").withColumn(out, F.col(out).cast("int")).drop("at", "opens", "step")
 
-def nearest_enclosing(records: DataFrame, condition: Column, columns: dict[str, str], max_depth: int | None = None) -> DataFrame:
+
+def nearest_enclosing(records: DataFrame, condition: Column, columns: dict[str, str], max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
     """Adds columns of the nearest ancestor that meets ``condition``, null without one; ``columns`` maps source to new name.
 
-    At each level the last record that meets the condition is remembered, along with its end; the nearest ancestor is
-    the deepest of those that are still open.
+    Up to WIDE levels the last record of each level that meets the condition is remembered along with its end; the nearest
+    ancestor is the deepest of those still open. In deeper trees a record counts the ancestors that meet the condition,
+    n; of the records that meet it, the last one before with n - 1 such ancestors is the nearest: no depth costs more.
     """
+    parts = parts_of(records) if parts is None else parts
     if max_depth is None:
-        max_depth = records.agg(F.max("depth")).first()[0] or 0
-    held = F.struct(F.col("pos").alias("__at"), F.col("subtree_end").alias("__to"), *[F.col(c).alias(n) for c, n in columns.items()])
-    out, found = records, F.lit(None)
+        max_depth = deepest(records)
+    kinds = {n: records.schema[c].dataType for c, n in columns.items()}
+    if max_depth == 0:
+        return records.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items()})
+    if parts or max_depth > WIDE:
+        keys = [*TREE, "pos"]
+        narrow = records.select(*dict.fromkeys([*keys, "subtree_end", *columns]), F.coalesce(condition, F.lit(False)).alias("__met"))
+        counted = cut(open_marked(parts.mark(narrow), "__met", "__n", parts))
+        held = F.struct(*[F.col(c).alias(n) for c, n in columns.items()])
+        line = [*keys, *[c for c in [PART] if c in counted.columns]]
+        owners = counted.where("__met").select(*line, F.col("__n").alias("k"), held.alias("held"), F.lit(False).alias("asks"))
+        asking = counted.where("__n > 0").select(*line, (F.col("__n") - 1).alias("k"), F.lit(None).alias("held"), F.lit(True).alias("asks"))
+        found = running(owners.union(asking), {"__found": ("last", F.col("held"))}, keys=[*TREE, "k"]).where("asks")
+        out = records.join(found.select(*keys, "__found"), keys, "left")
+        return out.withColumns({n: F.col(f"__found.{n}") for n in kinds}).drop("__found")
+    held = F.struct(F.col("subtree_end").alias("__to"), *[F.col(c).alias(n) for c, n in columns.items()])
+    out = running(records, {f"__a{d}": ("last", F.when((F.col("depth") == d) & condition, held)) for d in range(max_depth)})
+    found = F.lit(None)
     for d in range(max_depth):
-        out = out.withColumn(f"__a{d}", F.last(F.when((F.col("depth") == d) & condition, held), True).over(earlier()))
         found = F.when((F.col("depth") > d) & (F.col(f"__a{d}.__to") > F.col("pos")), F.col(f"__a{d}")).otherwise(found)
-    if max_depth == 0:
-        return out.withColumns({n: F.lit(None).cast(records.schema[c].dataType) for c, n in columns.items()})
     out = out.withColumn("__found", found)
-    return out.withColumns({n: F.col(f"__found.{n}") for n in columns.values()}).drop("__found", *[f"__a{d}" for d in range(max_depth)])
+    return out.withColumns({n: F.col(f"__found.{n}") for n in kinds}).drop("__found", *[f"__a{d}" for d in range(max_depth)])
 
 
-def enclosing_fill_with_id(records: DataFrame, max_depth: int | None = None) -> DataFrame:
+def enclosing_fill_with_id(records: DataFrame, max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
     """Adds enclosing_fill and enclosing_chain_id of the nearest fill above that has a chain id."""
-    return nearest_enclosing(records, (F.col("kind") == "fill") & F.col("chain_id").isNotNull(), {"pos": "enclosing_fill", "chain_id": "enclosing_chain_id"}, max_depth)
+    return nearest_enclosing(records, (F.col("kind") == "fill") & F.col("chain_id").isNotNull(), {"pos": "enclosing_fill", "chain_id": "enclosing_chain_id"}, max_depth, parts)
 
 
 def clone_subtree(records: DataFrame, net_id: int, pos: int) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fillgap.functions.intervals import overlaps
-from fillgap.operators.tree import beside_roots
+from fillgap.operators.scan import Parts
+from fillgap.operators.tree import with_sibling
 from fillgap.schema import TREE
 
 #: Severity by rule group and mode; None: not checked.
@@ -43,23 +43,18 @@ def _with_parent_range(records: DataFrame) -> DataFrame:
     return records.join(above, [*TREE, "parent"], "left")
 
 
-def _with_previous_sibling(records: DataFrame) -> DataFrame:
-    before = {"before_start": "reference_start", "before_end": "reference_end", "before_size": "reference_size"}
-    under = Window.partitionBy(*TREE, "parent").orderBy("pos")
-    inner = records.withColumns({n: F.when(F.col("parent").isNotNull(), F.lag(c).over(under)) for n, c in before.items()})
-    tops = beside_roots(records, {c: f"__{n}" for n, c in before.items()})
-    out = inner.join(tops, ["net_id", "pos"], "left")
-    return out.withColumns({n: F.coalesce(n, f"__{n}") for n in before}).drop(*[f"__{n}" for n in before])
+def _with_previous_sibling(records: DataFrame, parts: Parts | None) -> DataFrame:
+    return with_sibling(records, {"reference_start": "before_start", "reference_end": "before_end", "reference_size": "before_size"}, parts=parts)
 
 
-def issues(records: DataFrame, sections: DataFrame, mode: str = "compatible") -> DataFrame:
+def issues(records: DataFrame, sections: DataFrame, mode: str = "compatible", parts: Parts | None = None) -> DataFrame:
     """severity, code, net_id, pos, detail (the attribute of a negative count, else ''), and the order of discovery (anchor, rule).
 
     records need pos, parent and their attributes; sections net_id and section_size. ``anchor`` is the record at which a
     walk of the tree finds the issue: the record itself, or for siblings their parent, -1 for roots.
     """
     size = sections.select("net_id", "section_size")
-    rows = _with_previous_sibling(_with_parent_range(records)).join(F.broadcast(size) if size.count() <= 1_000_000 else size, "net_id")
+    rows = _with_parent_range(_with_previous_sibling(records, parts)).join(F.broadcast(size) if size.count() <= 1_000_000 else size, "net_id")
     c = F.col
     fill = c("kind") == "fill"
     tests: dict[str, Column] = {
