@@ -1,4 +1,4 @@
-"""Interval lookups: joins by overlap and containment, by bins where both sides are large."""
+"""Interval lookups: joins by overlap and containment, by bins on several levels where both sides are large."""
 
 from __future__ import annotations
 
@@ -11,35 +11,68 @@ from fillgap.functions.intervals import contains, overlaps
 from fillgap.functions.ordering import ranked
 
 SMALL = 100_000
+FINEST, STEP, LEVELS = 14, 3, 7  # bins of 2^14 positions, each level eight times as wide, the last one all of a section
+DENSE = 50_000  # rows of one bin that one task meets
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str = "net_id", bin_size: int | None = None, how: str = "inner", condition: Column | None = None, small: int = SMALL) -> DataFrame:
+def _level(start: Column, end: Column) -> Column:
+    """The finest level on which the interval lies in one bin."""
+    last = F.greatest(start, end - 1)
+    found = F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        shift = FINEST + STEP * i
+        found = F.when(F.shiftright(start, shift) == F.shiftright(last, shift), F.lit(i)).otherwise(found)
+    return found
+
+
+def _in_bins(rows: DataFrame, start: str, end: str, own: str) -> DataFrame:
+    """A row for the interval's own bin and for each wider one around it: __bin (level, place), and ``own`` on its own level."""
+    low, high = F.col(start).cast("long"), F.col(end).cast("long")
+    at = F.transform(
+        F.sequence(_level(low, high), F.lit(LEVELS - 1)),
+        lambda i: F.struct(i.alias("level"), F.when(i < LEVELS - 1, F.floor(low / F.pow(F.lit(2.0), FINEST + STEP * i))).otherwise(0).cast("long").alias("place")),
+    )
+    return rows.select("*", F.posexplode(at).alias(own, "__bin")).withColumn(own, F.col(own) == 0)
+
+
+def binned_join(left: DataFrame, right: DataFrame, met: Column, how: str = "inner", dense: int | None = None) -> DataFrame:
+    """Pairs of rows with equal ``__key`` (left) and ``__other_key`` (right) for which ``met`` holds, if that takes a common position.
+
+    left has __start and __end, right __other_start and __other_end. Every interval lies in one bin of the level that
+    fits its length, however long it is, and asks the wider bins around that: a pair meets once, on the wider level of the
+    two. Bins that hold more than ``dense`` rows of the left are counted and dealt over several tasks.
+    """
+    dense = dense or DENSE
+    a = _in_bins(left, "__start", "__end", "__own")
+    b = _in_bins(right, "__other_start", "__other_end", "__other_own").withColumnRenamed("__bin", "__other_bin")
+    full = a.groupBy("__key", "__bin").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > dense)
+    full = full.select(F.col("__key").alias("__full_key"), F.col("__bin").alias("__full_bin"), F.ceil(F.col("__n") / dense).cast("int").alias("__dealt"))
+    a = a.join(full, F.col("__key").eqNullSafe(F.col("__full_key")) & (F.col("__bin") == F.col("__full_bin")), "left")
+    a = a.withColumn("__deal", F.coalesce(F.pmod(F.xxhash64("__start", "__end", F.monotonically_increasing_id()), F.col("__dealt")).cast("int"), F.lit(0))).drop("__full_key", "__full_bin", "__dealt")
+    b = b.join(full, F.col("__other_key").eqNullSafe(F.col("__full_key")) & (F.col("__other_bin") == F.col("__full_bin")), "left")
+    b = b.withColumn("__other_deal", F.explode(F.sequence(F.lit(0), F.coalesce("__dealt", F.lit(1)) - 1))).drop("__full_key", "__full_bin", "__dealt")
+    same = (F.col("__key") == F.col("__other_key")) & (F.col("__bin") == F.col("__other_bin")) & (F.col("__deal") == F.col("__other_deal"))
+    return a.join(b, same & (F.col("__own") | F.col("__other_own")) & met, how)
+
+
+def overlap_join(left: DataFrame, right: DataFrame, key: str = "net_id", how: str = "inner", condition: Column | None = None, small: int = SMALL, dense: int | None = None) -> DataFrame:
     """Pairs of rows of the same key whose intervals overlap; ``how`` is inner or left_semi.
 
     left has start and end, right has other_start and other_end; no other names may occur on both sides. A right side of
-    at most ``small`` rows is broadcast. Otherwise both are dealt by key and bin of ``bin_size`` positions, every pair is
-    found in one bin only, and long sections are split into as many tasks as they have bins.
+    at most ``small`` rows is broadcast; otherwise both are dealt by key and bin (``binned_join``).
     """
     if how not in ("inner", "left_semi"):
         raise ValueError(f"no {how} overlap join")
     met = overlaps(F.col("start"), F.col("end"), F.col("other_start"), F.col("other_end"))
     met = met if condition is None else met & condition
-    if bin_size is None and right.limit(small + 1).count() <= small:
+    if small and right.limit(small + 1).count() <= small:
         return left.join(F.broadcast(right.withColumnRenamed(key, "__key")), (F.col(key) == F.col("__key")) & met, how).drop("__key")
-    size = bin_size or 1 << 20
-
-    def bins(start: str, end: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(start) / size), F.floor(F.greatest(F.col(start), F.col(end) - 1) / size)))
-
-    if how == "left_semi":
-        left = left.withColumn("__row", F.monotonically_increasing_id())
-    a = left.withColumn("__bin", bins("start", "end"))
-    b = right.withColumnRenamed(key, "__key").withColumn("__other", bins("other_start", "other_end"))
-    same = (F.col(key) == F.col("__key")) & (F.col("__bin") == F.col("__other"))
-    once = F.col("__bin") == F.floor(F.greatest("start", "other_start") / size)
+    a = left.withColumns({"__key": F.col(key), "__start": F.col("start"), "__end": F.col("end")})
+    b = right.withColumnRenamed(key, "__other_key").withColumns({"__other_start": F.col("other_start"), "__other_end": F.col("other_end")})
     if how == "left_semi":
-        return a.join(b, same & met, "left_semi").drop("__bin").dropDuplicates(["__row"]).drop("__row")
-    return a.join(b, same & once & met, how).drop("__bin", "__other", "__key")
+        a = a.withColumn("__row", F.monotonically_increasing_id())
+        return binned_join(a, b, met, how, dense).dropDuplicates(["__row"]).select(*left.columns)
+    return binned_join(a, b, met, how, dense).select(*left.columns, *[c for c in right.columns if c != key])
 
 
 def overlapping(records: DataFrame, probes: DataFrame, **options) -> DataFrame:
@@ -48,17 +81,16 @@ def overlapping(records: DataFrame, probes: DataFrame, **options) -> DataFrame:
     return overlap_join(rows, probes, **options).select("probe_id", "net_id", "pos", "start", "end")
 
 
-def containing(records: DataFrame, probes: DataFrame, bin_size: int | None = None) -> DataFrame:
+def containing(records: DataFrame, probes: DataFrame, small: int = SMALL, dense: int | None = None) -> DataFrame:
     """Records whose interval holds all of a probe; many probes meet them by section and bin, each pair in one."""
     rows = records.select("net_id", "pos", F.col("reference_start").alias("start"), F.col("reference_end").alias("end"))
     met = contains(F.col("start"), F.col("end"), F.col("other_start"), F.col("other_end"))
-    if bin_size is None and probes.limit(SMALL + 1).count() <= SMALL:
+    if small and probes.limit(small + 1).count() <= small:
         found = rows.join(F.broadcast(probes), "net_id").where(met)
-    else:  # what holds a probe reaches into the bin where the probe starts; a record that ends there may lie before it
-        size = bin_size or 1 << 20
-        reach = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.greatest("start", "end") / size)))
-        at = probes.withColumn("__bin", F.floor(F.col("other_start") / size))
-        found = rows.withColumn("__bin", reach).join(at, ["net_id", "__bin"]).where(met)
+    else:  # what holds a probe reaches the position where the probe starts, or ends there
+        a = rows.withColumns({"__key": F.col("net_id"), "__start": F.col("start"), "__end": F.col("end") + 1})
+        b = probes.withColumnRenamed("net_id", "__other_key").withColumns({"__other_start": F.col("other_start"), "__other_end": F.col("other_start") + 1})
+        found = binned_join(a, b, met, dense=dense)
     return found.select("probe_id", "net_id", "pos", "start", "end")
 
 

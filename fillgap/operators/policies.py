@@ -39,16 +39,19 @@ def with_kept_above(records: DataFrame, max_depth: int, parts: Parts = WHOLE) ->
     return rows.withColumn("depth", above).where("__met").drop(*[f"__k{d}" for d in range(max_depth)])
 
 
-def rebuild(kept: DataFrame, max_depth: int | None = None, parts: Parts = WHOLE) -> DataFrame:
+def rebuild(kept: DataFrame, max_depth: int | None = None, parts: Parts = WHOLE, order: str | list[str] = "pos") -> DataFrame:
     """Positions, parents and ends of what was kept, from its order and its depth; sections count from 0.
 
     New roots never leave the tree of the old one, so all windows run over (net_id, root) as before, in the order that
     the records have already; at last ``root`` becomes the new root's position.
     """
-    rows = running(kept.withColumn("__was", F.col("pos")), {"rpos": ("sum", F.lit(1).cast("long"))}, order="__was")
-    rows = running(rows, {"__top": ("last", F.when(F.col("depth") == 0, F.col("rpos")))}, inclusive=True, order="__was")
+    rows = kept
+    if order == "pos":
+        rows, order = rows.withColumn("__was", F.col("pos")), "__was"
+    rows = running(rows, {"rpos": ("sum", F.lit(1).cast("long"))}, order=order)
+    rows = running(rows, {"__top": ("last", F.when(F.col("depth") == 0, F.col("rpos")))}, inclusive=True, order=order)
     # Only keys are needed to count, so the count reads few columns and shuffles one row a root from each task.
-    out = complete(rows, max_depth, offsets_of(kept), "__was", parts)
+    out = complete(rows, max_depth, offsets_of(kept), order, parts)
     return out.withColumn("root", F.col("pos") - F.col("rpos") + F.col("__top")).drop("__top", "__was")
 
 

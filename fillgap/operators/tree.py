@@ -36,11 +36,11 @@ def offsets_of(records: DataFrame) -> DataFrame:
     return running_sum(sizes, ["net_id"], F.floor(F.col("root") / CHUNK), ["root"], F.col("__n"), "__offset").select(*TREE, "__offset")
 
 
-def complete(records: DataFrame, max_depth: int | None = None, offsets: DataFrame | None = None, order: str = "pos", parts: Parts | None = None) -> DataFrame:
+def complete(records: DataFrame, max_depth: int | None = None, offsets: DataFrame | None = None, order: str | list[str] = "pos", parts: Parts | None = None) -> DataFrame:
     """Adds pos, parent and subtree_end from ``rpos`` and ``depth``.
 
     All windows run over positions within the root's tree, so records are dealt once, by (net_id, root); what stands
-    before the root is added last. ``order`` may name another column in which the records are in order already.
+    before the root is added last. ``order`` may name other columns in whose order the records are already.
     """
     inside = topology(records.withColumn("pos", F.col("rpos")), max_depth, order, parts)
     moved = {c: F.col(c) + F.col("__offset") for c in ("pos", "parent", "subtree_end")}
@@ -51,23 +51,24 @@ def deepest(records: DataFrame) -> int:
     return records.agg(F.max("depth")).first()[0] or 0
 
 
-def topology(records: DataFrame, max_depth: int | None = None, order: str = "pos", parts: Parts | None = None) -> DataFrame:
+def topology(records: DataFrame, max_depth: int | None = None, order: str | list[str] = "pos", parts: Parts | None = None) -> DataFrame:
     """Adds parent (null for roots) and subtree_end, both in ``pos``, from ``depth``.
 
     ``max_depth`` and the trees that are cut into ``parts`` are asked of the data if they aren't given. Up to WIDE levels
     take one pass forward and one backward; deeper trees meet level by level, whatever their depth.
     """
+    order = [order] if isinstance(order, str) else order
     parts = parts_of(records) if parts is None and PART not in records.columns else parts
     if parts and PART not in records.columns:
         keys = [*TREE, "pos"]
-        narrow = cut(parts.mark(records.select(*keys, "depth", *dict.fromkeys(c for c in [order] if c not in keys))))
+        narrow = cut(parts.mark(records.select(*keys, "depth", *dict.fromkeys(c for c in order if c not in keys and c != "depth"))))
         return records.join(topology(narrow, max_depth, order, parts).select(*keys, "parent", "subtree_end"), keys)
     if max_depth is None:
         max_depth = deepest(records)
     depth, pos = F.col("depth"), F.col("pos")
     ends = {"__last": ("max", pos)}
     if max_depth > WIDE:
-        return _topology_by_level(running(records, ends, backward=True, order=order), order)
+        return _topology_by_level(running(records, ends, backward=True, order=order))
     out = running(records, {f"__u{d}": ("last", F.when(depth == d, pos)) for d in range(max_depth)}, order=order) if max_depth else records
     out = running(out, {f"__n{d}": ("last", F.when(depth <= d, pos)) for d in range(max_depth + 1)} | ends, backward=True, order=order)
     parent = F.get(F.array(*[F.col(f"__u{d}") for d in range(max_depth)]), depth - 1) if max_depth else F.lit(None).cast("long")
@@ -75,17 +76,17 @@ def topology(records: DataFrame, max_depth: int | None = None, order: str = "pos
     return out.withColumns(found).drop("__last", *[f"__u{d}" for d in range(max_depth)], *[f"__n{d}" for d in range(max_depth + 1)])
 
 
-def _topology_by_level(records: DataFrame, order: str) -> DataFrame:
+def _topology_by_level(records: DataFrame) -> DataFrame:
     """Every record meets the level above as a child, and closes its own level and those below as a successor."""
-    keys = dict.fromkeys([*TREE, "pos", order, *(c for c in [PART] if c in records.columns)])
+    keys = dict.fromkeys([*TREE, "pos", *(c for c in [PART] if c in records.columns)])
     own = records.select(*keys, F.col("depth").alias("k"), F.lit(0).alias("role"))
     child = records.where("depth > 0").select(*keys, (F.col("depth") - 1).alias("k"), F.lit(1).alias("role"))
-    met = running(own.union(child), {"parent": ("last", F.when(F.col("role") == 0, F.col("pos")))}, keys=[*TREE, "k"], order=[order, "role"])
+    met = running(own.union(child), {"parent": ("last", F.when(F.col("role") == 0, F.col("pos")))}, keys=[*TREE, "k"], order=["pos", "role"])
     parents = met.where("role = 1").select(*TREE, "pos", "parent")
-    before = running(records.select(*keys, "depth"), {"p": ("last", F.col("depth"))}, order=order)
+    before = running(records.select(*keys, "depth"), {"p": ("last", F.col("depth"))}, order="pos")
     closing = before.where("p >= depth").select(*keys, F.explode(F.sequence("depth", "p")).alias("k"), F.lit(0).alias("role"))
     events = own.withColumn("role", F.lit(1)).union(closing.select(own.columns))  # from the end, a record comes before what it closes
-    closed = running(events, {"subtree_end": ("last", F.when(F.col("role") == 0, F.col("pos")))}, backward=True, keys=[*TREE, "k"], order=[order, "role"])
+    closed = running(events, {"subtree_end": ("last", F.when(F.col("role") == 0, F.col("pos")))}, backward=True, keys=[*TREE, "k"], order=["pos", "role"])
     ends = closed.where("role = 1").select(*TREE, "pos", "subtree_end")
     out = records.join(parents, [*TREE, "pos"], "left").join(ends, [*TREE, "pos"], "left")
     return out.withColumn("subtree_end", F.coalesce("subtree_end", F.coalesce("__last", "pos") + 1)).drop("__last")

@@ -212,7 +212,7 @@ def interval_overlap(spark, sf_dir):
 
 @query(f"{PROBE} SELECT probe_id, p.net_id, pos, reference_start AS start, reference_end AS \"end\" FROM net n JOIN probe p ON p.net_id = n.net_id AND reference_start < e AND s < reference_end")
 def interval_overlap_binned(spark, sf_dir):
-    return interval.overlapping(fixtures.net_orders(spark, sf_dir), fixtures.probes(spark), bin_size=4_096)
+    return interval.overlapping(fixtures.net_orders(spark, sf_dir), fixtures.probes(spark), small=0)
 
 
 @query(f"{PROBE} SELECT probe_id, p.net_id, pos, reference_start AS start, reference_end AS \"end\" FROM net n JOIN probe p ON p.net_id = n.net_id AND reference_start <= s AND e <= reference_end")
@@ -288,7 +288,7 @@ def any_overlap_where(spark, sf_dir):
     spans = context.uninterrupted_spans(fixtures.net_orders(spark, sf_dir)).select("net_id", F.col("chain_id").alias("span_chain"), F.col("start").alias("other_start"), F.col("end").alias("other_end"))
     rows = fixtures.probes(spark).select("probe_id", "net_id", F.col("other_start").alias("start"), F.col("other_end").alias("end"))
     odd: Callable[[], Column] = lambda: F.col("span_chain") % 2 == 1
-    return interval.any_overlap_where(rows, spans, odd, bin_size=1 << 16).select("probe_id", "net_id")
+    return interval.any_overlap_where(rows, spans, odd, small=0).select("probe_id", "net_id")
 
 
 def filter_non_nested(spark, sf_dir):
@@ -380,7 +380,7 @@ for _name, _size in (("interval_containing_many", None), ("interval_containing_b
 @query(f"""{SUPPLIERS} SELECT probe_id, n.net_id, pos, reference_start AS start, reference_end AS "end" FROM net n JOIN probe p ON p.net_id = n.net_id AND reference_start < e AND s < reference_end""")
 def interval_overlap_many(spark, sf_dir):
     records = fixtures.net_orders(spark, sf_dir)
-    return interval.overlapping(records, _probes(spark, sf_dir, records), bin_size=1 << 13)
+    return interval.overlapping(records, _probes(spark, sf_dir, records), small=0)
 
 
 @query(f"""{NET} SELECT net_id, pos, reference_start AS start, reference_end AS "end", CAST(row_number() OVER (PARTITION BY net_id ORDER BY reference_start, reference_end, pos) - 1 AS BIGINT) AS rank FROM net""")
@@ -399,7 +399,7 @@ SPAN_PROBES = f"""{SPANS}, probe AS (SELECT 1000000 + root AS probe_id, net_id,
 @query(f"""{SPAN_PROBES} SELECT probe_id, x.net_id, pos, chain_id, start, "end" FROM spans x JOIN probe p ON p.net_id = x.net_id AND start < e AND s < "end" WHERE start < "end" """)
 def spans_overlapping(spark, sf_dir):
     records = fixtures.net_orders(spark, sf_dir)
-    return interval.spans_overlapping(context.uninterrupted_spans(records), _probes(spark, sf_dir, records).where("probe_id >= 1000000"), bin_size=1 << 14)
+    return interval.spans_overlapping(context.uninterrupted_spans(records), _probes(spark, sf_dir, records), small=0)
 
 
 @query(f"""{SPAN_PROBES} SELECT probe_id, coalesce(chain_id, 0) AS chain_id FROM spans x JOIN probe p ON p.net_id = x.net_id AND start < e AND s < "end" WHERE start < "end" """)

@@ -202,8 +202,13 @@ def good(row, options):
 
 
 @pytest.mark.parametrize("side", [chain.REFERENCE, chain.QUERY])
-@pytest.mark.parametrize(("seed", "space", "fill", "score"), [(1, 25, 12, 100), (2, 10, 5, 0), (3, 3, 1, 300), (4, 60, 30, 0)])
-def test_against_single_positions(spark, side, seed, space, fill, score):
+@pytest.mark.parametrize(("seed", "space", "fill", "score", "at_once"), [(1, 25, 12, 100, None), (2, 10, 5, 0, 3), (3, 3, 1, 300, 7), (4, 60, 30, 0, 1)])
+def test_against_single_positions(spark, monkeypatch, side, seed, space, fill, score, at_once):
+    """Whole sequences in one task, and in rounds that place the best one or two chains of a stretch before the others are dealt."""
+    if at_once:
+        monkeypatch.setattr(construct, "AT_ONCE", at_once)
+        monkeypatch.setattr(construct, "FIRST", (at_once + 1) // 2)
+        monkeypatch.setattr("fillgap.operators.scan.PART_ROWS", 40)
     options = construct.NetOptions(min_space=space, min_fill=fill, min_score=score)
     chains = random_chains(seed)
     plain = plain_nets(chains, side, options)
@@ -216,14 +221,25 @@ def test_against_single_positions(spark, side, seed, space, fill, score):
     assert [(r["primary_name"], r["start"], r["depth"], r["kind"], r["chain_id"]) for r in sorted(tree, key=lambda r: (r["primary_name"], r["pos"]))] == kept
 
 
-def test_many_islands_are_one_net(spark):
-    """Islands that are placed apart give what one placement over the whole sequence gives."""
-    chains = [(i, 1000 - i, "r0", "q0", "+", [((i * 37) % 560, i, 12), ((i * 37) % 560 + 14, i + 20, 9)]) for i in range(40)]
-    options = construct.NetOptions(min_space=2, min_fill=1, min_score=0)
-    rows = construct.with_islands(chain.projected(as_table(spark, chains), chain.REFERENCE), 2)
-    assert rows.select("island").distinct().count() > 1
-    expected = sorted((r["kind"], r["chain"], r["start"], r["end"]) for r in plain_nets(chains, chain.REFERENCE, options)["r0"])
-    assert sorted((r["kind"], r["chain_id"], r["start"], r["end"]) for r in construct.placed(as_table(spark, chains), chain.REFERENCE, options).collect()) == expected
+def test_a_chain_that_spans_the_sequence(spark):
+    """One long chain with 400 gaps, and 30 chains in each gap: after it is placed, every gap is a task of its own."""
+    width = 1_000
+    long = [(i * width, i * width, 10) for i in range(401)]
+    chains = [(1, 10**9, "r0", "q0", "+", long)]
+    r = random.Random(4)
+    for g in range(400):
+        for k in range(30):
+            at = g * width + 20 + r.randrange(0, 900)
+            chains.append((10 + 30 * g + k, 10**6 - 30 * g - k, "r0", "q0", "+", [(at, at, r.randrange(5, 60))]))
+    rows = [(n, i, score, ref, 500_000, s[0][0], s[-1][0] + s[-1][2], q, 500_000, strand, s[0][1], s[-1][1] + s[-1][2], [(z, 0 if k == len(s) - 1 else s[k + 1][0] - a - z, 0 if k == len(s) - 1 else s[k + 1][1] - b - z) for k, (a, b, z) in enumerate(s)]) for n, (i, score, ref, q, strand, s) in enumerate(chains)]
+    table = spark.createDataFrame(rows, "input_ordinal long, chain_id long, score long, reference_name string, reference_size long, reference_start long, reference_end long, query_name string, query_size long, query_strand string, query_start long, query_end long, blocks array<struct<size:long,gap_reference:long,gap_query:long>>")
+    options = construct.NetOptions(min_score=0, side=chain.REFERENCE)
+    columns = ["root", "depth", "kind", "chain_id", "start", "end", "other_start", "other_end", "aligned"]
+    whole = construct.placed(table, chain.REFERENCE, options, at_once=10**6).select(columns)
+    cut = construct.placed(table, chain.REFERENCE, options, at_once=100, first=1)
+    assert sorted(map(tuple, cut.select(columns).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    most = cut.where("depth > 1").groupBy("low").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert most[0] <= 60 and most[1] == 400
 
 
 def test_stretches_need_positions(spark):
