@@ -215,11 +215,6 @@ def interval_overlap_binned(spark, sf_dir):
     return interval.overlapping(fixtures.net_orders(spark, sf_dir), fixtures.probes(spark), small=0)
 
 
-@query(f"{PROBE} SELECT probe_id, p.net_id, pos, reference_start AS start, reference_end AS \"end\" FROM net n JOIN probe p ON p.net_id = n.net_id AND reference_start <= s AND e <= reference_end")
-def interval_containing(spark, sf_dir):
-    return interval.containing(fixtures.net_orders(spark, sf_dir), fixtures.probes(spark))
-
-
 @query(f"{NET} SELECT {ROW}, reference_start, reference_end FROM net WHERE reference_start < 60000 AND reference_end > 40000")
 def interval_before_after(spark, sf_dir):
     rows = interval.ending_after(interval.starting_before(fixtures.net_orders(spark, sf_dir), 60_000), 40_000)
@@ -365,15 +360,15 @@ def _probes(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
     return of_suppliers(spark, sf_dir).union(inside)
 
 
-def _containing(bin_size: int | None) -> Query:
+def _containing(small: int) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         records = fixtures.net_orders(spark, sf_dir)
-        return interval.containing(records, _probes(spark, sf_dir, records), bin_size=bin_size)
+        return interval.containing(records, _probes(spark, sf_dir, records), small=small)
 
     return run
 
 
-for _name, _size in (("interval_containing_many", None), ("interval_containing_binned", 4_096)):
+for _name, _size in (("interval_containing", interval.SMALL), ("interval_containing_binned", 0)):
     QUERIES[_name], SQL[_name] = _containing(_size), f"""{SUPPLIERS} SELECT probe_id, n.net_id, pos, reference_start AS start, reference_end AS "end" FROM net n JOIN probe p ON p.net_id = n.net_id AND reference_start <= s AND e <= reference_end"""
 
 
@@ -393,7 +388,7 @@ def span_index_order(spark, sf_dir):
     return interval.ordered_spans(context.uninterrupted_spans(fixtures.net_orders(spark, sf_dir)))
 
 
-SPAN_PROBES = f"""{SPANS}, probe AS (SELECT 1000000 + root AS probe_id, net_id, reference_start + 150 AS s, reference_start + 160 AS e FROM net WHERE depth = 0 AND root % 17 = 0)"""
+SPAN_PROBES = f"{SPANS}{SUPPLIERS.removeprefix(NET)}"
 
 
 @query(f"""{SPAN_PROBES} SELECT probe_id, x.net_id, pos, chain_id, start, "end" FROM spans x JOIN probe p ON p.net_id = x.net_id AND start < e AND s < "end" WHERE start < "end" """)
@@ -405,7 +400,7 @@ def spans_overlapping(spark, sf_dir):
 @query(f"""{SPAN_PROBES} SELECT probe_id, coalesce(chain_id, 0) AS chain_id FROM spans x JOIN probe p ON p.net_id = x.net_id AND start < e AND s < "end" WHERE start < "end" """)
 def chain_ids_overlapping(spark, sf_dir):
     records = fixtures.net_orders(spark, sf_dir)
-    return interval.chain_ids_overlapping(context.uninterrupted_spans(records), _probes(spark, sf_dir, records).where("probe_id >= 1000000"))
+    return interval.chain_ids_overlapping(context.uninterrupted_spans(records), _probes(spark, sf_dir, records))
 
 
 @query(f"{CONTEXT} SELECT * FROM c WHERE net_id = 2 AND pos = (SELECT min(pos) FROM net WHERE net_id = 2 AND depth = 2)")
