@@ -214,7 +214,7 @@ def _net(a, spark):
     if wrong is not None:
         raise ValueError(f"chain {wrong['chain_id']}: {wrong['kind']}, {wrong['reason']}")
     says = [r["line"] for r in metadata.orderBy("line_no").collect()]  # comment lines of a chain file
-    made = construct.generate(chains.withColumn("chain_id", F.col("chain_id").cast("long")), known, options, says)
+    made = construct.generate(chains, known, options, says)
     for nets, lines, out in ((made.reference, made.metadata, a.reference_net), (made.query, made.metadata, a.query_net), (made.raw_reference, made.raw_metadata, a.raw_net_out), (made.raw_query, made.raw_metadata, a.raw_query_net_out)):
         if nets and out:
             _emit(writer.with_metadata(writer.text_lines(*nets), lines), ["section", "pos"], out, a.gzip, a.parts)

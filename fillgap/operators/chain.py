@@ -119,6 +119,20 @@ def candidates(chains: DataFrame, min_score: float = 2000, haplotypes: bool = Fa
     return rows if haplotypes else rows.where(~is_haplotype(F.col("query_name")))
 
 
+#: Ids are unsigned numbers of 64 bits in the format. Placement carries them as the long of the same bits.
+UNSIGNED = "decimal(20,0)"
+
+
+def signed_id(chain_id: Column) -> Column:
+    wide = chain_id.cast("decimal(21,0)")
+    return F.when(wide > (1 << 63) - 1, wide - F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(wide).cast("long")
+
+
+def unsigned_id(chain_id: Column) -> Column:
+    wide = chain_id.cast("decimal(21,0)")
+    return F.when(wide < 0, wide + F.lit(str(1 << 64)).cast("decimal(21,0)")).otherwise(wide).cast(UNSIGNED)
+
+
 def display_score(score: Column) -> Column:
     """Round half to even."""
     return F.rint(score).cast("long")

@@ -15,6 +15,7 @@ from fillgap.functions.ordering import safe_file_name
 from fillgap.operators.view import flat
 from fillgap.schema import ATTRIBUTES
 from fillgap.session import cut
+from fillgap.sources.ranges import join_files, readable
 
 
 def _shortest(x: pd.Series) -> pd.Series:
@@ -75,17 +76,35 @@ def write_net_file(sections: DataFrame, records: DataFrame, path: str, order: st
 def write_lines_file(lines: DataFrame, columns: list[str], path: str, gzip: bool | None = None) -> None:
     """Write the column ``line`` in order of ``columns`` as one file.
 
-    The parts are sorted and written by all tasks next to the file; their bytes are then put together under a temporary
-    name, part after part, and the file appears under its own name when it is whole. Gzip parts are members of one file.
+    The parts are sorted and written by all tasks next to the file; a task then puts their bytes together under a
+    temporary name, part after part, and the file appears under its own name when it is whole. Gzip parts are members of
+    one file. The driver copies nothing, except into stores that only Spark can open.
     """
     packed = path.endswith(".gz") if gzip is None else gzip
     parts = f"{path}.parts-{uuid.uuid4().hex}"
     in_order(lines, columns).select("line").write.option("compression", "gzip" if packed else "none").text(parts)
-    _join_parts(lines.sparkSession, parts, path)
+    _joined(lines.sparkSession.createDataFrame([(parts, path)], "folder string, target string"), path)
+    _delete(lines.sparkSession, parts)
+
+
+def _joined(targets: DataFrame, path: str) -> None:
+    """Each target from the parts of its folder, a task a target."""
+    spark = targets.sparkSession
+    if readable(path):
+        join_files(targets).agg(F.sum("bytes")).collect()
+        return
+    with ThreadPoolExecutor(16) as pool:
+        for _ in pool.map(lambda r: _join_parts(spark, r["folder"], r["target"]), targets.toLocalIterator()):
+            pass  # errors come up here
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _join_parts(spark: SparkSession, folder: str, target: str) -> None:
-    """The part files of ``folder`` as one file, as a file system's merge command does; the folder goes."""
+    """The part files of ``folder`` as one file, as a file system's merge command does, through the driver."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     paths = jvm.org.apache.hadoop.fs
     where, whole, rising = paths.Path(folder), paths.Path(target), paths.Path(f"{folder}.tmp")
@@ -103,7 +122,6 @@ def _join_parts(spark: SparkSession, folder: str, target: str) -> None:
     fs.delete(whole, False)
     if not fs.rename(rising, whole):
         raise OSError(f"{target} can't be written")
-    fs.delete(where, True)
 
 
 def section_text(sections: DataFrame, records: DataFrame) -> DataFrame:
@@ -156,9 +174,7 @@ def split(sections: DataFrame, records: DataFrame, path: str, suffix: str = ".ne
     lines = text_lines(sections, records).join(named.select(F.col("net_id").alias("section"), "file"), "section")
     parts = f"{path}/.parts-{uuid.uuid4().hex}"
     in_order(lines, ["section", "pos"]).select("file", "line").write.partitionBy("file").option("compression", "gzip" if gzip else "none").text(parts)
-    with ThreadPoolExecutor(16) as pool:
-        for _ in pool.map(lambda r: _join_parts(spark, f"{parts}/file={r['file']}", f"{path}/{r['file']}"), named.select("file").toLocalIterator()):
-            pass  # errors come up here
-    at = spark._jvm.org.apache.hadoop.fs.Path(parts)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    targets = named.select(F.concat(F.lit(f"{parts}/file="), "file").alias("folder"), F.concat(F.lit(f"{path}/"), "file").alias("target"))
+    _joined(targets.repartition(max(1, min(named.count(), 10_000)), "target"), path)
+    _delete(spark, parts)
     return named.select("net_id", "reference_name", "section_size", "file", F.col("record_count").alias("records"))
