@@ -9,6 +9,7 @@ from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,8 +115,9 @@ def run(argv: list[str], spark: SparkSession) -> int:
     except (net_text.NetParseError, ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    except PySparkException as e:  # found while a job ran: a duplicate section, a missing file
-        print("error:", str(e).splitlines()[0], file=sys.stderr)
+    except (PySparkException, Py4JJavaError) as e:  # found while a job ran: a duplicate section, a missing file
+        said = [x.strip() for x in str(e).splitlines() if "USER_RAISED_EXCEPTION" in x] or str(e).splitlines()
+        print("error:", said[0], file=sys.stderr)
         return 1
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillgap.functions import intervals
-from fillgap.operators import arrange, construct, context, interval, policies, stats, tree, validate, view
+from fillgap.operators import arrange, construct, context, interval, policies, scan, stats, tree, validate, view
 from fillgap.operators.predicates import NetPredicate, presence_count, presence_mask
 from fillgap.plans import fixtures
 from fillgap.plans.oracle import FILES, NATURAL, NET, PROBE, filtered, merged
@@ -133,9 +133,10 @@ def stats_extras(spark, sf_dir):
     return stats.unknown_attribute_names(fixtures.net_orders(spark, sf_dir))
 
 
-ISSUES = f"""{NET}, row AS MATERIALIZED (
+def issues_of(net: str, before: str = NET) -> str:
+    return f"""{before}, row AS MATERIALIZED (
   SELECT n.*, p.reference_start AS ps, p.reference_end AS pe, lag(n.reference_start) OVER w AS bs, lag(n.reference_end) OVER w AS be, lag(n.reference_size) OVER w AS bz
-  FROM net n LEFT JOIN net p ON p.net_id = n.net_id AND p.root = n.root AND p.pos = n.parent WINDOW w AS (PARTITION BY n.net_id, n.parent ORDER BY n.pos)
+  FROM {net} n LEFT JOIN {net} p ON p.net_id = n.net_id AND p.root = n.root AND p.pos = n.parent WINDOW w AS (PARTITION BY n.net_id, n.parent ORDER BY n.pos)
 ), found AS MATERIALIZED (
   SELECT 'error' AS severity, 'reference-out-of-bounds' AS code, net_id, pos, '' AS detail, pos AS anchor, 1 AS rule FROM row WHERE reference_size <> 0 AND reference_end > 10000000
   UNION ALL SELECT 'warning', 'zero-sized-record', net_id, pos, '', pos, 2 FROM row WHERE reference_size = 0
@@ -149,6 +150,9 @@ ISSUES = f"""{NET}, row AS MATERIALIZED (
 )"""
 
 
+ISSUES = issues_of("net")
+
+
 @query(f"{ISSUES} SELECT severity, code, net_id, pos, detail, anchor, rule FROM found")
 def validate_all(spark, sf_dir):
     records = fixtures.net_orders(spark, sf_dir)
@@ -483,3 +487,85 @@ def merge_error_without_duplicates(spark, sf_dir):
     """The policy that refuses duplicates lets all through where there are none."""
     sections = fixtures.sections_of(fixtures.net_orders(spark, sf_dir)).withColumn("file_id", F.lit(0))
     return arrange.merge_sections(sections, arrange.ERROR).select("rank", "reference_name")
+
+
+#: Records that break every rule here and there: (column, condition, new value), in turn.
+FAULTS = (
+    ("kind", "pos % 83 = 5", "if(kind = 'fill', 'gap', 'fill')"),
+    ("chain_id", "pos % 79 = 7", "if(kind = 'fill', null, 5)"),
+    ("reference_start", "pos % 89 = 3 and depth > 0", "reference_start + 5000"),
+    ("reference_size", "pos % 97 = 1", "0"),
+    ("reference_unsequenced", "pos % 71 = 2", "-1"),
+)
+_CASES = {c: f"CASE WHEN {when.replace('and', 'AND')} THEN {value} ELSE {c} END" for c, when, value in FAULTS}
+
+
+def _faulty_sql() -> str:
+    out, before = [], "net"
+    for i, (c, _, _) in enumerate(FAULTS):
+        case = _CASES[c].replace("if(kind = 'fill', 'gap', 'fill')", "CASE WHEN kind = 'fill' THEN 'gap' ELSE 'fill' END").replace("if(kind = 'fill', null, 5)", "CASE WHEN kind = 'fill' THEN NULL ELSE 5 END")
+        out.append(f"f{i} AS (SELECT * REPLACE ({case} AS {c}) FROM {before})")
+        before = f"f{i}"
+    return f"{NET}, {', '.join(out)}, faulty AS MATERIALIZED (SELECT * REPLACE (least(reference_start + reference_size, {COORD_MAX}) AS reference_end) FROM {before})"
+
+
+def faulty_net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sections and records in which every code of validation occurs."""
+    records = fixtures.net_orders(spark, sf_dir)
+    sections = fixtures.sections_of(records)
+    for c, when, value in FAULTS:
+        kind = records.schema[c].dataType.simpleString()
+        records = records.withColumn(c, F.expr(f"cast(case when {when} then {value} else {c} end as {kind})"))
+    return sections, records.withColumn("reference_end", intervals.end_of(F.col("reference_start"), F.col("reference_size")))
+
+
+@query(f"{issues_of('faulty', _faulty_sql())} SELECT severity, code, net_id, pos, detail, anchor, rule FROM found")
+def validate_every_code(spark, sf_dir):
+    sections, records = faulty_net(spark, sf_dir)
+    return validate.issues(records, sections)
+
+
+@query(f"{issues_of('faulty', _faulty_sql())} SELECT severity, code, count(*) AS issues FROM found GROUP BY severity, code")
+def issue_counts_every_code(spark, sf_dir):
+    sections, records = faulty_net(spark, sf_dir)
+    return validate.counts(validate.issues(records, sections))
+
+
+PART = 512  # positions of a part in the queries over one large root
+
+
+def one_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A net whose sections have one root each, which holds all that were roots: trees of thousands of records."""
+    records = fixtures.net_orders(spark, sf_dir)
+    keep = ["net_id", "kind", "reference_start", "chain_id", "alignment_score"]
+    under = records.select(*keep, (F.col("pos") + 1).alias("pos"), (F.col("depth") + 1).alias("depth"), F.coalesce(F.col("parent") + 1, F.lit(0)).alias("parent"), (F.col("subtree_end") + 1).alias("subtree_end"))
+    whole = records.groupBy("net_id").agg(F.lit("fill").alias("kind"), F.lit(0).cast("long").alias("reference_start"), F.lit(0).cast("long").alias("chain_id"), F.lit(1e9).alias("alignment_score"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), (F.count(F.lit(1)) + 1).alias("subtree_end"))
+    return under.unionByName(whole).withColumn("root", F.lit(0).cast("long"))
+
+
+ONE = f"""{NET}, one AS MATERIALIZED (
+  SELECT net_id, kind, reference_start, chain_id, alignment_score, pos + 1 AS pos, depth + 1 AS depth, coalesce(parent + 1, 0) AS parent, subtree_end + 1 AS subtree_end FROM net
+  UNION ALL SELECT net_id, 'fill', 0, 0, 1e9, 0, 0, NULL, count(*) + 1 FROM net GROUP BY net_id
+)"""
+
+
+@query(f"""{ONE}, hit AS (SELECT *, coalesce(kind = 'gap' OR alignment_score >= 30000, false) AS m FROM one),
+cut AS (SELECT *, max(CASE WHEN NOT m THEN subtree_end END) OVER (PARTITION BY net_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM hit),
+num AS (SELECT *, CAST(row_number() OVER (PARTITION BY net_id ORDER BY pos) - 1 AS BIGINT) AS new FROM cut WHERE coalesce(c, 0) <= pos)
+SELECT n.net_id, n.new AS pos, n.depth, p.new AS parent, n.kind, n.chain_id, n.reference_start FROM num n LEFT JOIN num p ON p.net_id = n.net_id AND p.pos = n.parent""")
+def filter_prune_one_root(spark, sf_dir):
+    """Prune in trees that are cut into parts of 512 positions."""
+    records = one_root(spark, sf_dir)
+    out = policies.filter_records(records, (F.col("kind") == "gap") | (F.col("alignment_score") >= 30_000), policies.PRUNE, DEPTH + 1, scan.parts_of(records, PART))
+    return out.select("net_id", "pos", "depth", "parent", "kind", "chain_id", "reference_start")
+
+
+@query(f"""{ONE}, up AS (
+  SELECT net_id, pos, parent AS ancestor FROM one WHERE parent IS NOT NULL UNION ALL SELECT a.net_id, a.pos, b.parent FROM one a JOIN one b ON b.net_id = a.net_id AND b.pos = a.parent WHERE b.parent IS NOT NULL
+  UNION ALL SELECT a.net_id, a.pos, c.parent FROM one a JOIN one b ON b.net_id = a.net_id AND b.pos = a.parent JOIN one c ON c.net_id = a.net_id AND c.pos = b.parent WHERE c.parent IS NOT NULL
+) SELECT net_id, pos, count(*) AS ancestors, CAST(sum(ancestor) AS BIGINT) AS places FROM up GROUP BY net_id, pos""")
+def ancestors_one_root(spark, sf_dir):
+    """All pairs of a record and an ancestor in the same trees, as sums by record."""
+    records = one_root(spark, sf_dir)
+    pairs = tree.ancestors(records, records, scan.parts_of(records, PART))
+    return pairs.groupBy("net_id", "pos").agg(F.count(F.lit(1)).alias("ancestors"), F.sum("ancestor").alias("places"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fillgap.operators import tree, validate
 from fillgap.plans import fixtures
 from fillgap.plans.catalog import ISSUES
 from fillgap.plans.oracle import LINES, NET
 from fillgap.plans.registry import query
-from fillgap.sources import net_text, writer
+from fillgap.session import shared_dir
+from fillgap.sources import net_text, ranges, writer
+from fillgap.streaming import sections as streaming
 from fillgap.streaming.sections import flat_events
 
 READ = ["file_id", "net_id", "pos", "depth", "parent", "subtree_end", "kind", "reference_name", "reference_start", "reference_end", "query_name", "query_strand", "query_start", "query_end"]
@@ -117,3 +122,84 @@ def split_names_clash(spark, sf_dir):
 @query(f"{NET} SELECT reference_name, record_count AS records, reference_name || '.net' AS file FROM sec")
 def split_manifest(spark, sf_dir):
     return writer.split_names(fixtures.sections_of(fixtures.net_orders(spark, sf_dir))).select("reference_name", F.col("record_count").alias("records"), "file")
+
+
+FILE_ROWS = "SELECT net_id, pos, depth, kind, reference_start, chain_id FROM net"
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _nets(spark, sf_dir):
+    records = fixtures.for_text(fixtures.net_orders(spark, sf_dir))
+    return fixtures.sections_of(records), records
+
+
+def _read_back(spark, path):
+    """Records by the number in their section's name, as files may hold sections in another order."""
+    _, records = net_text.read_nets(spark, path)
+    net = F.regexp_extract("reference_name", "[0-9]+", 0).cast("int").alias("net_id")
+    return records.select(net, "pos", "depth", "kind", "reference_start", F.col("chain_id").cast("long").alias("chain_id"))
+
+
+@query(f"{NET} {FILE_ROWS}")
+def file_round_trip(spark, sf_dir):
+    """One plain file, put together by a task, and read again."""
+    path = f"{_folder(spark)}/all.net"
+    writer.write_net_file(*_nets(spark, sf_dir), path)
+    return _read_back(spark, path)
+
+
+@query(f"{NET} {FILE_ROWS}")
+def gzip_content_round_trip(spark, sf_dir):
+    """One gzip file without the ending, found by its content and inflated member after member."""
+    path = f"{_folder(spark)}/all.net"
+    writer.write_net_file(*_nets(spark, sf_dir), path, gzip=True)
+    return _read_back(spark, path)
+
+
+@query(f"{NET} {FILE_ROWS}")
+def parts_round_trip(spark, sf_dir):
+    """Text parts in order, read as one file after the other."""
+    path = _folder(spark)
+    writer.write_nets(*_nets(spark, sf_dir), path)
+    lines = net_text.read_lines(spark, [path])
+    # The parts are one text: a section may go on in the next part.
+    joined = lines.select(F.lit(0).alias("file_id"), (F.col("file_id") * 1_000_000 + F.dense_rank().over(Window.partitionBy("file_id").orderBy("part"))).cast("long").alias("part"), "place", "value")
+    _, records, _ = net_text.parse(joined)
+    net = F.regexp_extract("reference_name", "[0-9]+", 0).cast("int").alias("net_id")
+    return records.select(net, "pos", "depth", "kind", "reference_start", F.col("chain_id").cast("long").alias("chain_id"))
+
+
+@query(f"{LINES} SELECT 'chr' || net_id || '.net' AS file, CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM line GROUP BY net_id")
+def split_files(spark, sf_dir):
+    """A file for each section, put together by tasks, and read again."""
+    folder = _folder(spark)
+    writer.split(*_nets(spark, sf_dir), folder)
+    rows = spark.read.text(f"{folder}/*.net").select(F.regexp_extract("_metadata.file_path", "([^/]+)$", 1).alias("file"), "value")
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).cast("long").alias("bytes"))
+
+
+@query(f"{NET} SELECT pos, depth, kind, reference_start, chain_id FROM net WHERE net_id = 6")
+def section_by_bytes(spark, sf_dir):
+    """One section of a file, of which the index tells the bytes."""
+    path = f"{_folder(spark)}/all.net"
+    writer.write_net_file(*_nets(spark, sf_dir), path)
+    _, records, _ = net_text.read_section(net_text.index_files(spark, [path]), "chr6")
+    return records.select("pos", "depth", "kind", "reference_start", F.col("chain_id").cast("long").alias("chain_id"))
+
+
+@query(f"""{NET} SELECT net_id, CAST(-1 AS BIGINT) AS seq, 'start' AS event, CAST(NULL AS INTEGER) AS depth, CAST(NULL AS BIGINT) AS parent FROM sec
+UNION ALL SELECT net_id, pos, 'record', depth, parent FROM net UNION ALL SELECT net_id, record_count, 'end', NULL, NULL FROM sec""")
+def stream_in_pieces(spark, sf_dir):
+    """A net of which pieces arrive one after the other, several in a batch; sections go over from batch to batch."""
+    folder = _folder(spark)
+    writer.write_nets(*_nets(spark, sf_dir), f"{folder}/parts")
+    parts = sorted(spark.read.text(f"{folder}/parts").inputFiles())
+    last = len(parts) - 1
+    names = spark.createDataFrame([(p, f"{folder}/in/all.{i}{'.end' if i == last else ''}") for i, p in enumerate(parts)], "path string, target string")
+    ranges.copy_files(names).collect()  # a row a part
+    streaming.stream_sections(spark, f"{folder}/in", f"{folder}/out", f"{folder}/check", files_per_batch=3).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.select(F.regexp_extract("reference_name", "[0-9]+", 0).cast("int").alias("net_id"), "seq", "event", "depth", "parent")
