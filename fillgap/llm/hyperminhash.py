@@ -9,11 +9,13 @@ with probability t, plus a little because different hashes may look alike in so
    fingerprint are one vertex from here on, so exact copies of any number cost one.
 2. Bands of registers are keys; the vertices that share a key are a list. With ``BANDS`` bands of ``ROWS`` registers, two
    sets of similarity 0.8 share none with a probability of 5 in 10^9.
-3. Each vertex is compared with one centre of its lists, ``stars`` times over, which joins large groups of near copies
-   at the cost of a few comparisons a vertex.
+3. Each vertex is compared with one centre of its lists, first the one that most others meet, ``stars`` times over,
+   which joins large groups of near copies at the cost of a few comparisons a vertex.
 4. What is still apart meets in cells of bounded size, each pair of a list in one cell. There the estimate of the
-   similarity, with chance agreements taken off, leaves out what lies ``MARGIN`` below the limit, six deviations.
-5. Candidates are confirmed on the full sets: the likeliest pair between two components first, then all still apart.
+   similarity, with chance agreements taken off, leaves out what lies ``MARGIN`` below the limit, five deviations.
+   A cell names the vertices that have such a pair, never the pairs.
+5. These vertices meet in their cells again with their full sets. A pair that isn't connected yet is confirmed there, and
+   a cell returns the links that join what was apart, fewer than it has vertices.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fillgap.llm.common import cut
 from fillgap.llm.hashing import SpanHasher, mixed
-from fillgap.llm.jaccard import apart, cells_of, compare, components, fingerprint, in_cells, named_vertices, sets_of, shingles
+from fillgap.llm.jaccard import cells_of, compare, components, fingerprint, in_cells, named_vertices, sets_of, shingles
 
 BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
@@ -97,15 +99,17 @@ def _profiles(n: int):
 
 
 def bands(vertices: DataFrame) -> DataFrame:
-    """hash (the band's key), vertex, n of the keys that two vertices or more share."""
+    """hash (the band's key), vertex, n, weight (what the vertex's lists hold in all) of the keys that two vertices or more share."""
 
     @F.pandas_udf("array<long>")
     def keys(found: pd.Series) -> pd.Series:
         return pd.Series([band_keys(np.frombuffer(x, np.uint16)) for x in found])
 
     rows = cut(vertices.select("vertex", "n", F.explode(keys("registers")).alias("hash")))
-    shared = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("hash")
-    return cut(rows.join(shared, "hash").select("hash", "vertex", "n"))
+    shared = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    lists = cut(rows.join(shared, "hash").select("hash", "vertex", "n", "c"))
+    weights = lists.groupBy("vertex").agg(F.sum("c").alias("weight"))
+    return cut(lists.drop("c").join(weights, "vertex"))
 
 
 def possible(percent: int, m: Column, n: Column) -> Column:
@@ -114,8 +118,12 @@ def possible(percent: int, m: Column, n: Column) -> Column:
 
 
 def star_pairs(lists: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For every vertex one of another component to compare with: the centre that it meets in most of its lists."""
-    rows = lists.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex")).withColumn("rank", F.xxhash64(F.lit(turn), "vertex"))
+    """For every vertex one of another component to compare with: the centre that it meets in most of its lists.
+
+    A list's centre is, in the first turn, the vertex whose lists hold most, and any vertex in later turns.
+    """
+    rows = lists.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    rows = rows.withColumn("rank", F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "vertex"))
     centres = rows.groupBy("hash").agg(F.max(F.struct("rank", F.col("vertex").alias("centre"), F.col("label").alias("of"), F.col("n").alias("m"))).alias("c")).select("hash", "c.centre", "c.of", "c.m")
     meets = rows.join(centres, "hash").where("label <> of").where(possible(percent, F.col("m"), F.col("n")))
     best = meets.groupBy("vertex", "centre").agg(F.count(F.lit(1)).alias("times")).groupBy("vertex").agg(F.max(F.struct("times", "centre")).alias("m"))
@@ -134,38 +142,73 @@ def likely(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     return cut(pairs.join(at("a", "x"), "a").join(at("b", "y"), "b").where(close("x", "y")).select("a", "b"))
 
 
-def _crossing(percent: int, at_once: int = 100_000):
-    """a, b, times (equal registers): pairs of a cell that are apart, of like sizes, and whose registers agree often enough."""
-    least = (percent / 100 - MARGIN) * (1 - CHANCE) + CHANCE
+CELL_KEY = ["hash", "i", "j", "of", "side"]
+
+
+def _close(percent: int, size, label, rows, i: int, at) -> tuple[np.ndarray, np.ndarray]:
+    """Of the places ``at`` those that are apart from i, of like size, and whose registers agree often enough, with how often."""
+    least = ((percent / 100 - MARGIN) * (1 - CHANCE) + CHANCE) * REGISTERS
+    at = at[(label[at] != label[i]) & (np.minimum(size[at], size[i]) * 100 >= percent * np.maximum(size[at], size[i]))]
+    agree = np.count_nonzero(rows[at] == rows[i], axis=1)
+    return at[agree >= least], agree[agree >= least]
+
+
+def _cells(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    """The columns of each cell, its registers as a matrix, and for the places of one side those that they meet."""
+    for *held, marks, few, many, one_part in cells_of(batches, [*columns, "registers"]):
+        rows = np.frombuffer(b"".join(marks), np.uint16).reshape(-1, REGISTERS)
+        n = len(marks)
+        yield *held, rows, few, (lambda i, n=n, many=many, one=one_part: np.arange(i + 1, n) if one else np.arange(n)[many])
+
+
+def _touched(percent: int):
+    """The rows of cells that have a partner there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
-        for vertex, size, label, marks, few, many, one_part in cells_of(batches, ["vertex", "n", "label", "registers"]):
-            rows = np.frombuffer(b"".join(marks), np.uint16).reshape(-1, REGISTERS)
+        for *key, vertex, size, label, rows, few, met in _cells(batches, [*CELL_KEY, "vertex", "n", "label"]):
+            good = np.zeros(len(vertex), bool)
             for i in few:
-                at = slice(i + 1, len(vertex)) if one_part else many
-                m = size[at]
-                other = np.flatnonzero((label[at] != label[i]) & (np.minimum(m, size[i]) * 100 >= percent * np.maximum(m, size[i])))
-                if len(other):
-                    agree = np.count_nonzero(rows[at][other] == rows[i], axis=1)
-                    other, agree = other[agree >= least * REGISTERS], agree[agree >= least * REGISTERS]
-                    v = vertex[at][other]
-                    found.append(np.stack([np.minimum(v, vertex[i]), np.maximum(v, vertex[i]), agree], 1))
-                    held += len(v)
-                    if held >= at_once:
-                        yield _rows(found)
-                        found, held = [], 0
-        yield _rows(found)
+                found, _ = _close(percent, size, label, rows, i, met(i))
+                good[found] = True
+                good[i] |= len(found) > 0
+            if good.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (*key, vertex)], names=[*CELL_KEY, "vertex"])
 
     return run
 
 
-def _rows(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.empty((0, 3), np.int64), *found]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)], names=["a", "b", "times"])
+def _shared_with(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the other sets shares with x; sets are sorted."""
+    y = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
 
 
-def classes(docs: DataFrame, n: int = 4, percent: int = 80, stars: int = 3, tries: int = 2) -> DataFrame:
+def _linked(percent: int, at_once: int = 256):
+    """a, b: similar pairs of a cell's vertices, as many as join what was apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for vertex, size, label, grams, rows, few, met in _cells(batches, ["vertex", "n", "label", "grams"]):
+            sets, label, links = [np.frombuffer(g, np.uint64) for g in grams], label.copy(), []
+            for i in few:
+                found, agree = _close(percent, size, label, rows, i, met(i))
+                found = found[np.argsort(-agree, kind="stable")]
+                step = 1  # the likeliest by itself, as it often settles the others
+                while len(found):
+                    some, found = found[:step], found[step:]
+                    both = _shared_with(sets[i], [sets[k] for k in some])
+                    for k in some[100 * both >= percent * (size[some] + size[i] - both)]:
+                        if label[k] != label[i]:
+                            links.append((min(vertex[i], vertex[k]), max(vertex[i], vertex[k])))
+                            label[label == label[k]] = label[i]
+                    found, step = found[label[found] != label[i]], at_once
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def classes(docs: DataFrame, n: int = 4, percent: int = 80, stars: int = 3, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Classes of documents that chains of pairs with a Jaccard similarity of ``percent`` / 100 or more connect.
 
     Input: doc_id (long), text; other columns are ignored. Output, one row for every input row: doc_id, n_shingles,
@@ -187,20 +230,17 @@ def classes(docs: DataFrame, n: int = 4, percent: int = 80, stars: int = 3, trie
         edges = now if edges is None else edges.union(now)
         labels = components(edges)
 
-    labelled = lists.join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-    labelled = cut(labelled)
+    labelled = cut(lists.join(labels, "vertex", "left").select("hash", "vertex", "n", F.coalesce("label", "vertex").alias("label")))
     cells, buckets = in_cells(labelled, ["vertex", "n", "label"])
-    cells = cells.join(marked.select("vertex", "registers"), "vertex").withColumn("bucket", F.pmod(F.xxhash64("hash", "i", "j", "of"), F.lit(buckets)))
-    met = cells.groupBy("bucket").applyInArrow(_crossing(percent), "a long, b long, times long")
-    pairs = cut(met.groupBy("a", "b").agg(F.max("times").alias("times")))
-    sets = sets_of(rows, vertices, pairs, n, doubtful)
-    for _ in range(tries):
-        pairs = apart(pairs, labels)
-        first = cut(pairs.groupBy("la", "lb").agg(F.max(F.struct("times", "a", "b")).alias("p")).select("p.a", "p.b"))
-        edges = edges.union(compare(sets, first, percent))
-        labels = components(edges)
-        pairs = pairs.join(first, ["a", "b"], "left_anti")
-    edges = edges.union(compare(sets, apart(pairs, labels), percent))
+    known = marked.select("vertex", "registers")
+    dealt = cells.join(known, "vertex").withColumn("bucket", F.pmod(F.xxhash64("hash", "i", "j", "of"), F.lit(buckets)))
+    touched = cut(dealt.groupBy("bucket").applyInArrow(_touched(percent), "hash long, i int, j int, of int, side int, vertex long"))
+    needed = touched.select(F.col("vertex").alias("a"), F.col("vertex").alias("b")).distinct()
+    sets = sets_of(rows, vertices, needed, n, doubtful)
+    whole = touched.join(marked.join(labels, "vertex", "left").select("vertex", "n", "registers", F.coalesce("label", "vertex").alias("label")), "vertex")
+    buckets = max(64, int((touched.join(marked, "vertex").agg(F.sum("n")).first()[0] or 0) * 8 / bucket_bytes))
+    whole = whole.join(sets, "vertex").withColumn("bucket", F.pmod(F.xxhash64("hash", "i", "j", "of"), F.lit(buckets)))
+    edges = edges.union(cut(whole.groupBy("bucket").applyInArrow(_linked(percent), "a long, b long")))
     labels = components(edges)
     whole = vertices.join(labels, "vertex", "left").select("vertex", "doc_id", F.coalesce("label", "vertex").alias("label"))
     least = whole.join(whole.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("vertex", "component_id")

@@ -217,7 +217,7 @@ def test_minhash_near_copies(spark, monkeypatch):
     assert found_classes(df) == expected
     # Without the comparisons with centres the cells alone find every link, in cells of any size.
     monkeypatch.setattr("fillgap.llm.jaccard.CELL", 3)
-    assert found_classes(df, stars=1, tries=0) == expected
+    assert found_classes(df, stars=1) == expected
 
 
 def test_registers_tell_the_similarity():
