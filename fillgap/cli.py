@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fillgap.operators import arrange, chain, construct, policies, stats, validate
 from fillgap.operators.predicates import NetPredicate, parse_region
+from fillgap.session import scratch
 from fillgap.sources import chain_text, net_text, sizes, writer
 
 
@@ -111,7 +112,8 @@ def run(argv: list[str], spark: SparkSession) -> int:
     n.add_argument("--haplotypes", action="store_true")
     a = p.parse_args(argv)
     try:
-        return _COMMANDS[a.command](a, spark)
+        with scratch(spark):
+            return _COMMANDS[a.command](a, spark)
     except (net_text.NetParseError, ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
