@@ -6,14 +6,13 @@ null id and rows that repeat one are handled as each stage says. An empty table
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fillgap.llm import bpe, jaccard, language, mixing, toxicity
-from fillgap.llm.common import shared_dir, table
+from fillgap.llm.common import table
 from fillgap.llm.queries import WORD_BPE
+from fillgap.session import delete, new_path, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +58,18 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_on(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Apply the stages to any table with the columns of ``documents``; ``labels`` come from ``sf_dir``."""
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name.replace(' ', '_')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    """Apply the stages to any table with the columns of ``documents``; ``labels`` come from ``sf_dir``.
+
+    What a stage leaves in the shared folder, its input included, is deleted once its result is written. The last
+    result stays until ``session.clear``.
+    """
+    read = None
+    for _, stage in STAGES:
+        path = new_path(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if read:
+            delete(spark, [read])
+        read = path
     return docs
