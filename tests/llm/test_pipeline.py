@@ -1,11 +1,12 @@
 """The pipeline against its stages done plainly, on a small table."""
 
+import os
 from collections import Counter
 
 import corpus_pipeline
 import __spark_entry__ as entry
 from fillgap.llm import language, mixing, toxicity
-from fillgap.llm.common import cut
+from fillgap.llm.common import cut, shared_dir
 from tests.llm.edge import ROWS, documents, nothing
 from tests.llm.test_native import targets
 from tests.llm.test_texts import expected_ids, plain_classes, plain_one_of_each
@@ -72,7 +73,12 @@ def test_edges_through_all_stages(spark):
 
 
 def test_nothing_through_all_stages(spark):
-    assert corpus_pipeline.run_on(spark, nothing(spark), "/root/testdata/sf0.001").count() == 0
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run_on(spark, nothing(spark), "/root/testdata/sf0.001")
+    assert out.count() == 0
+    left = set(os.listdir(shared)) - before  # the last stage's table alone
+    assert len(left) == 1 and all(left.copy().pop() in f for f in out.inputFiles())
 
 
 def test_registered():
