@@ -1,16 +1,19 @@
 """Licence scans with a positional rare-token index.
 
 The words of all licence phrases are a small vocabulary. One pass over all documents counts how many of them hold each
-word of it. Every phrase is posted under its rarest word, the one of highest inverse document frequency. A second pass
-looks up the rare words of each document, turns each place of such a word into the place where its phrase would have
-to start, and keeps the starts at which every word of the mandatory phrase stands in its relative position. A longer
-template around the phrase scores by the weight of its words that stand in place. Both passes are narrow: nothing but
-the word counts is shuffled. Only DataFrame functions run here.
+word of it. Every phrase is posted, with relative positions, under its rarest words, those of highest inverse document
+frequency. A second pass orders each document's licence words by that frequency, takes them from the top as far as the
+phrases need of which the document has all words, and notes where these words stand. Each posting turns the places of
+its word into places where the phrase would have to start; a phrase's candidates are the intersection of its postings,
+and those remain at which the whole mandatory phrase stands. A longer template around the phrase scores by the weight
+of its words that stand in place. Both passes are narrow: nothing but the word counts is shuffled. Only DataFrame
+functions run here.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,14 +59,43 @@ def word_weights(docs: DataFrame) -> dict[str, float]:
     return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) + 1 for w in vocabulary()}
 
 
+#: Under how many of its words a phrase is posted.
+POSTINGS = 3
+
+
+def postings(phrase: list[str], weights: dict[str, float]) -> list[tuple[str, int]]:
+    """The phrase's rarest words with their positions in it, rarest first; ties go by position."""
+    return sorted(((w, i) for i, w in enumerate(phrase)), key=lambda x: (-weights[x[0]], x[1]))[:POSTINGS]
+
+
+def _complete(phrase: list[str]) -> Column:
+    return F.size(F.array_except(_strings(sorted(set(phrase))), F.col("present"))) == 0
+
+
+def _rarest(phrases: list[list[str]], weights: dict[str, float]) -> Column:
+    """The document's rarest licence words: as many of them as the phrases need of which it has all words."""
+
+    def depth(phrase: list[str]) -> Column:
+        return F.greatest(F.lit(0), *[F.array_position("present", w) for w in sorted({w for w, _ in postings(phrase, weights)})])
+
+    return F.slice("present", F.lit(1), F.greatest(F.lit(0), *[F.when(_complete(p), depth(p)) for p in phrases]).cast("int"))
+
+
+def _places_of(rarest: str) -> Column:
+    """Where these words stand."""
+    at = F.array_compact(F.transform("words", lambda w, i: F.when(F.array_contains(rarest, w), F.struct(w.alias("word"), i.alias("at")))))
+    return F.when(F.size(rarest) > 0, at).otherwise(F.array().cast("array<struct<word:string,at:int>>"))
+
+
 def _starts(phrase: list[str], weights: dict[str, float]) -> Column:
-    """Places where the phrase stands, from the places of its rarest word."""
-    offset = max(range(len(phrase)), key=lambda i: (weights[phrase[i]], -i))
-    places = F.transform("words", lambda w, i: F.when(w == phrase[offset], i - offset))
-    at = F.filter(places, lambda s: s >= 0)
-    found = F.filter(at, lambda s: F.slice("words", s + 1, F.lit(len(phrase))) == _strings(phrase))
-    complete = F.size(F.array_except(_strings(sorted(set(phrase))), F.col("present"))) == 0
-    return F.when(complete, found).otherwise(F.array().cast("array<int>"))
+    """Places where the phrase stands: its postings intersected by relative position, then the whole phrase compared."""
+
+    def posted(word: str, offset: int) -> Column:
+        return F.transform(F.filter("rare", lambda x: x["word"] == word), lambda x: x["at"] - offset)
+
+    starts = reduce(F.array_intersect, [posted(*x) for x in postings(phrase, weights)])
+    found = F.filter(starts, lambda s: (s >= 0) & (F.slice("words", F.greatest(s + 1, F.lit(1)), F.lit(len(phrase))) == _strings(phrase)))
+    return F.when(_complete(phrase), found).otherwise(F.array().cast("array<int>"))
 
 
 def _in_place(starts: str, template: list[str], phrase: list[str], weights: dict[str, float]) -> Column:
@@ -90,7 +122,10 @@ def scan(docs: DataFrame) -> DataFrame:
     each, and no rows give no rows. Texts are scanned whole, whatever their length.
     """
     weights = word_weights(docs)
-    rows = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("present", F.array_intersect("words", _strings(vocabulary())))
+    rarest_first = sorted(weights, key=lambda w: (-weights[w], w))
+    rows = docs.select("doc_id", words_of(F.col("text")).alias("words")).withColumn("present", F.array_intersect(_strings(rarest_first), F.col("words")))
+    phrases = [p.split() for p in [*BASE.values(), *(must for _, must in TEMPLATES.values())]]
+    rows = rows.withColumn("rarest", _rarest(phrases, weights)).withColumn("rare", _places_of("rarest"))
     base = {label: f"base{i}" for i, label in enumerate(sorted(BASE))}
     own = {label: f"own{i}" for i, label in enumerate(sorted(TEMPLATES))}
     rows = rows.select(

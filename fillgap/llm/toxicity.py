@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A clause becomes a string of token classes: insult, threat verb, target, negation, reported speech, other. Three small
+A clause becomes a string of token classes: insult, threat verb, target, negation, reported speech, other. Five small
 transducers read it in a row: one marks what stands shortly after a negation, one what stands after a word of reported
-speech, and one matches insults with or without a target and threat verbs followed by a target. Their composition is
-one machine, built once; it reads a clause in a single pass and yields its matches by kind. A document's matches of
-each kind, summed over its clauses, and how dense the plain ones stand give the log-odds of its label. No kind counts
-against a label: negated and reported matches weigh less than plain ones, but never cancel them.
+speech, one insults that follow a target, one counts threat verbs that a target follows and takes that target, and one
+counts insults, aimed or not. Their composition is one machine, built once; it reads a clause in a single pass and
+yields its matches by kind, whose weights are the clause's score. A document's matches of each kind, how dense the plain
+ones stand and the score of its strongest clause give the log-odds of its label. No kind counts against a label:
+negated and reported matches weigh less than plain ones, but never cancel them.
 
 Labels teach two things, from a bounded sample of labelled rows: words and word beginnings that are many times more
 frequent in toxic documents, in many different contexts, join the insults; and a logistic regression sets the weights.
@@ -17,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -39,11 +41,13 @@ CLASS = {w: c for c, words in WORDS.items() for w in words.split()}
 CLAUSE = re.compile(r"[.!?;:\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
 
-#: Kinds of matches; the last is the share of plain ones among the words of the text.
+#: Kinds of matches, and what one of each adds to its clause's score.
 MATCHES = ["insults", "threats", "negated", "reported", "aimed"]
-FEATURES = [*MATCHES, "density"]
+CLAUSE_WEIGHTS = np.array([1.0, 1.0, 0.125, 0.25, 0.5])
+#: Matches of the document, the share of plain ones among its words, and its strongest clause.
+FEATURES = [*MATCHES, "density", "strongest"]
 #: Log-odds before anything is learned: of the bias, and of each feature.
-PRIOR = np.array([-3.0, 6.0, 6.0, 1.0, 1.5, 2.0, 0.0])
+PRIOR = np.array([-3.0, 6.0, 6.0, 1.0, 1.5, 2.0, 0.0, 0.0])
 
 
 class Transducer:
@@ -102,35 +106,51 @@ def _reported() -> Transducer:
     return Transducer(False, step)
 
 
-def _matches(window: int = 4) -> Transducer:
-    """Counts insults and threat verbs that a target follows, each as plain, reported or negated, and insults near a target."""
+def _targets(window: int = 4) -> Transducer:
+    """Marks insults fewer than ``window`` tokens after a target."""
 
-    def kind(plain: str, marks: str) -> str:
-        return "negated" if "-" in marks else "reported" if "r" in marks else plain
+    def step(left, x):
+        left = max(0, left - 1)
+        return window if x == TARGET else left, x + "t" if x[0] == INSULT and left else x, ZERO
+
+    return Transducer(0, step)
+
+
+def _kind(plain: str, marks: str) -> str:
+    return "negated" if "-" in marks else "reported" if "r" in marks else plain
+
+
+def _threats(window: int = 4) -> Transducer:
+    """Counts threat verbs that a target follows, and marks that target as taken."""
 
     def step(state, x):
-        target, insult, threat, marks = state
-        target, insult, threat = max(0, target - 1), max(0, insult - 1), max(0, threat - 1)
-        w = ZERO
+        left, marks = max(0, state[0] - 1), state[1]
+        if x[0] == THREAT:
+            return (window, x[1:]), OTHER, ZERO
+        if x == TARGET:
+            return (0, ""), x + "+" if left else x, _weights(**{_kind("threats", marks): 1}) if left else ZERO
+        return (left, marks if left else ""), x, ZERO
+
+    return Transducer((0, ""), step)
+
+
+def _insults(window: int = 4) -> Transducer:
+    """Counts insults; a plain one is aimed if it is marked by a target or one that no threat has taken follows."""
+
+    def step(left, x):
+        left = max(0, left - 1)
         if x[0] == INSULT:
-            aimed = target > 0
-            w = _weights(**{kind("insults", x): 1, "aimed": int(aimed and x == INSULT)})
-            insult = window if x == INSULT and not aimed else 0
-        elif x[0] == THREAT:
-            threat, marks = window, x[1:]
-        elif x == TARGET:
-            target = window
-            if threat:
-                w = _weights(**{kind("threats", marks): 1})
-            elif insult:
-                w = _weights(aimed=1)
-            insult, threat, marks = 0, 0, ""
-        return (target, insult, threat, marks if threat else ""), OTHER, w
+            kind, near = _kind("insults", x), "t" in x
+            plain = kind == "insults"
+            return window if plain and not near else 0, OTHER, _weights(**{kind: 1, "aimed": int(plain and near)})
+        if x[0] == TARGET:
+            return 0, OTHER, _weights(aimed=1) if left and x == TARGET else ZERO
+        return left, OTHER, ZERO
 
-    return Transducer((0, 0, 0, ""), step)
+    return Transducer(0, step)
 
 
-MACHINE = _negation().compose(_reported()).compose(_matches()).table(INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER)
+MACHINE = _negation().compose(_reported()).compose(_targets()).compose(_threats()).compose(_insults()).table(INSULT + THREAT + TARGET + NEGATION + REPORT + OTHER)
 
 
 def hits_of(learned: tuple[str, ...] = ()) -> re.Pattern:
@@ -139,27 +159,41 @@ def hits_of(learned: tuple[str, ...] = ()) -> re.Pattern:
     return re.compile(r"(?<![^\W\d_])(?:" + "|".join(sorted(fixed + [re.escape(x.rstrip("*")) + r"[^\W\d_]*" * x.endswith("*") for x in learned], key=len, reverse=True)) + r")(?![^\W\d_])")
 
 
-def clause_matches(text: str | None, hits: re.Pattern) -> np.ndarray:
-    """The grammar's matches by kind, summed over the clauses of a whole text."""
-    total = np.zeros(len(MATCHES))
+def matched_clauses(text: str | None, hits: re.Pattern) -> Iterator[tuple[int, str, np.ndarray]]:
+    """Number, lower-cased text and matches by kind of each clause of a whole text in which the grammar finds any."""
     if not text or not hits.search(low := text.lower()):
-        return total
-    for clause in CLAUSE.split(low):
+        return
+    for number, clause in enumerate(CLAUSE.split(low)):
         if hits.search(clause):
-            state = 0
+            state, total = 0, None
             for token in TOKEN.findall(clause):
                 kind = CLASS.get(token) or (INSULT if hits.fullmatch(token) else OTHER)
                 state, _, w = MACHINE[state, kind]
                 if w:
-                    total += w
-    return total
+                    total = np.add(w, total) if total is not None else np.array(w, float)
+            if total is not None:
+                yield number, clause, total
+
+
+def clause_matches(text: str | None, hits: re.Pattern) -> np.ndarray:
+    """The grammar's matches by kind, summed over the clauses of a whole text."""
+    return sum((n for _, _, n in matched_clauses(text, hits)), np.zeros(len(MATCHES)))
+
+
+def clause_score(matches: np.ndarray) -> float:
+    return float(CLAUSE_WEIGHTS @ matches)
 
 
 def features_of(text: str | None, hits: re.Pattern) -> np.ndarray:
-    """log(1 + n) of each kind, and a hundred times the plain matches' share of the words, on the same scale. A match more never adds less."""
-    n = clause_matches(text, hits)
+    """log(1 + n) of each kind, and on the same scale a hundred times the plain matches' share of the words and the highest score of a clause.
+
+    A match more never adds less.
+    """
+    n, strongest = np.zeros(len(MATCHES)), 0.0
+    for _, _, own in matched_clauses(text, hits):
+        n, strongest = n + own, max(strongest, clause_score(own))
     words = 20 + (text.count(" ") + text.count("\n") if text else 0)
-    return np.log1p(np.append(n, 100 * (n[0] + n[1]) / words))
+    return np.log1p(np.append(n, [100 * (n[0] + n[1]) / words, strongest]))
 
 
 def _features(learned: tuple[str, ...]):
@@ -294,6 +328,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def clauses(docs: DataFrame, model: Model) -> DataFrame:
+    """The clauses in which the grammar finds matches, each with its score.
+
+    Input: doc_id, text; other columns are ignored. Output, one row for every such clause of every input row: doc_id,
+    clause (its number in the text, from 0), text (lower-cased), one count a kind of match, clause_score (the counts by
+    CLAUSE_WEIGHTS). Null and empty texts and texts without matches give no rows; repeated rows give theirs each.
+    """
+    hits = hits_of(model.terms)
+    fields = "doc_id long, clause int, text string, " + ", ".join(f"{m} long" for m in MATCHES) + ", clause_score double"
+    names = ["doc_id", "clause", "text", *MATCHES, "clause_score"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+                rows = ((None if pd.isna(doc) else int(doc), k, clause, *n.astype(int).tolist(), clause_score(n)) for k, clause, n in matched_clauses(text, hits))
+                while some := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(some, columns=names).astype({"doc_id": "Int64"})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).mapInPandas(run, fields)
+
+
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that score below 0.5, with all their columns.
 

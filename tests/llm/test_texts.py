@@ -1,11 +1,13 @@
 """Toxicity, language, BPE and the Jaccard join."""
 
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
@@ -66,6 +68,24 @@ def test_grammar_against_plain_rules():
         assert toxicity.clause_matches(text, hits).tolist() == plain_matches(text, ("chlla*",)), text
 
 
+def test_clauses_are_scored(spark):
+    model = toxicity.Model(("chlla*",), toxicity.PRIOR)
+    long = "Fine weather. " * 4000 + "You idiot, I will kill you! " + "It is not stupid. " * 30
+    rows = [*ROWS, (20, long, None, None), (20, long, None, None), (None, "He said: chllando. She claimed they are morons", None, None)]
+    found = toxicity.clauses(documents(spark, rows), model).collect()
+    hits = toxicity.hits_of(model.terms)
+    want = []
+    for i, text, *_ in rows:
+        for k, clause in enumerate(re.split(r"[.!?;:\n]+", (text or "").lower())):
+            n = plain_matches(clause, model.terms)
+            if any(n):
+                want.append((i, k, clause, *n, n[0] + n[1] + n[2] / 8 + n[3] / 4 + n[4] / 2))
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str) and len(want) == 2 * 31 + 2
+    strongest = max(r["clause_score"] for r in found if r["doc_id"] == 20)
+    assert strongest == 1 + 1 + 0.5 and toxicity.features_of(long, hits)[-1] == pytest.approx(math.log1p(strongest))
+    assert toxicity.clauses(nothing(spark), model).count() == 0
+
+
 def test_marked_matches_cancel_nothing(spark):
     model = toxicity.Model((), toxicity.PRIOR)
     direct = "idiot here. " * 50

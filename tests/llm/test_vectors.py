@@ -1,6 +1,7 @@
 """Both vector searches and the URL filter."""
 
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,28 @@ def test_url_trees_learn_the_rules(spark):
     assert len(rows) == pages.count() and len(free) and free.score.between(0, 1).all() and ((free.score > 0.5) == (free.verdict == "block")).all()
 
 
+def test_url_trees_judge_hosts_without_labels(spark):
+    """Hosts of a suffix that no rule names: only length, digits, depth and parameters tell their URLs apart."""
+    r = random.Random(11)
+    rules = (("block", "net", "/go/"), ("allow", "net", "/read/"))
+
+    def url(bad, host, path):
+        if bad:
+            return f"http://{host}/{path}{r.randrange(10**9, 10**12)}-{r.randrange(10**6)}?id={r.randrange(10**6)}&ref={r.randrange(10**4)}&t={r.randrange(10**9)}"
+        return f"https://{host}/{path}" + "/".join(r.choice(["news", "garden", "travel", "music"]) for _ in range(r.randint(1, 3)))
+
+    rows = []
+    for i in range(4000):
+        bad, host = r.random() < 0.4, f"h{r.randrange(300)}"
+        known = i % 4 != 0
+        rows.append((i, url(bad, host + (".net" if known else ".info"), ("go/" if bad else "read/") if known else r.choice(["a/", "b/"])), bad, known))
+    pages = spark.createDataFrame([x[:2] for x in rows], "page_id long, url string")
+    found = {x["page_id"]: x for x in urls.judge(pages, rules).collect()}
+    held = [(found[i], bad) for i, _, bad, known in rows if not known]
+    assert len(found) == len(rows) and all(found[i]["score"] == float(bad) for i, _, bad, known in rows if known)
+    assert all(x["rule"] is None for x, _ in held) and np.mean([(x["verdict"] == "block") == bad for x, bad in held]) > 0.97
+
+
 def test_url_suffixes_count_all_labelled_urls(spark):
     rules = (("allow", "x", "/a/"), ("block", "x", "/b/"))
     rows = [(f"http://h{100 + h}.x/{'ab'[h % 2]}/{i}", h) for h in range(200) for i in range(10)] + [(f"http://h{100 + h}.x/c/0", h) for h in range(200)]
