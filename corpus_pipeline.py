@@ -2,6 +2,7 @@
 
 All stages but the last return the columns of their input, whatever else those hold. No stage needs ids: rows with a
 null id and rows that repeat one are handled as each stage says. An empty table goes through all stages and gives no rows.
+Stages with Python set the session's Arrow batches to 8 MB, unless it names a size: all five run in the same executors.
 """
 
 from __future__ import annotations
@@ -10,23 +11,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from fillgap.llm import bpe, jaccard, language, mixing, toxicity
-from fillgap.llm.common import table
+from fillgap.llm.common import small_batches, table
 from fillgap.llm.queries import WORD_BPE
 from fillgap.session import delete, new_path, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5, learned from ``labels``. Null and empty texts stay; rows are judged one by one."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that ``lang`` teaches. Null and letterless texts go; rows are judged one by one."""
+    small_batches(spark)
     return language.in_known_language(docs, language.fit(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, the one with the smallest id. Rows with a null id and wordless texts stay."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -37,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and decoded text of every row, as often as it is in the mix. Null texts count as empty."""
+    small_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path(WORD_BPE))
 
 

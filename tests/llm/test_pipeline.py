@@ -6,7 +6,7 @@ from collections import Counter
 import corpus_pipeline
 import __spark_entry__ as entry
 from fillgap.llm import language, mixing, toxicity
-from fillgap.llm.common import cut, shared_dir
+from fillgap.llm.common import cut, shared_dir, small_batches
 from tests.llm.edge import ROWS, documents, nothing
 from tests.llm.test_native import targets
 from tests.llm.test_texts import expected_ids, plain_classes, plain_one_of_each
@@ -27,6 +27,20 @@ def test_stages(spark):
     assert sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, d).collect()) == expected
 
 
+def test_stages_take_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        small_batches(spark)
+        assert spark.conf.get(name) == "8m"
+        spark.conf.set(name, "3m")
+        small_batches(spark)
+        assert spark.conf.get(name) == "3m"
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def key(rows):
     return Counter((r["doc_id"], r["text"], r["source"]) for r in rows)
 
