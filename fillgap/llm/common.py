@@ -27,17 +27,6 @@ def drawn(share: Column | float, *cols: Column | str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 62)) / F.lit(steps) < share
 
 
-def small_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Rows go to Python in Arrow batches of about ``size`` for the rest of the session, unless the session names a size.
-
-    A batch's buffers lie outside the heap, one set a running task, and grow by doubling; with long texts Spark's own
-    64 MB make several hundred MB of an executor. Results are the same with any size; a longer row is a batch of its own.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, size)
-
-
 def buckets_for(rows: int, per_bucket: int = 20_000) -> int:
     return max(1, math.ceil(rows / per_bucket))
 
