@@ -4,13 +4,15 @@ Unit vectors are cut into subspaces of two dimensions with 16 codewords each, so
 products with a query, an error along the vector itself matters more than one across it; codewords and codes therefore
 minimise  h * |parallel residual|^2 + |orthogonal residual|^2  with h > 1. A query's products with all codewords make a
 table for each subspace, and a scan adds up table entries, two subspaces a byte. The best of each scan are compared by
-their exact cosine on the original vectors.
+their exact cosine, and what a code misses is bounded: with the parts p of the residual along the vector and o across it,
+a cosine s has  query . code >= s (1 - p) - sqrt(1 - s^2) o.  Candidates whose codes allow them to reach the query's
+lowest score so far are compared exactly as well, so nothing near is lost, however close together vectors lie.
 
 Queries and candidates meet in blocks of a fixed size: each block of queries visits every block of candidates. The
-visits come in rounds of 1, 1, 2, 4, ... blocks. What a query keeps of the rounds before has a lowest score, and a visit
-returns only what reaches it: nothing below it can be among the best of all. So a round returns about as many rows as a
-query keeps, and rounds grow with the logarithm of the blocks. The work is queries times rows, as asked, but its inner
-loop is a table lookup a byte.
+visits come in rounds of 1, 1, 2, 4, ... blocks. The best of the rounds before give a query's lowest score, and a visit
+returns only what reaches it: nothing below it can be among the best of all. So a round returns few rows a query, and
+rounds grow with the logarithm of the blocks. The work is queries times rows, as asked; the less residuals and scores
+leave open, the more of it is a table lookup a byte.
 """
 
 from __future__ import annotations
@@ -70,6 +72,12 @@ class Codebook:
                 along[:, m], codes[:, m] = new, best
         return codes.astype(np.uint8)
 
+    def residual(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the codes miss of unit vectors: the part along the vector, and the length of the part across it."""
+        rest = self._split(x) - np.take_along_axis(self.words[None], codes[:, :, None, None].astype(np.int64), axis=2)[:, :, 0]
+        along = (rest * self._split(x)).sum((1, 2))
+        return along, np.sqrt(np.maximum((rest**2).sum((1, 2)) - along**2, 0))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Products of queries with codewords, two subspaces together: (queries, bytes, 256)."""
         t = np.einsum("qmd,mkd->qmk", self._split(q), self.words)
@@ -128,17 +136,33 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def products(asks: np.ndarray, units: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Exact products where they are wanted, elsewhere -inf: pair by pair if they are few, else as a matrix."""
+    out = np.full(wanted.shape, -np.inf)
+    at, place = np.nonzero(wanted)
+    if len(at) > wanted.size // 32:
+        np.copyto(out, asks @ units.T, where=wanted)
+    else:
+        out[at, place] = np.einsum("nd,nd->n", asks[at], units[place])
+    return out
+
+
 def index(rows: DataFrame, books: dict[int, Codebook]) -> DataFrame:
-    """Every row's code: id, mark, width, code (binary); the unit vector itself for lengths without a codebook."""
+    """Every row's unit vector and code: id, mark, width, unit and code (binary), along and across (the residual's parts); no code for lengths without a codebook."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for every in parts:
             for width, df in every.groupby("width"):
                 x = _matrix(df["v"], width)
-                codes = bytes_of(books[width].encode(x)) if width in books else x
-                yield pd.DataFrame({"id": df["id"].to_numpy(), "mark": df["mark"].to_numpy(), "width": df["width"].to_numpy(), "code": [c.tobytes() for c in codes]})
+                along = across = np.zeros(len(x))
+                coded = [None] * len(x)
+                if width in books:
+                    codes = books[width].encode(x)
+                    along, across = books[width].residual(x, codes)
+                    coded = [c.tobytes() for c in bytes_of(codes)]
+                yield pd.DataFrame({"id": df["id"].to_numpy(), "mark": df["mark"].to_numpy(), "width": df["width"].to_numpy(), "unit": [u.tobytes() for u in x], "code": coded, "along": along, "across": across})
 
-    return rows.select("id", "mark", "width", "v").mapInPandas(run, "id long, mark long, width int, code binary")
+    return rows.select("id", "mark", "width", "v").mapInPandas(run, "id long, mark long, width int, unit binary, code binary, along double, across double")
 
 
 def kept_of(rows: int, keep: int) -> int:
@@ -150,6 +174,8 @@ def kept_of(rows: int, keep: int) -> int:
 
 
 CODED = 16  # lengths of vectors, the commonest, that get a codebook
+BLOCK = 1 << 19  # components of a block of candidates
+CLOSE, LOOSE = 1e-12, 1e-5  # rounding of cosines, and of sums of table entries
 
 
 def search(df: DataFrame, is_query, k: int = 5, keep: int = 200, fit_vectors: int = 10_000, block_rows: int = 8_192, query_rows: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 3) -> DataFrame:
@@ -161,8 +187,8 @@ def search(df: DataFrame, is_query, k: int = 5, keep: int = 200, fit_vectors: in
     each length is searched by itself. Fewer rows than ``k`` give all there are; no rows give no rows. A row that repeats
     an id with another vector is a row of its own, as query and as candidate; a row that repeats both counts once. The
     codebooks of the CODED commonest lengths learn from about ``fit_vectors`` rows each, rows of other lengths are scanned
-    without codes; components may be as small or large as doubles are. Every row is indexed, and the best ``keep`` of all scans, more if there are many rows (``kept_of``),
-    are reranked.
+    without codes; components may be as small or large as doubles are. Every row is indexed. The best ``keep`` of a scan,
+    more if there are many rows (``kept_of``), are reranked, and so is every other row that its code does not exclude.
     """
     spark = df.sparkSession
     rows = vector_rows(clean_vectors(df, id_col, vector_col))
@@ -180,7 +206,7 @@ def search(df: DataFrame, is_query, k: int = 5, keep: int = 200, fit_vectors: in
 
     # Equal vectors are one candidate, so that ties between any number of copies are settled exactly.
     once = cut(distinct_vectors(rows, k))
-    blocks = cut(counts.select("width", F.ceil(F.col("n") / block_rows).cast("int").alias("cbs"), F.greatest(F.lit(1), F.ceil(F.col("asked") / query_rows)).cast("int").alias("qbs"), "n"))
+    blocks = cut(counts.select("width", F.ceil(F.col("n") / F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK) / F.col("width"))))).cast("int").alias("cbs"), F.greatest(F.lit(1), F.ceil(F.col("asked") / query_rows)).cast("int").alias("qbs"), "n"))
     most = blocks.agg(F.max("cbs").alias("cbs"), F.sum("n").alias("n")).first()
     few = F.broadcast(blocks.drop("n")) if blocks.count() <= 100_000 else blocks.drop("n")  # one row a length
     keep = kept_of(most["n"], keep)
@@ -188,28 +214,45 @@ def search(df: DataFrame, is_query, k: int = 5, keep: int = 200, fit_vectors: in
     queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("mark").alias("query_mark"), "width", "v")
     asked = cut(queries.join(few, "width").withColumn("qb", F.pmod(F.xxhash64(F.lit(seed + 1), "query_id", "query_mark"), F.col("qbs")).cast("int")))
 
+    def kth(scores: np.ndarray) -> np.ndarray:
+        """Of each row the score that the best ``k`` and the query itself reach."""
+        return -np.partition(-scores, k, axis=1)[:, k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+
     def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
             width, ids, marks = int(q["width"].iloc[0]), c["id"].to_numpy(), c["mark"].to_numpy()
-            coded = b"".join(c["code"])
-            by_byte = np.ascontiguousarray(np.frombuffer(coded, np.uint8).reshape(len(c), -1).T).astype(np.intp) if width in books else None
+            units = np.frombuffer(b"".join(c["unit"]), np.float64).reshape(len(c), -1)
+            book = books.get(width)
+            if book is not None:
+                by_byte = np.ascontiguousarray(np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1).T).astype(np.intp)
+                along, across = c["along"].to_numpy(np.float32), c["across"].to_numpy(np.float32)
             for s in range(0, len(q), 64):
                 some = q.iloc[s : s + 64]
-                floor = some["floor"].fillna(-np.inf).to_numpy(np.float32)
-                score = np.zeros((len(some), len(ids)), np.float32)
-                if by_byte is None:
-                    score += _matrix(some["v"], width) @ np.frombuffer(coded, np.float64).reshape(len(c), -1).T
+                asks = _matrix(some["v"], width)
+                floor = some["floor"].fillna(-np.inf).to_numpy(np.float64)
+                if book is None:
+                    exact = asks @ units.T
+                    reach = exact >= np.maximum(floor, kth(exact))[:, None] - CLOSE
                 else:
-                    tables = books[width].tables(_matrix(some["v"], width))
+                    score = np.zeros((len(some), len(ids)), np.float32)
+                    tables = book.tables(asks)
                     for j, row in enumerate(by_byte):
                         score += tables[:, j].take(row, axis=1)
-                n = min(keep, len(ids))
-                best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                near = np.take_along_axis(score, best, 1)
-                at, place = np.nonzero(near >= floor[:, None])
-                found = best[at, place]
-                out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[at], "query_mark": some["query_mark"].to_numpy()[at], "id": ids[found], "mark": marks[found], "near": near[at, place].astype(float)}))
+                    n = min(keep, len(ids))
+                    best = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                    near = np.stack([units[b] @ a for a, b in zip(asks, best, strict=True)])
+                    floor = np.maximum(floor, kth(near))
+                    # No score below 0 excludes anything: there the bound need not rise with the score.
+                    low = np.clip(floor, 0, 1)[:, None].astype(np.float32)
+                    reach = (score >= low * (1 - along) - np.sqrt(1 - low * low) * across - LOOSE) | (floor[:, None] < 0)
+                    np.put_along_axis(reach, best, True, axis=1)
+                    exact = products(asks, units, reach)
+                    reach &= exact >= np.maximum(floor, kth(exact))[:, None] - CLOSE
+                for i in np.flatnonzero(reach.any(1)):
+                    found = np.flatnonzero(reach[i])
+                    found = found[np.lexsort((ids[found], -exact[i, found]))[:keep]]
+                    out.append(pd.DataFrame({"query_id": some["query_id"].iloc[i], "query_mark": some["query_mark"].iloc[i], "id": ids[found], "mark": marks[found], "near": exact[i, found]}))
         found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "query_mark", "id", "mark", "near")})
         return found.astype({"query_id": "int64", "query_mark": "int64", "id": "int64", "mark": "int64", "near": "float64"})
 
@@ -218,7 +261,7 @@ def search(df: DataFrame, is_query, k: int = 5, keep: int = 200, fit_vectors: in
     near, start = spark.createDataFrame([], schema), 0
     while start < most["cbs"]:
         stop = min(most["cbs"], max(1, 2 * start))
-        floors = near.groupBy(*query).agg(F.when(F.count(F.lit(1)) >= keep, F.min("near")).alias("floor"))
+        floors = near.groupBy(*query).agg(F.when(F.count(F.lit(1)) > k, F.element_at(F.sort_array(F.collect_list("near"), False), k + 1)).alias("floor"))
         visits = asked.where(F.col("cbs") > start).join(floors, query, "left").withColumn("cb", F.explode(F.sequence(F.lit(start), F.least(F.col("cbs"), F.lit(stop)) - 1)))
         visited = codes.where(F.col("cb").between(start, stop - 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
         keys = ["width", "cb", "qb"]

@@ -158,6 +158,21 @@ def test_ann_of_any_size(spark):
         assert np.allclose(part.score, sorted(score.values(), reverse=True)[:5]) and np.allclose(part.score, [score[i] for i in part.vec_id])
 
 
+def test_ann_in_tight_clusters_and_beside_one_direction(spark):
+    """Thousands of vectors whose codes are alike, and ones that all point nearly the same way: the nearest are those of brute force."""
+    r = np.random.default_rng(31)
+    tight = r.normal(size=(2, 32))[np.arange(3_000) % 2] + 1e-4 * r.normal(size=(3_000, 32))
+    beside = 50 + r.normal(size=(3_000, 32))
+    for x in (tight, beside):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        found = ann.search(df, lambda i: i % 300 == 0, k=5, block_rows=700).toPandas()
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = unit[::300] @ unit.T
+        near[np.arange(10), np.arange(0, 3_000, 300)] = -9
+        want = [set(n.tolist()) for n in np.argsort(-near, axis=1)[:, :5]]
+        assert sum(len(w & set(found[found.query_id == 300 * i].vec_id)) for i, w in enumerate(want)) >= 49  # of 50; rounding may swap one
+
+
 def test_ann_keeps_the_same_in_any_number_of_rounds(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     one, many = (sorted(map(tuple, ann.search(df, lambda i: i % 50 == 0, k=5, keep=30, block_rows=n).collect())) for n in (5_000, 150))
