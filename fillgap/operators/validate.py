@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fillgap.functions.intervals import overlaps
 from fillgap.operators.scan import Parts
-from fillgap.operators.tree import with_sibling
+from fillgap.operators.tree import with_parent, with_sibling
 from fillgap.schema import TREE
 
 #: Severity by rule group and mode; None: not checked.
@@ -37,24 +37,24 @@ RULES = (
 )
 
 
-def _with_parent_range(records: DataFrame) -> DataFrame:
-    """Adds the parent's interval. A record's parent is a row of its own tree, so the join moves nothing but two numbers a record."""
-    above = records.select(*TREE, F.col("pos").alias("parent"), F.col("reference_start").alias("parent_start"), F.col("reference_end").alias("parent_end"))
-    return records.join(above, [*TREE, "parent"], "left")
+def _with_parent_range(records: DataFrame, max_depth: int | None, parts: Parts | None) -> DataFrame:
+    """Adds the parent's interval."""
+    return with_parent(records, {"reference_start": "parent_start", "reference_end": "parent_end"}, max_depth, parts)
 
 
 def _with_previous_sibling(records: DataFrame, parts: Parts | None) -> DataFrame:
     return with_sibling(records, {"reference_start": "before_start", "reference_end": "before_end", "reference_size": "before_size"}, parts=parts)
 
 
-def issues(records: DataFrame, sections: DataFrame, mode: str = "compatible", parts: Parts | None = None) -> DataFrame:
+def issues(records: DataFrame, sections: DataFrame, mode: str = "compatible", parts: Parts | None = None, max_depth: int | None = None) -> DataFrame:
     """severity, code, net_id, pos, detail (the attribute of a negative count, else ''), and the order of discovery (anchor, rule).
 
     records need pos, parent and their attributes; sections net_id and section_size. ``anchor`` is the record at which a
     walk of the tree finds the issue: the record itself, or for siblings their parent, -1 for roots.
     """
-    size = sections.select("net_id", "section_size")
-    rows = _with_parent_range(_with_previous_sibling(records, parts)).join(F.broadcast(size) if size.count() <= 1_000_000 else size, "net_id")
+    needed = [*TREE, "pos", "depth", "parent", "kind", "reference_start", "reference_end", "reference_size", "chain_id", *COUNTS, *[c for c in ("subtree_end",) if c in records.columns]]
+    records, size = records.select(*needed), sections.select("net_id", "section_size")
+    rows = _with_previous_sibling(_with_parent_range(records, max_depth, parts), parts).join(F.broadcast(size) if size.count() <= 1_000_000 else size, "net_id")
     c = F.col
     fill = c("kind") == "fill"
     tests: dict[str, Column] = {

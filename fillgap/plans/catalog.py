@@ -20,7 +20,8 @@ DEPTH = 2  # of net_orders
 
 def _filter(name: str, predicate: NetPredicate, policy: str, condition: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = policies.filter_records(fixtures.net_orders(spark, sf_dir), predicate.matches(), policy, DEPTH)
+        records, _, parts = fixtures.net(spark, sf_dir)
+        out = policies.filter_records(records, predicate.matches(), policy, DEPTH, parts)
         return out.select("net_id", "pos", "kind", "depth", "parent", "chain_id", "reference_start")
 
     QUERIES[name] = run
@@ -42,7 +43,9 @@ ROW = "net_id, pos, kind, depth"
 
 @query(f"{NET} SELECT {ROW}, parent, subtree_end FROM net")
 def tree_parent(spark, sf_dir):
-    return fixtures.net_orders(spark, sf_dir).select("net_id", "pos", "kind", "depth", "parent", "subtree_end")
+    records, _, parts = fixtures.net(spark, sf_dir)
+    inside = tree.topology(records.drop("parent", "subtree_end"), DEPTH, parts=parts)
+    return inside.select("net_id", "pos", "kind", "depth", "parent", "subtree_end")
 
 
 @query("""
@@ -62,7 +65,8 @@ def tree_subtree(spark, sf_dir):
 
 @query(f"""{NET} SELECT {ROW}, lag(pos) OVER w AS previous_sibling, lead(pos) OVER w AS next_sibling FROM net WINDOW w AS (PARTITION BY net_id, parent ORDER BY pos)""")
 def tree_siblings(spark, sf_dir):
-    return tree.siblings(fixtures.net_orders(spark, sf_dir)).select("net_id", "pos", "kind", "depth", "previous_sibling", "next_sibling")
+    records, _, parts = fixtures.net(spark, sf_dir)
+    return tree.siblings(records, parts).select("net_id", "pos", "kind", "depth", "previous_sibling", "next_sibling")
 
 
 @query(f"""{NET} SELECT n.net_id, n.pos, min(c.pos) AS first_child, max(c.pos) AS last_child, count(c.pos) AS n_children FROM net n LEFT JOIN net c ON c.net_id = n.net_id AND c.root = n.root AND c.parent = n.pos GROUP BY ALL""")
@@ -73,15 +77,16 @@ def tree_children(spark, sf_dir):
 @query(f"""{NET} SELECT n.net_id, n.pos, a.pos AS ancestor, a.kind AS ancestor_kind, CAST(n.depth - a.depth AS INTEGER) AS steps
 FROM net n JOIN net a ON a.net_id = n.net_id AND a.root = n.root AND a.pos < n.pos AND n.pos < a.subtree_end WHERE n.query_name = 'q5'""")
 def tree_ancestors(spark, sf_dir):
-    records = fixtures.net_orders(spark, sf_dir)
-    return tree.ancestors(records, records.where("query_name = 'q5'")).select("net_id", "pos", "ancestor", "ancestor_kind", "steps")
+    records, _, parts = fixtures.net(spark, sf_dir)
+    return tree.ancestors(records, records.where("query_name = 'q5'"), parts).select("net_id", "pos", "ancestor", "ancestor_kind", "steps")
 
 
 @query(f"""{NET} SELECT n.net_id, n.pos, CASE WHEN n.depth = 2 THEN g.parent WHEN n.depth = 1 THEN n.parent END AS enclosing_fill,
 CASE WHEN n.depth = 2 THEN n.parent END AS enclosing_gap FROM net n LEFT JOIN net g ON g.net_id = n.net_id AND g.root = n.root AND g.pos = n.parent""")
 def tree_enclosing_fill(spark, sf_dir):
-    rows = tree.nearest_enclosing(fixtures.net_orders(spark, sf_dir), F.col("kind") == "fill", {"pos": "enclosing_fill"}, DEPTH)
-    return tree.nearest_enclosing(rows, F.col("kind") == "gap", {"pos": "enclosing_gap"}, DEPTH).select("net_id", "pos", "enclosing_fill", "enclosing_gap")
+    records, _, parts = fixtures.net(spark, sf_dir)
+    rows = tree.nearest_enclosing(records, F.col("kind") == "fill", {"pos": "enclosing_fill"}, DEPTH, parts)
+    return tree.nearest_enclosing(rows, F.col("kind") == "gap", {"pos": "enclosing_gap"}, DEPTH, parts).select("net_id", "pos", "enclosing_fill", "enclosing_gap")
 
 
 @query(f"""{NET}, ev AS (
@@ -114,8 +119,8 @@ def view_flat(spark, sf_dir):
 CAST(sum(reference_size) FILTER (kind = 'fill') AS BIGINT) AS reference_bases, CAST(sum(query_size) FILTER (kind = 'fill') AS BIGINT) AS query_bases, max(depth) AS max_depth,
 count(DISTINCT query_name) AS distinct_query_names, count(DISTINCT chain_id) AS distinct_chain_ids FROM net""")
 def stats_summary(spark, sf_dir):
-    records = fixtures.net_orders(spark, sf_dir)
-    return stats.summary(records, fixtures.sections_of(records))
+    records, sections, _ = fixtures.net(spark, sf_dir)
+    return stats.summary(records, sections)
 
 
 @query(f"{NET} SELECT depth, count(*) AS records FROM net GROUP BY depth")
@@ -155,24 +160,24 @@ ISSUES = issues_of("net")
 
 @query(f"{ISSUES} SELECT severity, code, net_id, pos, detail, anchor, rule FROM found")
 def validate_all(spark, sf_dir):
-    records = fixtures.net_orders(spark, sf_dir)
-    return validate.issues(records, fixtures.sections_of(records))
+    records, sections, parts = fixtures.net(spark, sf_dir)
+    return validate.issues(records, sections, parts=parts, max_depth=DEPTH)
 
 
 @query(f"{ISSUES} SELECT net_id, count(*) AS issues FROM found WHERE code = 'sibling-overlap' GROUP BY net_id")
 def validate_sibling_overlap(spark, sf_dir):
-    records = fixtures.net_orders(spark, sf_dir)
-    return validate.issues(records, fixtures.sections_of(records)).where("code = 'sibling-overlap'").groupBy("net_id").agg(F.count(F.lit(1)).alias("issues"))
+    records, sections, parts = fixtures.net(spark, sf_dir)
+    return validate.issues(records, sections, parts=parts, max_depth=DEPTH).where("code = 'sibling-overlap'").groupBy("net_id").agg(F.count(F.lit(1)).alias("issues"))
 
 
 @query(f"{NET} SELECT CAST(row_number() OVER (ORDER BY {NATURAL}, net_id) - 1 AS BIGINT) AS rank, net_id, reference_name, record_count FROM sec")
 def sort_sections_natural(spark, sf_dir):
-    return arrange.sort_sections(fixtures.sections_of(fixtures.net_orders(spark, sf_dir))).select("rank", "net_id", "reference_name", "record_count")
+    return arrange.sort_sections(fixtures.net(spark, sf_dir)[1]).select("rank", "net_id", "reference_name", "record_count")
 
 
 @query(f"{NET} SELECT CAST(row_number() OVER (ORDER BY reference_name, net_id) - 1 AS BIGINT) AS rank, net_id, reference_name, record_count FROM sec")
 def sort_sections_lex(spark, sf_dir):
-    return arrange.sort_sections(fixtures.sections_of(fixtures.net_orders(spark, sf_dir)), arrange.LEXICOGRAPHIC).select("rank", "net_id", "reference_name", "record_count")
+    return arrange.sort_sections(fixtures.net(spark, sf_dir)[1], arrange.LEXICOGRAPHIC).select("rank", "net_id", "reference_name", "record_count")
 
 
 @query(f"""{NET}, k AS (
@@ -188,7 +193,7 @@ def sort_records(spark, sf_dir):
 
 def three_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of three files: all, the even ones, and those below 5 with one of another name."""
-    s = fixtures.sections_of(fixtures.net_orders(spark, sf_dir)).select("net_id", "reference_name", "record_count")
+    s = fixtures.net(spark, sf_dir)[1].select("net_id", "reference_name", "record_count")
     renamed = F.when(F.col("net_id") == 0, "chrNew").otherwise(F.col("reference_name"))
     first = s.withColumn("file_id", F.lit(0))
     second = s.where("net_id % 2 = 0").withColumns({"file_id": F.lit(1), "record_count": F.col("record_count") + 1})
@@ -246,17 +251,20 @@ CONTEXT_COLUMNS = ["net_id", "pos", "depth", "chain_id", "parent_gap", "gap_star
 
 @query(f"{CONTEXT} SELECT * FROM c")
 def fill_contexts(spark, sf_dir):
-    return context.fill_contexts(fixtures.net_orders(spark, sf_dir), DEPTH).select(*CONTEXT_COLUMNS)
+    records, _, parts = fixtures.net(spark, sf_dir)
+    return context.fill_contexts(records, DEPTH, parts).select(*CONTEXT_COLUMNS)
 
 
 @query(f"{CONTEXT} SELECT * FROM c WHERE depth > 0")
 def nested_fill_contexts(spark, sf_dir):
-    return context.nested_fill_contexts(fixtures.net_orders(spark, sf_dir), DEPTH).select(*CONTEXT_COLUMNS)
+    records, _, parts = fixtures.net(spark, sf_dir)
+    return context.nested_fill_contexts(records, DEPTH, parts).select(*CONTEXT_COLUMNS)
 
 
 @query(f"{CONTEXT} SELECT * FROM c WHERE parent_gap IS NOT NULL AND enclosing_chain_id IS NOT NULL")
 def nested_fill_gap_contexts(spark, sf_dir):
-    return context.nested_fill_gap_contexts(fixtures.net_orders(spark, sf_dir), DEPTH).select(*CONTEXT_COLUMNS)
+    records, _, parts = fixtures.net(spark, sf_dir)
+    return context.nested_fill_gap_contexts(records, DEPTH, parts).select(*CONTEXT_COLUMNS)
 
 
 @query(f"""{NET}, f AS (SELECT chain_id, net_id, pos, lead(net_id) OVER w AS next_net_id, lead(pos) OVER w AS next_pos FROM net WHERE kind = 'fill' AND chain_id IS NOT NULL
@@ -291,7 +299,8 @@ def any_overlap_where(spark, sf_dir):
 
 
 def filter_non_nested(spark, sf_dir):
-    out = construct.non_nested(fixtures.net_orders(spark, sf_dir), 40_000, DEPTH)
+    records, _, parts = fixtures.net(spark, sf_dir)
+    out = construct.non_nested(records, 40_000, DEPTH, parts)
     return out.select("net_id", "pos", "kind", "depth", "parent", "chain_id", "reference_start")
 
 
@@ -327,7 +336,8 @@ def record_lookup(spark, sf_dir):
 @query(f"""{NET} SELECT n.net_id, n.pos, CASE WHEN n.depth = 2 THEN g.parent WHEN n.depth = 1 THEN n.parent END AS enclosing_fill, CASE WHEN n.depth = 2 THEN t.chain_id WHEN n.depth = 1 THEN g.chain_id END AS enclosing_chain_id
 FROM net n LEFT JOIN net g ON g.net_id = n.net_id AND g.root = n.root AND g.pos = n.parent LEFT JOIN net t ON t.net_id = n.net_id AND t.root = n.root AND t.pos = g.parent""")
 def tree_enclosing_fill_with_id(spark, sf_dir):
-    return tree.enclosing_fill_with_id(fixtures.net_orders(spark, sf_dir), DEPTH).select("net_id", "pos", "enclosing_fill", "enclosing_chain_id")
+    records, _, parts = fixtures.net(spark, sf_dir)
+    return tree.enclosing_fill_with_id(records, DEPTH, parts).select("net_id", "pos", "enclosing_fill", "enclosing_chain_id")
 
 
 @query(f"""{NET} SELECT net_id, pos, CAST((chain_id IS NOT NULL)::INT + (alignment_score IS NOT NULL)::INT + (aligned_bases IS NOT NULL)::INT + (net_type IS NOT NULL)::INT + (reference_unsequenced IS NOT NULL)::INT AS INTEGER) AS n,
@@ -409,9 +419,9 @@ def chain_ids_overlapping(spark, sf_dir):
 
 @query(f"{CONTEXT} SELECT * FROM c WHERE net_id = 2 AND pos = (SELECT min(pos) FROM net WHERE net_id = 2 AND depth = 2)")
 def fill_context_of_one(spark, sf_dir):
-    records = fixtures.net_orders(spark, sf_dir)
+    records, _, parts = fixtures.net(spark, sf_dir)
     at = records.where("net_id = 2 and depth = 2").agg(F.min("pos")).first()[0]
-    return context.fill_context(records, 2, at, DEPTH).select(*CONTEXT_COLUMNS)
+    return context.fill_context(records, 2, at, DEPTH, parts).select(*CONTEXT_COLUMNS)
 
 
 @query(f"{NET} SELECT DISTINCT chain_id FROM net WHERE kind = 'fill' AND chain_id IS NOT NULL")
@@ -421,8 +431,8 @@ def used_chain_ids_file(spark, sf_dir):
 
 @query(f"{ISSUES} SELECT severity, code, count(*) AS issues FROM found GROUP BY ALL")
 def issue_counts(spark, sf_dir):
-    records = fixtures.net_orders(spark, sf_dir)
-    return validate.counts(validate.issues(records, fixtures.sections_of(records)))
+    records, sections, parts = fixtures.net(spark, sf_dir)
+    return validate.counts(validate.issues(records, sections, parts=parts, max_depth=DEPTH))
 
 
 NEGATIVE = f"{NET} " + " UNION ALL ".join(f"SELECT net_id, pos, '{a}' AS detail FROM net WHERE pos % {i + 3} - 1 < 0" for i, a in enumerate(validate.COUNTS))
@@ -431,9 +441,9 @@ NEGATIVE = f"{NET} " + " UNION ALL ".join(f"SELECT net_id, pos, '{a}' AS detail
 @query(NEGATIVE)
 def validate_negative_counts(spark, sf_dir):
     """All ten counts below 0 in turn."""
-    records = fixtures.net_orders(spark, sf_dir)
+    records, sections, parts = fixtures.net(spark, sf_dir)
     records = records.withColumns({a: (F.col("pos") % (i + 3) - 1).cast("int") for i, a in enumerate(validate.COUNTS)})
-    return validate.issues(records, fixtures.sections_of(records)).where("code = 'negative-count'").select("net_id", "pos", "detail")
+    return validate.issues(records, sections, parts=parts, max_depth=DEPTH).where("code = 'negative-count'").select("net_id", "pos", "detail")
 
 
 @query(f"{NET} SELECT key, count(*) AS occurrences FROM (SELECT CASE pos % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'status' END AS key FROM net WHERE depth = 2 UNION ALL SELECT 'b' FROM net WHERE depth = 2 AND pos % 3 = 1) GROUP BY key")
@@ -485,7 +495,7 @@ for _name, _how, _sorted in (("all", arrange.KEEP_ALL, False), ("first", arrange
 @query(f"{NET} SELECT CAST(row_number() OVER (ORDER BY net_id) - 1 AS BIGINT) AS rank, reference_name FROM sec")
 def merge_error_without_duplicates(spark, sf_dir):
     """The policy that refuses duplicates lets all through where there are none."""
-    sections = fixtures.sections_of(fixtures.net_orders(spark, sf_dir)).withColumn("file_id", F.lit(0))
+    sections = fixtures.net(spark, sf_dir)[1].withColumn("file_id", F.lit(0))
     return arrange.merge_sections(sections, arrange.ERROR).select("rank", "reference_name")
 
 
@@ -509,26 +519,25 @@ def _faulty_sql() -> str:
     return f"{NET}, {', '.join(out)}, faulty AS MATERIALIZED (SELECT * REPLACE (least(reference_start + reference_size, {COORD_MAX}) AS reference_end) FROM {before})"
 
 
-def faulty_net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sections and records in which every code of validation occurs."""
-    records = fixtures.net_orders(spark, sf_dir)
-    sections = fixtures.sections_of(records)
+def faulty_net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, scan.Parts]:
+    """Sections and records in which every code of validation occurs, and the parts of their trees."""
+    records, sections, parts = fixtures.net(spark, sf_dir)
     for c, when, value in FAULTS:
         kind = records.schema[c].dataType.simpleString()
         records = records.withColumn(c, F.expr(f"cast(case when {when} then {value} else {c} end as {kind})"))
-    return sections, records.withColumn("reference_end", intervals.end_of(F.col("reference_start"), F.col("reference_size")))
+    return sections, records.withColumn("reference_end", intervals.end_of(F.col("reference_start"), F.col("reference_size"))), parts
 
 
 @query(f"{issues_of('faulty', _faulty_sql())} SELECT severity, code, net_id, pos, detail, anchor, rule FROM found")
 def validate_every_code(spark, sf_dir):
-    sections, records = faulty_net(spark, sf_dir)
-    return validate.issues(records, sections)
+    sections, records, parts = faulty_net(spark, sf_dir)
+    return validate.issues(records, sections, parts=parts, max_depth=DEPTH)
 
 
 @query(f"{issues_of('faulty', _faulty_sql())} SELECT severity, code, count(*) AS issues FROM found GROUP BY severity, code")
 def issue_counts_every_code(spark, sf_dir):
-    sections, records = faulty_net(spark, sf_dir)
-    return validate.counts(validate.issues(records, sections))
+    sections, records, parts = faulty_net(spark, sf_dir)
+    return validate.counts(validate.issues(records, sections, parts=parts, max_depth=DEPTH))
 
 
 PART = 512  # positions of a part in the queries over one large root
