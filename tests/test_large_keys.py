@@ -1,5 +1,7 @@
 """Queries on tables whose keys make coordinates behind u32, as copies with shifted keys do."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from fillgap import plans
 from fillgap.operators import scan
 from fillgap.plans import fixtures
+from fillgap.sources import writer
 from tests.duck import TABLES, same
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +41,17 @@ def test_windows_over_trees_move_no_records(spark):
         assert exchanges(scan.running(records, {"n": ("sum", F.lit(1))})) == exchanges(records)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_section_digests_over_many_batches(spark):
+    """Sections that arrive in many batches have the digest of their whole text."""
+    records, sections, _ = fixtures.net(spark, SF)
+    records = fixtures.for_text(records)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {r["net_id"]: (r["bytes"], r["digest"]) for r in writer.section_digests(sections, records).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    texts = {r["net_id"]: r["text"].encode() for r in writer.section_text(sections, records).collect()}
+    assert found == {i: (len(t), hashlib.md5(t).hexdigest()) for i, t in texts.items()}
