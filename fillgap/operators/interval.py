@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from fillgap.functions.intervals import contains, overlaps
 from fillgap.functions.ordering import ranked
+from fillgap.session import cut
 
 SMALL = 100_000
 FINEST, STEP, LEVELS = 14, 3, 7  # bins of 2^14 positions, each level eight times as wide, the last one all of a section
+NEAR = 8  # finest bins from which on an interval is long
 DENSE = 50_000  # rows of one bin that one task meets
 
 
@@ -25,34 +27,78 @@ def _level(start: Column, end: Column) -> Column:
     return found
 
 
+def _place(position: Column, level: int) -> Column:
+    return F.shiftright(position, FINEST + STEP * level) if level < LEVELS - 1 else F.lit(0).cast("long")
+
+
+def _bin(level: int, position: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), _place(position, level).alias("place"))
+
+
+def _own_bin(start: str, end: str) -> Column:
+    """The bin (level, place) that holds the interval, on the finest level."""
+    low, level = F.col(start).cast("long"), _level(F.col(start).cast("long"), F.col(end).cast("long"))
+    found = _bin(LEVELS - 1, low)
+    for i in range(LEVELS - 1):
+        found = F.when(level == i, _bin(i, low)).otherwise(found)
+    return found
+
+
 def _in_bins(rows: DataFrame, start: str, end: str, own: str) -> DataFrame:
     """A row for the interval's own bin and for each wider one around it: __bin (level, place), and ``own`` on its own level."""
-    low, high = F.col(start).cast("long"), F.col(end).cast("long")
-    at = F.transform(
-        F.sequence(_level(low, high), F.lit(LEVELS - 1)),
-        lambda i: F.struct(i.alias("level"), F.when(i < LEVELS - 1, F.floor(low / F.pow(F.lit(2.0), FINEST + STEP * i))).otherwise(0).cast("long").alias("place")),
-    )
-    return rows.select("*", F.posexplode(at).alias(own, "__bin")).withColumn(own, F.col(own) == 0)
+    low, level = F.col(start).cast("long"), _level(F.col(start).cast("long"), F.col(end).cast("long"))
+    around = F.filter(F.array(*[_bin(i, low) for i in range(LEVELS)]), lambda b: b["level"] >= level)
+    return rows.select("*", F.posexplode(around).alias(own, "__bin")).withColumn(own, F.col(own) == 0)
+
+
+def _long(start: str, end: str) -> Column:
+    low, last = F.col(start).cast("long"), F.greatest(F.col(start), F.col(end) - 1).cast("long")
+    return _place(last, 0) - _place(low, 0) >= NEAR
+
+
+def _met_bins(start: str, end: str) -> Column:
+    """The bins of every level that a short interval reaches into; of a long one its own and those around that."""
+    low, last = F.col(start).cast("long"), F.greatest(F.col(start), F.col(end) - 1).cast("long")
+    level = _level(low, F.col(end).cast("long"))
+    levels = []
+    for i in range(LEVELS):
+        at = F.lit(i).alias("level")
+        places = F.transform(F.sequence(_place(low, i), _place(last, i)), lambda p: F.struct(at, p.alias("place")))  # noqa: B023  called at once
+        levels.append(F.when(~_long(start, end) | (level <= i), places).otherwise(F.array().cast("array<struct<level:int,place:bigint>>")))
+    return F.flatten(F.array(*levels))
 
 
 def binned_join(left: DataFrame, right: DataFrame, met: Column, how: str = "inner", dense: int | None = None) -> DataFrame:
     """Pairs of rows with equal ``__key`` (left) and ``__other_key`` (right) for which ``met`` holds, if that takes a common position.
 
-    left has __start and __end, right __other_start and __other_end. Every interval lies in one bin of the level that
-    fits its length, however long it is, and asks the wider bins around that: a pair meets once, on the wider level of the
-    two. Bins that hold more than ``dense`` rows of the left are counted and dealt over several tasks.
+    left has __start and __end, right __other_start and __other_end. Every interval of the left lies in one bin of the
+    level that fits its length, however long it is, and is one row there. An interval of the right asks the bins of all
+    levels that it reaches into, a few rows where it is short. One that spans many of the finest bins asks its own and the
+    wider ones alone, and what lies in its own asks for it; only if there are such does the left take more rows. So a pair
+    meets once. Bins that hold more than ``dense`` rows of the left are counted and dealt over several tasks.
     """
-    dense = dense or DENSE
-    a = _in_bins(left, "__start", "__end", "__own")
-    b = _in_bins(right, "__other_start", "__other_end", "__other_own").withColumnRenamed("__bin", "__other_bin")
+    right = cut(right)
+    a = left.withColumn("__bin", _own_bin("__start", "__end"))
+    b = right.withColumn("__other_bin", F.explode(_met_bins("__other_start", "__other_end")))
+    found = _dealt_join(a, b, met, how, dense or DENSE)
+    wide = right.where(_long("__other_start", "__other_end"))
+    if wide.isEmpty():
+        return found
+    a = _in_bins(left, "__start", "__end", "__own").where(~F.col("__own")).drop("__own")
+    return found.unionByName(_dealt_join(a, wide.withColumn("__other_bin", _own_bin("__other_start", "__other_end")), met, how, dense or DENSE))
+
+
+def _dealt_join(a: DataFrame, b: DataFrame, met: Column, how: str, dense: int) -> DataFrame:
     full = a.groupBy("__key", "__bin").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > dense)
-    full = full.select(F.col("__key").alias("__full_key"), F.col("__bin").alias("__full_bin"), F.ceil(F.col("__n") / dense).cast("int").alias("__dealt"))
+    full = cut(full.select(F.col("__key").alias("__full_key"), F.col("__bin").alias("__full_bin"), F.ceil(F.col("__n") / dense).cast("int").alias("__dealt")))
+    if full.isEmpty():
+        return a.join(b, (F.col("__key") == F.col("__other_key")) & (F.col("__bin") == F.col("__other_bin")) & met, how).drop("__bin", "__other_bin")
     a = a.join(full, F.col("__key").eqNullSafe(F.col("__full_key")) & (F.col("__bin") == F.col("__full_bin")), "left")
     a = a.withColumn("__deal", F.coalesce(F.pmod(F.xxhash64("__start", "__end", F.monotonically_increasing_id()), F.col("__dealt")).cast("int"), F.lit(0))).drop("__full_key", "__full_bin", "__dealt")
     b = b.join(full, F.col("__other_key").eqNullSafe(F.col("__full_key")) & (F.col("__other_bin") == F.col("__full_bin")), "left")
     b = b.withColumn("__other_deal", F.explode(F.sequence(F.lit(0), F.coalesce("__dealt", F.lit(1)) - 1))).drop("__full_key", "__full_bin", "__dealt")
     same = (F.col("__key") == F.col("__other_key")) & (F.col("__bin") == F.col("__other_bin")) & (F.col("__deal") == F.col("__other_deal"))
-    return a.join(b, same & (F.col("__own") | F.col("__other_own")) & met, how)
+    return a.join(b, same & met, how).drop("__bin", "__other_bin", "__deal", "__other_deal")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str = "net_id", how: str = "inner", condition: Column | None = None, small: int = SMALL, dense: int | None = None) -> DataFrame:

@@ -197,3 +197,19 @@ def test_intervals_of_all_lengths(spark):
     assert sorted(x["pos"] for x in near.collect()) == sorted({a for b, a in met if b % 3 == 0})
     binned = interval._in_bins(rows, "start", "end", "own")
     assert binned.count() <= 400 * interval.LEVELS and binned.where("own").count() == 400
+
+
+def test_bins_take_one_row_of_each_record_where_probes_are_short(spark, monkeypatch):
+    """Short probes ask for the bins of all levels, so records are a row each; long probes are asked for, and no pair is lost or met twice."""
+    taken = []
+    dealt = interval._dealt_join
+    monkeypatch.setattr(interval, "_dealt_join", lambda a, *rest: taken.append(a.count()) or dealt(a, *rest))
+    records = [(1, i, i * 997, i * 997 + (1 << i % 20)) for i in range(300)]
+    rows = spark.createDataFrame(records, "net_id int, pos long, reference_start long, reference_end long")
+    for sizes, wide in (((1, 30, 20_000), False), ((1, 30, 400_000, 1 << 31), True)):
+        probes = [(k, 1, k * 1_201, k * 1_201 + sizes[k % len(sizes)]) for k in range(200)]
+        taken.clear()
+        found = interval.overlapping(rows, spark.createDataFrame(probes, "probe_id int, net_id int, other_start long, other_end long"), small=0)
+        expected = sorted((k, p) for k, _, s, e in probes for _, p, a, b in records if a < e and s < b)
+        assert sorted((r["probe_id"], r["pos"]) for r in found.collect()) == expected
+        assert taken[0] == len(records) and (len(taken) == 2) == wide
