@@ -37,12 +37,13 @@ def _shifted(records: DataFrame, parts: Parts) -> DataFrame:
     return records.withColumn("__shift", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum(room).over(before), F.lit(0)) + 1))
 
 
-def sort_records(records: DataFrame, max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
+def sort_records(records: DataFrame, max_depth: int | None = None, parts: Parts | None = None, tops: DataFrame | None = None) -> DataFrame:
     """Every list of siblings by start, size, kind, query name and query start; equals stay in order.
 
     A record's new position is its place among its siblings' subtrees added up along its ancestors: each record adds the
     room of earlier siblings over its own subtree. Parents and ends move with their records. Roots are ranked by ranges of
     their starts. ``root`` becomes the new root's position. Large trees are worked on in ``parts``, by their keys alone.
+    ``tops`` are the roots among the records, where they are at hand without them.
     """
     parts = parts_of(records) if parts is None else parts
     if max_depth is None:
@@ -64,7 +65,7 @@ def sort_records(records: DataFrame, max_depth: int | None = None, parts: Parts
         line = running(opening.unionByName(closing, allowMissingColumns=True), {"rpos": ("sum", F.col("add"))}, inclusive=True, order=["at", "opens"])
         rows = line.where("opens = 1").drop("at", "opens", "add")
     # Roots: one row each, with the room of their trees.
-    tops = records.where("parent is null").select(*TREE, (F.col("subtree_end") - F.col("pos")).alias("__room"), *SIBLING_KEYS)
+    tops = (records if tops is None else tops).where("parent is null").select(*TREE, (F.col("subtree_end") - F.col("pos")).alias("__room"), *SIBLING_KEYS)
     offsets = running_sum(tops, ["net_id"], F.floor(F.col("reference_start") / (1 << 16)), SIBLING_KEYS, F.col("__room"), "__offset").select(*TREE, "__offset")
     # A record's end follows from its room, and its parent stands before it by its shift.
     new = F.col("rpos") + F.col("__offset")

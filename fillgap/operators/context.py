@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from fillgap.operators.scan import Parts
 from fillgap.operators.tree import has_children, nearest_enclosing, with_parent
 from fillgap.schema import TREE
+from fillgap.session import cut
 
 
 def fill_contexts(records: DataFrame, max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def fill_contexts(records: DataFrame, max_depth: int | None = None, parts: Parts
 
 def fill_context(records: DataFrame, net_id: int, pos: int, max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
     """The context of one fill; an error if there is no such record in the section or it is a gap."""
-    one = fill_contexts(records.where((F.col("net_id") == net_id)), max_depth, parts).where(F.col("pos") == pos)
+    one = cut(fill_contexts(records.where((F.col("net_id") == net_id)), max_depth, parts).where(F.col("pos") == pos))  # a row, worked out once
     if one.isEmpty():
         raise ValueError(f"section {net_id} has no fill at {pos}")
     return one

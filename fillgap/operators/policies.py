@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillgap.operators.scan import WHOLE, Parts, parts_of, running
-from fillgap.operators.tree import WIDE, complete, deepest, offsets_of, open_marked
+from fillgap.operators.tree import WIDE, complete, deepest, open_marked
 from fillgap.schema import TREE
 from fillgap.session import cut
 
@@ -50,8 +50,7 @@ def rebuild(kept: DataFrame, max_depth: int | None = None, parts: Parts = WHOLE,
         rows, order = rows.withColumn("__was", F.col("pos")), "__was"
     rows = running(rows, {"rpos": ("sum", F.lit(1).cast("long"))}, order=order)
     rows = running(rows, {"__top": ("last", F.when(F.col("depth") == 0, F.col("rpos")))}, inclusive=True, order=order)
-    # Only keys are needed to count, so the count reads few columns and shuffles one row a root from each task.
-    out = complete(rows, max_depth, offsets_of(kept), order, parts)
+    out = complete(rows, max_depth, None, order, parts)
     return out.withColumn("root", F.col("pos") - F.col("rpos") + F.col("__top")).drop("__top", "__was")
 
 

@@ -42,19 +42,22 @@ def _with_parent_range(records: DataFrame, max_depth: int | None, parts: Parts |
     return with_parent(records, {"reference_start": "parent_start", "reference_end": "parent_end"}, max_depth, parts)
 
 
-def _with_previous_sibling(records: DataFrame, parts: Parts | None) -> DataFrame:
-    return with_sibling(records, {"reference_start": "before_start", "reference_end": "before_end", "reference_size": "before_size"}, parts=parts)
+def _with_previous_sibling(records: DataFrame, parts: Parts | None, tops: DataFrame | None, max_depth: int | None) -> DataFrame:
+    return with_sibling(records, {"reference_start": "before_start", "reference_end": "before_end", "reference_size": "before_size"}, parts=parts, tops=tops, max_depth=max_depth)
 
 
-def issues(records: DataFrame, sections: DataFrame, mode: str = "compatible", parts: Parts | None = None, max_depth: int | None = None) -> DataFrame:
+def issues(records: DataFrame, sections: DataFrame, mode: str = "compatible", parts: Parts | None = None, max_depth: int | None = None, tops: DataFrame | None = None) -> DataFrame:
     """severity, code, net_id, pos, detail (the attribute of a negative count, else ''), and the order of discovery (anchor, rule).
 
     records need pos, parent and their attributes; sections net_id and section_size. ``anchor`` is the record at which a
-    walk of the tree finds the issue: the record itself, or for siblings their parent, -1 for roots.
+    walk of the tree finds the issue: the record itself, or for siblings their parent, -1 for roots. ``tops`` are the roots
+    among the records, where they are at hand without them.
     """
     needed = [*TREE, "pos", "depth", "parent", "kind", "reference_start", "reference_end", "reference_size", "chain_id", *COUNTS, *[c for c in ("subtree_end",) if c in records.columns]]
     records, size = records.select(*needed), sections.select("net_id", "section_size")
-    rows = _with_previous_sibling(_with_parent_range(records, max_depth, parts), parts).join(F.broadcast(size) if size.count() <= 1_000_000 else size, "net_id")
+    if tops is not None:  # roots have no parent
+        tops = tops.select(*needed, *[F.lit(None).cast("long").alias(c) for c in ("parent_start", "parent_end")])
+    rows = _with_previous_sibling(_with_parent_range(records, max_depth, parts), parts, tops, max_depth).join(F.broadcast(size) if size.count() <= 1_000_000 else size, "net_id")
     c = F.col
     fill = c("kind") == "fill"
     tests: dict[str, Column] = {
@@ -75,11 +78,12 @@ def issues(records: DataFrame, sections: DataFrame, mode: str = "compatible", pa
         anchor = F.coalesce(c("parent"), F.lit(-1)) if rule >= 8 else c("pos")
         at = [F.lit(severity).alias("severity"), F.lit(code).alias("code"), anchor.alias("anchor"), F.lit(rule).alias("rule")]
         if code == "negative-count":
-            found += [F.when(c(a) < 0, F.struct(*at, F.lit(a).alias("detail"))) for a in COUNTS]
+            found += [(c(a) < 0, F.struct(*at, F.lit(a).alias("detail"))) for a in COUNTS]
         else:
-            found.append(F.when(tests[code], F.struct(*at, F.lit("").alias("detail"))))
-    # All rules are columns of one pass; only issues become rows.
-    out = rows.select("net_id", "pos", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i"))
+            found.append((tests[code], F.struct(*at, F.lit("").alias("detail"))))
+    # All rules are columns of one pass; only issues become rows. Joined arrays stay in compiled code, a filter of one doesn't.
+    none = F.array().cast("array<struct<severity:string,code:string,anchor:bigint,rule:int,detail:string>>")
+    out = rows.select("net_id", "pos", F.explode(F.concat(*[F.when(test, F.array(issue)).otherwise(none) for test, issue in found])).alias("i"))
     return out.select("i.severity", "i.code", "net_id", "pos", "i.detail", "i.anchor", "i.rule")
 
 

@@ -16,12 +16,14 @@ from fillgap.plans.registry import QUERIES, SQL, Query, query
 from fillgap.schema import COORD_MAX
 
 DEPTH = 2  # of net_orders
+FILTERED = ["net_id", "root", "pos", "depth", "parent", "subtree_end", "kind", "chain_id", "reference_start"]
 
 
 def _filter(name: str, predicate: NetPredicate, policy: str, condition: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         records, _, parts = fixtures.net(spark, sf_dir)
-        out = policies.filter_records(records, predicate.matches(), policy, DEPTH, parts)
+        records = records.select(*FILTERED, predicate.matches().alias("matches"))  # what is kept is written once
+        out = policies.filter_records(records, F.col("matches"), policy, DEPTH, parts)
         return out.select("net_id", "pos", "kind", "depth", "parent", "chain_id", "reference_start")
 
     QUERIES[name] = run
@@ -65,8 +67,8 @@ def tree_subtree(spark, sf_dir):
 
 @query(f"""{NET} SELECT {ROW}, lag(pos) OVER w AS previous_sibling, lead(pos) OVER w AS next_sibling FROM net WINDOW w AS (PARTITION BY net_id, parent ORDER BY pos)""")
 def tree_siblings(spark, sf_dir):
-    records, _, parts = fixtures.net(spark, sf_dir)
-    return tree.siblings(records, parts).select("net_id", "pos", "kind", "depth", "previous_sibling", "next_sibling")
+    records, _, parts, tops = fixtures.whole_net(spark, sf_dir)
+    return tree.siblings(records, parts, tops).select("net_id", "pos", "kind", "depth", "previous_sibling", "next_sibling")
 
 
 @query(f"""{NET} SELECT n.net_id, n.pos, min(c.pos) AS first_child, max(c.pos) AS last_child, count(c.pos) AS n_children FROM net n LEFT JOIN net c ON c.net_id = n.net_id AND c.root = n.root AND c.parent = n.pos GROUP BY ALL""")
@@ -160,14 +162,14 @@ ISSUES = issues_of("net")
 
 @query(f"{ISSUES} SELECT severity, code, net_id, pos, detail, anchor, rule FROM found")
 def validate_all(spark, sf_dir):
-    records, sections, parts = fixtures.net(spark, sf_dir)
-    return validate.issues(records, sections, parts=parts, max_depth=DEPTH)
+    records, sections, parts, tops = fixtures.whole_net(spark, sf_dir)
+    return validate.issues(records, sections, parts=parts, max_depth=DEPTH, tops=tops)
 
 
 @query(f"{ISSUES} SELECT net_id, count(*) AS issues FROM found WHERE code = 'sibling-overlap' GROUP BY net_id")
 def validate_sibling_overlap(spark, sf_dir):
-    records, sections, parts = fixtures.net(spark, sf_dir)
-    return validate.issues(records, sections, parts=parts, max_depth=DEPTH).where("code = 'sibling-overlap'").groupBy("net_id").agg(F.count(F.lit(1)).alias("issues"))
+    records, sections, parts, tops = fixtures.whole_net(spark, sf_dir)
+    return validate.issues(records, sections, parts=parts, max_depth=DEPTH, tops=tops).where("code = 'sibling-overlap'").groupBy("net_id").agg(F.count(F.lit(1)).alias("issues"))
 
 
 @query(f"{NET} SELECT CAST(row_number() OVER (ORDER BY {NATURAL}, net_id) - 1 AS BIGINT) AS rank, net_id, reference_name, record_count FROM sec")
@@ -188,7 +190,8 @@ def sort_sections_lex(spark, sf_dir):
   FROM k LEFT JOIN k p ON p.net_id = k.net_id AND p.old = k.parent LEFT JOIN k g ON g.net_id = k.net_id AND g.old = p.parent
 ) SELECT net_id, CAST(row_number() OVER (PARTITION BY net_id ORDER BY r0, r1, r2) - 1 AS BIGINT) AS pos, depth, kind, reference_start, reference_size, query_name, query_start, chain_id FROM path""")
 def sort_records(spark, sf_dir):
-    return arrange.sort_records(fixtures.net_orders(spark, sf_dir), DEPTH).select("net_id", "pos", "depth", "kind", "reference_start", "reference_size", "query_name", "query_start", "chain_id")
+    records, _, parts, tops = fixtures.whole_net(spark, sf_dir)
+    return arrange.sort_records(records, DEPTH, parts, tops).select("net_id", "pos", "depth", "kind", "reference_start", "reference_size", "query_name", "query_start", "chain_id")
 
 
 def three_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +303,7 @@ def any_overlap_where(spark, sf_dir):
 
 def filter_non_nested(spark, sf_dir):
     records, _, parts = fixtures.net(spark, sf_dir)
-    out = construct.non_nested(records, 40_000, DEPTH, parts)
+    out = construct.non_nested(records.select(*FILTERED, "alignment_score"), 40_000, DEPTH, parts)
     return out.select("net_id", "pos", "kind", "depth", "parent", "chain_id", "reference_start")
 
 
@@ -431,8 +434,8 @@ def used_chain_ids_file(spark, sf_dir):
 
 @query(f"{ISSUES} SELECT severity, code, count(*) AS issues FROM found GROUP BY ALL")
 def issue_counts(spark, sf_dir):
-    records, sections, parts = fixtures.net(spark, sf_dir)
-    return validate.counts(validate.issues(records, sections, parts=parts, max_depth=DEPTH))
+    records, sections, parts, tops = fixtures.whole_net(spark, sf_dir)
+    return validate.counts(validate.issues(records, sections, parts=parts, max_depth=DEPTH, tops=tops))
 
 
 NEGATIVE = f"{NET} " + " UNION ALL ".join(f"SELECT net_id, pos, '{a}' AS detail FROM net WHERE pos % {i + 3} - 1 < 0" for i, a in enumerate(validate.COUNTS))
@@ -441,9 +444,9 @@ NEGATIVE = f"{NET} " + " UNION ALL ".join(f"SELECT net_id, pos, '{a}' AS detail
 @query(NEGATIVE)
 def validate_negative_counts(spark, sf_dir):
     """All ten counts below 0 in turn."""
-    records, sections, parts = fixtures.net(spark, sf_dir)
-    records = records.withColumns({a: (F.col("pos") % (i + 3) - 1).cast("int") for i, a in enumerate(validate.COUNTS)})
-    return validate.issues(records, sections, parts=parts, max_depth=DEPTH).where("code = 'negative-count'").select("net_id", "pos", "detail")
+    records, sections, parts, tops = fixtures.whole_net(spark, sf_dir)
+    counts = {a: (F.col("pos") % (i + 3) - 1).cast("int") for i, a in enumerate(validate.COUNTS)}
+    return validate.issues(records.withColumns(counts), sections, parts=parts, max_depth=DEPTH, tops=tops.withColumns(counts)).where("code = 'negative-count'").select("net_id", "pos", "detail")
 
 
 @query(f"{NET} SELECT key, count(*) AS occurrences FROM (SELECT CASE pos % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'status' END AS key FROM net WHERE depth = 2 UNION ALL SELECT 'b' FROM net WHERE depth = 2 AND pos % 3 = 1) GROUP BY key")
@@ -519,25 +522,29 @@ def _faulty_sql() -> str:
     return f"{NET}, {', '.join(out)}, faulty AS MATERIALIZED (SELECT * REPLACE (least(reference_start + reference_size, {COORD_MAX}) AS reference_end) FROM {before})"
 
 
-def faulty_net(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, scan.Parts]:
-    """Sections and records in which every code of validation occurs, and the parts of their trees."""
-    records, sections, parts = fixtures.net(spark, sf_dir)
-    for c, when, value in FAULTS:
-        kind = records.schema[c].dataType.simpleString()
-        records = records.withColumn(c, F.expr(f"cast(case when {when} then {value} else {c} end as {kind})"))
-    return sections, records.withColumn("reference_end", intervals.end_of(F.col("reference_start"), F.col("reference_size"))), parts
+def faulty_net(spark: SparkSession, sf_dir: str) -> fixtures.Net:
+    """A net in which every code of validation occurs."""
+    records, sections, parts, tops = fixtures.whole_net(spark, sf_dir)
+
+    def faulty(rows: DataFrame) -> DataFrame:
+        for c, when, value in FAULTS:
+            kind = rows.schema[c].dataType.simpleString()
+            rows = rows.withColumn(c, F.expr(f"cast(case when {when} then {value} else {c} end as {kind})"))
+        return rows.withColumn("reference_end", intervals.end_of(F.col("reference_start"), F.col("reference_size")))
+
+    return fixtures.Net(faulty(records), sections, parts, faulty(tops))
 
 
 @query(f"{issues_of('faulty', _faulty_sql())} SELECT severity, code, net_id, pos, detail, anchor, rule FROM found")
 def validate_every_code(spark, sf_dir):
-    sections, records, parts = faulty_net(spark, sf_dir)
-    return validate.issues(records, sections, parts=parts, max_depth=DEPTH)
+    records, sections, parts, tops = faulty_net(spark, sf_dir)
+    return validate.issues(records, sections, parts=parts, max_depth=DEPTH, tops=tops)
 
 
 @query(f"{issues_of('faulty', _faulty_sql())} SELECT severity, code, count(*) AS issues FROM found GROUP BY severity, code")
 def issue_counts_every_code(spark, sf_dir):
-    sections, records, parts = faulty_net(spark, sf_dir)
-    return validate.counts(validate.issues(records, sections, parts=parts, max_depth=DEPTH))
+    records, sections, parts, tops = faulty_net(spark, sf_dir)
+    return validate.counts(validate.issues(records, sections, parts=parts, max_depth=DEPTH, tops=tops))
 
 
 PART = 512  # positions of a part in the queries over one large root
@@ -545,10 +552,10 @@ PART = 512  # positions of a part in the queries over one large root
 
 def one_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A net whose sections have one root each, which holds all that were roots: trees of thousands of records."""
-    records = fixtures.net_orders(spark, sf_dir)
+    records, sections, _ = fixtures.net(spark, sf_dir)
     keep = ["net_id", "kind", "reference_start", "chain_id", "alignment_score"]
     under = records.select(*keep, (F.col("pos") + 1).alias("pos"), (F.col("depth") + 1).alias("depth"), F.coalesce(F.col("parent") + 1, F.lit(0)).alias("parent"), (F.col("subtree_end") + 1).alias("subtree_end"))
-    whole = records.groupBy("net_id").agg(F.lit("fill").alias("kind"), F.lit(0).cast("long").alias("reference_start"), F.lit(0).cast("long").alias("chain_id"), F.lit(1e9).alias("alignment_score"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), (F.count(F.lit(1)) + 1).alias("subtree_end"))
+    whole = sections.select("net_id", F.lit("fill").alias("kind"), F.lit(0).cast("long").alias("reference_start"), F.lit(0).cast("long").alias("chain_id"), F.lit(1e9).alias("alignment_score"), F.lit(0).cast("long").alias("pos"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), (F.col("record_count") + 1).alias("subtree_end"))
     return under.unionByName(whole).withColumn("root", F.lit(0).cast("long"))
 
 
@@ -576,5 +583,5 @@ def filter_prune_one_root(spark, sf_dir):
 def ancestors_one_root(spark, sf_dir):
     """All pairs of a record and an ancestor in the same trees, as sums by record."""
     records = one_root(spark, sf_dir)
-    pairs = tree.ancestors(records, records, scan.parts_of(records, PART))
+    pairs = tree.ancestors(records, records, scan.parts_of(records, PART), DEPTH + 1)
     return pairs.groupBy("net_id", "pos").agg(F.count(F.lit(1)).alias("ancestors"), F.sum("ancestor").alias("places"))
