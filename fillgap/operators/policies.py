@@ -49,9 +49,8 @@ def rebuild(kept: DataFrame, max_depth: int | None = None, parts: Parts = WHOLE,
     if order == "pos":
         rows, order = rows.withColumn("__was", F.col("pos")), "__was"
     rows = running(rows, {"rpos": ("sum", F.lit(1).cast("long"))}, order=order)
-    rows = running(rows, {"__top": ("last", F.when(F.col("depth") == 0, F.col("rpos")))}, inclusive=True, order=order)
-    out = complete(rows, max_depth, None, order, parts)
-    return out.withColumn("root", F.col("pos") - F.col("rpos") + F.col("__top")).drop("__top", "__was")
+    out = complete(rows, max_depth, None, order, parts, "__top")
+    return out.withColumn("root", F.col("__top")).drop("__top", "__was")
 
 
 def filter_records(records: DataFrame, condition: Column, policy: str = PRUNE, max_depth: int | None = None, parts: Parts | None = None) -> DataFrame:
@@ -71,7 +70,7 @@ def filter_records(records: DataFrame, condition: Column, policy: str = PRUNE, m
     else:
         rows = records.withColumn("__met", met)
     kept = with_kept_above(rows, max_depth, parts) if policy == PROMOTE else kept_by(rows, policy)
-    out = rebuild(kept.drop("__met", "parent", "subtree_end", "rpos"), max_depth, parts)
+    out = rebuild(kept.drop("__met", "parent", "subtree_end", "rpos"), max_depth, parts, "__from" if parts else "pos")
     if parts:
         old = records.withColumnsRenamed({"pos": "__from", "root": "__root"}).drop(*made)
         out = old.join(out.select("net_id", "__root", "__from", "root", *made), ["net_id", "__root", "__from"]).drop("__root", "__from")
