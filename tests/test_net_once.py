@@ -35,6 +35,22 @@ def test_tasks_follow_the_records(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+@pytest.mark.parametrize("n", [4, 1000])
+def test_tasks_are_not_joined_by_compressed_bytes(spark, monkeypatch, n):
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records, sections, _ = fixtures.net(spark, SF)
+        sizes = records.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count"), F.count("p")).first()
+        total = sections.agg(F.sum("record_count")).first()[0]
+        assert sizes[0] < 1000 and sizes[1] <= -(total // -500)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("previous", [True, False])
 def test_siblings_and_ancestors_by_level(spark, previous):
     made = tree.topology(spark.createDataFrame(forest(7), SCHEMA)).withColumn("kind", F.when(F.col("m"), "fill").otherwise("gap")).localCheckpoint()
