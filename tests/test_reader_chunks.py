@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fillgap.sources import nesting, net_text, writer
@@ -75,3 +76,35 @@ def test_two_places_stay_in_spark(spark):
     values = [0.1, -12.5, 1234.56, 0.07, 1e-7, 123456789012.34, 0.30000000000000004, 2.5e11, 1e22, None]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select(writer.number_text(F.col("x")).alias("t")).collect()
     assert [r["t"] for r in rows] == [writer._shortest(__import__("pandas").Series([v]))[0].removesuffix(".0") if v is not None else None for v in values]
+
+
+def test_arrays_walk_as_a_stack_does():
+    """Chunks by arrays against a stack, with what is open before them, records with errors and headers anywhere."""
+    r = random.Random(3)
+    for _ in range(3_000):
+        n, inside, stack, frame = r.randrange(14), r.random() < 0.8, [], (0, -1, 0, 0)
+        marks, indents = (np.array([r.choice(c) for _ in range(n)], np.int64) for c in ((0, 1, 2, 2, 2, 2, 3), range(5)))
+        for _ in range(r.randrange(4) if inside else 0):
+            width = frame[0] + r.randrange(1, 3)
+            frame = (width, frame[1] + r.randrange(1, 3), width + r.randrange(2), frame[3] + r.randrange(1, 3))
+            stack.append(frame)
+        base = frame[3] + r.randrange(3)
+        found, left, pos = nesting.walk(marks, indents, list(stack), frame[1] + 1, inside, base)
+        expected, open_, count = nesting._stacked(marks.tolist(), indents.tolist(), list(stack), frame[1] + 1, inside, base)
+        assert all((found[c] == expected[c]).all() for c in nesting.NAMES) and (left, pos) == (open_, count)
+
+
+def test_lines_of_one_task_are_dealt(spark, monkeypatch):
+    """Chunks of a file that one task reads are several tasks' work."""
+    monkeypatch.setattr(nesting, "CHUNK", 10)
+    lines = net_text.lines_of(spark, [_text(5)]).coalesce(1)
+    plan = nesting.nested_lines(lines.select("file_id", "part", "place", F.lit(2).alias("mark"), F.lit(1).alias("indent"), F.lit(1).alias("bytes")), [])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(file_id" in plan
+
+
+def test_signs_and_fields_of_plain_lines(spark):
+    text = b"net chr1 9\n fill 0 9 score + 1 2 score -1.50 ali 7 tN -3 a score\n  gap 007 1 id - 0 1 tN +3 a b c d\n fill 3 4 q + 5 6 id 18 id 19\n"
+    rows = net_text.parse(net_text.lines_of(spark, [text]), net_text.ReaderOptions(mode=net_text.PERMISSIVE))[1].orderBy("pos").collect()
+    assert [(r["query_name"], r["reference_start"], r["chain_id"] and int(r["chain_id"]), r["alignment_score"], r["aligned_bases"], r["reference_unsequenced"], [tuple(x) for x in r["extras"]]) for r in rows] == [
+        ("score", 0, None, -1.5, 7, -3, [("a", "score")]), ("id", 7, None, None, None, 3, [("a", "b"), ("c", "d")]), ("q", 3, 19, None, None, None, []),
+    ]
